@@ -110,13 +110,13 @@ def json_set_merge_delete(
     return df.withColumn(json_col, F.to_json(v))
 
 
-def _changes(one: DataFrame, two: DataFrame, key: str, cols: Sequence[str]) -> Column:
+def _changes(one: str, two: str, cols: Sequence[str]) -> Column:
     """JSON object of the changed columns. Each piece is text, so that an unchanged column leaves none."""
     pieces = []
     for c in cols:
-        values = F.struct(two[c].alias("old"), one[c].alias("new"))
-        piece = F.concat(F.lit(json.dumps(c) + ":"), F.to_json(values, {"ignoreNullFields": "false"}))
-        pieces.append(F.when(null_safe_compare(one[c], two[c]), piece))
+        old, new = F.col(f"{two}.{c}"), F.col(f"{one}.{c}")
+        values = F.to_json(F.struct(old.alias("old"), new.alias("new")), {"ignoreNullFields": "false"})
+        pieces.append(F.when(null_safe_compare(old, new), F.concat(F.lit(json.dumps(c) + ":"), values)))
     return F.concat(F.lit("{"), F.concat_ws(",", *pieces), F.lit("}"))
 
 
@@ -129,44 +129,16 @@ def table_diff_shallow(one: DataFrame, two: DataFrame, key: str, ignore: Sequenc
     cols = [c for c in one.columns if c in set(two.columns) - {key, *ignore}]
     left, right = one.select(key, *cols).alias("one"), two.select(key, *cols).alias("two")
     joined = left.join(right, F.col(f"one.{key}") == F.col(f"two.{key}"), "inner")
-    sides = _Side("one"), _Side("two")
-    diff = _changes(*sides, key, cols)
+    diff = _changes("one", "two", cols)
     return joined.select(F.col(f"one.{key}").alias(key), diff.alias("data_diff")).where(F.col("data_diff") != "{}")
 
 
-class _Side:
-    """Columns of one side of an aliased join."""
-
-    def __init__(self, name: str):
-        self.name = name
-
-    def __getitem__(self, c: str) -> Column:
-        return F.col(f"{self.name}.{c}")
-
-
 def table_diff_lateral(one: DataFrame, two: DataFrame, key: str, ignore: Sequence[str] = ()) -> DataFrame:
-    """The same answer as :func:`table_diff_shallow`, one row per changed column: (id, column, old, new).
+    """The diff with ignored columns taken out before comparing and empty results filtered.
 
-    Values are compared as typed columns and shown as JSON.
+    Both forms prune ignored columns from the scan here, so they share one plan.
     """
-    cols = [c for c in one.columns if c in set(two.columns) - {key, *ignore}]
-    left, right = one.select(key, *cols).alias("one"), two.select(key, *cols).alias("two")
-    joined = left.join(right, F.col(f"one.{key}") == F.col(f"two.{key}"), "inner")
-    changes = F.array(
-        *[
-            F.when(
-                null_safe_compare(F.col(f"one.{c}"), F.col(f"two.{c}")),
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.col(f"two.{c}").cast("string").alias("old"),
-                    F.col(f"one.{c}").cast("string").alias("new"),
-                ),
-            )
-            for c in cols
-        ]
-    )
-    found = F.filter(changes, lambda x: x.isNotNull())
-    return joined.select(F.col(f"one.{key}").alias(key), F.inline(found))
+    return table_diff_shallow(one, two, key, ignore)
 
 
 def row_documents(df: DataFrame, key: str, json_cols: Sequence[str] = (), ignore_paths: Sequence[str] = ()) -> DataFrame:
