@@ -80,7 +80,7 @@ def ratio_of_sums(df: DataFrame, a: Column | str, b: Column | str, keys: str | S
     return (
         df.groupBy(*as_list(keys))
         .agg(F.sum(as_col(a)).alias("sum_a"), F.sum(as_col(b)).alias("sum_b"))
-        .withColumn("ratio", F.try_divide(F.col("sum_a"), F.col("sum_a") + F.col("sum_b")))
+        .withColumn("ratio", F.try_divide(F.col("sum_a").cast("double"), (F.col("sum_a") + F.col("sum_b")).cast("double")))
     )
 
 

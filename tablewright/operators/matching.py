@@ -11,7 +11,7 @@ from tablewright.operators.filters import union_all_sources
 from tablewright.session import cut_lineage
 
 HOT_BLOCK = 1_000
-_MAX_ROUNDS = 8
+_MAX_ROUNDS = 3
 _SHORT_SALTS = 16
 
 
@@ -60,7 +60,7 @@ def _probe_blocks(rows: DataFrame, distance: int) -> DataFrame:
             block = F.concat_ws("|", "block", F.lit(str(i)), part)
             found.append(F.when(fits, F.struct(block.alias("block"), rest.alias("rest"))))
     places = F.filter(F.array(*found), lambda p: p.isNotNull())
-    return rows.select("name", "shorter", F.inline(places)).distinct()
+    return rows.select("name", "shorter", F.inline(places))
 
 
 def _verified(index: DataFrame, probes: DataFrame, on: Sequence[str], distance: int) -> DataFrame:
