@@ -140,13 +140,13 @@ def as_of():
 
 
 def query_log(t):
-    """Events read as a query log: value as rows read, memory and time."""
+    """Events read as a query log: whole value as rows read; memory and time from the value."""
     return t("events").select(
         F.col("event_id").alias("query_id"),
         F.concat_ws(" ", F.lit("SELECT"), "event_type", F.lit("FROM"), "props").alias("query"),
         F.col("ts").alias("start_time"),
         F.col("ts").alias("event_time"),
-        F.col("value").alias("read_rows"),
+        F.floor("value").alias("read_rows"),
         F.nullif(F.col("user_id"), F.lit(0)).alias("total_rows"),
         F.floor(F.col("value") * 1000).alias("memory_usage"),
         F.floor(F.col("value") * 100).alias("duration_ms"),
@@ -158,7 +158,7 @@ def query_log(t):
     f"""
     SELECT query_id, elapsed_ms, {interval_sql('elapsed_ms')} AS elapsed, percent, mem_usage FROM (
       SELECT event_id AS query_id, date_diff('microsecond', ts, {AS_OF_SQL}) // 1000 AS elapsed_ms,
-        round(value / nullif(user_id, 0) * 100, 2) AS percent, {SIZE_SQL.format('CAST(floor(value * 1000) AS DOUBLE)')} AS mem_usage
+        round(floor(value) / nullif(user_id, 0) * 100, 2) AS percent, {SIZE_SQL.format('CAST(floor(value * 1000) AS DOUBLE)')} AS mem_usage
       FROM events WHERE event_id <> 7)
     """,
 )
