@@ -89,35 +89,46 @@ def _to_binary(dec: Column) -> Column:
     return F.unhex(F.when(high > 0, F.concat(F.lpad(F.hex(high), 4, "0"), low)).otherwise(low))
 
 
-def lsn_convert(lsn: Column | str, source: str, target: str) -> Column:
-    """One form to another."""
-    parts = _parts(as_col(lsn), source)
-    if target == "text":
+def _render(parts: Column, form: str) -> Column:
+    if form == "text":
         return _to_text(parts)
-    if target == "dec":
+    if form == "dec":
         return _to_dec(parts)
-    if target == "hex":
+    if form == "hex":
         return _to_hex(parts)
-    if target == "binary":
+    if form == "binary":
         return _to_binary(_to_dec(parts))
     raise ValueError(f"form must be one of {LSN_FORMS}")
 
 
+def lsn_convert(lsn: Column | str, source: str, target: str) -> Column:
+    """One form to another."""
+    return _render(_parts(as_col(lsn), source), target)
+
+
+def _check(parts: Column, dec: Column) -> Column:
+    back = _dec_to_parts(_binary_to_dec(_to_binary(dec)))
+    return F.when(back == parts, F.lit("CORRECT")).otherwise(F.lit("Error"))
+
+
 def lsn_check(lsn: Column | str) -> Column:
-    """``CORRECT`` where text survives the way to binary and back, otherwise ``Error``."""
-    lsn = as_col(lsn)
-    canonical = lsn_convert(lsn, "text", "text")
-    back = lsn_convert(lsn_convert(lsn, "text", "binary"), "binary", "text")
-    return F.when(back == canonical, F.lit("CORRECT")).otherwise(F.lit("Error"))
+    """``CORRECT`` where a number survives the way to binary and back, otherwise ``Error``."""
+    parts = _parts(as_col(lsn), "text")
+    return _check(parts, _to_dec(parts))
 
 
 def lsn_normalize(df: DataFrame, lsn_col: str, form: str = "text") -> DataFrame:
-    """Add every form, a sortable ``lsn_order`` and the round-trip verdict to a change table."""
-    text = lsn_convert(lsn_col, form, "text")
+    """Add every form, a sortable ``lsn_order`` and the round-trip verdict to a change table.
+
+    The number is taken apart once; all forms are put together from its parts.
+    """
+    parts = F.col("_parts")
     return (
-        df.withColumn("lsn_text", text)
-        .withColumn("lsn_dec", lsn_convert("lsn_text", "text", "dec"))
-        .withColumn("lsn_hex", lsn_convert("lsn_text", "text", "hex"))
+        df.withColumn("_parts", _parts(F.col(lsn_col), form))
+        .withColumn("lsn_dec", _to_dec(parts))
+        .withColumn("lsn_text", _to_text(parts))
+        .withColumn("lsn_hex", _to_hex(parts))
         .withColumn("lsn_order", F.col("lsn_dec").cast("decimal(25,0)"))
-        .withColumn("lsn_check", lsn_check("lsn_text"))
+        .withColumn("lsn_check", _check(parts, F.col("lsn_dec")))
+        .drop("_parts")
     )

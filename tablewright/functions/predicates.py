@@ -60,9 +60,16 @@ def position_diff(sent: Column | str, replayed: Column | str) -> Column:
     return as_col(sent) - as_col(replayed)
 
 
-def micros_between(start: Column, end: Column) -> Column:
-    """Microseconds between two timestamps, free of the session time zone for ``timestamp_ntz``."""
-    return F.timestamp_diff("MICROSECOND", start, end)
+def micros_between(start: Column, end: Column, zoned: bool = False) -> Column:
+    """Microseconds between two timestamps.
+
+    Zone-less timestamps are subtracted, which no session time zone can shift. ``zoned`` is for
+    instants, whose subtraction would follow the local clock over a change to summer time.
+    """
+    if zoned:
+        return F.timestamp_diff("MICROSECOND", start, end)
+    seconds = (end - start).cast("interval second").cast("decimal(20,6)")
+    return (seconds * 1_000_000).cast("bigint")
 
 
 def epoch_seconds(ts: Column | str) -> Column:

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tablewright.functions.predicates import as_col
 
 
+def _int_or_null(x: Column) -> Column:
+    """The pattern keeps text away from the cast, which would raise and catch an error per element."""
+    return F.when(x.rlike(r"^\s*[+-]?\d+\s*$"), x.try_cast("int"))
+
+
 def version_split(c: Column | str, as_int: bool = False) -> Column:
     """Version text as an array of parts.
 
@@ -17,7 +22,7 @@ def version_split(c: Column | str, as_int: bool = False) -> Column:
     """
     c = as_col(c)
     if as_int:
-        return F.transform(F.split(c, r"[^\p{L}\p{N}_]"), lambda part: part.try_cast("int"))
+        return F.transform(F.split(c, r"[^\p{L}\p{N}_]"), _int_or_null)
     return F.split(F.regexp_replace(c, r"(\d)(\p{L})", "$1.$2"), r"[^\p{L}\p{N}_]")
 
 
@@ -25,31 +30,21 @@ def _sized(parts: Column, n: int) -> Column:
     return F.slice(F.concat(parts, F.array_repeat(F.lit(""), n)), 1, n)
 
 
+def version_sort_key(c: Column | str, parts: int = 5) -> Column:
+    """An array of (number, text) pairs that sorts in version order; text counts as number -1."""
+    return F.transform(
+        _sized(version_split(c), parts),
+        lambda x: F.struct(F.coalesce(_int_or_null(x), F.lit(-1)).alias("number"), x.alias("text")),
+    )
+
+
 def version_compare(a: Column | str, b: Column | str, parts: int = 5) -> Column:
     """-1, 0 or 1 by the first part that differs, over the first ``parts`` parts.
 
     Parts compare as integers, text counting as -1; two equal numbers compare as text.
     """
-
-    def compare(x: Column, y: Column) -> Column:
-        xi = F.coalesce(x.try_cast("int"), F.lit(-1))
-        yi = F.coalesce(y.try_cast("int"), F.lit(-1))
-        return (
-            F.when(xi > yi, 1).when(xi < yi, -1).when(x > y, 1).when(x < y, -1).otherwise(0)
-        )
-
-    left, right = _sized(version_split(a), parts), _sized(version_split(b), parts)
-    differing = F.filter(F.zip_with(left, right, compare), lambda r: r != 0)
-    result = F.coalesce(F.get(differing, F.lit(0)), F.lit(0))
-    return F.when(as_col(a).isNotNull() & as_col(b).isNotNull(), result)
-
-
-def version_sort_key(c: Column | str, parts: int = 5) -> Column:
-    """An array of (number, text) pairs that sorts in the order of :func:`version_compare`."""
-    return F.transform(
-        _sized(version_split(c), parts),
-        lambda x: F.struct(F.coalesce(x.try_cast("int"), F.lit(-1)).alias("number"), x.alias("text")),
-    )
+    left, right = version_sort_key(a, parts), version_sort_key(b, parts)
+    return F.when(left > right, 1).when(left < right, -1).when(left == right, 0)
 
 
 def version_verdict(comparison: Column, a: str = "ver1", b: str = "ver2") -> Column:

@@ -12,6 +12,7 @@ from tablewright.functions.text import format_interval
 from tablewright.operators.ordered import as_list, numbered
 
 JSON_ROWS_PER_PART = 10_000
+GROUP_SALTS = 256
 
 
 def group_having_collect(
@@ -25,7 +26,7 @@ def group_having_collect(
     keys = as_list(keys)
     in_group = Window.partitionBy(*keys).orderBy(F.col(member).asc_nulls_last())
     first = df.select(*keys, member).withColumn("_n", F.row_number().over(in_group)).where(F.col("_n") <= max_count)
-    members = F.array_sort(F.collect_list(member))
+    members = F.sort_array(F.collect_list(member))
     if sep is not None:
         members = F.array_join(members, sep)
     return (
@@ -47,21 +48,31 @@ def duplicate_groups(
 ) -> DataFrame:
     """Groups of equal rows: count, total size and the first ``show`` members.
 
-    Long keys are shuffled as one digest. The shown members come from a row number limit that works
-    before the shuffle, the count and the sum from partial aggregates.
+    The table is read once and only a digest of the key, the member and the size are shuffled. A
+    group is summed up in salted parts, each keeping its first members, so that a group of any size
+    is spread out; the parts of a group are then put together.
     """
     measure = F.col(size) if size else F.lit(1)
-    rows = df.select(composite_key(as_list(keys)).alias("_key"), F.col(member).alias("_m"), measure.alias("_s"))
-    totals = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("cnt"), F.sum("_s").alias("total_size"))
-    in_group = Window.partitionBy("_key").orderBy("_m")
-    shown = (
-        rows.select("_key", "_m")
-        .withColumn("_n", F.row_number().over(in_group))
-        .where(F.col("_n") <= show)
-        .groupBy("_key")
-        .agg(*[F.max(F.when(F.col("_n") == i, F.col("_m"))).alias(f"idx{i}") for i in range(1, show + 1)])
+    salt = F.pmod(F.xxhash64(member), F.lit(GROUP_SALTS))
+    rows = df.select(
+        composite_key(as_list(keys)).alias("_key"), F.col(member).alias("_m"), measure.alias("_s"), salt.alias("_salt")
     )
-    return totals.where("cnt > 1").join(shown, "_key", "inner").drop("_key")
+    in_part = Window.partitionBy("_key", "_salt").orderBy("_m")
+    parts = (
+        rows.withColumn("_n", F.row_number().over(in_part))
+        .groupBy("_key", "_salt")
+        .agg(
+            F.count(F.lit(1)).alias("_cnt"),
+            F.sum("_s").alias("_size"),
+            F.collect_list(F.when(F.col("_n") <= show, F.col("_m"))).alias("_first"),
+        )
+    )
+    first = F.sort_array(F.flatten(F.collect_list("_first")))
+    groups = parts.groupBy("_key").agg(
+        F.sum("_cnt").alias("cnt"), F.sum("_size").alias("total_size"), first.alias("_members")
+    )
+    shown = [F.get("_members", F.lit(i)).alias(f"idx{i + 1}") for i in range(show)]
+    return groups.where("cnt > 1").select("cnt", "total_size", *shown)
 
 
 def conditional_sums(
@@ -140,14 +151,14 @@ def string_agg_distinct(
     rows = df.select(*keys, F.col(col).cast("string").alias("_v"))
     if distinct:
         rows = rows.distinct()
-    return rows.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("_v")), sep).alias(name))
+    return rows.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("_v")), sep).alias(name))
 
 
 def json_object_agg(df: DataFrame, keys: str | Sequence[str], k: str, v: str, name: str = "object") -> DataFrame:
     """Key/value pairs of a group as one JSON object, keys sorted; of repeated keys the largest value stays."""
     keys = as_list(keys)
     pairs = df.groupBy(*keys, F.col(k).cast("string").alias("_k")).agg(F.max(v).alias("_v"))
-    entries = F.array_sort(F.collect_list(F.struct("_k", "_v")))
+    entries = F.sort_array(F.collect_list(F.struct("_k", "_v")))
     return pairs.groupBy(*keys).agg(
         F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"}).alias(name)
     )
@@ -174,7 +185,7 @@ def query_to_json(
     rows = numbered(df, list(order), keys, "_rn", slices).select(
         *keys, F.floor((F.col("_rn") - 1) / F.lit(rows_per_part)).cast("bigint").alias("part"), "_rn", text.alias("_json")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("_rn", "_json")))
+    ordered = F.sort_array(F.collect_list(F.struct("_rn", "_json")))
     array = F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda r: r["_json"]), ","), F.lit("]"))
     parts = rows.groupBy(*keys, "part").agg(array.alias("json"))
     if keys:

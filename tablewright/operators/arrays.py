@@ -28,7 +28,7 @@ def array_column_sum(df: DataFrame, arr: str, as_array: bool = True, cast: str |
     sums = array_explode_ordinal(df.select(arr), arr).groupBy("rn").agg(F.sum(elem).alias("sum_elem"))
     if not as_array:
         return sums.orderBy("rn")
-    ordered = F.array_sort(F.collect_list(F.struct("rn", "sum_elem")))
+    ordered = F.sort_array(F.collect_list(F.struct("rn", "sum_elem")))
     return sums.agg(F.transform(ordered, lambda s: s["sum_elem"]).alias("sums"))
 
 
@@ -82,16 +82,31 @@ def tsvector_tokens(
 
     Plain form: the sorted distinct words, as written, between white space. Position form: one row
     per lower-case word with all its positions, stop words counted but left out. Words are not stemmed.
+    Everything happens inside the row of the text; no word is shuffled.
     """
     if not positions:
-        words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
-        return df.select(id_col, F.array_sort(F.array_distinct(words)).alias("tokens"))
-    # Non-words are cut away first, so that positions count words only.
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    found = df.select(id_col, F.posexplode(words).alias("_pos", "lexeme"))
+        words = F.array_remove(F.split(F.col(text), r"\s+"), "")
+        return df.select(id_col, F.sort_array(F.array_distinct(words)).alias("tokens"))
+    words = F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), "")
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("at"))))
     if stop_words:
-        found = found.where(~F.col("lexeme").isin(*stop_words))
-    return found.groupBy(id_col, "lexeme").agg(F.array_sort(F.collect_list(F.col("_pos") + 1)).alias("positions"))
+        stops = F.lit(list(stop_words))
+        placed = F.filter(placed, lambda p: ~F.array_contains(stops, p["w"]))
+    # Equal words stand together now: a run starts where the word before is another one.
+    starts = F.filter(
+        F.transform("_placed", lambda p, i: F.when(~p["w"].eqNullSafe(F.get("_placed", i - 1)["w"]), i)),
+        lambda i: i.isNotNull(),
+    )
+    end = lambda k: F.coalesce(F.get("_starts", k + 1), F.size("_placed"))
+    runs = F.transform(
+        "_starts",
+        lambda start, k: F.struct(
+            F.get("_placed", start)["w"].alias("lexeme"),
+            F.transform(F.slice("_placed", start + 1, end(k) - start), lambda p: p["at"]).alias("positions"),
+        ),
+    )
+    rows = df.select(id_col, placed.alias("_placed")).withColumn("_starts", starts)
+    return rows.select(id_col, F.inline(runs))
 
 
 def metric_table(df: DataFrame, aggs: Mapping[str, Column]) -> DataFrame:

@@ -86,7 +86,10 @@ def subtree_rollup(
     """
     links = cut_lineage(nodes.select(F.col(id_col).alias("_id"), F.col(parent).alias("_parent"), F.col(measure).alias("_v")))
     levels = [links.groupBy(F.col("_id").alias("_node")).agg(F.sum("_v").alias("_sum"))]
-    parents = links.select("_id", "_parent").where("_parent IS NOT NULL").distinct()
+    ids = links.select(F.col("_id").alias("_node")).distinct()
+    parents = cut_lineage(
+        links.select("_id", "_parent").distinct().join(ids, F.col("_parent") == F.col("_node"), "left_semi")
+    )
     while True:
         last = levels[-1]
         climbed = cut_lineage(
@@ -99,9 +102,7 @@ def subtree_rollup(
         if len(levels) > max_depth:
             raise ValueError(f"tree deeper than max_depth={max_depth}, or a cycle")
         levels.append(climbed)
-    totals = union_all_sources(*levels).groupBy("_node").agg(F.sum("_sum").alias(name))
-    ids = links.select("_id").distinct()
-    return totals.join(ids, totals["_node"] == ids["_id"], "left_semi").withColumnRenamed("_node", id_col)
+    return union_all_sources(*levels).groupBy(F.col("_node").alias(id_col)).agg(F.sum("_sum").alias(name))
 
 
 def ancestor_flatten(

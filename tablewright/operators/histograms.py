@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.predicates import epoch_seconds
+from tablewright.functions.predicates import epoch_seconds, micros_between
 from tablewright.functions.text import repeat_bar
 from tablewright.operators.aggregates import bar_scaled_to_max
 
@@ -75,8 +75,11 @@ def _bucket_number(value: Column, low: Column, step: tuple[str, int]) -> Column:
     with the boundary itself. No list of boundaries is walked per row.
     """
     kind, size = step
-    unit = "MONTH" if kind == "months" else "MICROSECOND"
-    guess = F.floor(F.timestamp_diff(unit, low, value) / F.lit(size)).cast("bigint")
+    if kind == "months":
+        apart = F.timestamp_diff("MONTH", low, value)
+    else:
+        apart = micros_between(low, value)
+    guess = F.floor(apart / F.lit(size)).cast("bigint")
     return (
         F.when(_shift(low, guess + 1, step) <= value, guess + 2)
         .when(_shift(low, guess, step) > value, guess)
@@ -115,15 +118,16 @@ def calendar_histogram(df: DataFrame, col: str, step: str, char: str = "■") ->
         df.select(col)
         .crossJoin(F.broadcast(edges))
         .groupBy(_bucket_number(value, F.col("_lo"), spec).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("cnt"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+        .agg(F.count(F.lit(1)).alias("cnt"))
     )
+    # The total reads the same shuffled counts, and the ranges the same edges: neither is worked out twice.
     total = counts.agg(
         F.sum("cnt").alias("total_count"),
         F.greatest(F.lit(1), F.ceil(F.max("cnt") / F.lit(LONGEST_BAR))).cast("bigint").alias("rows_per_char"),
     )
     percent = F.col("cnt").cast("double") * 100 / F.col("total_count")
     return (
-        _with_range(counts.crossJoin(F.broadcast(total)), spec)
+        _with_range(counts.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(edges)), spec)
         .withColumn("bar", repeat_bar(F.col("cnt") / F.col("rows_per_char"), char))
         .withColumn("percent", percent)
         .withColumn("bar_percent", repeat_bar(percent, char))

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.predicates import as_col, micros_between
 from tablewright.functions.text import format_interval, readable_size
@@ -13,8 +14,9 @@ from tablewright.operators.aggregates import share_of_total
 from tablewright.operators.filters import ilike_filter
 
 
-def _elapsed_ms(start: Column, as_of: Column) -> Column:
-    return F.floor(micros_between(start, as_of) / F.lit(1000)).cast("bigint")
+def _elapsed_ms(df: DataFrame, start: str, as_of: Column) -> Column:
+    zoned = isinstance(df.schema[start].dataType, T.TimestampType)
+    return F.floor(micros_between(F.col(start), as_of, zoned) / F.lit(1000)).cast("bigint")
 
 
 def running_queries(
@@ -31,7 +33,7 @@ def running_queries(
     """Running items but one's own, longest first: time so far, percent done and memory as text."""
     return (
         df.where(F.col(id_col) != F.lit(exclude_id))
-        .withColumn("elapsed_ms", _elapsed_ms(F.col(start), as_of))
+        .withColumn("elapsed_ms", _elapsed_ms(df, start, as_of))
         .withColumn("elapsed", format_interval("elapsed_ms"))
         .withColumn("percent", F.round(F.try_divide(F.col(done).cast("double"), F.col(expected).cast("double")) * 100, 2))
         .withColumn("mem_usage", readable_size(memory))
@@ -96,7 +98,7 @@ def activity_ages(
     """
     out = df.where(~F.col(state).isin(*skip_states)) if skip_states else df
     for name, ts in ts_cols.items():
-        out = out.withColumn(name, format_interval(_elapsed_ms(F.col(ts), as_of)))
+        out = out.withColumn(name, format_interval(_elapsed_ms(df, ts, as_of)))
     by = list(sort or list(ts_cols)[:2])
     return out.orderBy(*[F.col(ts_cols[n]).asc_nulls_first() for n in by])
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions.predicates import micros_between
 from tablewright.session import MAX_SLICES, shuffle_width
 
 SLICE = "_slice"
@@ -31,8 +32,7 @@ def _comparable(df: DataFrame, name: str) -> Column:
     """An order column in a form that survives a trip through the driver unchanged."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.TimestampNTZType):
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", epoch, F.col(name))
+        return micros_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(name))
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(F.col(name))
     if isinstance(kind, T.DateType):

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.predicates import micros_between
 from tablewright.functions.text import format_interval
@@ -21,7 +22,8 @@ from tablewright.operators.ordered import (
 
 
 def _with_gap(df: DataFrame, ts: str) -> DataFrame:
-    gap = F.floor(micros_between(F.col("prev_time"), F.col(ts)) / F.lit(1000)).cast("bigint")
+    zoned = isinstance(df.schema[ts].dataType, T.TimestampType)
+    gap = F.floor(micros_between(F.col("prev_time"), F.col(ts), zoned) / F.lit(1000)).cast("bigint")
     return df.withColumn("gap_ms", gap).withColumn("gap", format_interval("gap_ms"))
 
 
