@@ -67,7 +67,7 @@ def micros_between(start: Column, end: Column, zoned: bool = False) -> Column:
     instants, whose subtraction would follow the local clock over a change to summer time.
     """
     if zoned:
-        return F.timestamp_diff("MICROSECOND", start, end)
+        return F.unix_micros(end) - F.unix_micros(start)
     seconds = (end - start).cast("interval second").cast("decimal(20,6)")
     return (seconds * 1_000_000).cast("bigint")
 

@@ -26,7 +26,7 @@ def ilike_filter(df: DataFrame, col: str, like: Sequence[str] = (), not_like: Se
 
 def regex_filter(df: DataFrame, col: str, pattern: str, negate: bool = False, ignore_case: bool = True) -> DataFrame:
     """Rows in which the pattern is found (or not). Word borders are written ``\\b``."""
-    hit = F.col(col).rlike(("(?i)" if ignore_case else "") + pattern)
+    hit = F.col(col).rlike(("(?iu)" if ignore_case else "") + pattern)
     return df.where(~hit if negate else hit)
 
 

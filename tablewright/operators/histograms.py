@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.predicates import epoch_seconds, micros_between
 from tablewright.functions.text import repeat_bar
 from tablewright.operators.aggregates import bar_scaled_to_max
+from tablewright.session import cut_lineage
 
 # Step units as months, or as microseconds.
 MONTHS = {"month": 1, "quarter": 3, "year": 12}
@@ -117,17 +118,17 @@ def calendar_histogram(df: DataFrame, col: str, step: str, char: str = "■") ->
     counts = (
         df.select(col)
         .crossJoin(F.broadcast(edges))
-        .groupBy(_bucket_number(value, F.col("_lo"), spec).alias("bucket"))
+        .groupBy(_bucket_number(value, F.col("_lo"), spec).alias("bucket"), "_lo", "_hi")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    # The total reads the same shuffled counts, and the ranges the same edges: neither is worked out twice.
+    # The edges travel as constant keys, so that the total reads the very same shuffled counts.
     total = counts.agg(
         F.sum("cnt").alias("total_count"),
         F.greatest(F.lit(1), F.ceil(F.max("cnt") / F.lit(LONGEST_BAR))).cast("bigint").alias("rows_per_char"),
     )
     percent = F.col("cnt").cast("double") * 100 / F.col("total_count")
     return (
-        _with_range(counts.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(edges)), spec)
+        _with_range(counts.crossJoin(F.broadcast(total)), spec)
         .withColumn("bar", repeat_bar(F.col("cnt") / F.col("rows_per_char"), char))
         .withColumn("percent", percent)
         .withColumn("bar_percent", repeat_bar(percent, char))
@@ -137,14 +138,19 @@ def calendar_histogram(df: DataFrame, col: str, step: str, char: str = "■") ->
 
 
 def length_histogram(df: DataFrame, text: str, n: int = 19, width: int = 50) -> DataFrame:
-    """Text lengths in n buckets: range of lengths, count and a bar scaled to the largest bucket."""
-    lengths = df.select(F.char_length(text).alias("_len"))
+    """Text lengths in n buckets: range of lengths, count and a bar scaled to the largest bucket.
+
+    The texts are read once, into a table of one row per length; the rest works on that.
+    """
+    lengths = cut_lineage(
+        df.where(F.col(text).isNotNull()).groupBy(F.char_length(text).alias("_len")).agg(F.count(F.lit(1)).alias("_rows"))
+    )
     bucket = F.width_bucket(
         F.col("_len").cast("double"), F.col("_lo").cast("double"), F.col("_hi").cast("double"), F.lit(n)
     )
     counts = (
         lengths.crossJoin(F.broadcast(_edges(lengths, F.col("_len"))))
         .groupBy(bucket.alias("bucket"))
-        .agg(F.min("_len").alias("min_len"), F.max("_len").alias("max_len"), F.count(F.lit(1)).alias("amount"))
+        .agg(F.min("_len").alias("min_len"), F.max("_len").alias("max_len"), F.sum("_rows").alias("amount"))
     )
     return bar_scaled_to_max(counts, "amount", width).orderBy("bucket")

@@ -13,62 +13,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.predicates import null_safe_compare
-from tablewright.functions.variants import (
-    as_list,
-    as_object,
-    json_delete,
-    json_merge,
-    json_set,
-    json_type,
-    path_steps,
-)
+from tablewright.functions.variants import json_delete, json_merge, json_set, json_type, path_steps
 
 MISSING_ONE = "<one row missing>"
 MISSING_TWO = "<two row missing>"
 
 
-def _none_of(node: Column) -> Column:
-    return F.filter(F.array(node), lambda _: F.lit(False))
-
+# Children of a tree node {path, v, odd}: members of an object, items of an array, none of a scalar.
+# ``odd`` marks nodes below a key that itself holds a dot or a bracket.
+_NODE_CHILDREN = """
+  coalesce(
+    transform(map_entries(try_cast(n.v AS map<string, variant>)), e -> named_struct(
+      'path', concat(n.path, '.', e.key), 'v', e.value,
+      'odd', n.odd OR contains(e.key, '.') OR contains(e.key, '['))),
+    transform(try_cast(n.v AS array<variant>), (x, i) -> named_struct(
+      'path', concat(n.path, '[', i, ']'), 'v', x, 'odd', n.odd)),
+    filter(array(n), z -> false))
+"""
 
-def _too_deep(next_level: Column, nodes: Column, max_depth: int) -> Column:
-    error = F.raise_error(F.lit(f"document nested deeper than max_depth={max_depth}"))
-    return F.when(F.size(next_level) > 0, error).otherwise(nodes)
+# Children of a pair {path, one, two} that both sides have and whose JSON differs: an equal subtree
+# is left at once.
+_PAIR_CHILDREN = """
+  coalesce(
+    transform(
+      filter(
+        map_entries(map_zip_with(
+          try_cast(n.one AS map<string, variant>), try_cast(n.two AS map<string, variant>),
+          (k, a, b) -> named_struct('one', a, 'two', b))),
+        e -> e.value.one IS NOT NULL AND e.value.two IS NOT NULL AND to_json(e.value.one) <> to_json(e.value.two)),
+      e -> named_struct('path', concat(n.path, '.', e.key), 'one', e.value.one, 'two', e.value.two)),
+    filter(
+      transform(
+        zip_with(
+          try_cast(n.one AS array<variant>), try_cast(n.two AS array<variant>),
+          (a, b) -> named_struct('one', a, 'two', b)),
+        (z, i) -> named_struct('path', concat(n.path, '[', i, ']'), 'one', z.one, 'two', z.two)),
+      e -> e.one IS NOT NULL AND e.two IS NOT NULL AND to_json(e.one) <> to_json(e.two)),
+    filter(array(n), z -> false))
+"""
 
 
-def _descend(df: DataFrame, root: Column, children, max_depth: int) -> DataFrame:
+def _descend(df: DataFrame, root: Column, children: str, max_depth: int) -> DataFrame:
     """Add ``_nodes``: every node below the root. A level is worked out once, from the one above."""
     out = df.withColumn("_level0", F.array(root))
     for depth in range(1, max_depth + 2):
-        below = F.flatten(F.transform(F.col(f"_level{depth - 1}"), children))
-        out = out.withColumn(f"_level{depth}", below)
-    nodes = F.concat(*[F.col(f"_level{d}") for d in range(1, max_depth + 1)])
-    out = out.withColumn("_nodes", _too_deep(F.col(f"_level{max_depth + 1}"), nodes, max_depth))
-    return out.drop(*[f"_level{d}" for d in range(max_depth + 2)])
-
-
-def _member_path(path: Column, key: Column) -> Column:
-    return F.concat(path, F.lit("."), key)
-
-
-def _item_path(path: Column, index: Column) -> Column:
-    return F.concat(path, F.lit("["), index.cast("string"), F.lit("]"))
-
-
-def _node_children(node: Column) -> Column:
-    members = F.transform(
-        F.map_entries(as_object(node["v"])),
-        lambda e: F.struct(
-            _member_path(node["path"], e["key"]).alias("path"),
-            e["value"].alias("v"),
-            (node["odd"] | F.contains(e["key"], F.lit(".")) | F.contains(e["key"], F.lit("["))).alias("odd"),
-        ),
-    )
-    items = F.transform(
-        as_list(node["v"]),
-        lambda x, i: F.struct(_item_path(node["path"], i).alias("path"), x.alias("v"), node["odd"].alias("odd")),
-    )
-    return F.coalesce(members, items, _none_of(node))
+        out = out.selectExpr("*", f"flatten(transform(_level{depth - 1}, n -> {children})) AS _level{depth}")
+    levels = ", ".join(f"_level{d}" for d in range(1, max_depth + 1))
+    error = f"raise_error('document nested deeper than max_depth={max_depth}')"
+    nodes = f"CASE WHEN size(_level{max_depth + 1}) > 0 THEN {error} ELSE concat({levels}) END AS _nodes"
+    return out.selectExpr(*[f"`{c}`" for c in df.columns], nodes)
 
 
 def json_path_flatten(df: DataFrame, id_col: str, json_col: str, max_depth: int = 32) -> DataFrame:
@@ -78,7 +71,7 @@ def json_path_flatten(df: DataFrame, id_col: str, json_col: str, max_depth: int
     document than ``max_depth`` is an error, never cut.
     """
     root = F.struct(F.lit("").alias("path"), F.parse_json(json_col).alias("v"), F.lit(False).alias("odd"))
-    trees = _descend(df.select(id_col, json_col), root, _node_children, max_depth)
+    trees = _descend(df.select(id_col, json_col), root, _NODE_CHILDREN, max_depth)
     rows = F.transform(
         F.col("_nodes"),
         lambda n: F.struct(n["path"].alias("path"), n["v"].cast("string").alias("value"), json_type(n["v"]).alias("type")),
@@ -158,41 +151,11 @@ def row_documents(df: DataFrame, key: str, json_cols: Sequence[str] = (), ignore
     return df.select(key, doc.alias("document"))
 
 
-def _pair_children(pair: Column) -> Column:
-    """Pairs of children on both sides whose JSON differs; an equal subtree is left at once."""
-
-    def pairs(entries: Column, path_of) -> Column:
-        both = F.filter(
-            entries,
-            lambda e: e["one"].isNotNull() & e["two"].isNotNull() & (F.to_json(e["one"]) != F.to_json(e["two"])),
-        )
-        return F.transform(both, lambda e: F.struct(path_of(e).alias("path"), e["one"].alias("one"), e["two"].alias("two")))
-
-    shared = F.map_zip_with(
-        as_object(pair["one"]), as_object(pair["two"]), lambda k, a, b: F.struct(a.alias("one"), b.alias("two"))
-    )
-    members = F.transform(
-        F.map_entries(shared),
-        lambda e: F.struct(e["key"].alias("at"), e["value"]["one"].alias("one"), e["value"]["two"].alias("two")),
-    )
-    zipped = F.zip_with(
-        as_list(pair["one"]), as_list(pair["two"]), lambda a, b: F.struct(a.alias("one"), b.alias("two"))
-    )
-    items = F.transform(
-        zipped, lambda z, i: F.struct(i.alias("at"), z["one"].alias("one"), z["two"].alias("two"))
-    )
-    return F.coalesce(
-        pairs(members, lambda e: _member_path(pair["path"], e["at"])),
-        pairs(items, lambda e: _item_path(pair["path"], e["at"])),
-        _none_of(pair),
-    )
-
-
 def _changed_paths(pairs: DataFrame, key: str, max_depth: int) -> DataFrame:
     """Rows (key, one, two) to one row per changed path present on both sides."""
     root = F.struct(F.lit("").alias("path"), F.col("one"), F.col("two"))
     differing = pairs.where(F.to_json("one") != F.to_json("two"))
-    trees = _descend(differing, root, _pair_children, max_depth)
+    trees = _descend(differing, root, _PAIR_CHILDREN, max_depth)
     rows = F.transform(
         F.col("_nodes"),
         lambda n: F.struct(

@@ -12,6 +12,7 @@ from tablewright.functions.predicates import as_col, micros_between
 from tablewright.functions.text import format_interval, readable_size
 from tablewright.operators.aggregates import share_of_total
 from tablewright.operators.filters import ilike_filter
+from tablewright.session import cut_lineage
 
 
 def _elapsed_ms(df: DataFrame, start: str, as_of: Column) -> Column:
@@ -64,9 +65,9 @@ def query_log_search(
 def workload_top(df: DataFrame, statement: str, time: str, rows: str, min_total=1) -> DataFrame:
     """Per statement: calls, total time and its share, mean time and rows per call; small totals left out.
 
-    Shares are of the statements shown.
+    Shares are of the statements shown. The log is read once, into one row per statement.
     """
-    grouped = (
+    grouped = cut_lineage(
         df.groupBy(statement)
         .agg(F.count(F.lit(1)).alias("calls"), F.sum(time).alias("_time"), F.sum(rows).alias("rows"))
         .where(F.col("_time") >= min_total)
@@ -115,7 +116,7 @@ def rarely_used(
     """Items used less than a threshold whose definition does not match; writes are the sum of counters."""
     out = df.where(as_col(use) < max_use)
     if not_regex:
-        out = out.where(~F.col(definition).rlike("(?i)" + not_regex))
+        out = out.where(~F.col(definition).rlike("(?iu)" + not_regex))
     writes = F.lit(0)
     for c in counters:
         writes = writes + F.col(c)

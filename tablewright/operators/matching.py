@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.filters import union_all_sources
@@ -15,28 +15,24 @@ _MAX_ROUNDS = 3
 _SHORT_SALTS = 16
 
 
-def _segment(rest_len: Column, i: int, segments: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of the i-th of near-equal segments."""
-    start = F.floor(rest_len * i / segments).cast("int")
-    end = F.floor(rest_len * (i + 1) / segments).cast("int")
-    return start, end - start
+def _segment(rest_len: str, i: int, segments: int) -> tuple[str, str]:
+    """Start (from 0) and length of the i-th of near-equal segments, as SQL."""
+    start = f"({rest_len} * {i} div {segments})"
+    return start, f"({rest_len} * {i + 1} div {segments} - {start})"
 
 
-def _cut_out(text: Column, start: Column, length: Column) -> tuple[Column, Column]:
-    """The part of a text at ``start``, and the text without it."""
-    part = F.substr(text, start + 1, length)
-    rest = F.concat(F.substr(text, F.lit(1), start), F.substr(text, start + length + 1, F.length(text)))
-    return part, rest
+def _cut(i: int, start: str, length: str) -> str:
+    """The block of the segment at ``start``, and the text without it."""
+    return (
+        f"named_struct('block', concat(block, '|{i}|', substr(rest, {start} + 1, {length})), "
+        f"'rest', concat(substr(rest, 1, {start}), substr(rest, {start} + {length} + 1)))"
+    )
 
 
 def _index_blocks(rows: DataFrame, segments: int) -> DataFrame:
     """(block, name, rest): one block per segment of what is left of the name."""
-    found = []
-    for i in range(segments):
-        start, length = _segment(F.length("rest"), i, segments)
-        part, rest = _cut_out(F.col("rest"), start, length)
-        found.append(F.struct(F.concat_ws("|", "block", F.lit(str(i)), part).alias("block"), rest.alias("rest")))
-    return rows.select("name", F.inline(F.array(*found)))
+    cuts = [_cut(i, *_segment("length(rest)", i, segments)) for i in range(segments)]
+    return rows.selectExpr("name", f"inline(array({', '.join(cuts)}))")
 
 
 def _probe_blocks(rows: DataFrame, distance: int) -> DataFrame:
@@ -44,23 +40,18 @@ def _probe_blocks(rows: DataFrame, distance: int) -> DataFrame:
 
     A segment moved by m leaves at least ``|m|`` edits before it and ``|shorter - m|`` behind it.
     """
-    segments, found = distance + 1, []
+    segments, places = distance + 1, []
     for i in range(segments):
+        start, length = _segment("(length(rest) - shorter)", i, segments)
         for move in range(-distance, distance + 1):
-            other = F.length("rest") - F.col("shorter")
-            start, length = _segment(other, i, segments)
-            at = start + move
+            at = f"({start} + {move})"
             fits = (
-                (other >= segments)
-                & (at >= 0)
-                & (at + length <= F.length("rest"))
-                & (F.abs(F.lit(move)) + F.abs(F.col("shorter") - move) <= distance)
+                f"length(rest) - shorter >= {segments} AND {at} >= 0 AND {at} + {length} <= length(rest) "
+                f"AND {abs(move)} + abs(shorter - {move}) <= {distance}"
             )
-            part, rest = _cut_out(F.col("rest"), at, length)
-            block = F.concat_ws("|", "block", F.lit(str(i)), part)
-            found.append(F.when(fits, F.struct(block.alias("block"), rest.alias("rest"))))
-    places = F.filter(F.array(*found), lambda p: p.isNotNull())
-    return rows.select("name", "shorter", F.inline(places))
+            if any(abs(move) + abs(s - move) <= distance for s in range(distance + 1)):
+                places.append(f"CASE WHEN {fits} THEN {_cut(i, at, length)} END")
+    return rows.selectExpr("name", "shorter", f"inline(filter(array({', '.join(places)}), p -> p IS NOT NULL))")
 
 
 def _verified(index: DataFrame, probes: DataFrame, on: Sequence[str], distance: int) -> DataFrame:
@@ -176,7 +167,7 @@ def name_normalize_legal_form(
     none. ``total_count`` counts the reported names.
     """
     normalized = F.translate(F.col(name), *mapping) if mapping[0] else F.col(name)
-    pattern = r"(?i)^\s*(" + "|".join(forms) + r")?[\s'\"“”«»’]*(.*?)[\s'\"“”«»’]*$"
+    pattern = r"(?iu)^\s*(" + "|".join(forms) + r")?[\s'\"“”«»’]*(.*?)[\s'\"“”«»’]*$"
     out = (
         df.withColumn("normalized_name", F.trim(normalized))
         .withColumn("firm_form", F.regexp_extract("normalized_name", pattern, 1))

@@ -57,10 +57,10 @@ def slice_bounds(df: DataFrame, order: Sequence[str], slices: int) -> list[tuple
     points = df.select(_order_point(df, order).alias("p"))
     sample = points.sample(fraction=fraction, seed=11) if fraction < 1.0 else points
     found = [tuple(r["p"]) for r in sample.orderBy("p").limit(4 * _SAMPLES_PER_SLICE * slices).collect()]
-    step = max(1, len(found) // slices)
     bounds: list[tuple] = []
-    for point in found[step::step]:
-        if not bounds or point != bounds[-1]:
+    for i in range(1, slices):
+        point = found[i * len(found) // slices] if found else None
+        if point is not None and (not bounds or point != bounds[-1]):
             bounds.append(point)
     return bounds
 

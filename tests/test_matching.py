@@ -1,0 +1,60 @@
+"""Near names against comparing everything with everything."""
+
+import random
+
+import pytest
+
+from tablewright.operators.matching import fuzzy_pairs, name_normalize_legal_form
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, start=1):
+        row, above = [i], row
+        for j, y in enumerate(b, start=1):
+            row.append(min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+def names(seed):
+    """Words of every length, near copies, and a hot prefix that two thirds of the names share."""
+    rng = random.Random(seed)
+    out = ["", "a", "ab", "abc", "abcd", "abcde", "abcdef", "zz", "|0|", "a|1|b"]
+    for _ in range(25):
+        base = "".join(rng.choice("abc|") for _ in range(rng.randrange(1, 14)))
+        out += [base, base[1:], base[:-2] + "c", base + "ab"]
+    for _ in range(120):
+        tail = "".join(rng.choice("xyz") for _ in range(rng.randrange(4, 9)))
+        out.append("common prefix " + tail)
+    return out
+
+
+@pytest.mark.parametrize("hot_block, limit", [(1000, 3), (5, 3), (5, 1)])
+def test_fuzzy_pairs_equal_brute_force(spark, hot_block, limit):
+    data = names(hot_block)
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(data)], "id int, name string").repartition(3)
+    got = fuzzy_pairs(df, "id", "name", max_distance=limit, hot_block=hot_block).collect()
+    distinct = sorted(set(data))
+    want = {(a, b, distance(a, b)) for a in distinct for b in distinct if a != b and distance(a, b) <= limit}
+    want |= {(a, a, 0) for a in distinct if data.count(a) > 1}
+    assert len(got) == len(want)
+    assert {(r["name_1"], r["name_2"], r["distance"]) for r in got} == want
+    for r in got:
+        assert (r["rows_1"], r["rows_2"]) == (data.count(r["name_1"]), data.count(r["name_2"]))
+
+
+def test_fuzzy_pairs_compare_a_prefix(spark):
+    df = spark.createDataFrame([(1, "abcdefgh-long tail"), (2, "abcdefgx-other ending"), (3, None)], "id int, name string")
+    got = fuzzy_pairs(df, "id", "name", prefix=8).collect()
+    assert {(r["name_1"], r["name_2"], r["distance"]) for r in got} == {("abcdefgh", "abcdefgx", 1), ("abcdefgx", "abcdefgh", 1)}
+
+
+def test_legal_forms(spark):
+    rows = [(1, 'ООО "Дорожник"'), (2, "Брединское ДРСУ"), (3, "Администрация Х сельсовета"), (4, " оао  Ёлка ")]
+    df = spark.createDataFrame(rows, "id int, name string")
+    forms, mapping = ["ООО", "ОАО"], ("ёЁйЙ", "еЕиИ")
+    got = {r["id"]: r for r in name_normalize_legal_form(df, "name", forms, mapping, only_without_form=False).collect()}
+    assert (got[1]["firm_form"], got[1]["firm_name"]) == ("ООО", "Дорожник")
+    assert (got[2]["firm_form"], got[2]["firm_name"]) == (None, "Брединское ДРСУ")
+    left = name_normalize_legal_form(df, "name", forms, mapping, ["Администрация % сельсовета%"]).collect()
+    assert [(r["id"], r["total_count"]) for r in left] == [(2, 1)]
