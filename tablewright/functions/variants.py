@@ -58,16 +58,15 @@ def _set(v: Column, steps: list, value: Column, create: bool) -> Column:
         return value
     step, rest = steps[0], steps[1:]
     if isinstance(step, int):
-        items = as_list(v)
-        changed = F.transform(items, lambda x, i: F.when(i == step, _set(x, rest, value, create)).otherwise(x))
-        return F.coalesce(F.to_variant_object(changed), v)
-    entries = as_object(v)
-    present = F.map_contains_key(entries, step)
-    inner = _set(F.try_element_at(entries, F.lit(step)), rest, value, create)
-    changed = F.to_variant_object(
-        F.map_concat(F.map_filter(entries, lambda k, _: k != step), F.create_map(F.lit(step), inner))
-    )
-    return F.when(present | F.lit(create and not rest), F.coalesce(changed, v)).otherwise(v)
+        changed = F.transform(as_list(v), lambda x, i: F.when(i == step, _set(x, rest, value, create)).otherwise(x))
+    elif rest or not create:
+        changed = F.transform_values(
+            as_object(v), lambda k, x: F.when(k == step, _set(x, rest, value, create)).otherwise(x)
+        )
+    else:
+        others = F.map_filter(as_object(v), lambda k, _: k != step)
+        changed = F.map_concat(others, F.create_map(F.lit(step), value))
+    return F.coalesce(F.to_variant_object(changed), v)
 
 
 def json_set(v: Column, path: str, value: Column, create: bool = True) -> Column:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.predicates import as_col
 from tablewright.functions.text import format_interval
-from tablewright.operators.ordered import as_list, numbered
+from tablewright.operators.ordered import SLICE, as_list, numbered, with_slices
+from tablewright.session import cut_lineage
 
 JSON_ROWS_PER_PART = 10_000
 GROUP_SALTS = 256
+CELL_VALUES = 100_000
 
 
 def group_having_collect(
@@ -140,28 +142,70 @@ def estimated_size_filter(df: DataFrame, rows: Column | str, avg_len: Column | s
     )
 
 
+def _gathered(rows: DataFrame, keys: list[str], value: str, gather: Column, name: str, values_per_part: int) -> DataFrame:
+    """One cell per group in sorted order, with a ``part`` of 0.
+
+    A group of more than ``values_per_part`` distinct values comes in several parts that follow each
+    other in order, so that no cell and no task holds a group of unknown size.
+    """
+    hot = cut_lineage(
+        rows.groupBy(*[F.col(k).alias(f"_h_{k}") for k in keys])
+        .agg(F.count(F.lit(1)).alias("_values"))
+        .where(F.col("_values") > values_per_part)
+    )
+    if hot.isEmpty():
+        return rows.groupBy(*keys).agg(gather.alias(name)).withColumn("part", F.lit(0))
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(hot[f"_h_{k}"])
+    largest = hot.agg(F.sum("_values")).first()[0]
+    cold = rows.join(hot, same, "left_anti").groupBy(*keys).agg(gather.alias(name)).withColumn("part", F.lit(0))
+    sliced = with_slices(rows.join(hot, same, "left_semi"), [value], 1 + largest // values_per_part)
+    return cold.union(sliced.groupBy(*keys, SLICE).agg(gather.alias(name)).select(*keys, name, SLICE))
+
+
 def string_agg_distinct(
-    df: DataFrame, keys: str | Sequence[str], col: str, sep: str = "; ", distinct: bool = True, name: str = "joined"
+    df: DataFrame,
+    keys: str | Sequence[str],
+    col: str,
+    sep: str = "; ",
+    distinct: bool = True,
+    name: str = "joined",
+    values_per_part: int = CELL_VALUES,
 ) -> DataFrame:
-    """Sorted values of a group as one text. Distinct values are reduced before the shuffle.
+    """Sorted values of a group as one text, in parts where the group is very large.
 
-    The text is one cell of the result, so a group is bounded by what a cell may hold.
+    Equal values are reduced to one, or to a count, before the shuffle.
     """
     keys = as_list(keys)
-    rows = df.select(*keys, F.col(col).cast("string").alias("_v"))
+    rows = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("string").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    values = F.sort_array(F.collect_list(F.struct("_v", "_n")))
     if distinct:
-        rows = rows.distinct()
-    return rows.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("_v")), sep).alias(name))
+        texts = F.transform(values, lambda x: x["_v"])
+    else:
+        texts = F.flatten(F.transform(values, lambda x: F.array_repeat(x["_v"], x["_n"].cast("int"))))
+    return _gathered(rows, keys, "_v", F.array_join(texts, sep), name, values_per_part)
+
 
+def json_object_agg(
+    df: DataFrame,
+    keys: str | Sequence[str],
+    k: str,
+    v: str,
+    name: str = "object",
+    values_per_part: int = CELL_VALUES,
+) -> DataFrame:
+    """Key/value pairs of a group as one JSON object, keys sorted; of repeated keys the largest value stays.
 
-def json_object_agg(df: DataFrame, keys: str | Sequence[str], k: str, v: str, name: str = "object") -> DataFrame:
-    """Key/value pairs of a group as one JSON object, keys sorted; of repeated keys the largest value stays."""
+    A very large group gives several objects, in parts.
+    """
     keys = as_list(keys)
     pairs = df.groupBy(*keys, F.col(k).cast("string").alias("_k")).agg(F.max(v).alias("_v"))
     entries = F.sort_array(F.collect_list(F.struct("_k", "_v")))
-    return pairs.groupBy(*keys).agg(
-        F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"}).alias(name)
-    )
+    gather = F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"})
+    return _gathered(pairs, keys, "_k", gather, name, values_per_part)
 
 
 def query_to_json(

@@ -199,12 +199,19 @@ def nonequi_self_join_count(df: DataFrame, id_col: str, where: Column | None = N
 
 
 def ordered_lookup_report(names: Sequence[str], df: DataFrame, name_col: str) -> DataFrame:
-    """A hand-ordered list, headings included, with the values of the names that have any."""
+    """A hand-ordered list, headings included, with the values of the names that have any.
+
+    The list is broadcast to the table; names without a value are added, so a name with many rows
+    is never gathered by its place in the list.
+    """
     spark = df.sparkSession
     wanted = spark.createDataFrame([(i, n) for i, n in enumerate(names, start=1)], "ordinal int, name string")
-    hits = df.join(F.broadcast(wanted), df[name_col] == wanted["name"], "inner").drop("name", name_col)
-    hits = hits.withColumnRenamed("ordinal", "_ordinal")
-    return wanted.join(hits, wanted["ordinal"] == hits["_ordinal"], "left").drop("_ordinal").orderBy("ordinal")
+    values = [c for c in df.columns if c != name_col]
+    rows = df.select(F.col(name_col).alias("_name"), *values)
+    hits = rows.join(F.broadcast(wanted), rows["_name"] == wanted["name"], "inner").select("ordinal", "name", *values)
+    known = hits.select(F.col("ordinal").alias("_known")).distinct()
+    empty = wanted.join(known, wanted["ordinal"] == known["_known"], "left_anti")
+    return hits.unionByName(empty, allowMissingColumns=True).orderBy("ordinal", *values)
 
 
 def audit_join_lookup(

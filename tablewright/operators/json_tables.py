@@ -93,14 +93,15 @@ def json_set_merge_delete(
 
     ``set`` values are columns; they become JSON values of their type.
     """
-    v = F.parse_json(json_col)
+    # One column per step: an edit names its input more than once, and nesting would double it each time.
+    out, v = df.withColumn("_json", F.parse_json(json_col)), F.col("_json")
     if merge is not None:
-        v = json_merge(v, F.parse_json(F.lit(merge)))
+        out = out.withColumn("_json", json_merge(v, F.parse_json(F.lit(merge))))
     for path, value in (set or {}).items():
-        v = json_set(v, path, value.cast("variant"))
+        out = out.withColumn("_json", json_set(v, path, value.cast("variant")))
     for path in drop:
-        v = json_delete(v, path)
-    return df.withColumn(json_col, F.to_json(v))
+        out = out.withColumn("_json", json_delete(v, path))
+    return out.withColumn(json_col, F.to_json("_json")).drop("_json")
 
 
 def _changes(one: str, two: str, cols: Sequence[str]) -> Column:
@@ -145,10 +146,11 @@ def row_documents(df: DataFrame, key: str, json_cols: Sequence[str] = (), ignore
         F.parse_json(c).alias(c) if c in json_cols else F.col(c) for c in df.columns if c not in top
     ]
     doc = F.parse_json(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    out = df.select(key, doc.alias("document"))
     for path, s in steps:
         if len(s) > 1:
-            doc = json_delete(doc, path)
-    return df.select(key, doc.alias("document"))
+            out = out.withColumn("document", json_delete(F.col("document"), path))
+    return out
 
 
 def _changed_paths(pairs: DataFrame, key: str, max_depth: int) -> DataFrame:

@@ -91,6 +91,7 @@ def activity_ages(
     *,
     state: str = "state",
     sort: Sequence[str] | None = None,
+    then: Sequence[Column | str] = (),
 ) -> DataFrame:
     """Ages of several timestamps at a moment, as text, for sessions that are not idle.
 
@@ -101,7 +102,7 @@ def activity_ages(
     for name, ts in ts_cols.items():
         out = out.withColumn(name, format_interval(_elapsed_ms(df, ts, as_of)))
     by = list(sort or list(ts_cols)[:2])
-    return out.orderBy(*[F.col(ts_cols[n]).asc_nulls_first() for n in by])
+    return out.orderBy(*[F.col(ts_cols[n]).asc_nulls_first() for n in by], *then)
 
 
 def rarely_used(

@@ -153,7 +153,7 @@ def _(t):
 
 @query(
     "string_agg_distinct",
-    "SELECT p_brand, string_agg(DISTINCT p_type, '; ' ORDER BY p_type) AS types FROM part GROUP BY 1",
+    "SELECT p_brand, string_agg(DISTINCT p_type, '; ' ORDER BY p_type) AS types, 0 AS part FROM part GROUP BY 1",
 )
 def _(t):
     return agg.string_agg_distinct(t("part"), "p_brand", "p_type", name="types")
@@ -162,7 +162,7 @@ def _(t):
 @query(
     "json_object_agg",
     """
-    SELECT o_custkey, '{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}' AS statuses
+    SELECT o_custkey, '{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}' AS statuses, 0 AS part
     FROM (SELECT o_custkey, CAST(o_orderdate AS DATE)::VARCHAR AS k, max(o_orderstatus) AS v FROM orders GROUP BY 1, 2)
     GROUP BY 1
     """,

@@ -210,7 +210,7 @@ def _(t):
 def _(t):
     rows = t("events").withColumn("day", F.col("ts").cast("date").cast("timestamp_ntz"))
     ages = logs.activity_ages(
-        rows, {"transaction_time": "day", "query_time": "ts"}, as_of(), ["view"], state="event_type"
+        rows, {"transaction_time": "day", "query_time": "ts"}, as_of(), ["view"], state="event_type", then=["event_id"]
     )
     return ages.select("event_id", "event_type", "query_time", "transaction_time")
 

@@ -160,3 +160,25 @@ def test_copy_check_sees_a_difference(spark):
     assert check.first()["same"] and rows(copy) == rows(df)
     swapped = spark.createDataFrame([(1, "a"), (None, None)], "x int, y string")
     assert rows(tables._fingerprint(swapped)) != rows(tables._fingerprint(df))
+
+
+def test_large_groups_come_in_ordered_parts(spark):
+    df = spark.range(600).select(
+        F.when(F.col("id") < 500, 1).when(F.col("id") < 598, 2).cast("int").alias("g"), F.format_string("%04d", "id").alias("v")
+    )
+    for limit, many in ((100, True), (1000, False)):
+        got = aggregates.string_agg_distinct(df.union(df), "g", "v", ",", values_per_part=limit).collect()
+        parts = sorted((r["part"], r["joined"]) for r in got if r["g"] == 1)
+        assert (len(parts) > 1) == many
+        assert ",".join(p for _, p in parts) == ",".join(f"{i:04d}" for i in range(500))
+        assert [r["joined"] for r in got if r["g"] is None] == ["0598,0599"]
+    twice = aggregates.string_agg_distinct(df.union(df).where("g IS NULL"), "g", "v", ",", distinct=False).first()
+    assert twice["joined"] == "0598,0598,0599,0599"
+    objects = aggregates.json_object_agg(df, "g", "v", "g", values_per_part=100).where("g = 1")
+    assert objects.count() > 1 and objects.agg(F.sum(F.size(F.from_json("object", "map<string,int>")))).first()[0] == 500
+
+
+def test_ordered_report(spark):
+    df = spark.createDataFrame([("b", 1), ("b", 2), ("z", 3)], "name string, v int")
+    got = [tuple(r) for r in joins.ordered_lookup_report(["# head", "b", "a"], df, "name").collect()]
+    assert got == [(1, "# head", None), (2, "b", 1), (2, "b", 2), (3, "a", None)]
