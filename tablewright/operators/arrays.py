@@ -88,10 +88,10 @@ def tsvector_tokens(
         words = F.array_remove(F.split(F.col(text), r"\s+"), "")
         return df.select(id_col, F.sort_array(F.array_distinct(words)).alias("tokens"))
     words = F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), "")
-    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("at"))))
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("at")))
     if stop_words:
-        stops = F.lit(list(stop_words))
-        placed = F.filter(placed, lambda p: ~F.array_contains(stops, p["w"]))
+        placed = F.filter(placed, lambda p: ~p["w"].isin(*stop_words))
+    placed = F.sort_array(placed)
     # Equal words stand together now: a run starts where the word before is another one.
     starts = F.filter(
         F.transform("_placed", lambda p, i: F.when(~p["w"].eqNullSafe(F.get("_placed", i - 1)["w"]), i)),
