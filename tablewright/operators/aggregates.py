@@ -15,6 +15,7 @@ from tablewright.session import cut_lineage
 JSON_ROWS_PER_PART = 10_000
 GROUP_SALTS = 256
 CELL_VALUES = 100_000
+ROW_LIMIT = 1_000
 
 
 def group_having_collect(
@@ -23,11 +24,20 @@ def group_having_collect(
     """Groups of fewer than ``max_count`` rows, with their sorted members.
 
     A row number limit cuts every group to ``max_count`` rows before the shuffle, which is enough to
-    tell that a group is too large.
+    tell that a group is too large. Spark applies it up to a limit of 1,000; above that the large
+    groups are counted and left out first.
     """
     keys = as_list(keys)
-    in_group = Window.partitionBy(*keys).orderBy(F.col(member).asc_nulls_last())
-    first = df.select(*keys, member).withColumn("_n", F.row_number().over(in_group)).where(F.col("_n") <= max_count)
+    rows = df.select(*keys, member)
+    if max_count <= ROW_LIMIT:
+        in_group = Window.partitionBy(*keys).orderBy(F.col(member).asc_nulls_last())
+        first = rows.withColumn("_n", F.row_number().over(in_group)).where(F.col("_n") <= max_count)
+    else:
+        large = df.groupBy(*[F.col(k).alias(f"_l_{k}") for k in keys]).count().where(F.col("count") >= max_count)
+        same = F.lit(True)
+        for k in keys:
+            same = same & rows[k].eqNullSafe(large[f"_l_{k}"])
+        first = rows.join(large, same, "left_anti")
     members = F.sort_array(F.collect_list(member))
     if sep is not None:
         members = F.array_join(members, sep)

@@ -15,6 +15,7 @@ from tablewright.operators.filters import union_all_sources
 from tablewright.operators.joins import lookup_exact_or_prefix_join, or_condition_join
 from tablewright.session import cut_lineage
 
+# Fixed value: what stands between the names of a path.
 ARROW = " ➫ "
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.predicates import null_safe_compare
 from tablewright.functions.variants import json_delete, json_merge, json_set, json_type, path_steps
 
+# The paths that tell of a row on one side only.
 MISSING_ONE = "<one row missing>"
 MISSING_TWO = "<two row missing>"
 

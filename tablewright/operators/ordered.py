@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.predicates import micros_between
-from tablewright.session import MAX_SLICES, shuffle_width
 
 SLICE = "_slice"
-ROWS_PER_SLICE = 1_000_000
+MAX_SLICES = 4096
+ROWS_PER_SLICE = 2_000_000
 _SAMPLES_PER_SLICE = 32
 _CHUNK = 64
 
@@ -44,13 +44,12 @@ def _order_point(df: DataFrame, order: Sequence[str]) -> Column:
     return F.struct(*[_comparable(df, c).alias(f"k{i}") for i, c in enumerate(order)])
 
 
-def slice_bounds(df: DataFrame, order: Sequence[str], slices: int) -> list[tuple]:
-    """Up to ``slices - 1`` order points that cut the rows into near-equal parts.
+def slice_bounds(df: DataFrame, order: Sequence[str], slices: int, total: int) -> list[tuple]:
+    """Up to ``slices - 1`` order points that cut ``total`` rows into near-equal parts.
 
     Found from a sample of about 32 points per slice, as a range partitioner does. The sample only
     places the borders; every row is kept whatever they are.
     """
-    total = df.count()
     if slices <= 1 or total == 0:
         return []
     fraction = min(1.0, _SAMPLES_PER_SLICE * slices / total)
@@ -83,12 +82,15 @@ def _slice_number(df: DataFrame, order: Sequence[str], bounds: list[tuple]) -> C
 
 
 def with_slices(df: DataFrame, order: Sequence[str], slices: int | None = None) -> DataFrame:
-    """Add the slice number of every row. Small inputs stay in slice 0 unless ``slices`` is given."""
+    """Add the slice number of every row. Small inputs stay in slice 0 unless ``slices`` is given.
+
+    The input is counted, and sampled when it is large, before the job proper: hand over a table or
+    a checkpointed frame rather than a long computation.
+    """
+    total = df.count()
     if slices is None:
-        width = shuffle_width(df.sparkSession)
-        total = df.count()
-        slices = min(width, 1 + total // ROWS_PER_SLICE)
-    bounds = slice_bounds(df, order, min(slices, MAX_SLICES))
+        slices = 1 + total // ROWS_PER_SLICE
+    bounds = slice_bounds(df, order, min(slices, MAX_SLICES), total)
     if not bounds:
         return df.withColumn(SLICE, F.lit(0))
     return df.withColumn(SLICE, _slice_number(df, order, bounds))

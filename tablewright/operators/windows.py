@@ -21,6 +21,9 @@ from tablewright.operators.ordered import (
 )
 
 
+ROW_LIMIT = 1_000
+
+
 def _with_gap(df: DataFrame, ts: str) -> DataFrame:
     zoned = isinstance(df.schema[ts].dataType, T.TimestampType)
     gap = F.floor(micros_between(F.col("prev_time"), F.col(ts), zoned) / F.lit(1000)).cast("bigint")
@@ -64,8 +67,17 @@ def log_tail(
     """The last n messages with their gaps, those below ``from_row`` left out.
 
     Only n + 1 rows per key pass the shuffle: the extra one is the predecessor of the first shown.
+    Spark cuts groups that early up to 1,000 rows; a longer tail is taken from the whole log.
     """
     keys = as_list(partition)
+    if keys and n >= ROW_LIMIT:
+        numbers = log_gap(df, ts, tie, keys)
+        totals = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_total"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & numbers[k].eqNullSafe(totals[f"_k_{k}"])
+        shown = (F.col("rn") > F.col("_total") - n) & (F.col("rn") >= from_row)
+        return numbers.join(totals, same, "inner").where(shown).drop("_total", *[f"_k_{k}" for k in keys])
     newest = [F.col(ts).desc(), F.col(tie).desc()]
     if keys:
         ranked = df.withColumn("_back", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest)))

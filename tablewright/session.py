@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_SLICES = 4096
-
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the local bench; a cluster brings its own."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tablewright")
-        .config("spark.driver.memory", os.environ.get("TABLEWRIGHT_DRIVER_MEMORY", "12g"))
+        .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -65,7 +62,3 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return max(1, min(MAX_SLICES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
