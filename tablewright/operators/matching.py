@@ -11,7 +11,7 @@ from tablewright.operators.filters import union_all_sources
 from tablewright.session import cut_lineage
 
 HOT_BLOCK = 1_000
-_MAX_ROUNDS = 3
+_MAX_ROUNDS = 6
 _SHORT_SALTS = 16
 
 

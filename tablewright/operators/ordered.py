@@ -7,6 +7,7 @@ with one row per (key, slice) carries what must cross a slice border.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,6 @@ SLICE = "_slice"
 MAX_SLICES = 4096
 ROWS_PER_SLICE = 2_000_000
 _SAMPLES_PER_SLICE = 32
-_CHUNK = 64
 
 
 def as_list(keys: str | Sequence[str] | None) -> list[str]:
@@ -71,14 +71,23 @@ def _slice_number(df: DataFrame, order: Sequence[str], bounds: list[tuple]) -> C
     def literal(point: tuple) -> Column:
         return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(point, kinds))])
 
-    chunks = [bounds[i : i + _CHUNK] for i in range(0, len(bounds), _CHUNK)]
-    point = _order_point(df, order)
-    full = F.lit(0)
-    if len(chunks) > 1:
-        lasts = F.array(*[literal(c[-1]) for c in chunks[:-1]])
-        full = F.size(F.filter(lasts, lambda b: b <= point))
+    size = math.isqrt(len(bounds) - 1) + 1
+    chunks = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+    lasts = F.array(*[literal(c[-1]) for c in chunks])
     within = F.array(*[F.array(*[literal(b) for b in c]) for c in chunks])
-    return (full * _CHUNK + F.size(F.filter(F.get(within, full), lambda b: b <= point))).cast("int")
+
+    def at_or_below(points: Column, point: Column) -> Column:
+        return F.size(F.filter(points, lambda b: b <= point))
+
+    def number(point: Column) -> Column:
+        if len(chunks) == 1:
+            return at_or_below(within[0], point)
+        full = at_or_below(lasts, point)
+        inside = F.coalesce(F.get(within, full), F.filter(lasts, lambda _: F.lit(False)))
+        return full * size + at_or_below(inside, point)
+
+    # Bound as a lambda variable, the point is worked out once per row and not once per comparison.
+    return F.transform(F.array(_order_point(df, order)), number)[0].cast("int")
 
 
 def with_slices(df: DataFrame, order: Sequence[str], slices: int | None = None) -> DataFrame:
