@@ -7,7 +7,6 @@ with one row per (key, slice) carries what must cross a slice border.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +19,7 @@ SLICE = "_slice"
 MAX_SLICES = 4096
 ROWS_PER_SLICE = 2_000_000
 _SAMPLES_PER_SLICE = 32
+_CHUNKS = 64
 
 
 def as_list(keys: str | Sequence[str] | None) -> list[str]:
@@ -53,8 +53,8 @@ def slice_bounds(df: DataFrame, order: Sequence[str], slices: int, total: int) -
     if slices <= 1 or total == 0:
         return []
     fraction = min(1.0, _SAMPLES_PER_SLICE * slices / total)
-    points = df.select(_order_point(df, order).alias("p"))
-    sample = points.sample(fraction=fraction, seed=11) if fraction < 1.0 else points
+    chosen = df.sample(fraction=fraction, seed=11) if fraction < 1.0 else df
+    sample = chosen.select(_order_point(df, order).alias("p"))
     found = [tuple(r["p"]) for r in sample.orderBy("p").limit(4 * _SAMPLES_PER_SLICE * slices).collect()]
     bounds: list[tuple] = []
     for i in range(1, slices):
@@ -64,30 +64,42 @@ def slice_bounds(df: DataFrame, order: Sequence[str], slices: int, total: int) -
     return bounds
 
 
-def _slice_number(df: DataFrame, order: Sequence[str], bounds: list[tuple]) -> Column:
-    """How many bounds lie at or below the row: first over chunks, then inside one chunk."""
-    kinds = [df.select(_comparable(df, c).alias("k")).schema["k"].dataType for c in order]
+def _at_or_below(bound: tuple, names: Sequence[str]) -> Column:
+    """Whether the bound lies at or below the row, field by field, NULL first."""
+    hit = F.lit(True)
+    for value, name in reversed(list(zip(bound, names))):
+        field = F.col(name)
+        above = field.isNotNull() if value is None else field > F.lit(value)
+        equal = field.isNull() if value is None else field == F.lit(value)
+        hit = above | (equal & hit)
+    return hit
 
-    def literal(point: tuple) -> Column:
-        return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(point, kinds))])
 
-    size = math.isqrt(len(bounds) - 1) + 1
-    chunks = [bounds[i : i + size] for i in range(0, len(bounds), size)]
-    lasts = F.array(*[literal(c[-1]) for c in chunks])
-    within = F.array(*[F.array(*[literal(b) for b in c]) for c in chunks])
+def _count_below(bounds: list[tuple], names: Sequence[str], low: int, high: int) -> Column:
+    """How many bounds lie at or below the row, by halving: compiled code with few comparisons."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(
+        _at_or_below(bounds[middle], names), _count_below(bounds, names, middle + 1, high)
+    ).otherwise(_count_below(bounds, names, low, middle))
 
-    def at_or_below(points: Column, point: Column) -> Column:
-        return F.size(F.filter(points, lambda b: b <= point))
 
-    def number(point: Column) -> Column:
-        if len(chunks) == 1:
-            return at_or_below(within[0], point)
-        full = at_or_below(lasts, point)
-        inside = F.coalesce(F.get(within, full), F.filter(lasts, lambda _: F.lit(False)))
-        return full * size + at_or_below(inside, point)
+def _slice_number(rows: DataFrame, names: Sequence[str], bounds: list[tuple]) -> Column:
+    """The slice of a row: by halving over at most 64 chunks of bounds, then inside one chunk."""
+    size = -(-len(bounds) // _CHUNKS)
+    chunks = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+    full = _count_below([c[-1] for c in chunks], names, 0, len(chunks))
+    if size == 1:
+        return full
+    kinds = [rows.schema[n].dataType for n in names]
 
-    # Bound as a lambda variable, the point is worked out once per row and not once per comparison.
-    return F.transform(F.array(_order_point(df, order)), number)[0].cast("int")
+    def literal(point: tuple) -> Column:
+        return F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(point, kinds, names)])
+
+    within = F.array(*[F.array(*[literal(b) for b in c]) for c in chunks])
+    inside = F.size(F.filter(F.get(within, full), lambda b: b <= F.struct(*names)))
+    return full * size + F.when(full < len(chunks), inside).otherwise(0)
 
 
 def with_slices(df: DataFrame, order: Sequence[str], slices: int | None = None) -> DataFrame:
@@ -102,7 +114,9 @@ def with_slices(df: DataFrame, order: Sequence[str], slices: int | None = None)
     bounds = slice_bounds(df, order, min(slices, MAX_SLICES), total)
     if not bounds:
         return df.withColumn(SLICE, F.lit(0))
-    return df.withColumn(SLICE, _slice_number(df, order, bounds))
+    names = [f"_k{i}" for i in range(len(order))]
+    rows = df.select("*", *[_comparable(df, c).alias(n) for c, n in zip(order, names)])
+    return rows.withColumn(SLICE, _slice_number(rows, names, bounds).cast("int")).drop(*names)
 
 
 def slice_window(keys: Sequence[str], order: Sequence[str]):
