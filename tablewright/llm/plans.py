@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.llm.mixing import Mix
+from tablewright.llm.sharding import shard_dataset, shard_digest
 from tablewright.llm.token_files import token_index, write_token_files
 from tablewright.session import scratch_path
 
@@ -37,3 +39,15 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_token_files(table(spark, folder, "documents"), path, public_tokenizer("word_bpe_49k.json"), end_id=2)
     return token_index(spark, path)
+
+
+@query
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return shard_digest(shard_dataset(docs, scratch_path(spark, "shards"), shards=16, grow=True))
+
+
+@query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mix = Mix(table(spark, folder, "documents"), weights=(5, 2, 1), most=3.0, block_words=128)
+    return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
