@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.llm.decontamination import find_contamination
 from tablewright.llm.mixing import Mix
 from tablewright.llm.sharding import shard_dataset, shard_digest
 from tablewright.llm.token_files import token_index, write_token_files
@@ -51,3 +52,9 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mix = Mix(table(spark, folder, "documents"), weights=(5, 2, 1), most=3.0, block_words=128)
     return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return find_contamination(docs, items, width=13, min_share=(1, 20))
