@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablewright.llm.decontamination import find_contamination
 from tablewright.llm.mixing import Mix
 from tablewright.llm.sharding import shard_dataset, shard_digest
 from tablewright.llm.token_files import token_index, write_token_files
+from tablewright.llm.toxicity import fit, held_out, score
 from tablewright.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +60,15 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return find_contamination(docs, items, width=13, min_share=(1, 20))
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )

@@ -179,12 +179,12 @@ class Network:
         parts = [self.forward(inputs, windows[i : i + CHUNK]) for i in range(0, len(windows), CHUNK)]
         return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
-    def learn(self, types: Types, windows: np.ndarray, goal: np.ndarray, weight: np.ndarray) -> None:
+    def learn(self, types: Types, windows: np.ndarray, goal: np.ndarray, rate: float) -> None:
         """One step on windows with the log loss; the gradient runs back to the n-gram vectors."""
         p, h, kept = self.p, HIDDEN, {}
         x, inputs = self.project(types)
         odds = self.forward(inputs, windows, kept)
-        d_odds = ((sigmoid(odds) - goal) * weight / weight.sum()).astype(np.float32)
+        d_odds = ((sigmoid(odds) - goal) / len(goal)).astype(np.float32)
         states, attention, pooled = kept["states"], kept["weight"], kept["pooled"]
         grad = {"out": pooled.T @ d_odds, "bias": d_odds.sum(keepdims=True)}
         d_pooled = d_odds[:, None] * p["out"]
@@ -216,17 +216,17 @@ class Network:
         grad["words"] = sum_by(types.word_row, d_x[:, :DIM], WORD_ROWS)
         d_gram = d_x[:, DIM:] / np.maximum(types.gram_count, 1)[:, None]
         grad["grams"] = sum(sum_by(row, d_gram[of], GRAM_ROWS) for row, of in types.grams)
-        self._descend(grad)
+        self._descend(grad, rate)
 
-    def _descend(self, grad: dict[str, np.ndarray]) -> None:
+    def _descend(self, grad: dict[str, np.ndarray], rate: float) -> None:
         """Adam."""
         self.step += 1
         for k, g in grad.items():
             first, second = self.moments[k]
             first += 0.1 * (g - first)
             second += 0.001 * (g * g - second)
-            rate = RATE * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
-            self.p[k] -= (rate * first / (np.sqrt(second) + 1e-8)).astype(np.float32)
+            now = rate * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
+            self.p[k] -= (now * first / (np.sqrt(second) + 1e-8)).astype(np.float32)
 
 
 def best_by(text: np.ndarray, odds: np.ndarray, n: int) -> np.ndarray:
@@ -247,7 +247,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> dict[str, np
     for i in range(0, len(order), BATCH):
         chosen = order[i : i + BATCH]
         batches.append((Types([texts[j] for j in chosen], TRAIN_WINDOWS), labels[chosen].astype(np.float32)))
-    epochs = max(EPOCHS, -(-150 // len(batches)))
+    epochs = max(EPOCHS, -(-400 // len(batches)))
     for epoch in range(epochs):
         for b in rng.permutation(len(batches)):
             types, goal = batches[b]
@@ -261,7 +261,12 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> dict[str, np
                 strongest = odds >= best[types.text]
                 pick = np.flatnonzero(strongest | (rng.random(len(odds)) < (goal[types.text] == 0) * 2 * len(goal) / len(odds)))
             if len(pick):
-                net.learn(types, types.windows[pick], goal[types.text[pick]], np.ones(len(pick), np.float32))
+                # Windows of one repeated word of a clean text are clean as well.
+                clean = pick[goal[types.text[pick]] == 0]
+                dull = np.repeat(types.windows[clean[: 1 + len(pick) // 8], :1], WINDOW, axis=1)
+                seen = np.concatenate([types.windows[pick], dull])
+                labels_seen = np.concatenate([goal[types.text[pick]], np.zeros(len(dull), np.float32)])
+                net.learn(types, seen, labels_seen, RATE * (0.3 if epoch >= epochs - 2 else 1.0))
     return net.p
 
 
