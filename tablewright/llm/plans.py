@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.decontamination import find_contamination
 from tablewright.llm.mixing import Mix
+from tablewright.llm.near_duplicates import near_duplicates
 from tablewright.llm.sharding import shard_dataset, shard_digest
 from tablewright.llm.token_files import token_index, write_token_files
 from tablewright.llm.toxicity import fit, held_out, score
@@ -52,7 +53,8 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    mix = Mix(table(spark, folder, "documents"), weights=(5, 2, 1), most=3.0, block_words=128)
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    mix = Mix(docs, weights=(5, 2, 1), most=3.0, block_words=128)
     return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -72,3 +74,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), shingle=4, percent=80)
