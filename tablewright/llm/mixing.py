@@ -31,6 +31,11 @@ SLOTS_PER_PART = 1 << 14
 MOST_BROADCAST = 100_000
 
 
+def _tie(docs: DataFrame) -> Column:
+    """Hash of a whole row, which tells rows with one doc_id apart."""
+    return F.xxhash64(*[f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()])
+
+
 def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -110,6 +115,8 @@ def schedule(plan: DataFrame, bits: int) -> DataFrame:
     """slot, source, block, turn (which pass over the source) from a :func:`block_plan`.
 
     ``bits`` is m of the 2^m slots; slots whose point lies beyond the last weight are idle and left out.
+    Spark takes exploded slots for as small as the plan that they come from, so the joins below and in
+    :meth:`Mix.taken` are told to shuffle them.
     """
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("slots") - 1).cast("long"), F.lit(SLOTS_PER_PART).cast("long")))
     parts = plan.where("slots > 0").withColumn("from", chunk)
@@ -150,11 +157,10 @@ class Mix:
         most: float = 3.0,
         block_words: int = 256,
         seed: int = 0,
-        keys: tuple[str, ...] = ("doc_id",),
     ):
         spark = docs.sparkSession
         path = scratch_path(spark, "mix")
-        sized = docs.select(*keys, "source", words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+        sized = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), _tie(docs).alias("tie"))
         sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
         block_plan(targets(sizes, weights, most), block_words).write.parquet(f"{path}/plan")
         plan = spark.read.parquet(f"{path}/plan")
@@ -163,6 +169,7 @@ class Mix:
         self.schedule = schedule(plan, max(0, (slots - 1).bit_length()))
         stream(sized, plan.select("source", "rows"), seed).write.parquet(f"{path}/docs")
         self.docs = spark.read.parquet(f"{path}/docs")
+        self.block_words = block_words
         first = F.floor(F.col("start") / block_words)
         last = F.floor((F.col("start") + F.col("size") - 1) / block_words)
         block = F.explode(F.sequence(first, last))
@@ -170,16 +177,39 @@ class Mix:
         end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
         self.members = self.docs.where("size > 0").withColumn("block", block).withColumn("words", end - begin)
 
-    def taken(self) -> DataFrame:
-        """Every document with size, source_size, target and ``taken``, the words that the mix takes of it."""
+    def _used(self, rows: DataFrame) -> DataFrame:
+        """Rows (source, block) with ``uses``, how often the schedule takes the block; null for never."""
         uses = self.schedule.groupBy("source", "block").agg(F.count("*").alias("uses")).withColumnsRenamed(
             {"source": "_source", "block": "_block"}
         )
-        met = (F.col("source").eqNullSafe(F.col("_source"))) & (F.col("block") == F.col("_block"))
+        met = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
+        return rows.join(uses, met, "left").drop("_source", "_block")
+
+    def documents(self, docs: DataFrame) -> DataFrame:
+        """The mix as whole documents: each is repeated as often as the block of its first word is taken.
+
+        ``docs`` is the table that the mix was made from; all its columns stay. Texts are shuffled once,
+        by (doc_id, hash of the row); rows that agree in all columns share their repeats.
+        """
+        copies = (
+            self._used(self.docs.withColumn("block", F.floor(F.col("start") / self.block_words)))
+            .where("uses > 0")
+            .groupBy("doc_id", "tie")
+            .agg(F.sum("uses").alias("uses"))
+            .withColumnsRenamed({"doc_id": "_doc_id", "tie": "_tie"})
+        )
+        whole = docs.select("doc_id", _tie(docs).alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+        rows = whole.groupBy("doc_id", "_row").agg(F.first("_doc").alias("_doc"))
+        met = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_row") == F.col("_tie")))
+        turns = F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses")))
+        return met.select("_doc", turns.alias("_turn")).select("_doc.*")
+
+    def taken(self) -> DataFrame:
+        """Every document with size, source_size, target and ``taken``, the words that the mix takes of it."""
         keys = [c for c in self.docs.columns if c not in ("source", "size")]
         # A document with words is alone at its start.
         by_doc = (
-            self.members.join(uses, met, "left")
+            self._used(self.members)
             .groupBy(*keys, "source", "size")
             .agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
             .unionByName(self.docs.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
