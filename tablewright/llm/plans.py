@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.decontamination import find_contamination
 from tablewright.llm.mixing import Mix
 from tablewright.llm.near_duplicates import near_duplicates
+from tablewright.llm.phrase_automata import remove_repeats
 from tablewright.llm.sharding import shard_dataset, shard_digest
 from tablewright.llm.token_files import token_index, write_token_files
 from tablewright.llm.toxicity import fit, held_out, score
@@ -79,3 +80,9 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), shingle=4, percent=80)
+
+
+@query
+def op2_phrase_automata(spark: SparkSession, folder: str) -> DataFrame:
+    left = remove_repeats(table(spark, folder, "documents"), width=20)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
