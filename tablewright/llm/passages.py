@@ -13,7 +13,8 @@ document with a smaller key, or earlier in the same one). The steps, each one sh
    a *context*: one row for several windows.
 3. **Contexts.** A context that occurred earlier is a repeat, whole. A first context is nothing new,
    unless its phrase stands in other contexts as well; then its windows are compared one by one.
-4. **Windows.** Those windows are grouped by hash, and all but the first are repeats.
+4. **Windows.** Those windows are grouped by hash, and all but the first are repeats (the first, and
+   with ``within`` off all others in its document).
 
 Documents are shuffled to their shards once; Spark uses that exchange again for each step that needs
 the texts. Phrases that a bounded sample finds in many documents are *hot*: they are recurring by
@@ -35,7 +36,6 @@ from tablewright.llm.graph import stored
 from tablewright.llm.text_arrays import mix, prefix_hash, span_hash
 
 SHARD_BYTES = 16 << 20
-PIECE_BYTES = 4 << 20
 SALTS = 256
 SAMPLE_ROWS, HOT_SHARE = 4000, 100
 MOST_HELD = 500_000
@@ -48,8 +48,13 @@ ROW_NAMES = [x.split()[0] for x in ROW.split(", ")]
 
 @dataclass(frozen=True)
 class Shape:
+    """Symbols of a window and of a phrase; whether an earlier place in the same document counts; and
+    the bytes of text worked on at a time."""
+
     width: int
     phrase: int
+    within: bool = True
+    piece_bytes: int = 4 << 20
 
 
 class Piece:
@@ -138,7 +143,7 @@ def sharded(docs: DataFrame) -> tuple[DataFrame, int]:
     return rows.withColumn("shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int")), shards
 
 
-def pieces(table: pa.Table | pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[tuple[list[bytes], pa.Table]]:
+def pieces(table: pa.Table | pa.RecordBatch, limit: int) -> Iterator[tuple[list[bytes], pa.Table]]:
     """Texts and rows of a table, a few megabytes at a time and in their order."""
     texts = [x or b"" for x in table.column("text").cast(pa.binary()).to_pylist()]
     begin, held = 0, 0
@@ -193,7 +198,7 @@ def anchors(docs: DataFrame, read: Reader, shape: Shape, hot: np.ndarray) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts, rows in pieces(batch):
+            for texts, rows in pieces(batch, shape.piece_bytes):
                 piece = read(texts, shape)
                 if not len(piece.run_anchor):
                     continue
@@ -233,7 +238,7 @@ def recurring(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "shard int, k long")
 
 
-def resolve_contexts(rows: DataFrame, shards: int) -> DataFrame:
+def resolve_contexts(rows: DataFrame, shards: int, within: bool) -> DataFrame:
     """shard, row, pos, n, kind: contexts that are repeats, and contexts whose windows must be compared.
 
     Rows of kind REPEAT pass through.
@@ -251,7 +256,9 @@ def resolve_contexts(rows: DataFrame, shards: int) -> DataFrame:
             leader = np.empty(len(run_of), np.int64)
             leader[order] = np.repeat(first, np.diff(np.append(lead, len(order))))
             kinds = np.bincount(run_of[first], minlength=len(begin))
-            same = (now["row"] == now["row"][leader]) & (now["pos"] == now["pos"][leader])
+            same = now["row"] == now["row"][leader]
+            if within:
+                same &= now["pos"] == now["pos"][leader]
             open_run = (kinds > 1)[run_of] | (now["salt"] >= 0)
             open_run |= ((run_of == 0) & before) | ((run_of == run_of[-1]) & after)
             kind = np.where(same, np.where(open_run, WINDOW, -1), REPEAT)
@@ -267,7 +274,7 @@ def resolve_contexts(rows: DataFrame, shards: int) -> DataFrame:
     return found.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
 
 
-def resolve_windows(rows: DataFrame, last: bool) -> DataFrame:
+def resolve_windows(rows: DataFrame, last: bool, within: bool) -> DataFrame:
     """Rows of kind WINDOW to rows of kind REPEAT, but for the first of each hash.
 
     Firsts of salted groups stay WINDOW rows for a second turn without salts, the ``last`` one.
@@ -282,7 +289,9 @@ def resolve_windows(rows: DataFrame, last: bool) -> DataFrame:
             if before and lead_row is not None:
                 row[0], pos[0] = lead_row, lead_pos
             lead_row, lead_pos = row[-1], pos[-1]
-            same = (now["row"] == np.repeat(row, size)) & (now["pos"] == np.repeat(pos, size))
+            same = now["row"] == np.repeat(row, size)
+            if within:
+                same &= now["pos"] == np.repeat(pos, size)
             kind = np.where((now["kind"] == WINDOW) & same, WINDOW, REPEAT).astype(np.int32)
             keep = (kind == REPEAT) | ((now["salt"] >= 0) & (not last))
             out = {**now, "kind": kind, "salt": np.full(len(kind), -1, np.int32), "k": np.where(kind == REPEAT, now["row"], now["k"])}
@@ -316,9 +325,9 @@ def find_repeats(
 
     phrases = recurring(anchors(placed, read, shape, hot))
     contexts = texts.cogroup(phrases.groupBy("shard")).applyInArrow(find, ROW)
-    known = resolve_contexts(contexts, shards)
+    known = resolve_contexts(contexts, shards, shape.within)
     rows = texts.cogroup(known.groupBy("shard")).applyInArrow(open_windows, ROW)
-    repeats = resolve_windows(resolve_windows(rows, False), True)
+    repeats = resolve_windows(resolve_windows(rows, False, shape.within), True, shape.within)
     marks = repeats.select("row", "pos", "n", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
     return texts.cogroup(marks.groupBy("shard")).applyInArrow(lambda left, right: finish(left.sort_by("_row"), right), schema)
 
@@ -345,7 +354,7 @@ def _open_windows(docs: pa.Table, known: pa.Table, read: Reader, shape: Shape) -
     spans = spans_by_row(opened)
     if spans:
         chosen = docs.filter(pa.array(np.isin(docs.column("_row").to_numpy(), np.fromiter(spans, np.int64))))
-        for texts, rows in pieces(chosen):
+        for texts, rows in pieces(chosen, shape.piece_bytes):
             piece = read(texts, shape)
             keys = rows.column("_row").to_numpy()
             pairs = np.concatenate([spans[r] for r in keys.tolist()])

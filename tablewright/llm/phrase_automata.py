@@ -20,8 +20,6 @@ than ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,7 +72,7 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
         out = [rows_of(k=np.zeros(0, np.int64))]
         if len(phrases):
             automaton = compile_automaton(phrases)
-            for texts, rows in pieces(docs):
+            for texts, rows in pieces(docs, shape.piece_bytes):
                 piece = read_words(texts, shape)
                 if not len(piece.run_anchor):
                     continue
@@ -86,7 +84,7 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     def finish(docs: pa.Table, marks: pa.Table) -> pa.Table:
         spans = spans_by_row(marks)
         n_words, n_removed, kept = [], [], []
-        for texts, rows in pieces(docs):
+        for texts, rows in pieces(docs, shape.piece_bytes):
             words = Words(texts)
             raw = words.data.tobytes()
             for t, row in enumerate(rows.column("_row").to_pylist()):
@@ -102,8 +100,3 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     return find_repeats(docs, read_words, shape, locate, finish, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
-
-
-def digest(text: str | bytes | None) -> str:
-    raw = text.encode() if isinstance(text, str) else text or b""
-    return hashlib.sha256(raw).hexdigest()

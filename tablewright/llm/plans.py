@@ -16,6 +16,7 @@ from tablewright.llm.mixing import Mix
 from tablewright.llm.near_duplicates import near_duplicates
 from tablewright.llm.phrase_automata import remove_repeats
 from tablewright.llm.sharding import shard_dataset, shard_digest
+from tablewright.llm.suffix_arrays import remove_repeated_bytes
 from tablewright.llm.token_files import token_index, write_token_files
 from tablewright.llm.toxicity import fit, held_out, score
 from tablewright.session import scratch_path
@@ -86,3 +87,9 @@ def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op2_phrase_automata(spark: SparkSession, folder: str) -> DataFrame:
     left = remove_repeats(table(spark, folder, "documents"), width=20)
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op5_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    left = remove_repeated_bytes(table(spark, folder, "documents"), width=50)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))

@@ -93,6 +93,10 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def byte_codes(data: np.ndarray) -> np.ndarray:
+    return _BYTE_CODES[data]
+
+
 def byte_prefix(data: np.ndarray) -> np.ndarray:
     return prefix_hash(_BYTE_CODES[data])
 
