@@ -11,10 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.chat_format import fit as fit_transcripts
+from tablewright.llm.chat_format import parse
 from tablewright.llm.decontamination import find_contamination
 from tablewright.llm.mixing import Mix
 from tablewright.llm.near_duplicates import near_duplicates
 from tablewright.llm.phrase_automata import remove_repeats
+from tablewright.llm.ranked_search import build_index, likeness_queries, search
 from tablewright.llm.sharding import shard_dataset, shard_digest
 from tablewright.llm.suffix_arrays import remove_repeated_bytes
 from tablewright.llm.token_files import token_index, write_token_files
@@ -93,3 +96,37 @@ def op2_phrase_automata(spark: SparkSession, folder: str) -> DataFrame:
 def op5_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
     left = remove_repeated_bytes(table(spark, folder, "documents"), width=50)
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query
+def op8_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    index = build_index(docs)
+    queries, held = likeness_queries(docs.where("doc_id % 20 = 0"), index, terms=12)
+    found = search(index, queries, held, k=10)
+    return found.select(F.col("query").alias("doc_id"), "rank", F.col("doc_id").alias("match_id"), "score")
+
+
+def raw_transcripts(turns: DataFrame) -> DataFrame:
+    """The table's turns as transcripts in five house styles; the last has blank lines for markers."""
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(5))
+    name = F.initcap("role")
+    short = F.when(F.col("role") == "user", "Q").when(F.col("role") == "assistant", "A").otherwise("Context")
+    other = F.when(F.col("role") == "user", "Human").when(F.col("role") == "assistant", "Bot").otherwise("System")
+    text = F.coalesce("text", F.lit(""))
+    raw = (
+        F.when(style == 0, F.concat(name, F.lit(": "), text))
+        .when(style == 1, F.concat(F.lit("### "), other, F.lit(":\n"), text))
+        .when(style == 2, F.concat(F.lit("["), "role", F.lit("] "), text))
+        .when(style == 3, F.concat(short, F.lit(": "), text))
+        .otherwise(F.concat(text, F.lit("\n")))
+    )
+    return turns.select("conv_id", F.col("turn").alias("part"), raw.alias("text"), "role")
+
+
+@query
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    raw = raw_transcripts(table(spark, folder, "conversations"))
+    known = raw.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 3 != 1)
+    turns = parse(raw.drop("role"), fit_transcripts(known))
+    return turns.select("conv_id", "turn", "role", "n_lines", F.sha2("rendered", 256).alias("rendered_sha256"))
