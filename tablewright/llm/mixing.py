@@ -136,7 +136,7 @@ def schedule(plan: DataFrame, bits: int) -> DataFrame:
     within = Window.partitionBy("source", "part").orderBy("slot")
     rank = F.col("base") + F.row_number().over(within) - 1
     return (
-        points.join(bases, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part")))
+        points.join(bases.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part")))
         .withColumn("rank", rank)
         .select("slot", "source", F.pmod("rank", F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("turn"))
     )
@@ -183,7 +183,7 @@ class Mix:
             {"source": "_source", "block": "_block"}
         )
         met = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
-        return rows.join(uses, met, "left").drop("_source", "_block")
+        return rows.join(uses.hint("merge"), met, "left").drop("_source", "_block")
 
     def documents(self, docs: DataFrame) -> DataFrame:
         """The mix as whole documents: each is repeated as often as the block of its first word is taken.
