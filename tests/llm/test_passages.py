@@ -1,0 +1,164 @@
+"""Repeated passages of words and bytes against direct definitions."""
+
+import hashlib
+
+import pytest
+
+from tablewright.llm import passages, phrase_automata, suffix_arrays
+from tablewright.llm.phrase_automata import remove_repeats
+from tablewright.llm.suffix_arrays import remove_repeated_bytes
+from tests.llm.data import documents, odd_rows, table
+
+
+def by_words(rows, width):
+    seen, out = set(), {}
+    for doc, text, *_ in sorted(rows, key=lambda r: r[0]):
+        w = (text or "").encode().split()
+        goes = [False] * len(w)
+        for i in range(len(w) - width + 1):
+            key = tuple(w[i : i + width])
+            if key in seen:
+                goes[i : i + width] = [True] * width
+            seen.add(key)
+        out[doc] = (len(w), sum(goes), b" ".join(x for x, g in zip(w, goes) if not g).decode())
+    return out
+
+
+def by_bytes(rows, width):
+    seen, out = set(), {}
+    for doc, text, *_ in sorted(rows, key=lambda r: r[0]):
+        b = (text or "").encode()
+        goes = [False] * len(b)
+        own = set()
+        for i in range(len(b) - width + 1):
+            if b[i : i + width] in seen:
+                goes[i : i + width] = [True] * width
+            own.add(b[i : i + width])
+        seen |= own
+        spans = sum(g and (i == 0 or not goes[i - 1]) for i, g in enumerate(goes))
+        out[doc] = (len(b), sum(goes), spans, bytes(x for x, g in zip(b, goes) if not g))
+    return out
+
+
+def words_found(df, width=20):
+    return {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(df, width).collect()}
+
+
+def bytes_found(df, width=50):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in remove_repeated_bytes(df, width).collect()}
+
+
+@pytest.mark.parametrize("width", [20, 9])
+def test_words(spark, width):
+    rows = documents()
+    found = words_found(table(spark, rows), width)
+    assert found == by_words(rows, width)
+    assert sum(f[1] for f in found.values()) > 300
+
+
+@pytest.mark.parametrize("width", [50, 17])
+def test_bytes(spark, width):
+    rows = documents()
+    found = bytes_found(table(spark, rows), width)
+    assert found == by_bytes(rows, width)
+    assert sum(f[1] for f in found.values()) > 1000
+
+
+def test_hot_phrases_small_blocks_and_long_runs(spark, monkeypatch):
+    """Every phrase is hot, runs are cut after a few rows, blocks and pieces are tiny."""
+    rows = documents(5)
+    monkeypatch.setattr(passages, "hot_phrases", lambda docs, read, shape: _all_phrases(docs, read, shape))
+    monkeypatch.setattr(passages, "SALTS", 3)
+    monkeypatch.setattr(passages, "SHARD_BYTES", 4000)
+    assert words_found(table(spark, rows)) == by_words(rows, 20)
+    assert bytes_found(table(spark, rows)) == by_bytes(rows, 50)
+
+
+def _all_phrases(docs, read, shape):
+    import numpy as np
+
+    rows = passages.anchors(docs, read, shape, np.zeros(0, np.int64)).select("k").distinct().collect()
+    return np.array(sorted(r.k for r in rows), np.int64)
+
+
+def test_parts_of_long_runs_are_marked_open():
+    import numpy as np
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"k": np.full(4, 7), "x": np.arange(4) + 4 * i}) for i in range(3)]
+    batches.append(pa.RecordBatch.from_pydict({"k": np.array([8]), "x": np.array([0])}))
+    whole = list(passages._whole_runs(iter(batches), ["k"]))
+    assert [(len(c["k"]), a, b) for c, a, b in whole] == [(12, False, False), (1, False, False)]
+    most, passages.MOST_HELD = passages.MOST_HELD, 5
+    try:
+        cut = list(passages._whole_runs(iter(batches), ["k"]))
+    finally:
+        passages.MOST_HELD = most
+    assert [(b, a) for _, b, a in cut] == [(False, True), (True, False), (False, False)]
+    assert {int(x) for c, _, _ in cut[:-1] for x in c["x"]} == set(range(12))
+
+
+def test_hot_sample_finds_common_phrases(spark):
+    rows = [(i, "the same eight words stand in each document " * 3 + str(i), "en", "a", 1) for i in range(60)]
+    placed, _ = passages.sharded(table(spark, rows))
+    hot = passages.hot_phrases(placed, phrase_automata.read_words, passages.Shape(20, phrase_automata.PHRASE))
+    assert len(hot) > 0
+    assert words_found(table(spark, rows)) == by_words(rows, 20)
+
+
+def test_odd_ids(spark):
+    """Nulls come first and repeated ids count as later documents, in a fixed order."""
+    rows = odd_rows()
+    first = sorted(words_found_rows(table(spark, rows)))
+    assert len(first) == len(rows)
+    assert first == sorted(words_found_rows(table(spark, rows[::-1])))
+    ids = [r[0] for r in rows]
+    assert sorted(map(str, ids)) == sorted(r[0] for r in first)
+    found = remove_repeated_bytes(table(spark, rows)).collect()
+    assert len(found) == len(rows)
+
+
+def words_found_rows(df):
+    return [(str(r.doc_id), r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in remove_repeats(df).collect()]
+
+
+def test_empty_tables(spark):
+    empty = table(spark, [])
+    assert remove_repeats(empty).collect() == []
+    assert remove_repeated_bytes(empty).collect() == []
+    clash = table(spark, documents(3, 20)).selectExpr("*", "1 AS _row", "2 AS shard", "3 AS k")
+    assert remove_repeats(clash).count() == 33
+    assert remove_repeated_bytes(clash).count() == 33
+
+
+@pytest.mark.parametrize("letters,n", [(2, 400), (4, 1500), (26, 1500)])
+def test_suffix_array(letters, n):
+    import numpy as np
+
+    rng = np.random.default_rng(letters)
+    data = rng.integers(97, 97 + letters, n).astype(np.uint8)
+    data[n // 2 : n // 2 + 150] = data[:150]
+    raw = data.tobytes()
+    words = suffix_arrays.eight_bytes(data)
+    order = suffix_arrays.suffix_array(words, 64)
+    assert [raw[i : i + 64] for i in order] == sorted(raw[i : i + 64] for i in range(n))
+    shared = suffix_arrays.common_prefixes(words, order, 64, lanes=13)
+    for s in range(1, n):
+        a, b = raw[order[s - 1] :][:64], raw[order[s] :][:64]
+        same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert shared[s] == same
+    classes = suffix_arrays.equal_windows(data, 50)
+    starts = range(n - 50 + 1)
+    assert len({classes[i] for i in starts}) == len({raw[i : i + 50] for i in starts})
+
+
+def test_automaton_finds_every_place():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    hashes = rng.integers(0, 4, 500, dtype=np.uint64) << np.uint64(56)
+    letters = (hashes >> np.uint64(56)).astype(np.uint8).tobytes()
+    wanted = {letters[i : i + 8] for i in (3, 90, 411)}
+    phrases = np.array([int.from_bytes(w, "little") for w in wanted], np.int64)
+    found = phrase_automata.phrase_places(phrase_automata.compile_automaton(phrases), hashes)
+    assert found.tolist() == [i for i in range(493) if letters[i : i + 8] in wanted]
