@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.predicates import as_col
 from tablewright.functions.text import format_interval
-from tablewright.operators.ordered import SLICE, as_list, numbered, with_slices
-from tablewright.session import cut_lineage
+from tablewright.operators.ordered import as_list, numbered, running_total
 
-JSON_ROWS_PER_PART = 10_000
 GROUP_SALTS = 256
-CELL_VALUES = 100_000
 ROW_LIMIT = 1_000
 
 
@@ -152,51 +149,36 @@ def estimated_size_filter(df: DataFrame, rows: Column | str, avg_len: Column | s
     )
 
 
-def _gathered(rows: DataFrame, keys: list[str], value: str, gather: Column, name: str, values_per_part: int) -> DataFrame:
-    """One cell per group in sorted order, with a ``part`` of 0.
-
-    A group of more than ``values_per_part`` distinct values comes in several parts that follow each
-    other in order, so that no cell and no task holds a group of unknown size.
-    """
-    hot = cut_lineage(
-        rows.groupBy(*[F.col(k).alias(f"_h_{k}") for k in keys])
-        .agg(F.count(F.lit(1)).alias("_values"))
-        .where(F.col("_values") > values_per_part)
-    )
-    if hot.isEmpty():
-        return rows.groupBy(*keys).agg(gather.alias(name)).withColumn("part", F.lit(0))
-    same = F.lit(True)
-    for k in keys:
-        same = same & rows[k].eqNullSafe(hot[f"_h_{k}"])
-    largest = hot.agg(F.sum("_values")).first()[0]
-    cold = rows.join(hot, same, "left_anti").groupBy(*keys).agg(gather.alias(name)).withColumn("part", F.lit(0))
-    sliced = with_slices(rows.join(hot, same, "left_semi"), [value], 1 + largest // values_per_part)
-    return cold.union(sliced.groupBy(*keys, SLICE).agg(gather.alias(name)).select(*keys, name, SLICE))
-
-
 def string_agg_distinct(
     df: DataFrame,
     keys: str | Sequence[str],
     col: str,
+    values_per_part: int,
     sep: str = "; ",
     distinct: bool = True,
     name: str = "joined",
-    values_per_part: int = CELL_VALUES,
+    slices: int | None = None,
 ) -> DataFrame:
-    """Sorted values of a group as one text, in parts where the group is very large.
+    """Sorted values of a group as one text per ``part``.
 
-    Equal values are reduced to one, or to a count, before the shuffle.
+    Part n holds the values ranked n * ``values_per_part`` up to the next multiple, counting repeats
+    when ``distinct`` is off. So every group follows one rule, however the input is partitioned, and
+    no cell or task holds more than that many values. Equal values are reduced to one row with a
+    count before the shuffle.
     """
     keys = as_list(keys)
     rows = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("string").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")
+        (F.lit(1).cast("bigint") if distinct else F.count(F.lit(1))).alias("_n")
     )
-    values = F.sort_array(F.collect_list(F.struct("_v", "_n")))
-    if distinct:
-        texts = F.transform(values, lambda x: x["_v"])
-    else:
-        texts = F.flatten(F.transform(values, lambda x: F.array_repeat(x["_v"], x["_n"].cast("int"))))
-    return _gathered(rows, keys, "_v", F.array_join(texts, sep), name, values_per_part)
+    placed = running_total(rows, ["_v"], keys, "_n", "_before", slices)
+    size = F.lit(values_per_part).cast("bigint")
+    end = F.col("_before") + F.col("_n")
+    parts = F.sequence(F.floor(F.col("_before") / size), F.floor((end - 1) / size))
+    cut = placed.withColumn("part", F.explode(parts))
+    here = F.least(end, (F.col("part") + 1) * size) - F.greatest("_before", F.col("part") * size)
+    values = F.sort_array(F.collect_list(F.struct("_v", here.cast("int").alias("_here"))))
+    texts = F.flatten(F.transform(values, lambda x: F.array_repeat(x["_v"], x["_here"])))
+    return cut.groupBy(*keys, "part").agg(F.array_join(texts, sep).alias(name))
 
 
 def json_object_agg(
@@ -204,32 +186,36 @@ def json_object_agg(
     keys: str | Sequence[str],
     k: str,
     v: str,
+    values_per_part: int,
     name: str = "object",
-    values_per_part: int = CELL_VALUES,
+    slices: int | None = None,
 ) -> DataFrame:
-    """Key/value pairs of a group as one JSON object, keys sorted; of repeated keys the largest value stays.
+    """Key/value pairs of a group as one JSON object per ``part``, keys sorted; of repeated keys the
+    largest value stays.
 
-    A very large group gives several objects, in parts.
+    Part n holds the keys ranked n * ``values_per_part`` up to the next multiple.
     """
     keys = as_list(keys)
     pairs = df.groupBy(*keys, F.col(k).cast("string").alias("_k")).agg(F.max(v).alias("_v"))
+    placed = numbered(pairs, ["_k"], keys, "_rn", slices)
+    part = F.floor((F.col("_rn") - 1) / F.lit(values_per_part)).cast("bigint")
     entries = F.sort_array(F.collect_list(F.struct("_k", "_v")))
     gather = F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"})
-    return _gathered(pairs, keys, "_k", gather, name, values_per_part)
+    return placed.groupBy(*keys, part.alias("part")).agg(gather.alias(name))
 
 
 def query_to_json(
     df: DataFrame,
-    group: str | Sequence[str] | None = None,
-    order: Sequence[str] = (),
+    group: str | Sequence[str] | None,
+    order: Sequence[str],
+    rows_per_part: int,
     strip_nulls: bool = False,
-    rows_per_part: int = JSON_ROWS_PER_PART,
     slices: int | None = None,
 ) -> DataFrame:
     """Rows as JSON arrays, one array per group; NULL for an empty table when there is no group.
 
-    A group larger than ``rows_per_part`` gives several arrays numbered by ``part``: together they
-    hold every row in order, and no task or cell holds the whole group.
+    Part n of a group holds its rows ranked n * ``rows_per_part`` up to the next multiple: together
+    the parts hold every row in order, and no task or cell holds the whole group.
     """
     keys = as_list(group)
     text = F.to_json(

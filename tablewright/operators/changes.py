@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import format_interval, template_render
@@ -93,18 +93,17 @@ def batched_delete(
 
 
 def batch_progress_log(progress: DataFrame, durations: DataFrame) -> DataFrame:
-    """Progress rows with their times: estimated rest by the last two batches, and the log line.
+    """Progress rows with their times: estimated rest by the last two batches, and a line of text.
 
-    ``durations`` has ``step`` and ``ms``. The first step counts itself as its predecessor. There is
-    one row per batch, not per deleted row.
+    ``durations`` has ``step`` and ``ms``. A step without a time stays, without an estimate; a step
+    without a predecessor counts itself.
     """
-    timed = progress.join(durations, "step", "inner")
-    by_step = Window.orderBy("step")
-    before = F.coalesce(F.lag("ms").over(by_step), F.col("ms"))
-    mean = F.floor((F.col("ms") + before) / 2)
-    timed = timed.withColumn("eta_ms", ((F.col("steps") - F.col("step")) * mean).cast("bigint"))
+    before = durations.select((F.col("step") + 1).alias("step"), F.col("ms").alias("_before"))
+    timed = progress.join(durations, "step", "left").join(before, "step", "left")
+    mean = F.floor((F.col("ms") + F.coalesce("_before", "ms")) / 2)
+    timed = timed.withColumn("eta_ms", ((F.col("steps") - F.col("step")) * mean).cast("bigint")).drop("_before")
     line = template_render(
-        "[spent: ${spent}, estimate end in: ${eta}] step:${step}/from:${steps}/done:${done}%) Deleted ${deleted}/${total}",
+        "step ${step} of ${steps}: ${deleted} of ${total} rows gone (${done} percent) after ${spent}, ${eta} to go",
         {
             "spent": format_interval("ms"),
             "eta": format_interval("eta_ms"),

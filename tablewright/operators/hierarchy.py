@@ -6,6 +6,7 @@ plan, and a lost executor repeats one round.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -17,15 +18,16 @@ from tablewright.session import cut_lineage
 
 # Fixed value: what stands between the names of a path.
 ARROW = " ➫ "
+ROUNDS_BEFORE_CYCLE_TEST = 64
 
 
 def membership_closure(
-    edges: DataFrame, member: str, role: str, nodes: DataFrame | None = None, max_depth: int = 64
+    edges: DataFrame, member: str, role: str, nodes: DataFrame | None = None
 ) -> DataFrame:
     """All (member, role, path) reachable over an edge list.
 
     ``nodes`` (one column) adds those that are never a member, with a NULL role and an empty path.
-    A role already on the path is not entered again; a path longer than ``max_depth`` is an error.
+    A role already on the path is not entered again, which ends the search on cycles too.
     """
     links = cut_lineage(edges.select(F.col(member).alias("_m"), F.col(role).alias("_r")).distinct())
     found = [
@@ -51,8 +53,6 @@ def membership_closure(
         )
         if step.isEmpty():
             break
-        if len(found) >= max_depth:
-            raise ValueError(f"paths longer than max_depth={max_depth}")
         found.append(step)
     out = union_all_sources(*found).drop("_seen")
     if nodes is None:
@@ -78,12 +78,13 @@ def effective_grants(
 
 
 def subtree_rollup(
-    nodes: DataFrame, id_col: str, parent: str, measure: str, max_depth: int = 64, name: str = "subtree_sum"
+    nodes: DataFrame, id_col: str, parent: str, measure: str, name: str = "subtree_sum"
 ) -> DataFrame:
     """For every node the sum of a measure over itself and all nodes below it.
 
     Sums climb one level per round and are added up on the way, so no (ancestor, descendant) pair
-    is ever built and a round is never larger than the level it stands on.
+    is ever built and a round is never larger than the level it stands on. A cycle has no sum and is
+    an error; it is looked for once the climb has taken many rounds.
     """
     links = cut_lineage(nodes.select(F.col(id_col).alias("_id"), F.col(parent).alias("_parent"), F.col(measure).alias("_v")))
     levels = [links.groupBy(F.col("_id").alias("_node")).agg(F.sum("_v").alias("_sum"))]
@@ -100,12 +101,26 @@ def subtree_rollup(
         )
         if climbed.isEmpty():
             break
-        if len(levels) > max_depth:
-            raise ValueError(f"tree deeper than max_depth={max_depth}, or a cycle")
         levels.append(climbed)
+        if len(levels) == ROUNDS_BEFORE_CYCLE_TEST and _has_cycle(parents):
+            raise ValueError("the parents form a cycle")
     return union_all_sources(*levels).groupBy(F.col("_node").alias(id_col)).agg(F.sum("_sum").alias(name))
 
 
+def _has_cycle(parents: DataFrame) -> bool:
+    """Whether parent pointers (_id, _parent) form a cycle.
+
+    Pointers are doubled: after log2(n) + 1 rounds each has left any tree of n nodes at its root.
+    """
+    jumps = cut_lineage(parents.groupBy("_id").agg(F.min("_parent").alias("_up")))
+    for _ in range(2 + math.ceil(math.log2(jumps.count() + 1))):
+        onward = jumps.select(F.col("_id").alias("_from"), F.col("_up").alias("_to"))
+        jumps = cut_lineage(jumps.join(onward, F.col("_up") == F.col("_from"), "inner").select("_id", F.col("_to").alias("_up")))
+        if jumps.isEmpty():
+            return False
+    return True
+
+
 def ancestor_flatten(
     nodes: DataFrame,
     lookup: DataFrame,

@@ -1,8 +1,11 @@
 """Ordered work over groups of any size.
 
-A window over one key, or over no key at all, sorts the whole group in one task. Here the order is
-cut into slices of near-equal row counts first. Windows then run per (key, slice); a small table
-with one row per (key, slice) carries what must cross a slice border.
+A window over one key, or over no key at all, sorts the whole group in one task. Here the order of
+(key, order columns) is cut into slices of near-equal row counts first: a small key lies in one slice,
+a large one spans several. Windows run per (key, slice), which is the one shuffle of the rows. What
+must cross a border is carried by a table of the (key, slice) pairs that are not alone in their key.
+There is about one for each border, so that table is broadcast. A small input is one slice, and then
+nothing is carried at all.
 """
 
 from __future__ import annotations
@@ -16,9 +19,8 @@ from pyspark.sql import types as T
 from tablewright.functions.predicates import micros_between
 
 SLICE = "_slice"
-MAX_SLICES = 4096
-ROWS_PER_SLICE = 2_000_000
-_SAMPLES_PER_SLICE = 32
+ROWS_PER_SLICE = 20_000_000
+_SAMPLES_PER_SLICE = 16
 _CHUNKS = 64
 
 
@@ -47,7 +49,7 @@ def _order_point(df: DataFrame, order: Sequence[str]) -> Column:
 def slice_bounds(df: DataFrame, order: Sequence[str], slices: int, total: int) -> list[tuple]:
     """Up to ``slices - 1`` order points that cut ``total`` rows into near-equal parts.
 
-    Found from a sample of about 32 points per slice, as a range partitioner does. The sample only
+    Found from a sample of about 16 points per slice, as a range partitioner does. The sample only
     places the borders; every row is kept whatever they are.
     """
     if slices <= 1 or total == 0:
@@ -55,7 +57,7 @@ def slice_bounds(df: DataFrame, order: Sequence[str], slices: int, total: int) -
     fraction = min(1.0, _SAMPLES_PER_SLICE * slices / total)
     chosen = df.sample(fraction=fraction, seed=11) if fraction < 1.0 else df
     sample = chosen.select(_order_point(df, order).alias("p"))
-    found = [tuple(r["p"]) for r in sample.orderBy("p").limit(4 * _SAMPLES_PER_SLICE * slices).collect()]
+    found = [tuple(r["p"]) for r in sample.orderBy("p").limit(2 * _SAMPLES_PER_SLICE * slices).collect()]
     bounds: list[tuple] = []
     for i in range(1, slices):
         point = found[i * len(found) // slices] if found else None
@@ -102,21 +104,25 @@ def _slice_number(rows: DataFrame, names: Sequence[str], bounds: list[tuple]) ->
     return full * size + F.when(full < len(chunks), inside).otherwise(0)
 
 
-def with_slices(df: DataFrame, order: Sequence[str], slices: int | None = None) -> DataFrame:
-    """Add the slice number of every row. Small inputs stay in slice 0 unless ``slices`` is given.
+def with_slices(
+    df: DataFrame, order: Sequence[str], slices: int | None = None, keys: Sequence[str] = ()
+) -> tuple[DataFrame, bool]:
+    """Add the slice number of every row, and tell whether there are several slices.
 
-    The input is counted, and sampled when it is large, before the job proper: hand over a table or
-    a checkpointed frame rather than a long computation.
+    Small inputs stay in slice 0 unless ``slices`` is given. The input is counted, and sampled when it
+    is large, before the job proper: hand over a table or a checkpointed frame rather than a long
+    computation.
     """
     total = df.count()
     if slices is None:
         slices = 1 + total // ROWS_PER_SLICE
-    bounds = slice_bounds(df, order, min(slices, MAX_SLICES), total)
+    by = [*keys, *order]
+    bounds = slice_bounds(df, by, slices, total)
     if not bounds:
-        return df.withColumn(SLICE, F.lit(0))
-    names = [f"_k{i}" for i in range(len(order))]
-    rows = df.select("*", *[_comparable(df, c).alias(n) for c, n in zip(order, names)])
-    return rows.withColumn(SLICE, _slice_number(rows, names, bounds).cast("int")).drop(*names)
+        return df.withColumn(SLICE, F.lit(0)), False
+    names = [f"_k{i}" for i in range(len(by))]
+    rows = df.select("*", *[_comparable(df, c).alias(n) for c, n in zip(by, names)])
+    return rows.withColumn(SLICE, _slice_number(rows, names, bounds).cast("int")).drop(*names), True
 
 
 def slice_window(keys: Sequence[str], order: Sequence[str]):
@@ -129,11 +135,13 @@ def carry_window(keys: Sequence[str]):
 
 
 def join_slices(body: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach the carried values; keys match with NULL equal to NULL."""
+    """Attach the carried values, those with any; keys match with NULL equal to NULL."""
     names = [*keys, SLICE]
-    renamed = carried.select(
-        *[F.col(n).alias(f"_c_{n}") for n in names], *[c for c in carried.columns if c not in names]
-    )
+    values = [c for c in carried.columns if c not in names]
+    some = F.lit(False)
+    for c in values:
+        some = some | F.col(c).isNotNull()
+    renamed = F.broadcast(carried.where(some).select(*[F.col(n).alias(f"_c_{n}") for n in names], *values))
     on = [body[n].eqNullSafe(renamed[f"_c_{n}"]) for n in names]
     condition = on[0]
     for extra in on[1:]:
@@ -141,6 +149,28 @@ def join_slices(body: DataFrame, carried: DataFrame, keys: Sequence[str]) -> Dat
     return body.join(renamed, condition, "left").drop(*[f"_c_{n}" for n in names])
 
 
+def running_total(
+    df: DataFrame,
+    order: Sequence[str],
+    partition: str | Sequence[str] | None,
+    weight: str,
+    name: str,
+    slices: int | None = None,
+) -> DataFrame:
+    """Add the sum of ``weight`` over the rows before, per key or over the whole table."""
+    keys = as_list(partition)
+    sliced, cut = with_slices(df, order, slices, keys)
+    earlier = slice_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    body = sliced.withColumn(name, F.coalesce(F.sum(weight).over(earlier), zero))
+    if not cut:
+        return body.drop(SLICE)
+    before = F.sum("_weight").over(carry_window(keys).rowsBetween(Window.unboundedPreceding, -1))
+    sums = sliced.groupBy(*keys, SLICE).agg(F.sum(weight).alias("_weight")).select(*keys, SLICE, before.alias("_carried"))
+    joined = join_slices(body, sums, keys)
+    return joined.withColumn(name, F.col(name) + F.coalesce("_carried", zero)).drop("_carried", SLICE)
+
+
 def numbered(
     df: DataFrame,
     order: Sequence[str],
@@ -152,15 +182,6 @@ def numbered(
 
     ``order`` must be a total order (end it with a unique column) for repeatable numbers.
     """
-    keys = as_list(partition)
-    sliced = with_slices(df, order, slices)
-    body = sliced.withColumn(name, F.row_number().over(slice_window(keys, order)))
-    before = F.sum("_rows").over(carry_window(keys).rowsBetween(Window.unboundedPreceding, -1))
-    sizes = (
-        sliced.groupBy(*keys, SLICE)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, SLICE, F.coalesce(before, F.lit(0)).alias("_before"))
-    )
-    return join_slices(body, sizes, keys).withColumn(
-        name, (F.col(name) + F.col("_before")).cast("bigint")
-    ).drop("_before", SLICE)
+    rows = df.withColumn("_one", F.lit(1).cast("bigint"))
+    counted = running_total(rows, order, partition, "_one", name, slices)
+    return counted.withColumn(name, F.col(name) + 1).drop("_one")

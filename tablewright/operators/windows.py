@@ -35,9 +35,11 @@ def log_gap(
 ) -> DataFrame:
     """Number the messages of each key (or of the whole log) and give the time since the one before."""
     keys, order = as_list(partition), [ts, tie]
-    sliced = with_slices(df, order, slices)
+    sliced, cut = with_slices(df, order, slices, keys)
     within = slice_window(keys, order)
-    body = sliced.withColumn("_n", F.row_number().over(within)).withColumn("_prev", F.lag(ts).over(within))
+    body = sliced.withColumn("rn", F.row_number().over(within).cast("bigint")).withColumn("prev_time", F.lag(ts).over(within))
+    if not cut:
+        return _with_gap(body.drop(SLICE), ts)
     across = carry_window(keys)
     ends = (
         sliced.groupBy(*keys, SLICE)
@@ -50,10 +52,9 @@ def log_gap(
         )
     )
     joined = join_slices(body, ends, keys)
-    out = joined.withColumn("rn", (F.col("_n") + F.coalesce(F.col("_skipped"), F.lit(0))).cast("bigint")).withColumn(
-        "prev_time", F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_prev"))
-    )
-    return _with_gap(out.drop("_n", "_prev", "_before", "_skipped", SLICE), ts)
+    out = joined.withColumn("prev_time", F.when(F.col("rn") == 1, F.col("_before")).otherwise(F.col("prev_time")))
+    out = out.withColumn("rn", F.col("rn") + F.coalesce(F.col("_skipped"), F.lit(0)))
+    return _with_gap(out.drop("_before", "_skipped", SLICE), ts)
 
 
 def log_tail(
@@ -116,47 +117,40 @@ def overlapping_periods(
     """Rows whose half-open period overlaps one of another row with the same key.
 
     In order of the lower bound a period overlaps when one before it ends after its start, or the
-    next one starts before its end. A NULL bound is infinite; empty periods overlap nothing and
-    are left aside.
+    next one starts before its end. A NULL bound is infinite: bounds are compared as (side, value),
+    in the type of their column. Empty periods overlap nothing and are left aside.
     """
     keys = as_list(key)
-    kind = df.schema[lower].dataType.simpleString()
-    first, last = _extremes(kind)
-    rows = df.withColumn("_lo", F.coalesce(F.col(lower), first)).withColumn("_hi", F.coalesce(F.col(upper), last))
-    rows = rows.where("_lo < _hi")
-    order = ["_lo", id_col]
-    sliced = with_slices(rows, order, slices)
+    low_side = F.when(F.col(lower).isNull(), 0).otherwise(1)
+    high_side = F.when(F.col(upper).isNull(), 2).otherwise(1)
+    rows = (
+        df.withColumn("_side", low_side)
+        .withColumn("_lo", F.struct(low_side.alias("side"), F.col(lower).alias("v")))
+        .withColumn("_hi", F.struct(high_side.alias("side"), F.col(upper).alias("v")))
+        .where("_lo < _hi")
+    )
+    order = ["_side", lower, id_col]
+    sliced, cut = with_slices(rows, order, slices, keys)
     within = slice_window(keys, order)
     body = sliced.withColumn(
         "_max_before", F.max("_hi").over(within.rowsBetween(Window.unboundedPreceding, -1))
     ).withColumn("_next", F.lead("_lo").over(within))
-    across = carry_window(keys)
-    ends = (
-        sliced.groupBy(*keys, SLICE)
-        .agg(F.max("_hi").alias("_slice_hi"), F.min("_lo").alias("_slice_lo"))
-        .select(
-            *keys,
-            SLICE,
-            F.max("_slice_hi").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_hi_carried"),
-            F.lead("_slice_lo").over(across).alias("_lo_after"),
+    if cut:
+        across = carry_window(keys)
+        ends = (
+            sliced.groupBy(*keys, SLICE)
+            .agg(F.max("_hi").alias("_slice_hi"), F.min("_lo").alias("_slice_lo"))
+            .select(
+                *keys,
+                SLICE,
+                F.max("_slice_hi").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_hi_carried"),
+                F.lead("_slice_lo").over(across).alias("_lo_after"),
+            )
         )
-    )
-    joined = join_slices(body, ends, keys)
-    hit = (
-        (F.greatest("_max_before", "_hi_carried") > F.col("_lo"))
-        | (F.coalesce(F.col("_next"), F.col("_lo_after")) < F.col("_hi"))
-    )
-    return joined.where(hit).select(*df.columns)
-
-
-def _extremes(kind: str) -> tuple[Column, Column]:
-    """Bounds standing for minus and plus infinity."""
-    if kind in ("timestamp", "timestamp_ntz", "date"):
-        return F.lit("0001-01-01").cast(kind), F.lit("9999-12-31").cast(kind)
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        bits = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}[kind]
-        return F.lit(-(2**bits)).cast(kind), F.lit(2**bits - 1).cast(kind)
-    return F.lit("-Infinity").cast("double"), F.lit("Infinity").cast("double")
+        body = join_slices(body, ends, keys)
+        body = body.withColumn("_max_before", F.greatest("_max_before", "_hi_carried"))
+        body = body.withColumn("_next", F.coalesce("_next", "_lo_after"))
+    return body.where("_max_before > _lo OR _next < _hi").select(*df.columns)
 
 
 def closed_period_rows(

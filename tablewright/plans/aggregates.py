@@ -153,23 +153,31 @@ def _(t):
 
 @query(
     "string_agg_distinct",
-    "SELECT p_brand, string_agg(DISTINCT p_type, '; ' ORDER BY p_type) AS types, 0 AS part FROM part GROUP BY 1",
+    """
+    SELECT p_brand, part, string_agg(p_type, '; ' ORDER BY p_type) AS types
+    FROM (
+      SELECT p_brand, p_type, CAST((row_number() OVER (PARTITION BY p_brand ORDER BY p_type) - 1) // 3 AS BIGINT) AS part
+      FROM (SELECT DISTINCT p_brand, p_type FROM part))
+    GROUP BY 1, 2
+    """,
 )
 def _(t):
-    return agg.string_agg_distinct(t("part"), "p_brand", "p_type", name="types")
+    return agg.string_agg_distinct(t("part"), "p_brand", "p_type", values_per_part=3, name="types", slices=4)
 
 
 @query(
     "json_object_agg",
     """
-    SELECT o_custkey, '{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}' AS statuses, 0 AS part
-    FROM (SELECT o_custkey, CAST(o_orderdate AS DATE)::VARCHAR AS k, max(o_orderstatus) AS v FROM orders GROUP BY 1, 2)
-    GROUP BY 1
+    SELECT o_custkey, part, '{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}' AS statuses
+    FROM (
+      SELECT *, CAST((row_number() OVER (PARTITION BY o_custkey ORDER BY k) - 1) // 5 AS BIGINT) AS part
+      FROM (SELECT o_custkey, CAST(o_orderdate AS DATE)::VARCHAR AS k, max(o_orderstatus) AS v FROM orders GROUP BY 1, 2))
+    GROUP BY 1, 2
     """,
 )
 def _(t):
     rows = t("orders").withColumn("day", F.col("o_orderdate").cast("date"))
-    return agg.json_object_agg(rows, "o_custkey", "day", "o_orderstatus", "statuses")
+    return agg.json_object_agg(rows, "o_custkey", "day", "o_orderstatus", values_per_part=5, name="statuses")
 
 
 def interval_sql(ms: str) -> str:
@@ -290,12 +298,12 @@ def _(t):
     WITH e AS (SELECT epoch_us(o_orderdate) / CAST(1000000 AS DOUBLE) AS x FROM orders),
     m AS (SELECT min(x) AS lo, max(x) AS hi FROM e)
     SELECT CASE WHEN x >= hi THEN 6 ELSE CAST(floor(5.0::DOUBLE * (x - lo) / (hi - lo)) AS BIGINT) + 1 END AS bucket,
-      count(*) AS cnt, CAST(1 AS BIGINT) AS rows_per_char, repeat('=', CAST(count(*) AS INTEGER)) AS bar
+      count(*) AS cnt, repeat('=', CAST(round_even(count(*) / 10.0::DOUBLE, 0) AS INTEGER)) AS bar
     FROM e, m GROUP BY 1
     """,
 )
 def _(t):
-    return hist.equi_width_histogram(t("orders"), "o_orderdate", 5)
+    return hist.equi_width_histogram(t("orders"), "o_orderdate", 5, rows_per_char=10)
 
 
 BUCKETS_SQL = """
@@ -311,10 +319,41 @@ def _(t):
     return hist.boundary_bucket(t("orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "1 month")
 
 
+MONTH_END_SQL = """
+  WITH o AS (SELECT o_orderkey, o_orderdate FROM orders
+             UNION ALL SELECT -1, min(o_orderdate) - INTERVAL 1 DAY FROM orders),
+  b AS (SELECT generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 MONTH) AS bounds FROM o)
+  SELECT o_orderkey, o_orderdate, bucket, bounds[bucket] AS range_lower,
+    CASE WHEN bucket < len(bounds) THEN bounds[bucket + 1] END AS range_upper
+  FROM (SELECT o.*, bounds, CAST(len([x for x in bounds if x <= o_orderdate]) AS BIGINT) AS bucket FROM o, b)
+"""
+
+
+@query("boundary_bucket_month_end", MONTH_END_SQL)
+def _(t):
+    """The lowest date is the 31st: boundaries fall to the 28th and stay there."""
+    orders = t("orders").select("o_orderkey", "o_orderdate")
+    day = F.timestamp_add("DAY", F.lit(-1), F.min("o_orderdate"))
+    first = orders.agg(F.lit(-1).cast("bigint").alias("o_orderkey"), day.alias("o_orderdate"))
+    return hist.boundary_bucket(orders.union(first), "o_orderdate", "1 month")
+
+
+@query(
+    "list_bucket",
+    """
+    SELECT o_orderkey, o_totalprice,
+      CAST(len([x for x in [1000.0, 50000, 50000.5, 250000] if x <= o_totalprice]) AS BIGINT) AS bucket
+    FROM orders
+    """,
+)
+def _(t):
+    return hist.list_bucket(t("orders").select("o_orderkey", "o_totalprice"), "o_totalprice", [250000.0, 1000.0, 50000.0, 50000.5])
+
+
 @query(
     "calendar_histogram",
     f"""
-    SELECT bucket, cnt, total_count, range_lower, range_upper, CAST(1 AS BIGINT) AS rows_per_char,
+    SELECT bucket, cnt, total_count, range_lower, range_upper,
       repeat('■', CAST(cnt AS INTEGER)) AS bar, cnt * 100.0::DOUBLE / total_count AS percent,
       repeat('■', CAST(round_even(cnt * 100.0::DOUBLE / total_count, 0) AS INTEGER)) AS bar_percent
     FROM (

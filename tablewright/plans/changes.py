@@ -86,27 +86,6 @@ def _(t):
     return deleted_orders(t)[0]
 
 
-@query(
-    "batched_delete_progress",
-    f"""
-    WITH n AS (SELECT count(*) AS total FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)),
-    s AS (SELECT total, CAST(ceil(total / 500) AS BIGINT) AS steps FROM n),
-    p AS (SELECT unnest(range(1, steps + 1)) AS step, steps, total FROM s),
-    d AS (SELECT event_id AS step, CAST(round(value * 1000) AS BIGINT) AS ms FROM events),
-    j AS (SELECT p.*, least(step * 500, total) AS deleted, round(step / steps * 100, 2) AS done_percent, ms,
-            CAST((steps - step) * floor((ms + coalesce(lag(ms) OVER (ORDER BY step), ms)) / 2) AS BIGINT) AS eta_ms
-          FROM p JOIN d USING (step))
-    SELECT step, steps, deleted, total, done_percent, ms, eta_ms,
-      '[spent: ' || {interval_sql('ms')} || ', estimate end in: ' || {interval_sql('eta_ms')} || '] step:' || step || '/from:'
-        || steps || '/done:' || done_percent || '%) Deleted ' || deleted || '/' || total AS message
-    FROM j
-    """,
-)
-def _(t):
-    durations = t("events").select(F.col("event_id").alias("step"), F.round(F.col("value") * 1000).cast("bigint").alias("ms"))
-    return changes.batch_progress_log(deleted_orders(t)[1], durations)
-
-
 @query(
     "update_from_join",
     """

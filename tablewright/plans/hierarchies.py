@@ -32,12 +32,12 @@ def _(t):
     "effective_grants",
     f"""
     SELECT g.*, c.member, c.role, c.path
-    FROM (SELECT p_partkey AS grantee, p_brand AS table_name, p_type AS privilege FROM part WHERE p_size > 40) g
+    FROM (SELECT p_partkey AS grantee, p_brand AS table_name, p_type AS privilege FROM part) g
     JOIN ({CLOSURE_SQL}) c ON g.grantee = c.member OR g.grantee = c.role
     """,
 )
 def _(t):
-    grants = t("part").where("p_size > 40").selectExpr("p_partkey AS grantee", "p_brand AS table_name", "p_type AS privilege")
+    grants = t("part").selectExpr("p_partkey AS grantee", "p_brand AS table_name", "p_type AS privilege")
     return tree.effective_grants(part_edges(t), t("part").select("p_partkey"), grants)
 
 
@@ -165,7 +165,7 @@ def _(t):
 
 PERIODS_SQL = """
   SELECT event_id, user_id, ts AS lo, CASE WHEN event_id % 50 <> 0 THEN ts + to_seconds(CAST(floor(value * 3600) AS BIGINT)) END AS hi
-  FROM events WHERE floor(value * 3600) > 0
+  FROM events
 """
 
 
@@ -174,7 +174,6 @@ def event_periods(t):
     end = F.timestamp_add("SECOND", seconds, F.col("ts"))
     return (
         t("events")
-        .where(seconds > 0)
         .select("event_id", "user_id", F.col("ts").alias("lo"), F.when(F.col("event_id") % 50 != 0, end).alias("hi"))
     )
 
@@ -185,7 +184,7 @@ def event_periods(t):
     WITH p AS ({PERIODS_SQL})
     SELECT * FROM p a WHERE EXISTS (
       SELECT 1 FROM p b WHERE b.user_id = a.user_id AND b.event_id <> a.event_id
-        AND a.lo < coalesce(b.hi, TIMESTAMP '9999-01-01') AND b.lo < coalesce(a.hi, TIMESTAMP '9999-01-01'))
+        AND a.lo IS DISTINCT FROM a.hi AND b.lo IS DISTINCT FROM b.hi AND a.lo < coalesce(b.hi, TIMESTAMP '9999-01-01') AND b.lo < coalesce(a.hi, TIMESTAMP '9999-01-01'))
     """,
 )
 def _(t):

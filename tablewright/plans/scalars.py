@@ -8,7 +8,6 @@ from tablewright.functions import lsn, predicates, text, versions
 from tablewright.operators import arrays as arr
 from tablewright.plans.aggregates import interval_sql
 from tablewright.plans.registry import query
-from tablewright.session import spread
 
 
 @query(
@@ -67,7 +66,7 @@ def order_versions(t):
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     end1 = F.when(F.col("o_orderpriority") == "1-URGENT", "-release").when(F.col("o_orderpriority") == "2-HIGH", "rc2").otherwise("")
     end2 = F.when(F.col("o_orderstatus") == "F", "-beta").when(F.col("o_orderstatus") == "P", ".1.7.9").otherwise("")
-    orders = spread(t("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"))
+    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     return orders.select(
         "o_orderkey",
         F.concat(F.concat_ws(".", cust % 3, key % 12, cust % 30), end1).alias("ver1"),
@@ -214,7 +213,7 @@ def _(t):
         hexed(F.col("l_partkey"), 8),
         F.lower(F.format_string("%04x", F.col("l_suppkey") * 300 + F.col("l_linenumber"))),
     ]
-    keys = spread(t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    keys = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     rows = keys.withColumn("lsn", F.concat_ws(":", *parts))
     return lsn.lsn_normalize(rows, "lsn").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "lsn_text", "lsn_dec", "lsn_hex", "lsn_check"
@@ -235,7 +234,7 @@ WORDS_SQL = r"[w for w in string_split_regex(lower(text), '[^\pL\pN]+') if w <>
     """,
 )
 def _(t):
-    found = arr.tsvector_tokens(spread(t("documents").select("doc_id", "text")), "doc_id", "text", STOP_WORDS)
+    found = arr.tsvector_tokens(t("documents").select("doc_id", "text"), "doc_id", "text", STOP_WORDS)
     return found.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
@@ -248,7 +247,7 @@ def _(t):
     """,
 )
 def _(t):
-    plain = arr.tsvector_tokens(spread(t("documents").select("doc_id", "text")), "doc_id", "text", positions=False)
+    plain = arr.tsvector_tokens(t("documents").select("doc_id", "text"), "doc_id", "text", positions=False)
     return plain.withColumn("tokens", F.array_join("tokens", " "))
 
 

@@ -34,11 +34,6 @@ def _(t):
     return document_lines(t)
 
 
-@query("file_listing")
-def _(t):
-    return src.file_listing(t.folder, "filename LIKE '%.parquet'", "size", t.spark)
-
-
 @query("union_numbered_tables", "SELECT * FROM orders")
 def _(t):
     orders = t("orders")

@@ -52,14 +52,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: an iterative job restarts from here when executors are lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a plain scan at least one task per core, for work that is heavy per row.
-
-    Files that cannot be split leave most cores idle. A scan that has enough tasks stays as it is,
-    so a large table is never shuffled for this. Only for scans: the tasks of a plan with shuffles
-    are not known before it runs.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

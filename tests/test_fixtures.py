@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import lsn, predicates, text, variants, versions
-from tablewright.operators import aggregates, arrays, hierarchy, histograms, json_tables
+from tablewright.operators import aggregates, arrays, hierarchy, histograms, json_tables, windows
 from tablewright.operators.xml_tables import XmlColumn, xml_table
 
 
@@ -61,7 +61,7 @@ def test_calendar_histogram(spark):
 
 @pytest.mark.parametrize("step", ["1 month", "10 days", "7 hours", "3 months", "1 year"])
 def test_boundary_bucket_matches_a_list_of_bounds(spark, step):
-    df = spark.range(400).select(F.timestamp_add("HOUR", F.col("id") * 37, F.lit("2019-01-31 05:00:00").cast("timestamp_ntz")).alias("d"))
+    df = spark.range(400).select(F.timestamp_add("HOUR", F.col("id") * 37, F.lit("2019-01-28 05:00:00").cast("timestamp_ntz")).alias("d"))
     got = histograms.boundary_bucket(df, "d", step)
     bounds = df.agg(F.expr(f"sequence(min(d), max(d), interval {step})").alias("b"))
     want = df.crossJoin(bounds).select("d", F.size(F.filter("b", lambda x: x <= F.col("d"))).cast("bigint"))
@@ -140,17 +140,22 @@ def test_closure_stops_at_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "m string, r string")
     got = {(r["member"], r["role"]) for r in hierarchy.membership_closure(edges, "m", "r").collect()}
     assert got == {(x, y) for x in "abc" for y in "abc" if x != y}
-    chain = spark.range(6).select(F.col("id").alias("m"), (F.col("id") + 1).alias("r"))
-    with pytest.raises(ValueError):
-        hierarchy.membership_closure(chain, "m", "r", max_depth=3)
+
+
+def test_long_chains(spark):
+    chain = spark.range(70).select(F.col("id").alias("m"), (F.col("id") + 1).alias("r"))
+    assert hierarchy.membership_closure(chain, "m", "r").count() == 70 * 71 // 2
+    path = spark.range(70).select("id", F.nullif(F.col("id") - 1, F.lit(-1)).alias("parent"), F.lit(1).alias("v"))
+    sums = {r["id"]: r["subtree_sum"] for r in hierarchy.subtree_rollup(path, "id", "parent", "v").collect()}
+    assert sums == {i: 70 - i for i in range(70)}
 
 
 def test_subtree_rollup(spark):
     nodes = spark.createDataFrame([(1, None, 1), (2, 1, 10), (3, 1, 100), (4, 2, 1000), (5, 99, 7)], "id int, parent int, v int")
     assert rows(hierarchy.subtree_rollup(nodes, "id", "parent", "v"), "id") == [(1, 1111), (2, 1010), (3, 100), (4, 1000), (5, 7)]
-    loop = spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "id int, parent int, v int")
-    with pytest.raises(ValueError):
-        hierarchy.subtree_rollup(loop, "id", "parent", "v", max_depth=5)
+    loop = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (3, 1, 1)], "id int, parent int, v int")
+    with pytest.raises(ValueError, match="cycle"):
+        hierarchy.subtree_rollup(loop, "id", "parent", "v")
 
 
 ONE = [
@@ -331,14 +336,53 @@ def test_row_hash_tells_null_places_apart(spark):
 
 def test_query_to_json_parts_and_empty(spark):
     df = spark.range(25).select((F.col("id") % 2).alias("g"), "id", F.nullif(F.col("id"), F.lit(4)).alias("v"))
-    got = rows(aggregates.query_to_json(df.where("id < 6"), "g", ["id"], strip_nulls=True), "g")
+    got = rows(aggregates.query_to_json(df.where("id < 6"), "g", ["id"], 100, strip_nulls=True), "g")
     assert got[0] == (0, 0, '[{"id":0,"v":0},{"id":2,"v":2},{"id":4}]')
     parts = aggregates.query_to_json(df, None, ["id"], rows_per_part=10, slices=3)
     assert [r["part"] for r in parts.orderBy("part").collect()] == [0, 1, 2]
-    assert rows(aggregates.query_to_json(df.where("id < 0"), None, ["id"])) == [(None, None)]
-
-
-def test_bars_stay_short(spark):
-    counts = spark.createDataFrame([(1, 3_000_000), (2, 10)], "bucket int, cnt long")
-    got = rows(histograms._with_bar(counts, "="), "bucket")
-    assert got[0][2] == 30 and len(got[0][3]) == 100_000 and got[1][3] == ""
+    assert rows(aggregates.query_to_json(df.where("id < 0"), None, ["id"], 100)) == [(None, None)]
+
+
+def test_rows_per_char(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 5, 0).otherwise(9).alias("x"))
+    got = {r["cnt"]: len(r["bar"]) for r in histograms.equi_width_histogram(df, "x", 3, rows_per_char=5).collect()}
+    assert got == {995: 199, 5: 1}
+
+
+@pytest.mark.parametrize("low", ["2019-01-29", "2019-01-30", "2019-01-31", "2020-02-29", "2019-08-31 13:05:01", "2020-01-30"])
+@pytest.mark.parametrize("months", [1, 2, 5, 12, 48])
+def test_month_ends(spark, low, months):
+    """Boundaries follow from one another, as a series of SQL does."""
+    import duckdb
+
+    df = spark.sql(f"SELECT timestamp_ntz '{low}' AS d UNION ALL SELECT timestampadd(HOUR, id * 41, timestamp_ntz '{low}') FROM range(1, 1800)")
+    got = sorted(tuple(r) for r in histograms.boundary_bucket(df, "d", f"{months} months").collect())
+    con = duckdb.connect()
+    con.register("t", df.toPandas())
+    want = con.sql(f"""
+        WITH b AS (SELECT generate_series(min(d), max(d), INTERVAL {months} MONTH) AS bounds FROM t),
+        n AS (SELECT d, bounds, len([x for x in bounds if x <= d]) AS k FROM t, b)
+        SELECT d, k, bounds[k], CASE WHEN k < len(bounds) THEN bounds[k + 1] END FROM n""").fetchall()
+    assert got == sorted(want)
+
+
+def test_overlaps_in_the_type_of_the_column(spark):
+    cases = {
+        "timestamp_ntz": [("9999-12-31 11:00:00", None), ("9999-12-31 12:00:00", None), ("9999-12-31 13:00:00", "9999-12-31 13:00:00")],
+        "date": [("9999-12-31", None), ("2024-01-01", "2024-01-02"), (None, None)],
+        "bigint": [("9223372036854775807", None), ("9223372036854775806", None), (None, "-9223372036854775808")],
+        "decimal(20,0)": [("9007199254740992", "9007199254740993"), ("9007199254740992", "9007199254740993"), ("9007199254740993", "9007199254740994")],
+    }
+    expected = {"timestamp_ntz": {0, 1}, "date": {0, 1, 2}, "bigint": {0, 1}, "decimal(20,0)": {0, 1}}
+    for kind, periods in cases.items():
+        rows_in = [(1, i, a, b) for i, (a, b) in enumerate(periods)]
+        df = spark.createDataFrame(rows_in, "k int, id int, a string, b string")
+        df = df.select("k", "id", F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+        for slices in (1, 3):
+            got = windows.overlapping_periods(df, "k", "id", "a", "b", slices=slices)
+            assert {r["id"] for r in got.collect()} == expected[kind], kind
+
+
+def test_list_bucket(spark):
+    df = spark.createDataFrame([(1,), (5,), (6,), (None,)], "x int")
+    assert rows(histograms.list_bucket(df, "x", [6, 2])) == [(1, 0), (5, 1), (6, 2), (None, None)]
