@@ -94,16 +94,20 @@ def _(t):
     FROM customer LEFT JOIN (
       SELECT o_custkey, max(o_totalprice) AS top, arg_max(nullif(o_orderstatus, 'P'), o_totalprice) AS ignored,
         (list(nullif(o_orderstatus, 'P') ORDER BY o_totalprice DESC))[1] AS status
-      FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) ON o_custkey = c_custkey
+      FROM orders GROUP BY 1) ON o_custkey = c_custkey * 2
     """,
 )
 def _(t):
-    urgent = t("orders").where("o_orderpriority = '1-URGENT'").select(
-        F.col("o_custkey").alias("c_custkey"), "o_totalprice", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status")
+    """Customers with an even key below take the values; the others stay as they are."""
+    half = F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey") / 2).cast("bigint")
+    orders = t("orders").select(
+        half.alias("c_custkey"),
+        "o_totalprice",
+        F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status"),
     )
     return changes.update_from_join(
         t("customer").select("c_custkey", "c_acctbal", "c_mktsegment"),
-        urgent,
+        orders,
         "c_custkey",
         {"c_acctbal": "o_totalprice", "c_mktsegment": "status"},
     )
@@ -226,14 +230,14 @@ def _(t):
     "usage_with_sizes",
     f"""
     SELECT p_partkey, p_retailprice, uses, quantity
-    FROM part LEFT JOIN (SELECT * FROM ({PART_USE_SQL}) WHERE uses > 25) ON l_partkey = p_partkey
+    FROM part LEFT JOIN (SELECT * FROM ({PART_USE_SQL})) ON l_partkey = p_partkey * 2
     """,
 )
 def _(t):
-    used = part_use(t).where("uses > 25").select("l_partkey", "uses", "quantity")
-    return logs.usage_with_sizes(
-        t("part").select("p_partkey", "p_retailprice"), used, ("p_partkey", "l_partkey"), ["p_retailprice", "quantity"], ["p_partkey"]
-    )
+    used = part_use(t).select("l_partkey", "uses", "quantity")
+    parts = t("part").select("p_partkey", "p_retailprice", (F.col("p_partkey") * 2).alias("twice"))
+    found = logs.usage_with_sizes(parts, used, ("twice", "l_partkey"), ["p_retailprice", "quantity"], ["p_partkey"])
+    return found.drop("twice")
 
 
 @query(

@@ -112,29 +112,30 @@ def _(t):
     """
     SELECT c_custkey, top_price, orders FROM customer LEFT JOIN LATERAL (
       SELECT max(o_totalprice) AS top_price, count(*) AS orders FROM orders
-      WHERE o_custkey = c_custkey AND o_orderstatus = 'P' HAVING count(*) > 0) ON true
+      WHERE o_custkey = c_custkey * 2 HAVING count(*) > 0) ON true
     """,
 )
 def _(t):
+    """Half of the customers look for a key that no order has."""
+    customers = t("customer").select("c_custkey", (F.col("c_custkey") * 2).alias("twice"))
     return j.lateral_table_per_row(
-        t("customer").select("c_custkey"),
-        t("orders").where("o_orderstatus = 'P'"),
-        ("c_custkey", "o_custkey"),
+        customers,
+        t("orders"),
+        ("twice", "o_custkey"),
         [F.max("o_totalprice").alias("top_price"), F.count(F.lit(1)).alias("orders")],
-    )
+    ).drop("twice")
 
 
 @query(
     "full_outer_by_key",
     """
     SELECT s_suppkey, s_name, c_custkey, c_name
-    FROM (SELECT * FROM supplier WHERE s_acctbal > 0) FULL OUTER JOIN (SELECT * FROM customer WHERE c_acctbal > 5000)
-      ON s_suppkey = c_custkey
+    FROM (SELECT s_suppkey * 20 AS s_suppkey, s_name FROM supplier) FULL OUTER JOIN customer ON s_suppkey = c_custkey
     """,
 )
 def _(t):
-    suppliers = t("supplier").where("s_acctbal > 0").select("s_suppkey", "s_name")
-    customers = t("customer").where("c_acctbal > 5000").select("c_custkey", "c_name")
+    suppliers = t("supplier").select((F.col("s_suppkey") * 20).alias("s_suppkey"), "s_name")
+    customers = t("customer").select("c_custkey", "c_name")
     return j.full_outer_by_key(suppliers, customers, ("s_suppkey", "c_custkey"))
 
 
@@ -203,17 +204,17 @@ SHORT_SQL = "CASE WHEN p_size < 25 THEN p_type ELSE p_type || '.' || p_brand END
     SELECT p_partkey, p_size, short, type_name
     FROM (SELECT p_partkey, p_size, {SHORT_SQL} AS short FROM part)
     LEFT JOIN (
-      SELECT DISTINCT p_size AS level, p_type AS type_key, lower(p_type) AS type_name FROM part WHERE p_type <> 'SMALL'
+      SELECT DISTINCT p_size + p_size % 3 AS level, p_type AS type_key, lower(p_type) AS type_name FROM part
       UNION ALL
-      SELECT DISTINCT p_size, p_type || '.' || p_brand, p_brand FROM part WHERE p_retailprice > 1000)
+      SELECT DISTINCT p_size, p_type || '.' || p_brand, p_brand FROM part)
     ON level = p_size AND (short = type_key OR split_part(short, '.', 1) = type_key)
     """,
 )
 def _(t):
     part = t("part")
     rows = part.select("p_partkey", "p_size", F.expr(SHORT_SQL).alias("short"))
-    plain = part.where("p_type <> 'SMALL'").selectExpr("p_size AS level", "p_type AS type_key", "lower(p_type) AS type_name")
-    full = part.where("p_retailprice > 1000").selectExpr("p_size", "p_type || '.' || p_brand", "p_brand")
+    plain = part.selectExpr("p_size + p_size % 3 AS level", "p_type AS type_key", "lower(p_type) AS type_name")
+    full = part.selectExpr("p_size", "p_type || '.' || p_brand", "p_brand")
     lookup = plain.distinct().union(full.distinct())
     return j.lookup_exact_or_prefix_join(rows, lookup, ("p_size", "level"), "short", "type_key", ["type_name"])
 

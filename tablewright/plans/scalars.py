@@ -183,9 +183,15 @@ def _(t):
     return arr.row_hash(whole, ["c_name", "segment"], name="key_hash").select("c_custkey", "row_hash", "key_hash")
 
 
-@query("row_hash_fast")
+@query(
+    "row_hash_fast",
+    "SELECT l_orderkey, l_linenumber, l_returnflag, count(*) AS same_rows FROM lineitem GROUP BY ALL",
+)
 def _(t):
-    return arr.row_hash(t("lineitem"), method="xxhash64").select("l_orderkey", "l_linenumber", "row_hash")
+    """Rows with one hash are equal rows: as many as have the same values."""
+    cols = ["l_orderkey", "l_linenumber", "l_returnflag"]
+    hashed = arr.row_hash(t("lineitem").select(*cols), method="xxhash64")
+    return hashed.groupBy("row_hash").agg(*[F.first(c).alias(c) for c in cols], F.count(F.lit(1)).alias("same_rows")).drop("row_hash")
 
 
 LSN_SQL = """
