@@ -14,12 +14,15 @@ Each chunk therefore gives WIDTH keys, one for each place where the one allowed
 under the distance meet in at least one key, whatever their similarity. This holds for all of them.
 
 **Groups of copies.** Documents with equal sets are one class from the start, and only classes are
-joined. Within a key pairs are not listed. First, star rounds: a key names up to ``STARS`` centres,
-its members are compared with them, and confirmed links become components; keys whose members are all
-in one component are done. Then the rest: in keys that still hold several components, the members
-outside the key's largest component meet all members of other components, in blocks of
-``BLOCK`` members, so a key of any size is split over tasks. Pairs of signatures over the distance
-are dropped where they meet.
+joined. Within a key pairs are not listed. First a star round: a key names up to ``STARS`` centres,
+each class is compared with the nearest few of the ``CENTRES`` most common ones among its keys, and
+confirmed links become components; keys whose members are all in one component are done. Then, in
+keys that still hold several components, the members outside the key's largest component meet the
+members of other components, in blocks of ``BLOCK`` by ``BLOCK`` members, so a key of any size is split
+over tasks: first each proposes its ``NEAREST`` mates, and when their links have joined components,
+all pairs that are left are proposed. A pair is looked at in the first key that it shares only, and
+dropped there by a longer signature, :data:`DETAIL` values of 4 bits: a pair at 0.8 differs in 192 of
+1024 places, with a standard deviation of 12.5; :data:`DETAIL_DIFFERENT` lies 5 deviations above that.
 
 Defined results: texts without words, null or empty, have empty sets and are linked with nothing; a
 row without doc_id is linked with nothing, has no component and is kept; rows with equal texts are
@@ -34,20 +37,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.graph import components, stored
+from tablewright.llm.graph import components, small_batches, stored
+from tablewright.llm.passages import runs_of
 from tablewright.llm.text_arrays import Words, in_pieces, mix, prefix_hash, span_hash, texts_of
 
 CHUNKS, WIDTH = 12, 4
 VALUES = CHUNKS * WIDTH
 MOST_DIFFERENT = 2 * CHUNKS - 1
-STARS, ROUNDS, TRIED, BLOCK = 4, 2, 3, 4096
+DETAIL, DETAIL_DIFFERENT = 1024, 255
+STARS, CENTRES, TRIED, NEAREST, BLOCK = 3, 8, 3, 3, 4096
 
 _rng = np.random.default_rng(3)
-_FACTORS = _rng.integers(1, 2**32, VALUES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_SHIFTS = _rng.integers(0, 2**32, VALUES, dtype=np.uint64).astype(np.uint32)
+_FACTORS = _rng.integers(1, 2**32, VALUES + DETAIL, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_SHIFTS = _rng.integers(0, 2**32, VALUES + DETAIL, dtype=np.uint64).astype(np.uint32)
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,15 +73,15 @@ def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarr
     return hashes, np.searchsorted(text, np.arange(len(texts) + 1))
 
 
-def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One row of 16-bit values per text; texts without shingles get zeros."""
-    out = np.zeros((len(first) - 1, VALUES), np.uint16)
+def signatures(hashes: np.ndarray, first: np.ndarray, begin: int = 0, end: int = VALUES) -> np.ndarray:
+    """One row of 16-bit values per text, of the hash functions ``begin`` to ``end``; zeros for an empty set."""
+    out = np.zeros((len(first) - 1, end - begin), np.uint16)
     full = np.flatnonzero(np.diff(first))
     if len(full):
         short, starts = (hashes >> np.uint64(32)).astype(np.uint32), first[:-1][full]
-        for k in range(VALUES):
+        for k in range(begin, end):
             least = np.minimum.reduceat((short ^ _SHIFTS[k]) * _FACTORS[k], starts)
-            out[full, k] = (mix(least.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+            out[full, k - begin] = (mix(least.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
@@ -104,6 +109,15 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
     return named.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
 
 
+def chunk_key(values: np.ndarray, chunk: int, error: int) -> np.ndarray:
+    """Hash of the values of a chunk but the one at ``error``; ``values``: (rows, CHUNKS, WIDTH)."""
+    key = np.full(len(values), chunk * WIDTH + error + 1, np.uint64)
+    for place in range(WIDTH):
+        if place != error:
+            key = mix(key * np.uint64(0x10001) + values[:, chunk, place].astype(np.uint64))
+    return key.view(np.int64)
+
+
 def index_keys(classes: DataFrame) -> DataFrame:
     """key, rep: for each chunk and each place of its one allowed error, the hash of the other values."""
 
@@ -111,21 +125,18 @@ def index_keys(classes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, CHUNKS, WIDTH)
-            keys = []
-            for chunk in range(CHUNKS):
-                for error in range(WIDTH):
-                    key = np.full(len(values), chunk * WIDTH + error + 1, np.uint64)
-                    for place in range(WIDTH):
-                        if place != error:
-                            key = mix(key * np.uint64(0x10001) + values[:, chunk, place].astype(np.uint64))
-                    keys.append(key.view(np.int64))
+            values = _values(batch.column("signature")).reshape(-1, CHUNKS, WIDTH)
+            keys = [chunk_key(values, chunk, error) for chunk in range(CHUNKS) for error in range(WIDTH)]
             reps = np.tile(batch.column("rep").to_numpy(zero_copy_only=False), len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(reps)], ["key", "rep"])
 
     return classes.select("rep", "signature").mapInArrow(run, "key long, rep long")
 
 
+def _values(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, VALUES)
+
+
 def shared_keys(keys: DataFrame) -> DataFrame:
     """The rows of keys with more than one row.
 
@@ -163,32 +174,47 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return ranged.mapInArrow(run, "key long, rep long")
 
 
-def _with_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def member_table(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """rep, text, n_shingles, signature and detail (the longer signature) of the classes in shared keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in in_pieces(batches):
+            hashes, first = shingle_sets(texts_of(piece.column("text")), shingle)
+            detail = signatures(hashes, first, VALUES, VALUES + DETAIL).astype(np.uint8) & 15
+            detail = detail[:, ::2] << 4 | detail[:, 1::2]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    piece.column("rep"),
+                    piece.column("text"),
+                    pa.array(np.diff(first), pa.int64()),
+                    pa.array([row.tobytes() for row in signatures(hashes, first)], pa.binary()),
+                    pa.array([row.tobytes() for row in detail], pa.binary()),
+                ],
+                ["rep", "text", "n_shingles", "signature", "detail"],
+            )
+
+    named = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep", "left_semi")
+    return named.mapInArrow(run, "rep long, text string, n_shingles long, signature binary, detail binary")
+
+
+def _near(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with their signature distance, as far as distance and set sizes allow a link."""
     for side in "ab":
-        side_of = classes.select(
+        side_of = members.select(
             F.col("rep").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}")
         )
         pairs = pairs.join(side_of, side)
-    return pairs
-
-
-def _near(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with their signature distance, as far as distance and set sizes allow a link."""
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, right = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, VALUES) for c in ("s_a", "s_b")
-            )
-            distance = (left != right).sum(axis=1)
-            near = pa.array(distance <= MOST_DIFFERENT)
+            distance = (_values(batch.column("s_a")) != _values(batch.column("s_b"))).sum(axis=1)
             out = pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(distance, pa.int64())], ["a", "b", "distance"]
             )
-            yield out.filter(near)
+            yield out.filter(pa.array(distance <= MOST_DIFFERENT))
 
     return pairs.where(fits).select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long, distance long")
 
@@ -221,29 +247,17 @@ def _confirm(part: pa.RecordBatch, shingle: int, percent: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
-def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """key, rep, component; a class without links is its own component."""
-    if labels is None:
-        return shared.withColumn("component", F.col("rep"))
-    named = labels.select(F.col("node").alias("rep"), "component")
-    return shared.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-
-
-def _star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
-    """Members of a key with each of its centres, if they are in different components."""
-    draw = F.xxhash64(F.lit(turn), "rep")
-    point = F.struct(draw.alias("draw"), "rep", "component")
-    slot = F.pmod(draw, F.lit(STARS))
-    centres = [F.min(F.when(slot == i, point)).alias(f"c{i}") for i in range(STARS)]
-    open_keys = (
-        labelled.groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *centres)
-        .where("lo <> hi")
-        .select("key", F.array_compact(F.array(*[f"c{i}" for i in range(STARS)])).alias("centres"))
-    )
-    met = labelled.join(open_keys, "key").select("rep", "component", F.explode("centres").alias("c"))
-    other = met.where(F.col("component") != F.col("c.component"))
-    return other.select(F.greatest("rep", "c.rep").alias("a"), F.least("rep", "c.rep").alias("b")).distinct()
+def _star_pairs(shared: DataFrame) -> DataFrame:
+    """Classes with centres of their keys: of those the CENTRES that are drawn first everywhere."""
+    draw = F.xxhash64("rep")
+    point = F.struct(draw.alias("draw"), "rep")
+    centres = [F.min(F.when(F.pmod(draw, F.lit(STARS)) == i, point)).alias(f"c{i}") for i in range(STARS)]
+    keys = shared.groupBy("key").agg(F.count("*").alias("n"), *centres).where("n > 1")
+    keys = keys.select("key", F.array_compact(F.array(*[f"c{i}" for i in range(STARS)])).alias("centres"))
+    met = shared.join(keys, "key").select("rep", F.explode("centres").alias("c")).where(F.col("rep") != F.col("c.rep"))
+    place = F.dense_rank().over(Window.partitionBy("rep").orderBy("c.draw"))
+    first = met.withColumn("place", place).where(F.col("place") <= CENTRES)
+    return first.select(F.greatest("rep", "c.rep").alias("a"), F.least("rep", "c.rep").alias("b")).distinct()
 
 
 def _best(near: DataFrame) -> DataFrame:
@@ -255,40 +269,113 @@ def _best(near: DataFrame) -> DataFrame:
     return ends.withColumn("place", place).where(F.col("place") <= TRIED).select("a", "b").distinct()
 
 
-def _remaining_pairs(labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All pairs under the distance that meet in a key and are in different components."""
+def _open_pairs(shared: DataFrame, labels: DataFrame, members: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """Pairs under the distances that meet in a key and are in different components: all of them, or
+    for each class and key the ``nearest`` few."""
+    named = labels.select(F.col("node").alias("rep"), "component")
+    labelled = shared.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     open_keys = (
         sizes.groupBy("key")
-        .agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("rows"), F.count("*").alias("kinds"))
+        .agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("rows"), F.count("*").alias("kinds"))
         .where("kinds > 1")
-        .select("key", "main", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+        .select(
+            "key",
+            F.col("main.component").alias("main"),
+            F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"),
+            F.ceil((F.col("rows") - F.col("main.n")) / BLOCK).cast("int").alias("turns"),
+        )
     )
-    side = classes.select("rep", "n_shingles", "signature")
-    rows = labelled.join(open_keys, "key").join(side, "rep")
+    rows = labelled.join(open_keys, "key").join(members.select("rep", "n_shingles", "signature", "detail"), "rep")
     home = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("home", home).withColumn("probe", F.col("component") != F.col("main"))
-    rows = rows.withColumn(
-        "block", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home")))
-    )
+    turn = F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("turns")).cast("int")
 
-    def run(table: pa.Table) -> pa.Table:
-        rep, component, n = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
-        probe, home = (table.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "home"))
-        here = home == table.column("block")[0].as_py()
-        values = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, VALUES)
-        at = np.flatnonzero(here)
-        pairs = []
-        for i in np.flatnonzero(probe):
-            fits = (component[at] != component[i]) & (np.minimum(n[at], n[i]) * 100 >= np.maximum(n[at], n[i]) * percent)
-            fits &= ~probe[at] | (rep[at] > rep[i])
-            chosen = at[fits]
-            near = chosen[(values[chosen] != values[i]).sum(axis=1) <= MOST_DIFFERENT]
-            pairs.append(np.stack([np.maximum(rep[near], rep[i]), np.minimum(rep[near], rep[i])], axis=1))
-        found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
-
-    return rows.groupBy("key", "block").applyInArrow(run, "a long, b long").distinct()
+    def cell(probe: bool, block: Column, turn: Column) -> Column:
+        return F.struct(F.lit(probe).alias("probe"), block.alias("block"), turn.alias("turn"))
+
+    # A member is looked at in its own block by all turns; outside the main component it also takes a
+    # turn of its own through all blocks.
+    seen = F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda t: cell(False, home, t))
+    looks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: cell(True, b, turn))
+    cells = F.when(F.col("component") != F.col("main"), F.concat(seen, looks)).otherwise(seen)
+    placed = rows.withColumn("cell", F.explode(cells)).withColumn("main", F.col("component") == F.col("main"))
+    placed = placed.select("key", "cell.block", "cell.turn", "cell.probe", "rep", "component", "main", "n_shingles", "signature", "detail")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now in _whole_groups(batches, ["key", "block", "turn"]):
+            begin = runs_of(now["key"], now["block"], now["turn"])
+            pairs = [np.zeros((0, 2), np.int64)]
+            for a, b in zip(begin.tolist(), np.append(begin[1:], len(now["key"])).tolist()):
+                pairs += _compare({n: x[a:b] for n, x in now.items()}, percent, nearest)
+            found = np.concatenate(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    cut = ["key", "block", "turn"]
+    found = placed.repartition(*cut).sortWithinPartitions(*cut).mapInArrow(run, "a long, b long")
+    return found if nearest is None else found.distinct()
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Sorted batches regrouped so that no group is cut; a group is bounded by two blocks."""
+    held: list[dict[str, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        begin = int(runs_of(*(now[k] for k in keys))[-1])
+        if held and (begin or any(held[-1][k][-1] != now[k][0] for k in keys)):
+            first = begin or 0
+            head = {n: np.concatenate([*(h[n] for h in held), x[:first]]) for n, x in now.items()}
+            yield head
+            held = [{n: x[first:] for n, x in now.items()}]
+        elif begin:
+            yield {n: x[:begin] for n, x in now.items()}
+            held = [{n: x[begin:] for n, x in now.items()}]
+        else:
+            held.append(now)
+    if held:
+        yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+
+
+def _compare(group: dict[str, np.ndarray], percent: int, nearest: int | None) -> list[np.ndarray]:
+    """Pairs (larger, smaller) of a group's probes with the members of its block."""
+    probe = group["probe"].astype(bool)
+    probes, at = np.flatnonzero(probe), np.flatnonzero(~probe)
+    if not len(probes) or not len(at):
+        return []
+    rep, component, main, n = (group[c] for c in ("rep", "component", "main", "n_shingles"))
+    values = np.frombuffer(b"".join(group["signature"].tolist()), np.uint16).reshape(-1, VALUES)
+    packed = np.frombuffer(b"".join(group["detail"].tolist()), np.uint8).reshape(-1, DETAIL // 2)
+    key = group["key"][0]
+    own = values[:1].reshape(1, CHUNKS, WIDTH)
+    here = next(i for i in range(VALUES) if chunk_key(own, i // WIDTH, i % WIDTH)[0] == key)
+    block, sizes, others, after = values[at], n[at], component[at], main[at].astype(bool)
+    out = []
+    for i in probes:
+        fits = (others != component[i]) & (sizes * 100 >= n[i] * percent) & (n[i] * 100 >= sizes * percent)
+        fits &= after | (rep[at] > rep[i])
+        near = np.flatnonzero(fits)
+        if not len(near):
+            continue
+        differ = block[near] != values[i]
+        distance = differ.sum(axis=1)
+        near_enough = np.flatnonzero(distance <= MOST_DIFFERENT)
+        near_enough = near_enough[_first_key(differ[near_enough]) == here] if nearest is None else near_enough
+        chosen, distance = at[near[near_enough]], distance[near_enough]
+        if nearest is not None:
+            chosen = chosen[np.argsort(distance, kind="stable")[:nearest]]
+        odd = packed[chosen] ^ packed[i]
+        chosen = chosen[((odd & 15) != 0).sum(axis=1) + ((odd >> 4) != 0).sum(axis=1) <= DETAIL_DIFFERENT]
+        out.append(np.stack([np.maximum(rep[chosen], rep[i]), np.minimum(rep[chosen], rep[i])], axis=1))
+    return out
+
+
+def _first_key(differ: np.ndarray) -> np.ndarray:
+    """The number of the first key that a pair shares, from the places where its signatures differ."""
+    errors = differ.reshape(-1, CHUNKS, WIDTH)
+    chunk = (errors.sum(axis=2) <= 1).argmax(axis=1)
+    # Without an error in the chunk all its keys are shared, and the first is number 0 of it.
+    return chunk * WIDTH + errors[np.arange(len(errors)), chunk].argmax(axis=1)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -297,28 +384,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     ``component_id`` is the smallest doc_id that a document reaches over links, its own included;
     ``kept`` marks the document that has this id.
     """
+    small_batches(docs.sparkSession)
     sketched = stored(sketch(docs, shingle), "sketch")
     classes = stored(
         sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")),
+        .agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")),
         "classes",
     )
     shared = stored(shared_keys(index_keys(classes)), "shared")
-    members = shared.select("rep").distinct()
-    texts = stored(
-        docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep", "left_semi"), "texts"
-    )
-    links, labels = None, None
-    for turn in range(ROUNDS + 1):
-        labelled = _labelled(shared, labels)
-        if turn < ROUNDS:
-            pairs = _best(_near(_with_signatures(_star_pairs(labelled, turn), classes), percent))
-        else:
-            pairs = _remaining_pairs(labelled, classes, percent)
-        found = stored(confirm(pairs, texts, shingle, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = stored(components(links), "labels")
+    members = stored(member_table(docs, shared.select("rep").distinct(), shingle), "members")
+    texts = members.select("rep", "text")
+    links = stored(confirm(_best(_near(_star_pairs(shared), members, percent)), texts, shingle, percent), "links")
+    labels = components(links)
+    for nearest in (NEAREST, None):
+        proposed = _open_pairs(shared, labels, members, percent, nearest)
+        links = links.unionByName(stored(confirm(proposed, texts, shingle, percent), "links"))
+        labels = components(links)
     return _rows(sketched, classes, labels)
 
 
@@ -343,7 +425,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
     """
     found = near_duplicates(docs, shingle, percent)
     kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL")
-    tie = F.xxhash64("text")
-    stays = named.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_tie", tie)
-    return stays.dropDuplicates(["doc_id", "_tie"]).drop("_tie").unionByName(docs.where("doc_id IS NULL"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("tie"))
+    doc_id = F.col("row.doc_id")
+    stays = rows.join(kept, doc_id == F.col("_id"), "left_semi").withColumn("id", doc_id).dropDuplicates(["id", "tie"])
+    return stays.select("row.*").unionByName(docs.where("doc_id IS NULL"))

@@ -1,0 +1,130 @@
+"""Near duplicates against all pairs of full sets."""
+
+import random
+
+import numpy as np
+import pytest
+
+from tablewright.llm import near_duplicates as near
+from tablewright.llm.graph import components
+from tablewright.llm.near_duplicates import drop_near_duplicates, near_duplicates, shared_keys
+from tests.llm.data import documents, odd_rows, table
+
+
+def sets_of(rows, shingle):
+    out = {}
+    for doc, text, *_ in rows:
+        w = bytes((text or "").encode()).translate(bytes(near.np.arange(256, dtype=np.uint8)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))).split()
+        out[doc] = {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+    return out
+
+
+def direct(rows, shingle=4, percent=80):
+    sets = sets_of(rows, shingle)
+    least = {d: d for d in sets}
+    changed = True
+    links = [
+        (a, b)
+        for a in sets
+        for b in sets
+        if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    ]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(least[a], least[b])
+            if least[a] != low or least[b] != low:
+                least[a] = least[b] = low
+                changed = True
+    return {d: (len(sets[d]), least[d], least[d] == d) for d in sets}
+
+
+def found(df, **options):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, **options).collect()}
+
+
+def chains(seed: int, n: int) -> list[tuple]:
+    """Copies of copies: neighbours are near, the ends are not, and many pairs lie just under the limit."""
+    rng = random.Random(seed)
+    text = [f"v{rng.randrange(900)}" for _ in range(120)]
+    rows, texts = [], []
+    for i in range(n):
+        words = list(rng.choice(texts)) if texts else list(text)
+        for _ in range(rng.randrange(1, 8)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9000)}"
+        texts.append(words)
+        rows.append((1000 + i, " ".join(words).upper() if i % 2 else "  ".join(words), "en", "a", 1))
+    return rows
+
+
+@pytest.mark.parametrize("shingle", [4, 5])
+def test_mixed(spark, shingle):
+    rows = documents()
+    assert found(table(spark, rows), shingle=shingle) == direct(rows, shingle)
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_large_group_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "CENTRES", 1)
+    monkeypatch.setattr(near, "TRIED", 1)
+    rows = chains(1, 250) + documents(2, 20)
+    want = direct(rows)
+    assert len({c for _, c, _ in want.values()}) > 20
+    assert found(table(spark, rows), shingle=4) == want
+
+
+def test_odd_rows(spark):
+    rows = odd_rows()
+    result = near_duplicates(table(spark, rows), 4).collect()
+    assert len(result) == len(rows)
+    assert all(r.component_id is None and r.kept for r in result if r.doc_id is None)
+    assert all(r.component_id == r.doc_id and r.kept for r in result if r.n_shingles == 0 and r.doc_id is not None)
+    assert near_duplicates(table(spark, []), 4).collect() == []
+
+
+def test_one_of_each_group_stays(spark):
+    rows = documents() + [documents()[0]]
+    want = direct(rows, 5)
+    clash = table(spark, rows).selectExpr("*", "'x' AS _tie", "1 AS rep", "2 AS signature")
+    left = drop_near_duplicates(clash).collect()
+    assert sorted(r.doc_id for r in left) == sorted(d for d, (_, c, _) in want.items() if c == d)
+    texts = {r[0]: r[1] for r in rows}
+    assert all(r.text == texts[r.doc_id] and r.rep == 1 for r in left)
+    assert drop_near_duplicates(table(spark, odd_rows())).where("doc_id IS NULL").count() == 2
+
+
+def test_pairs_under_the_distance_share_a_key():
+    rng = np.random.default_rng(0)
+    for differing in (0, 5, near.MOST_DIFFERENT):
+        for _ in range(200):
+            a = rng.integers(0, 2**16, near.VALUES).astype(np.uint16)
+            b = a.copy()
+            at = rng.choice(near.VALUES, differing, replace=False)
+            b[at] += 1
+            both = np.stack([a, b]).reshape(2, near.CHUNKS, near.WIDTH)
+            keys = [near.chunk_key(both, c, e) for c in range(near.CHUNKS) for e in range(near.WIDTH)]
+            shared = [i for i, k in enumerate(keys) if k[0] == k[1]]
+            assert shared and near._first_key((a != b)[None])[0] == shared[0]
+
+
+def test_shared_keys_keeps_all_rows_of_repeated_keys(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(60), i) for i in range(120)] + [(999, i) for i in range(500, 700)]
+    df = spark.createDataFrame(rows, "key long, rep long").repartition(5)
+    kept = {(r.key, r.rep) for r in shared_keys(df).collect()}
+    count = {k: sum(x == k for x, _ in rows) for k, _ in rows}
+    assert {r for r in rows if count[r[0]] > 1} <= kept <= set(rows)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(300, 300 + i) for i in range(1, 50)]
+    least = {n: n for e in links for n in e}
+    for _ in range(200):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: c for n, c in least.items() if n in got}
+    assert set(least) - set(got) <= {a for a, b in links if a == b}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
