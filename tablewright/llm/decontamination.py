@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.graph import small_batches
 from tablewright.llm.text_arrays import NON_ALNUM, Words, in_pieces, texts_of
 from tablewright.session import scratch_path
 
@@ -226,6 +227,7 @@ def _verdict(n_hit: Column, n_words: Column, min_share: tuple[int, int]) -> Colu
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, width: int, block_windows: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     marked = docs.withColumns(
         {"_n_words": F.lit(0).cast("long"), "_spans": F.lit(b""), "_items": F.array().cast("array<string>")}
     )

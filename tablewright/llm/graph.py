@@ -1,13 +1,22 @@
-"""Connected components of a link table by alternating large and small stars."""
+"""Written tables, batch sizes, and connected components by alternating large and small stars."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.session import scratch_path
 
 
+ROWS_PER_BATCH, COMMON_ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python tasks by 1,000 rows, unless the session has chosen another number."""
+    if spark.conf.get(ROWS_PER_BATCH, COMMON_ROWS_PER_BATCH) == COMMON_ROWS_PER_BATCH:
+        spark.conf.set(ROWS_PER_BATCH, "1000")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage ends there."""
     path = scratch_path(df.sparkSession, name)
@@ -20,24 +29,29 @@ def components(links: DataFrame) -> DataFrame:
 
     A round hangs the neighbours of a node on the smallest of them, first the larger ones (large star),
     then the smaller ones (small star); rounds grow with the logarithm of the diameter. Each round is
-    written to the shared folder; the driver sees one row of sums per round. Minima are combined
+    written to the shared folder; the driver sees whether all is done. Minima are combined
     before the shuffle, and what a node of many links gets back is an equi-join that Spark can split.
     """
     edges = stored(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    state = None
-    while True:
-        sums = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(sums) == state or not sums[0]:
-            break
-        state = tuple(sums)
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    # An edge leads to a root, and a root leads nowhere.
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(roots)
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge at most that leads on, and leads to a node without."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.where("out > 1 OR (out = 1 AND into = 1)").isEmpty()

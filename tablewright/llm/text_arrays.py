@@ -5,6 +5,9 @@ Everything here works on one Arrow batch inside a task; nothing talks to Spark.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,7 +31,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse modulo 2^64."""
     if not _powers or len(_powers["up"]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = -(-n // (1 << 16)) << 16
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -106,7 +109,14 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def in_pieces(batches, limit: int = 4 << 20, rows: int = 20_000):
+def give_back() -> None:
+    """Return freed memory to the system, so that a Python worker that is used again starts small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def in_pieces(batches, limit: int = 2 << 20, rows: int = 20_000):
     """Arrow record batches cut so that the texts of a piece hold about ``limit`` bytes.
 
     A piece has one text at least, whatever its length; no text is cut.
@@ -122,3 +132,4 @@ def in_pieces(batches, limit: int = 4 << 20, rows: int = 20_000):
             held += int(size)
         if batch.num_rows > begin:
             yield batch.slice(begin)
+    give_back()

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.graph import small_batches
 from tablewright.llm.text_arrays import NON_ALNUM, Words, byte_prefix, in_pieces, span_hash, texts_of
 
 WINDOW, STRIDE = 32, 16
@@ -73,8 +74,8 @@ class Types:
             stop = np.cumsum(places)
             of = np.repeat(np.arange(len(length)), places)
             at = np.arange(int(stop[-1]) if len(stop) else 0) - np.repeat(stop - places, places) + np.repeat(ends - length, places)
-            rows.append((span_hash(prefix, at, at + n) % np.uint64(GRAM_ROWS)).astype(np.int64))
-            owner.append(of + 1)
+            rows.append((span_hash(prefix, at, at + n) % np.uint64(GRAM_ROWS)).astype(np.int32))
+            owner.append((of + 1).astype(np.int32))
         self.n = len(sample) + 1
         self.grams = list(zip(rows, owner))
         self.gram_count = sum(np.bincount(of, minlength=self.n) for of in owner)
@@ -320,13 +321,14 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0) -> bytes:
 
 
 def score(docs: DataFrame, weights: bytes, column: str = "score") -> DataFrame:
-    """``docs`` with their score in ``column``; every text is read whole, in pieces of about 6 MB."""
+    """``docs`` with their score in ``column``; every text is read whole, in pieces of about 3 MB."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     names = [c for c in docs.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(pickle.loads(shared.value))
-        for piece in in_pieces(batches, limit=6 << 20):
+        for piece in in_pieces(batches, limit=3 << 20):
             scores = scorer(texts_of(piece.column("text")))
             yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), pa.array(scores, pa.float64())], [*names, column])
 
@@ -337,4 +339,7 @@ def score(docs: DataFrame, weights: bytes, column: str = "score") -> DataFrame:
 
 def drop_toxic(docs: DataFrame, weights: bytes, threshold: float = 0.7) -> DataFrame:
     """The documents that score below ``threshold``, with all their columns."""
-    return score(docs, weights, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, weights, name).where(F.col(name) < threshold).drop(name)
