@@ -276,7 +276,8 @@ def direct_search(rows, terms, k):
     out = {}
     for d in {d for d, _ in words if d is not None and d % 20 == 0}:
         freq = Counter(t for x, w in words if x == d for t in w)
-        chosen = {t for t, _ in sorted(freq.items(), key=lambda x: (-x[1] * idf[x[0]], x[0]))[:terms]}
+        chosen = {t for t in freq if df[t] > 1}
+        assert len(chosen) <= terms
         scores = []
         for x, c, length in counts:
             s = sum(idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * length / mean)) for t in chosen if t in c)
