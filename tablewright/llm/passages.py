@@ -11,8 +11,9 @@ document with a smaller key, or earlier in the same one). The steps, each one sh
 2. **Locating.** Recurring phrases go to the shards of documents that hold them, and each shard looks
    for them in its texts (this is what differs between methods). The windows that name one anchor are
    a *context*: one row for several windows.
-3. **Contexts.** A context that occurred earlier is a repeat, whole. A first context is nothing new,
-   unless its phrase stands in other contexts as well; then its windows are compared one by one.
+3. **Contexts.** A context that occurred earlier is a repeat, whole. The windows of a first context are
+   compared one by one, but only if its phrase stands in other contexts as well and one of them agrees
+   with it in what stands next to the phrase.
 4. **Windows.** Those windows are grouped by hash, and all but the first are repeats (the first, and
    with ``within`` off all others in its document).
 
@@ -25,20 +26,22 @@ one task. The sample decides on salting only, never on a result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.graph import stored
+from tablewright.llm.graph import small_batches, stored
 from tablewright.llm.text_arrays import mix, prefix_hash, span_hash
 
 SHARD_BYTES = 16 << 20
 SALTS = 256
 SAMPLE_ROWS, HOT_SHARE = 4000, 100
 MOST_HELD = 500_000
+# A CONTEXT row packs its number of windows and two side hashes into one int.
+SIDES = 1 << 10
 
 # kind of a row: windows to be compared, windows known to be repeats, contexts to be compared.
 WINDOW, REPEAT, CONTEXT = 0, 1, 2
@@ -48,13 +51,14 @@ ROW_NAMES = [x.split()[0] for x in ROW.split(", ")]
 
 @dataclass(frozen=True)
 class Shape:
-    """Symbols of a window and of a phrase; whether an earlier place in the same document counts; and
-    the bytes of text worked on at a time."""
+    """Symbols of a window and of a phrase; whether an earlier place in the same document counts; the
+    bytes of text worked on at a time; and the bits that are kept of a phrase's hash."""
 
     width: int
     phrase: int
     within: bool = True
-    piece_bytes: int = 4 << 20
+    piece_bytes: int = 2 << 20
+    bits: int = 64
 
 
 class Piece:
@@ -72,6 +76,8 @@ class Piece:
         if len(self.window):
             at = np.arange(len(code) - shape.phrase + 1)
             self.grams = span_hash(self.prefix, at, at + shape.phrase) if grams is None else grams
+            if shape.bits < 64:
+                self.grams &= np.uint64((1 << shape.bits) - 1)
             self._runs()
 
     def _runs(self) -> None:
@@ -100,6 +106,21 @@ class Piece:
     def contexts(self) -> np.ndarray:
         return span_hash(self.prefix, self.run_first, self.run_last + self.shape.width).view(np.int64)
 
+    def sides(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ten bits of the hash of each run's phrase with what stands before it, and with what follows.
+
+        A window that holds the phrase holds half of its other symbols on one side of it at least, so
+        equal windows agree in one of the two. 0 where the text ends too soon.
+        """
+        half = -(-(self.shape.width - self.shape.phrase) // 2)
+        at, text = self.run_anchor[runs], self.run_text[runs]
+        left, right = at - half, at + self.shape.phrase + half
+        out = []
+        for begin, end, fits in ((left, at + self.shape.phrase, left >= self.first[text]), (at, right, right <= self.first[text + 1])):
+            begin, end = np.where(fits, begin, at), np.where(fits, end, at)
+            out.append(np.where(fits, 1 + span_hash(self.prefix, begin, end) % np.uint64(SIDES - 1), 0).astype(np.int64))
+        return out[0], out[1]
+
     def window_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits for each window, as two independent hashes."""
         other = prefix_hash(mix(self.code ^ np.uint64(0x5851F42D4C957F2D)))
@@ -135,12 +156,13 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stored(ranged.withColumn("_row", F.monotonically_increasing_id()).drop("_tie"), "numbered")
 
 
-def sharded(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Numbered documents with their shard; a shard has about SHARD_BYTES of text."""
+def sharded(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """Numbered documents with their shard, the number of shards and of bytes; a shard has about
+    SHARD_BYTES of text."""
     rows = numbered(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    return rows.withColumn("shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int")), shards
+    return rows.withColumn("shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int")), shards, total
 
 
 def pieces(table: pa.Table | pa.RecordBatch, limit: int) -> Iterator[tuple[list[bytes], pa.Table]]:
@@ -156,7 +178,7 @@ def pieces(table: pa.Table | pa.RecordBatch, limit: int) -> Iterator[tuple[list[
         yield texts[begin:], table.slice(begin)
 
 
-def _runs_of(*keys: np.ndarray) -> np.ndarray:
+def runs_of(*keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin."""
     new = np.zeros(len(keys[0]), bool)
     new[:1] = True
@@ -178,7 +200,7 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
         now = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
         if held is not None:
             now = {n: np.concatenate([held[n], now[n]]) for n in now}
-        begin = int(_runs_of(*(now[k] for k in keys))[-1])
+        begin = int(runs_of(*(now[k] for k in keys))[-1])
         if begin:
             yield {n: x[:begin] for n, x in now.items()}, opened, False
             opened = False
@@ -226,11 +248,11 @@ def recurring(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for now, before, after in _whole_runs(batches, ["k", "salt"]):
-            begin = _runs_of(now["k"], now["salt"])
+            begin = runs_of(now["k"], now["salt"])
             size = np.diff(np.append(begin, len(now["k"])))
             keep = np.repeat(size > 1, size) | (now["salt"] >= 0)
             new = np.zeros(len(keep), bool)
-            new[_runs_of(now["k"], now["salt"], now["shard"])] = True
+            new[runs_of(now["k"], now["salt"], now["shard"])] = True
             keep &= new
             yield pa.RecordBatch.from_arrays([pa.array(now["shard"][keep], pa.int32()), pa.array(now["k"][keep])], ["shard", "k"])
 
@@ -246,26 +268,31 @@ def resolve_contexts(rows: DataFrame, shards: int, within: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for now, before, after in _whole_runs(batches, ["k", "salt"]):
-            begin = _runs_of(now["k"], now["salt"])
+            begin = runs_of(now["k"], now["salt"])
             run_of = np.zeros(len(now["k"]), np.int64)
             run_of[begin[1:]] = 1
             run_of = np.cumsum(run_of)
             order = np.lexsort((np.arange(len(run_of)), now["c"], run_of))
-            lead = _runs_of(run_of[order], now["c"][order])
+            lead = runs_of(run_of[order], now["c"][order])
             first = order[lead]
             leader = np.empty(len(run_of), np.int64)
             leader[order] = np.repeat(first, np.diff(np.append(lead, len(order))))
-            kinds = np.bincount(run_of[first], minlength=len(begin))
             same = now["row"] == now["row"][leader]
             if within:
                 same &= now["pos"] == now["pos"][leader]
-            open_run = (kinds > 1)[run_of] | (now["salt"] >= 0)
-            open_run |= ((run_of == 0) & before) | ((run_of == run_of[-1]) & after)
-            kind = np.where(same, np.where(open_run, WINDOW, -1), REPEAT)
-            kind = np.where(now["kind"] == REPEAT, REPEAT, kind)
+            n = now["n"].astype(np.int64)
+            meets = (now["salt"][first] >= 0) | ((run_of[first] == 0) & before) | ((run_of[first] == run_of[-1]) & after)
+            for side in (n[first] // SIDES % SIDES, n[first] // SIDES**2):
+                meets |= _shared(run_of[first], side) & (side > 0)
+            open_lead = np.zeros(len(run_of), bool)
+            open_lead[first] = meets
+            kind = np.where(same, np.where(open_lead[leader], WINDOW, -1), REPEAT)
+            passed = now["kind"] == REPEAT
+            kind = np.where(passed, REPEAT, kind)
+            n = np.where(passed, n, n % SIDES).astype(np.int32)
             keep = kind >= 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(now["row"][keep]), pa.array(now["pos"][keep]), pa.array(now["n"][keep]), pa.array(kind[keep], pa.int32()), pa.array(now["salt"][keep])],
+                [pa.array(now["row"][keep]), pa.array(now["pos"][keep]), pa.array(n[keep]), pa.array(kind[keep], pa.int32()), pa.array(now["salt"][keep])],
                 ["row", "pos", "n", "kind", "salt"],
             )
 
@@ -274,8 +301,18 @@ def resolve_contexts(rows: DataFrame, shards: int, within: bool) -> DataFrame:
     return found.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
 
 
+def _shared(run: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Whether another entry of the run has the same value."""
+    order = np.lexsort((value, run))
+    begin = runs_of(run[order], value[order])
+    size = np.diff(np.append(begin, len(order)))
+    out = np.empty(len(order), bool)
+    out[order] = np.repeat(size > 1, size)
+    return out
+
+
 def resolve_windows(rows: DataFrame, last: bool, within: bool) -> DataFrame:
-    """Rows of kind WINDOW to rows of kind REPEAT, but for the first of each hash.
+    """Rows of kind WINDOW to rows of kind REPEAT, but for the first of each hash, which go.
 
     Firsts of salted groups stay WINDOW rows for a second turn without salts, the ``last`` one.
     """
@@ -283,7 +320,7 @@ def resolve_windows(rows: DataFrame, last: bool, within: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead_row = lead_pos = None
         for now, before, after in _whole_runs(batches, ["k", "c", "salt", "kind"]):
-            begin = _runs_of(now["k"], now["c"], now["salt"], now["kind"])
+            begin = runs_of(now["k"], now["c"], now["salt"], now["kind"])
             size = np.diff(np.append(begin, len(now["k"])))
             row, pos = now["row"][begin].copy(), now["pos"][begin].copy()
             if before and lead_row is not None:
@@ -292,6 +329,7 @@ def resolve_windows(rows: DataFrame, last: bool, within: bool) -> DataFrame:
             same = now["row"] == np.repeat(row, size)
             if within:
                 same &= now["pos"] == np.repeat(pos, size)
+            # A repeat found in the first turn needs no second one.
             kind = np.where((now["kind"] == WINDOW) & same, WINDOW, REPEAT).astype(np.int32)
             keep = (kind == REPEAT) | ((now["salt"] >= 0) & (not last))
             out = {**now, "kind": kind, "salt": np.full(len(kind), -1, np.int32), "k": np.where(kind == REPEAT, now["row"], now["k"])}
@@ -305,20 +343,25 @@ def find_repeats(
     docs: DataFrame,
     read: Reader,
     shape: Shape,
-    locate: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table],
+    locate: Callable[[pa.Table, np.ndarray, np.ndarray, Shape], pa.Table],
     finish: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
 ) -> DataFrame:
-    """Run the steps. ``locate`` (documents of a shard, its recurring phrases, hot phrases) gives rows
+    """Run the steps. ``locate`` (documents of a shard, its recurring phrases, hot phrases, the shape) gives rows
     of kind CONTEXT or REPEAT; ``finish`` (documents of a shard, its repeats: row, pos, n) gives rows
     of ``schema``."""
-    placed, shards = sharded(docs)
+    if shape.width - shape.phrase + 1 >= SIDES:
+        raise ValueError(f"a window is at most {SIDES - 2} symbols longer than a phrase")
+    small_batches(docs.sparkSession)
+    placed, shards, total = sharded(docs)
+    # Bits that keep chance meetings of phrases below one in a hundred; they would cost work only.
+    shape = replace(shape, bits=min(shape.bits, total.bit_length() + 6)) if shape.bits < 64 else shape
     hot = hot_phrases(placed, read, shape)
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     texts = placed.select("_row", "doc_id", "text", "shard").groupBy("shard")
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
-        return locate(left.sort_by("_row"), np.unique(right.column("k").to_numpy()), shared.value)
+        return locate(left.sort_by("_row"), np.unique(right.column("k").to_numpy()), shared.value, shape)
 
     def open_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         return _open_windows(left.sort_by("_row"), right, read, shape)
@@ -328,25 +371,38 @@ def find_repeats(
     known = resolve_contexts(contexts, shards, shape.within)
     rows = texts.cogroup(known.groupBy("shard")).applyInArrow(open_windows, ROW)
     repeats = resolve_windows(resolve_windows(rows, False, shape.within), True, shape.within)
-    marks = repeats.select("row", "pos", "n", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")
+    marks = repeats.select(shard, "row", "pos", "n")
     return texts.cogroup(marks.groupBy("shard")).applyInArrow(lambda left, right: finish(left.sort_by("_row"), right), schema)
 
 
+def _merged(known: pa.Table) -> pa.Table:
+    """REPEAT rows of a shard with the runs of windows that touch put together."""
+    row, pos, n = (known.column(c).to_numpy().astype(np.int64) for c in ("row", "pos", "n"))
+    order = np.lexsort((pos, row))
+    row, pos, end = row[order], pos[order], (pos + n)[order]
+    new = np.ones(len(row), bool)
+    # Spans that overlap an earlier one than their neighbour stay apart, which does no harm.
+    new[1:] = (row[1:] != row[:-1]) | (pos[1:] > end[:-1])
+    begin = np.flatnonzero(new)
+    stop = np.maximum.reduceat(end, begin) if len(begin) else end
+    return rows_of(k=row[begin], row=row[begin], pos=pos[begin], n=stop - pos[begin], kind=np.full(len(begin), REPEAT))
+
+
 def spans_by_row(marks: pa.Table) -> dict[int, np.ndarray]:
     """(pos, n) of each row of a table of marks."""
     row = marks.column("row").to_numpy()
     order = np.argsort(row, kind="stable")
     pairs = np.stack([marks.column("pos").to_numpy(), marks.column("n").to_numpy()], axis=1).astype(np.int64)[order]
     row = row[order]
-    begin = _runs_of(row) if len(row) else np.zeros(0, np.int64)
+    begin = runs_of(row) if len(row) else np.zeros(0, np.int64)
     return {int(row[b]): part for b, part in zip(begin, np.split(pairs, begin[1:]))} if len(row) else {}
 
 
 def _open_windows(docs: pa.Table, known: pa.Table, read: Reader, shape: Shape) -> pa.Table:
-    """Repeats pass; contexts to be opened become one row per window."""
+    """Repeats, put together, and one row per window of the contexts to be opened."""
     kind = known.column("kind").to_numpy()
-    passed = known.filter(pa.array(kind == REPEAT))
-    out = [rows_of(k=passed.column("row").to_numpy(), row=passed.column("row").to_numpy(), pos=passed.column("pos").to_numpy(), n=passed.column("n").to_numpy(), kind=np.full(passed.num_rows, REPEAT))]
+    out = [_merged(known.filter(pa.array(kind == REPEAT)))]
     opened = known.filter(pa.array(kind == WINDOW))
     salted = {}
     for r, p, s in zip(*(opened.column(c).to_pylist() for c in ("row", "pos", "salt"))):
@@ -374,13 +430,14 @@ def context_rows(piece: Piece, rows: np.ndarray, chosen: np.ndarray, hot: np.nda
     """One CONTEXT row for each chosen run of a piece; ``rows`` are the keys of its texts."""
     k, row = piece.phrases()[chosen], rows[piece.run_text[chosen]] if len(chosen) else np.zeros(0, np.int64)
     first = piece.run_first[chosen]
+    left, right = piece.sides(chosen) if len(chosen) else (first, first)
     begin = piece.first[:-1][piece.run_text[chosen]] if len(chosen) else first
     return rows_of(
         k=k,
         salt=np.where(np.isin(k, hot), row % SALTS, -1),
         row=row,
         pos=first - begin,
-        n=piece.run_last[chosen] - first + 1,
+        n=piece.run_last[chosen] - first + 1 + SIDES * (left + SIDES * right),
         kind=np.full(len(k), CONTEXT),
         c=piece.contexts()[chosen],
     )

@@ -68,7 +68,7 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
         raise ValueError(f"a window needs {PHRASE} words or more")
     shape = Shape(width, PHRASE)
 
-    def locate(docs: pa.Table, phrases: np.ndarray, hot: np.ndarray) -> pa.Table:
+    def locate(docs: pa.Table, phrases: np.ndarray, hot: np.ndarray, shape: Shape) -> pa.Table:
         out = [rows_of(k=np.zeros(0, np.int64))]
         if len(phrases):
             automaton = compile_automaton(phrases)

@@ -204,9 +204,9 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50) -> DataFrame:
     """
     if width < PHRASE:
         raise ValueError(f"a window needs {PHRASE} bytes or more")
-    shape = Shape(width, PHRASE, within=False, piece_bytes=3 << 19)
+    shape = Shape(width, PHRASE, within=False, piece_bytes=3 << 19, bits=60)
 
-    def locate(docs: pa.Table, phrases: np.ndarray, hot: np.ndarray) -> pa.Table:
+    def locate(docs: pa.Table, phrases: np.ndarray, hot: np.ndarray, shape: Shape) -> pa.Table:
         out, block = [rows_of(k=np.zeros(0, np.int64))], Block(width)
         for texts, rows in pieces(docs, shape.piece_bytes) if len(phrases) else ():
             piece = read_bytes(texts, shape)

@@ -100,7 +100,7 @@ def test_parts_of_long_runs_are_marked_open():
 
 def test_hot_sample_finds_common_phrases(spark):
     rows = [(i, "the same eight words stand in each document " * 3 + str(i), "en", "a", 1) for i in range(60)]
-    placed, _ = passages.sharded(table(spark, rows))
+    placed, _, _ = passages.sharded(table(spark, rows))
     hot = passages.hot_phrases(placed, phrase_automata.read_words, passages.Shape(20, phrase_automata.PHRASE))
     assert len(hot) > 0
     assert words_found(table(spark, rows)) == by_words(rows, 20)
