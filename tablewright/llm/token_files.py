@@ -33,9 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablewright.llm.graph import small_batches
 from tablewright.llm.text_arrays import Words, in_pieces, texts_of
 
 BLOCK_IDS = 4096
+PIECE_BYTES = 4 << 20
+MARK = "\x02"
 
 SEGMENT = (
     "shard int, segment int, bits int, n_ids bigint, doc_ids array<bigint>, n_tokens array<bigint>, "
@@ -92,6 +95,7 @@ class TextEncoder:
     ``separable`` tells that the vocabulary's pre-tokenizer drops blanks and cuts between letters and
     marks. Then each distinct word is encoded once and its ids are gathered, which gives the ids of
     the whole text; a final full stop or comma after an ASCII letter counts as a word of its own.
+    New words go to the tokenizer by the hundred, with a mark between them that is a token of its own.
     At most ``kept_words`` words are remembered; a full memory is emptied.
     """
 
@@ -100,6 +104,8 @@ class TextEncoder:
 
         self.tokenizer, self.separable, self.kept_words = Tokenizer.from_file(path), separable, kept_words
         self.vocabulary = self.tokenizer.get_vocab_size()
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if separable and len(mark) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
@@ -112,6 +118,18 @@ class TextEncoder:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())), lengths
 
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, as many at a time as make the calls cheap."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        if self.mark is None or any(MARK in t for t in texts):
+            return self._encode(texts)
+        joined = [f" {MARK} ".join(texts[i : i + 200]) + f" {MARK}" for i in range(0, len(texts), 200)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        marks = np.flatnonzero(ids == self.mark)
+        if len(marks) != len(texts):  # the mark's id is also part of a word
+            return self._encode(texts)
+        return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of ids of each text."""
         if not self.separable:
@@ -138,7 +156,7 @@ class TextEncoder:
         place = self.place
         new = [w for w in distinct if w not in place]
         if new:
-            ids, lengths = self._encode([w.decode("utf-8", "replace") for w in new])
+            ids, lengths = self._encode_words(new)
             place.update(zip(new, range(len(place), len(place) + len(new))))
             self.chunks.append(ids)
             self.lengths = np.concatenate([self.lengths, lengths])
@@ -179,6 +197,7 @@ def write_token_files(
     and written in pieces of about 4 MB of text, whatever its size.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    small_batches(docs.sparkSession)
     order = ["doc_id", "tie"]
     dealt = keyed.repartitionByRange(shards, *order) if shards else keyed.repartitionByRange(*order)
 
@@ -191,7 +210,7 @@ def write_token_files(
         encode = encoder(tokenizer, separable)
         bits = bits_for(max(encode.vocabulary, end_id + 1))
         shard = TaskContext.get().partitionId()
-        for segment, piece in enumerate(in_pieces(batches)):
+        for segment, piece in enumerate(in_pieces(batches, limit=PIECE_BYTES)):
             ids, lengths = with_end(*encode(texts_of(piece.column("text"))), end_id)
             offsets, payload = pack(ids, bits)
             yield pa.RecordBatch.from_arrays(
