@@ -275,7 +275,7 @@ def _(t):
     "audit_join_lookup",
     """
     SELECT e.event_id, coalesce(a.tablename, e.event_type) AS table_name, CAST(e.user_id AS VARCHAR) AS base_id,
-      c.c_name, n.n_name, 'http://localhost/#tab=customer&id=' || CAST(e.user_id AS VARCHAR) AS url
+      c.c_name, n.n_name, 'app:/customers/' || CAST(e.user_id AS VARCHAR) AS url
     FROM events e
     LEFT JOIN (SELECT DISTINCT event_type AS relid, 'customer' AS tablename FROM events
                WHERE event_type IN ('click', 'error')) a ON a.relid = e.event_type
@@ -297,7 +297,7 @@ def _(t):
         alias,
         t("customer"),
         t("nation"),
-        "http://localhost/#tab=customer&id=",
+        "app:/customers/",
         base_key="c_custkey",
         base_link="c_nationkey",
         lookup_key="n_nationkey",
