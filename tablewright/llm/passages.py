@@ -243,10 +243,17 @@ def hot_phrases(docs: DataFrame, read: Reader, shape: Shape) -> np.ndarray:
     return np.array(sorted(r["k"] for r in rows), np.int64)
 
 
-def recurring(rows: DataFrame) -> DataFrame:
-    """shard, k: the phrases named more than once, once for each shard that holds them."""
+def recurring(rows: DataFrame, shards: int, bits: int) -> DataFrame:
+    """shard, k: the phrases named more than once, once for each shard that holds them.
+
+    Where phrase, shard and the mark of a hot phrase fit into one long, they are shuffled as one.
+    """
+    low = max(1, (shards - 1).bit_length()) + 1
+    packed = bits + low <= 62
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if packed:
+            batches = map(_unpacked(low), batches)
         for now, before, after in _whole_runs(batches, ["k", "salt"]):
             begin = runs_of(now["k"], now["salt"])
             size = np.diff(np.append(begin, len(now["k"])))
@@ -256,10 +263,26 @@ def recurring(rows: DataFrame) -> DataFrame:
             keep &= new
             yield pa.RecordBatch.from_arrays([pa.array(now["shard"][keep], pa.int32()), pa.array(now["k"][keep])], ["shard", "k"])
 
+    if packed:
+        hot = (F.col("salt") >= 0).cast("long")
+        key = F.shiftleft("k", low) + F.col("shard").cast("long") * 2 + hot
+        one = rows.select(key.alias("key"))
+        to = F.when(F.col("key") % 2 == 1, F.col("key")).otherwise(F.shiftright("key", low))
+        return one.repartition(to).sortWithinPartitions("key").mapInArrow(run, "shard int, k long")
     ordered = rows.repartition("k", "salt").sortWithinPartitions("k", "salt", "shard")
     return ordered.mapInArrow(run, "shard int, k long")
 
 
+def _unpacked(low: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def split(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key = batch.column("key").to_numpy(zero_copy_only=False)
+        shard = (key >> 1) & ((1 << (low - 1)) - 1)
+        salt = np.where(key & 1, shard, -1)
+        return pa.RecordBatch.from_arrays([pa.array(key >> low), pa.array(salt), pa.array(shard)], ["k", "salt", "shard"])
+
+    return split
+
+
 def resolve_contexts(rows: DataFrame, shards: int, within: bool) -> DataFrame:
     """shard, row, pos, n, kind: contexts that are repeats, and contexts whose windows must be compared.
 
@@ -366,7 +389,7 @@ def find_repeats(
     def open_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         return _open_windows(left.sort_by("_row"), right, read, shape)
 
-    phrases = recurring(anchors(placed, read, shape, hot))
+    phrases = recurring(anchors(placed, read, shape, hot), shards, shape.bits)
     contexts = texts.cogroup(phrases.groupBy("shard")).applyInArrow(find, ROW)
     known = resolve_contexts(contexts, shards, shape.within)
     rows = texts.cogroup(known.groupBy("shard")).applyInArrow(open_windows, ROW)
