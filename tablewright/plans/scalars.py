@@ -226,6 +226,36 @@ def _(t):
     )
 
 
+@query(
+    "lsn_directions",
+    f"""
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, lsn AS from_hex, lsn AS from_binary,
+      a || printf('%010d%05d', b, c) AS dec_from_hex, CASE WHEN wide OR c > 99999 THEN 'Error' ELSE 'CORRECT' END AS verdict
+    FROM (SELECT *, l_linenumber = 7 AS wide FROM ({LSN_SQL}))
+    """,
+)
+def _(t):
+    """Hexadecimal and binary numbers back to text; a slot of more than five digits does not survive."""
+    number = [F.col("l_orderkey") * 31, F.col("l_partkey"), F.col("l_suppkey") * 300 + F.col("l_linenumber")]
+    text = F.concat_ws(":", *[F.lower(F.lpad(F.hex(n), w, "0")) for n, w in zip(number, (8, 8, 4))])
+    rows = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", text.alias("lsn"))
+    wide = F.concat_ws(":", *[F.lower(F.lpad(F.hex(n), w, "0")) for n, w in zip([*number[:2], number[2] + 100_000], (8, 8, 5))])
+    both = rows.withColumn("as_hex", lsn.lsn_convert("lsn", "text", "hex")).withColumn(
+        "as_binary", lsn.lsn_convert("lsn", "text", "binary")
+    )
+    checked = F.when(F.col("l_linenumber") == 7, wide).otherwise(F.col("lsn"))
+    return both.select(
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
+        "l_linenumber",
+        lsn.lsn_convert("as_hex", "hex", "text").alias("from_hex"),
+        lsn.lsn_convert("as_binary", "binary", "text").alias("from_binary"),
+        lsn.lsn_convert("as_hex", "hex", "dec").alias("dec_from_hex"),
+        lsn.lsn_check(checked).alias("verdict"),
+    )
+
+
 STOP_WORDS = ["the", "is", "of", "and", "le", "la"]
 WORDS_SQL = r"[w for w in string_split_regex(lower(text), '[^\pL\pN]+') if w <> '']"
 

@@ -17,7 +17,7 @@ from tablewright.operators.aggregates import query_to_json
 from tablewright.plans.registry import query
 from tablewright.session import scratch_path
 from tablewright.sources import tables as src
-from tablewright.sources.text import dump_line_filter, text_lines_numbered
+from tablewright.sources.text import copy_dump, dump_line_filter, text_lines_numbered
 
 LINES_SQL = """
   SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS BIGINT) AS line_no, unnest(parts) AS line
@@ -148,6 +148,56 @@ def _(t):
     return flt.regex_filter(t("documents"), "text", r"(^|[^\pL])(the|is) [a-z]+ing([^\pL]|$)").select("doc_id", "lang")
 
 
+@query(
+    "text_file_lines",
+    f"SELECT line, count(*) AS cnt, true AS numbered FROM ({LINES_SQL}) GROUP BY 1",
+)
+def _(t):
+    """Texts written as files and read back line by line; the numbers of a file have no gap."""
+    path = scratch_path(t.spark, "lines")
+    t("documents").select("text").where("text IS NOT NULL").write.text(path)
+    lines = text_lines_numbered(path, spark=t.spark)
+    files = lines.groupBy("file").agg((F.max("line_no") + 1 == F.countDistinct("line_no")).alias("whole"))
+    sound = files.agg(F.bool_and("whole").alias("numbered"))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("cnt")).crossJoin(F.broadcast(sound))
+
+
+@query(
+    "dump_copy_packed",
+    f"SELECT line, count(*) AS cnt FROM ({LINES_SQL}) WHERE NOT regexp_matches(line, '[0-9]') GROUP BY 1",
+)
+def _(t):
+    """A text dump copied without some lines, packed, and read back."""
+    path, target = scratch_path(t.spark, "dump"), scratch_path(t.spark, "dump-copy")
+    t("documents").select("text").where("text IS NOT NULL").write.text(path)
+    copy_dump(t.spark, path, target, "[0-9]")
+    return t.spark.read.text(target).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query("numbered_files", "SELECT * FROM orders")
+def _(t):
+    """Stored tables house1, house2, ... put together again; others in the folder are left alone."""
+    path = scratch_path(t.spark, "houses")
+    orders = t("orders")
+    for number, status in enumerate(("F", "O", "P"), 1):
+        orders.where(F.col("o_orderstatus") == status).write.parquet(f"{path}/house{number}")
+    orders.limit(5).write.parquet(f"{path}/housekeeping")
+    return src.read_numbered_files(t.spark, path, "house")
+
+
+@query(
+    "none_equal_filter",
+    """
+    SELECT o_custkey, len(statuses) AS n FROM (
+      SELECT o_custkey, list(DISTINCT o_orderstatus) AS statuses FROM orders GROUP BY 1)
+    WHERE NOT list_contains(statuses, 'P')
+    """,
+)
+def _(t):
+    held = t("orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("statuses"))
+    return flt.none_equal_filter(held, "statuses", "P").select("o_custkey", F.size("statuses").cast("bigint").alias("n"))
+
+
 @query(
     "in_list_filter",
     "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') "
