@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.graph import small_batches
-from tablewright.llm.text_arrays import NON_ALNUM, Words, byte_prefix, in_pieces, span_hash, texts_of
+from tablewright.llm.text_arrays import NON_ALNUM, Words, byte_prefix, give_back, in_pieces, span_hash, texts_of
 
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN = 1 << 13, 1 << 14, 12, 8
@@ -313,7 +313,9 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0) -> bytes:
     def run(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values("doc_id")
         texts = [(t or "").encode() for t in sample["text"]]
-        return pd.DataFrame({"weights": [pickle.dumps(train(texts, sample["toxic"].to_numpy(), seed))]})
+        weights = pickle.dumps(train(texts, sample["toxic"].to_numpy(), seed))
+        give_back()
+        return pd.DataFrame({"weights": [weights]})
 
     sample = training_sample(docs, labels).withColumn("all", F.lit(1))
     found = sample.groupBy("all").applyInPandas(run, "weights binary").collect()
@@ -321,14 +323,14 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0) -> bytes:
 
 
 def score(docs: DataFrame, weights: bytes, column: str = "score") -> DataFrame:
-    """``docs`` with their score in ``column``; every text is read whole, in pieces of about 3 MB."""
+    """``docs`` with their score in ``column``; every text is read whole, in pieces of about 1.5 MB."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     names = [c for c in docs.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(pickle.loads(shared.value))
-        for piece in in_pieces(batches, limit=3 << 20):
+        for piece in in_pieces(batches, limit=3 << 19):
             scores = scorer(texts_of(piece.column("text")))
             yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), pa.array(scores, pa.float64())], [*names, column])
 
