@@ -9,6 +9,7 @@ from tablewright.session import scratch_path
 
 
 ROWS_PER_BATCH, COMMON_ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+BYTES_PER_BATCH, COMMON_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -17,6 +18,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(ROWS_PER_BATCH, "1000")
 
 
+def few_bytes(spark: SparkSession) -> None:
+    """Hand large rows to Python tasks by 8 MB, unless the session has chosen another number."""
+    if spark.conf.get(BYTES_PER_BATCH, COMMON_BYTES) == COMMON_BYTES:
+        spark.conf.set(BYTES_PER_BATCH, str(8 << 20))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage ends there."""
     path = scratch_path(df.sparkSession, name)

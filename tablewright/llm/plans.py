@@ -17,7 +17,7 @@ from tablewright.llm.decontamination import find_contamination
 from tablewright.llm.mixing import Mix
 from tablewright.llm.near_duplicates import near_duplicates
 from tablewright.llm.phrase_automata import remove_repeats
-from tablewright.llm.ranked_search import build_index, likeness_queries, search
+from tablewright.llm.ranked_search import build_index, document_queries, search_documents
 from tablewright.llm.sharding import shard_dataset, shard_digest
 from tablewright.llm.suffix_arrays import remove_repeated_bytes
 from tablewright.llm.token_files import token_index, write_token_files
@@ -102,8 +102,7 @@ def op5_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
 def op8_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     index = build_index(docs)
-    queries, held = likeness_queries(docs.where("doc_id % 20 = 0"), index, terms=12)
-    found = search(index, queries, held, k=10)
+    found = search_documents(index, document_queries(docs.where("doc_id % 20 = 0"), index), k=10)
     return found.select(F.col("query").alias("doc_id"), "rank", F.col("doc_id").alias("match_id"), "score")
 
 
