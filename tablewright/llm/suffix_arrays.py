@@ -14,9 +14,10 @@ Only text that may repeat enters a suffix array: windows whose phrase recurs in
   compared at a time.
 
 Windows that share ``width`` bytes are neighbours in the suffix array, so all but the first of them
-are known repeats within the block. What is first in its block is merged across blocks and shards:
-its contexts are cut into key ranges, sorted, and each is looked up by binary search among those of
-the same key (step 3 and 4 of :mod:`tablewright.llm.passages`).
+are known repeats within the block. No suffix array crosses a block: what is first in its
+block is resolved across blocks and shards by fingerprints, contexts and windows dealt out by hash and
+compared by their hashes (steps 3 and 4 of :mod:`tablewright.llm.passages`). Sorted suffixes are not
+merged by key ranges.
 
 A document may repeat itself: a string that starts earlier in the same document only does not count,
 so windows whose earlier copies all lie in the same document stay.
