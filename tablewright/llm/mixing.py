@@ -1,7 +1,8 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
 The words of a source are laid out as a stream: its documents in a seeded hash order, cut into blocks
-of ``block_words`` words (the last one may be shorter). A schedule of slots says which source gives
+of ``block_words`` words (the last one may be shorter), or of an eighth of the source's target where that
+is less, so that rounding to whole blocks leaves no source with a target of a word or more out. A schedule of slots says which source gives
 the next block: slot s of 2^m maps the van der Corput point of s (its bits reversed) through the
 cumulative weights of the sources. A weight is the whole number of blocks that the source's target
 needs, so over the whole schedule every source gets exactly its blocks, and over any part of it nearly
@@ -29,6 +30,7 @@ from tablewright.session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 SLOTS_PER_PART = 1 << 14
 MOST_BROADCAST = 100_000
+LEAST_SLOTS = 8
 
 
 def _tie(docs: DataFrame) -> Column:
@@ -97,15 +99,17 @@ def stream(docs: DataFrame, counts: DataFrame, seed: int = 0, rows_per_part: int
 
 
 def block_plan(goals: DataFrame, block_words: int) -> DataFrame:
-    """Goals with ``blocks`` (blocks in one pass over the source), ``slots`` (blocks to take) and
-    ``low``, the first of its points among all slots."""
+    """Goals with ``block_words`` (the words of a block of the source), ``blocks`` (blocks in one pass over
+    the source), ``slots`` (blocks to take) and ``low``, the first of its points among all slots."""
+    words = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("target") / LEAST_SLOTS))).cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("target") - F.col("passes") * F.col("source_size")
     before = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        goals.withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
+        goals.withColumn("block_words", words)
+        .withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("long"))
         .withColumn("passes", passes)
-        .withColumn("slots", F.col("passes") * F.col("blocks") + F.round(rest / block_words).cast("long"))
+        .withColumn("slots", F.col("passes") * F.col("blocks") + F.round(rest / F.col("block_words")).cast("long"))
         .withColumn("low", F.coalesce(F.sum("slots").over(before), F.lit(0)))
         .drop("passes")
     )
@@ -169,13 +173,14 @@ class Mix:
         self.schedule = schedule(plan, max(0, (slots - 1).bit_length()))
         stream(sized, plan.select("source", "rows"), seed).write.parquet(f"{path}/docs")
         self.docs = spark.read.parquet(f"{path}/docs")
-        self.block_words = block_words
-        first = F.floor(F.col("start") / block_words)
-        last = F.floor((F.col("start") + F.col("size") - 1) / block_words)
+        self.block_words = plan.select("source", "block_words")
+        of_source = F.col("block_words")
+        first = F.floor(F.col("start") / of_source)
+        last = F.floor((F.col("start") + F.col("size") - 1) / of_source)
         block = F.explode(F.sequence(first, last))
-        begin = F.greatest(F.col("start"), F.col("block") * block_words)
-        end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-        self.members = self.docs.where("size > 0").withColumn("block", block).withColumn("words", end - begin)
+        begin = F.greatest(F.col("start"), F.col("block") * of_source)
+        end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * of_source)
+        self.members = with_source(self.docs.where("size > 0"), self.block_words).withColumn("block", block).withColumn("words", end - begin)
 
     def _used(self, rows: DataFrame) -> DataFrame:
         """Rows (source, block) with ``uses``, how often the schedule takes the block; null for never."""
@@ -192,7 +197,7 @@ class Mix:
         by (doc_id, hash of the row); rows that agree in all columns share their repeats.
         """
         copies = (
-            self._used(self.docs.withColumn("block", F.floor(F.col("start") / self.block_words)))
+            self._used(with_source(self.docs, self.block_words).withColumn("block", F.floor(F.col("start") / F.col("block_words"))))
             .where("uses > 0")
             .groupBy("doc_id", "tie")
             .agg(F.sum("uses").alias("uses"))
