@@ -6,14 +6,16 @@ operator made.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.chat_format import fit as fit_transcripts
 from tablewright.llm.chat_format import parse
 from tablewright.llm.decontamination import find_contamination
+from tablewright.llm.merkle_manifest import folded, hex_text, merkle_manifest, proof_text
 from tablewright.llm.mixing import Mix
 from tablewright.llm.near_duplicates import near_duplicates
 from tablewright.llm.phrase_automata import remove_repeats
@@ -129,3 +131,86 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     known = raw.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 3 != 1)
     turns = parse(raw.drop("role"), fit_transcripts(known))
     return turns.select("conv_id", "turn", "role", "n_lines", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
+def lower_a_to_z(text: Column) -> Column:
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def number_hash(number: Column) -> Column:
+    """Unsigned crc32 of the decimal form."""
+    return F.crc32(number.cast("string").cast("binary"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.when(number_hash(F.col("doc_id")) % 3 == 0, lower_a_to_z(F.col("text"))).otherwise(F.col("text"))
+    proofs = merkle_manifest(table(spark, folder, "documents"), found={"text": tampered})
+    named = proofs.select(
+        "doc_id", *[hex_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        F.sha2(proof_text(F.col("proof")), 256).alias("proof_sha256"),
+        folded(F.col("found_leaf"), F.col("proof")).alias("folded_root"),
+    )
+    return named.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_sql(levels: int = 7, forest: int = 3, fan: int = 8) -> str:
+    """The manifest level by level, for trees of up to ``fan ** levels`` leaves."""
+
+    def fields(text: str) -> str:
+        names = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+        return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in names) + ")"
+
+    crc = (
+        "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), "
+        "lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), "
+        "lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)))"
+    )
+    lowered = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    parts = [
+        f"hashed AS (SELECT doc_id, lang, {fields('text')} AS leaf, "
+        f"CASE WHEN {crc} % 3 = 0 THEN {fields(lowered)} ELSE {fields('text')} END AS fold FROM documents)",
+        "d0 AS (SELECT doc_id, coalesce('=' || lang, '-') AS tree, lang, row_number() OVER (PARTITION BY lang "
+        "ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf, fold, '' AS proof FROM hashed)",
+        "n0 AS (SELECT tree, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM d0)",
+    ]
+
+    def level(k: int, nodes: str, docs: str) -> None:
+        group = f"CASE WHEN n > 1 THEN i // {fan} ELSE i END"
+        parts.append(
+            f"{nodes}s{k} AS (SELECT a.tree, a.i, any_value(a.n) AS n, "
+            "coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, "
+            "coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r "
+            f"FROM {nodes}{k} a JOIN {nodes}{k} b ON a.tree = b.tree AND a.i // {fan} = b.i // {fan} GROUP BY a.tree, a.i)"
+        )
+        parts.append(
+            f"{nodes}{k + 1} AS (SELECT tree, i, h, count(*) OVER (PARTITION BY tree) AS n FROM (SELECT tree, {group} AS i, "
+            "CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h "
+            f"FROM {nodes}{k} GROUP BY tree, {group}))"
+        )
+        more = "" if nodes == "n" else ", d.subroot"
+        parts.append(
+            f"{docs}{k + 1} AS (SELECT d.doc_id, d.tree, d.lang, CASE WHEN s.n > 1 THEN d.i // {fan} ELSE d.i END AS i, d.leaf, "
+            "CASE WHEN s.n > 1 THEN sha256(s.l || d.fold || s.r) ELSE d.fold END AS fold, d.proof || s.l || s.r AS proof"
+            f"{more} FROM {docs}{k} d JOIN {nodes}s{k} s ON d.tree = s.tree AND d.i = s.i)"
+        )
+
+    for k in range(levels):
+        level(k, "n", "d")
+    parts.append(
+        f"f0 AS (SELECT '' AS tree, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n, lang "
+        f"FROM (SELECT DISTINCT lang, h FROM n{levels} JOIN (SELECT DISTINCT tree, lang FROM d0) USING (tree)))"
+    )
+    parts.append(
+        f"e0 AS (SELECT doc_id, '' AS tree, d.lang, f0.i, leaf, fold, proof, f0.h AS subroot FROM d{levels} d "
+        "JOIN f0 ON d.lang IS NOT DISTINCT FROM f0.lang)"
+    )
+    for k in range(forest):
+        level(k, "f", "e")
+    return (
+        f"WITH {', '.join(parts)} SELECT e.doc_id, e.leaf, e.subroot, f.h AS root, sha256(e.proof) AS proof_sha256, "
+        f"e.fold AS folded_root, e.fold = f.h AS verified FROM e{forest} e, f{forest} f"
+    )
+
+
+ORACLES["op12_merkle_manifest"] = _merkle_sql()
