@@ -18,6 +18,7 @@ from tablewright.llm.decontamination import find_contamination
 from tablewright.llm.merkle_manifest import folded, hex_text, merkle_manifest, proof_text
 from tablewright.llm.mixing import Mix
 from tablewright.llm.near_duplicates import near_duplicates
+from tablewright.llm.periodic_runs import periodic_runs
 from tablewright.llm.phrase_automata import remove_repeats
 from tablewright.llm.ranked_search import build_index, document_queries, search_documents
 from tablewright.llm.sharding import shard_dataset, shard_digest
@@ -214,3 +215,39 @@ def _merkle_sql(levels: int = 7, forest: int = 3, fan: int = 8) -> str:
 
 
 ORACLES["op12_merkle_manifest"] = _merkle_sql()
+
+
+def with_planted_periods(docs: DataFrame) -> Column:
+    """The text in which, for every tenth hash of doc_id, the words from word a on repeat with period p."""
+    h = number_hash(F.col("doc_id"))
+    g = F.expr("crc32(cast(cast(doc_id AS string) AS binary)) div 10")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    split = F.struct(words.alias("words"), g.alias("g"))
+
+    def planted(x: Column) -> Column:
+        n = F.size(x["words"]).cast("long")
+        a = F.pmod(x["g"], F.greatest(n, F.lit(1)))
+        p = 1 + F.floor((n - a) / (3 + x["g"] % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        moved = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(x["words"], place(i)))
+        return F.when(n > 0, F.array_join(moved, " ")).otherwise("")
+
+    return F.when(h % 10 == 0, F.get(F.transform(F.array(split), planted), F.lit(0))).otherwise(F.col("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = periodic_runs(docs, with_planted_periods(docs))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        (-F.col("longest.less")).alias("length"),
+        F.col("longest.period").alias("period"),
+        F.expr("(-1000 * longest.less) div longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

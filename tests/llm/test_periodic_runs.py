@@ -1,0 +1,137 @@
+"""Runs against a comparison of every text with itself at every distance."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tablewright.llm import periodic_runs as runs
+from tablewright.llm import plans
+from tests.llm.data import documents, odd_rows, table
+
+
+def plain_runs(words):
+    """(start, length, period) of every run, by start, then period."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    w, found, seen = np.array([number[x] for x in words], np.int64), [], set()
+    for p in range(1, len(w) // 2 + 1):
+        unequal = np.concatenate([[-1], np.flatnonzero(w[p:] != w[:-p]), [len(w) - p]])
+        for a, b in zip(unequal, unequal[1:]):
+            start, end = int(a) + 1, int(b) + p
+            if end - start >= max(12, 2 * p) and b > a + 1 and (start, end) not in seen:
+                seen.add((start, end))
+                found.append((start, end - start, p))
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def plain_row(doc_id, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = len(words)
+    if doc_id is not None and n and (h := zlib.crc32(str(doc_id).encode())) % 10 == 0:
+        a, g = (h // 10) % n, h // 10
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i if i < a else a + (i - a) % p] for i in range(n)]
+    found = plain_runs(words)
+    gone = {i for s, size, p in found for i in range(s + p, s + size)}
+    best = min(((-size, s, p) for s, size, p in found), default=None)
+    longest = (best[1], -best[0], best[2], -best[0] * 1000 // best[2]) if best else (None,) * 4
+    lines = "".join(f"{s},{size},{p}\n" for s, size, p in found)
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    return (doc_id, len(found), *longest, *[hashlib.sha256(x.encode()).hexdigest() for x in (lines, kept)])
+
+
+def odd_texts():
+    rng = random.Random(5)
+    line = [f"w{i}" for i in range(9)]
+    fibonacci = ["a", "ab"]
+    for _ in range(12):
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    texts = [
+        "same " * 3000, "a b " * 700 + "a", " ".join(fibonacci[-1]), " ".join(line * 40), "x " * 11, "x " * 12,
+        "a b c d e f " * 2, "a b c d e " * 2 + "a b", "a b c d e " * 2 + "a", "\x1c \x85 \xa0 " * 9, "ä ö\t" * 12, "  é " * 8,
+        " ".join(w for i in range(60) for w in [*line, str(i)]),
+    ]
+    for v in (1, 2, 3, 6):
+        texts += [" ".join(f"v{rng.randrange(v)}" for _ in range(n)) for n in (30, 200, 900)]
+    unit = [f"u{rng.randrange(300)}" for _ in range(1500)]
+    return [*texts, " ".join(unit * 3 + unit[:100]), None, "", " \n "]
+
+
+@pytest.mark.parametrize("name", ["documents", "odd rows", "odd texts", "copies", "empty"])
+def test_query_equals_comparison_at_every_distance(spark, tmp_path, name):
+    rows = {
+        "documents": documents(4, 90), "odd rows": odd_rows(), "empty": [],
+        "odd texts": [(i, t, "en", "a", 1) for i, t in enumerate(odd_texts())],
+        "copies": [(i % 3, "one two three " * 8, "en", "a", 1) for i in range(400)],
+    }[name]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = plans.op13_periodic_runs(spark, str(tmp_path))
+    assert [t for _, t in got.dtypes] == ["bigint"] * 6 + ["string"] * 2
+    want = [plain_row(r[0], r[1]) for r in rows]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def random_text(rng):
+    v = rng.choice([1, 2, 2, 3, 5, 40])
+    words = [f"w{rng.randrange(v)}" for _ in range(rng.randrange(0, rng.choice([15, 60, 200])))]
+    kind = rng.randrange(5)
+    if kind == 0 and words:
+        a = rng.randrange(len(words))
+        p = rng.randrange(1, len(words) - a + 1)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(len(words))]
+    elif kind == 1:
+        unit = words[: rng.randrange(1, 9)]
+        words = (words + unit * rng.randrange(2, 9) + words[:5]) * rng.randrange(1, 4)
+    elif kind == 2:
+        unit = words[:12] * 2 + ["x"]
+        words = unit * 3 + words + unit + ["y"] + unit
+    return words
+
+
+@pytest.mark.parametrize("portion", [1 << 19, 3])
+def test_random_texts(monkeypatch, portion):
+    """Pieces of several texts; small portions of candidates change nothing."""
+    monkeypatch.setattr(runs, "CANDIDATES", portion)
+    rng, total = random.Random(portion), 0
+    for _ in range(60 if portion > 3 else 10):
+        texts = [random_text(rng) for _ in range(rng.randrange(1, 7))]
+        words, numbers, first = runs.numbered([" ".join(t).encode() for t in texts])
+        start, end, period = runs.runs_of(numbers, first)
+        for i, of_text in enumerate(words):
+            mine = (start >= first[i]) & (start < first[i + 1])
+            got = list(zip((start[mine] - first[i]).tolist(), (end - start)[mine].tolist(), period[mine].tolist()))
+            assert got == plain_runs(of_text)
+            total += len(got)
+    assert total > 50
+
+
+def test_grammar_is_complete_and_short():
+    """Each place of a nonterminal has its words, and a power needs few borders."""
+    words = np.array(([0, 1, 2] * 700) + list(range(3, 40)) + [0, 1, 2] * 50)
+    rules = runs.re_pair(words)
+    assert len(rules.first) and (rules.first < rules.middle).all() and (rules.middle < rules.end).all()
+    for rule, place in zip(rules.rule, rules.place):
+        size = rules.end[rule] - rules.first[rule]
+        assert (words[place : place + size] == words[rules.first[rule] : rules.end[rule]]).all()
+    assert rules.starts.sum() < 37 + 40
+
+
+def test_runs_come_from_the_grammar(monkeypatch):
+    """Without its nonterminals, runs inside them are not found."""
+    words, numbers, first = runs.numbered([("a b c d " * 64 + "x y z " + "e f g h " * 64).encode()])
+    assert len(runs.runs_of(numbers, first)[0]) == 2
+    whole = runs.re_pair(numbers)
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(runs, "re_pair", lambda w: whole._replace(first=none, middle=none, end=none, rule=none, place=none, starts=whole.starts & False))
+    assert len(runs.runs_of(numbers, first)[0]) == 0
+
+
+def test_other_columns_and_names(spark):
+    df = spark.createDataFrame([(1, "x " * 13, "r", "t"), (None, None, None, None)], "`a.b` long, Body string, runs string, text string")
+    got = runs.periodic_runs(df, "Body", key="a.b").collect()
+    assert [(r["a.b"], r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in sorted(got, key=lambda r: r.n_words)] == [
+        (None, 0, [], ""), (1, 13, [(0, 13, 1)], "x")
+    ]
