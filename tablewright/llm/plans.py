@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.chat_format import fit as fit_transcripts
 from tablewright.llm.chat_format import parse
 from tablewright.llm.decontamination import find_contamination
+from tablewright.llm.html_extraction import extract_main_text
 from tablewright.llm.merkle_manifest import folded, hex_text, merkle_manifest, proof_text
 from tablewright.llm.mixing import Mix
 from tablewright.llm.near_duplicates import near_duplicates
@@ -251,3 +252,9 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    texts = extract_main_text(table(spark, folder, "pages"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -1,0 +1,112 @@
+"""Main texts of pages whose article is known, in many layouts and states of repair."""
+
+import re
+import time
+from html import escape, unescape
+
+import pytest
+
+from tablewright.llm import plans
+from tablewright.llm.html_extraction import extract_main_text, main_text
+
+ONE = "The first paragraph, long enough to weigh something, tells of a river, its banks, and a bridge."
+TWO = "A second one follows, with “quotes” & signs < and >, and goes on about the bridge for a while, as such texts do."
+THREE = "Short end."
+BODY = [ONE, TWO, THREE]
+LINKS = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("Home", "News, local", "Sport", "About us"))
+COMMENT = "I do not agree, since bridges, in my view, are far too long, too wide, and too dear for a river of this size, "
+
+
+def paragraphs(texts=BODY):
+    return "".join(f"<p>{escape(t)}</p>" for t in texts)
+
+
+NOISE = f"""<nav><ul>{LINKS}</ul></nav><div class="cookie-notice"><p>We use cookies, as everybody does, to store things.</p></div>
+<aside><p>{COMMENT * 3}</p></aside><div id="sidebar-left"><p>{COMMENT * 3}</p></div><div class="ad">Buy, buy, buy!</div>
+<form action="/s"><label>Search</label><input name=q><p>{COMMENT * 4}</p></form><script>var a = "<p>{COMMENT}</p>";</script>
+<style>p{{a:b}}</style><noscript><p>{COMMENT}</p></noscript><div hidden><p>{COMMENT}</p></div>"""
+AFTER = f"""<section id="comments"><h2>Comments</h2><article class="comment"><p>{COMMENT * 9}</p></article></section>
+<div class="readerComments"><p>{COMMENT * 9}</p></div><footer><p>&copy; 2020, all rights, of all kinds, reserved.</p></footer>"""
+HEAD = "<!DOCTYPE html><html><head><title>T</title></head><body><header><h1>The Site</h1><p>News, views, and reviews.</p></header>"
+
+LAYOUTS = {
+    "article": f"{HEAD}{NOISE}<article><h1>Title</h1>{paragraphs()}</article>{AFTER}</body></html>",
+    "article with header": f"{HEAD}{NOISE}<main><article><header><h1>Title</h1></header>{paragraphs()}<footer>Tags</footer></article>{AFTER}</main>",
+    "main": f"{HEAD}{NOISE}<main><h1>Title</h1>{paragraphs()}{AFTER}</main></body></html>",
+    "boxes": f'{HEAD}<div id="page">{NOISE}<h1>Title</h1><div class="text">{paragraphs()}</div>{AFTER}</div>',
+    "a box each": f"{HEAD}<div id='page'><h1>Title</h1>" + "".join(f"<div><p>{escape(t)}</p></div>" for t in BODY) + f"{AFTER}</div>",
+    "named boxes": f'{HEAD}<div class="has-sidebar"><div class="post-content"><h1>Title</h1><section class=a>{paragraphs([ONE, TWO])}</section>'
+    f"<section class=b>{paragraphs([THREE])}</section></div>{NOISE}</div>{AFTER}",
+    "bare body": f"<body>{NOISE}<h1>Title</h1>{paragraphs()}{AFTER}",
+    "form around": f"<body><form id=f><h1>Title</h1><div>{paragraphs()}</div><input></form>",
+    "open advert": f"{HEAD}<div class=ad>Buy!<article><h1>Title</h1>{paragraphs()}</article>",
+    "table layout": f"<table><tr><td><ul>{LINKS}</ul><td><h1>Title</h1>{paragraphs()}</td></tr></table>",
+    "open ends": f"{HEAD}<ul class=menu>{LINKS}</ul><article><h1>Title<p><b>{escape(ONE)}<p><i>{escape(TWO)}<p>{THREE}</article>{AFTER}",
+    "odd tags": f"{HEAD}</div></p><ARTICLE CLASS='x y'><H1 >Title</H1 ><!-- <p>no</p> --><p title=\"a>b\">{escape(ONE)}</p>"
+    f"<p title=it's data-x='>'>{escape(TWO)}</b></p><P\n>{THREE}</P\n></ARTICLE>{AFTER}",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts(layout):
+    assert main_text(LAYOUTS[layout]).split("\n") == ["Title", *BODY]
+
+
+def test_blocks_white_space_and_references():
+    html = (
+        "<article><p>a&nbsp;&amp;amp; b\n\t c<br>d<b>e</b>f<!-- x -->g &lt;p&gt; &#x41;&#66; &eacute;&unknown; 1 < 2</p>"
+        "<ul><li>one<li>two <span>three</span></ul><table><tr><td>x<td>y</table><pre>k\n  l</pre>tail<blockquote>q</blockquote></article>"
+    )
+    assert main_text(html).split("\n") == [
+        "a &amp; b c defg <p> AB é&unknown; 1 < 2", "one", "two three", "x", "y", "k l", "tail", "q"
+    ]
+
+
+@pytest.mark.parametrize("html", [None, "", " \n ", "<nav><a href=/>x</a></nav>", "<!--", "<script>x", "<", "<p", "<p title='", "</", "<!", "<a href=\"x"])
+def test_nothing(html):
+    assert main_text(html) in ("", "<")
+
+
+def test_text_without_markup():
+    assert main_text("just  some text") == "just some text"
+
+
+def test_menus_inside_the_article_go_and_single_links_stay():
+    html = f"<article><h1>Title</h1><ul>{LINKS}</ul><p>{ONE} <a href=/>See</a> it.</p><p><a href=/>One link</a></p></article>"
+    assert main_text(html).split("\n") == ["Title", f"{ONE} See it.", "One link"]
+
+
+@pytest.mark.parametrize(
+    "unit", ["<div>", "<p>x", "<b>x", "</div>", "<!--", "<a href='", "<li>x<ul>", "<table><td>", "<title>", "< ", "<p>Yes.</p>", "<article>x", "&amp;<br>"]
+)
+def test_long_and_broken_pages_take_linear_time(unit):
+    begin = time.time()
+    main_text(unit * 60_000)
+    assert time.time() - begin < 15
+
+
+def test_deep_text_is_found():
+    assert main_text("<div>" * 30_000 + "deep, but found" + "</div>" * 30_000) == "deep, but found"
+
+
+def test_query_on_pages_of_one_template(spark):
+    """The given pages hold one article each, of headings and paragraphs: a pattern finds its text too."""
+    rows = plans.op11_html_extraction(spark, "/root/testdata/sf0.01").collect()
+    html = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    assert len(rows) == len(html) == 250
+    for r in rows:
+        inner = re.sub("</?b>", "", re.search("<article>(.*)</article>", html[r.page_id], re.S).group(1))
+        blocks = [" ".join(unescape(b.replace("<br>", " ")).split()) for b in re.split("</?(?:p|h1)>", inner)]
+        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_nulls_copies_names_and_no_rows(spark):
+    schema = "page_id long, url string, html string, text string, `a.b` int"
+    page = LAYOUTS["article"]
+    rows = [(1, "u", page, "other", 1), (1, "u", page, "other", 1), (None, None, None, None, None), (2, None, "", "", 2)]
+    found = sorted(map(tuple, extract_main_text(spark.createDataFrame(rows, schema)).collect()), key=repr)
+    text = "\n".join(["Title", *BODY])
+    assert found == [(1, "u", text), (1, "u", text), (2, None, ""), (None, None, "")]
+    named = extract_main_text(spark.createDataFrame(rows, schema), keys=("a.b",)).collect()
+    assert sorted((r["a.b"] or 0, r.text) for r in named) == [(0, ""), (1, text), (1, text), (2, "")]
+    assert extract_main_text(spark.createDataFrame([], schema)).collect() == []

@@ -96,7 +96,7 @@ def test_random_texts(monkeypatch, portion):
     """Pieces of several texts; small portions of candidates change nothing."""
     monkeypatch.setattr(runs, "CANDIDATES", portion)
     rng, total = random.Random(portion), 0
-    for _ in range(60 if portion > 3 else 10):
+    for _ in range(60 if portion > 3 else 25):
         texts = [random_text(rng) for _ in range(rng.randrange(1, 7))]
         words, numbers, first = runs.numbered([" ".join(t).encode() for t in texts])
         start, end, period = runs.runs_of(numbers, first)
