@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.stemming import with_stems
+
 from tablewright.functions.text import readable_size
 
 
@@ -81,8 +83,8 @@ def tsvector_tokens(
     """Search tokens of a text.
 
     Plain form: the sorted distinct words, as written, between white space. Position form: one row
-    per lower-case word with all its positions, stop words counted but left out. Words are not stemmed.
-    Everything happens inside the row of the text; no word is shuffled.
+    per lower-case word with all its positions, stop words counted but left out; :func:`tsvector_stems`
+    gives stems. Everything happens inside the row of the text; no word is shuffled.
     """
     if not positions:
         words = F.array_remove(F.split(F.col(text), r"\s+"), "")
@@ -109,6 +111,21 @@ def tsvector_tokens(
     return rows.select(id_col, F.inline(runs))
 
 
+def tsvector_stems(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str] = ()) -> DataFrame:
+    """Search tokens under their English stems: (id, lexeme, positions), stop words counted but left out.
+
+    Every distinct word of the table is stemmed once; a dictionary that is small enough is broadcast by
+    the optimizer. Positions are put together per text and stem within each task, then shuffled.
+    """
+    words = F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), "")
+    found = df.select(id_col, F.posexplode(words).alias("_at", "_word"))
+    if stop_words:
+        found = found.where(~F.col("_word").isin(*stop_words))
+    stems = with_stems(found.select(F.col("_word").alias("_known")).distinct(), "_known", "lexeme")
+    named = found.join(stems, F.col("_word") == F.col("_known"))
+    return named.groupBy(id_col, "lexeme").agg(F.sort_array(F.collect_list(F.col("_at") + 1)).alias("positions"))
+
+
 def metric_table(df: DataFrame, aggs: Mapping[str, Column]) -> DataFrame:
     """One row with named aggregates, as input for :func:`wide_to_long_metrics`."""
     return df.agg(*[c.alias(n) for n, c in aggs.items()])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.functions import lsn, predicates, text, versions
+from tablewright.functions import lsn, predicates, stemming, text, versions
 from tablewright.operators import arrays as arr
 from tablewright.plans.aggregates import interval_sql
 from tablewright.plans.registry import query
@@ -274,6 +274,62 @@ def _(t):
     return found.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
+def stems_sql(words: str) -> str:
+    """The published steps again, over a relation (word), one sub-select per step."""
+    some, more = "^[^aeiouy]*[aeiouy]+[^aeiouy]", "^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]"
+    single, short = "^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]*$", "[^aeiouy][aeiouy][^aeiouywxY]$"
+    has = "regexp_matches({}, '{}')".format
+    double = "|".join(f"{x}{x}$" for x in "bcdfghjkmnpqrtvwx")
+
+    def suffix(of, table, condition):
+        ends = f"regexp_extract({of}, '({'|'.join(sorted(table, key=len, reverse=True))})$', 1)"
+        # The longest suffix counts: alternatives at the earliest place.
+        rest = f"left({of}, length({of}) - length({ends}))"
+        cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table.items())
+        return f"CASE WHEN {ends} <> ''{f' AND {has(rest, condition)}' if condition else ''} THEN {rest} || CASE {ends} {cases} END ELSE {of} END"
+
+    def cut(n):
+        return f"left(w, length(w) - {n})"
+
+    last = {x: "" for x in stemming.LAST_SUFFIXES}
+    ends = f"regexp_extract(w, '({'|'.join(last)})$', 1)"
+    steps = [
+        "regexp_replace(w, '(^|[aeiou])y', '\\1Y', 'g')",
+        suffix("w", stemming.PLURALS, None),
+        f"CASE WHEN w LIKE '%eed' THEN CASE WHEN {has(cut(3), some)} THEN {cut(1)} ELSE w END "
+        f"WHEN w LIKE '%ed' AND {has(cut(2), '[aeiouy]')} THEN {cut(2)} || '|' WHEN w LIKE '%ing' AND {has(cut(3), '[aeiouy]')} THEN {cut(3)} || '|' ELSE w END",
+        f"CASE WHEN w NOT LIKE '%|' THEN w WHEN {has(cut(1), '(at|bl|iz)$')} THEN {cut(1)} || 'e' WHEN {has(cut(1), double)} THEN {cut(2)} "
+        f"WHEN {has(cut(1), single)} AND {has(cut(1), short)} THEN {cut(1)} || 'e' ELSE {cut(1)} END",
+        f"CASE WHEN {has('w', '[yY]$')} AND {has(cut(1), '[aeiouy]')} THEN {cut(1)} || 'i' ELSE w END",
+        suffix("w", stemming.DOUBLE_SUFFIXES, some),
+        suffix("w", stemming.DERIVED_SUFFIXES, some),
+        f"CASE WHEN {ends} <> '' AND {has(f'left(w, length(w) - length({ends}))', more)} AND ({ends} <> 'ion' OR {has('w', '[st]ion$')}) "
+        f"THEN left(w, length(w) - length({ends})) ELSE w END",
+        f"CASE WHEN w LIKE '%e' AND ({has(cut(1), more)} OR ({has(cut(1), single)} AND NOT {has(cut(1), short)})) THEN {cut(1)} ELSE w END",
+        f"CASE WHEN w LIKE '%ll' AND {has(cut(1), more)} THEN {cut(1)} ELSE w END",
+        "replace(w, 'Y', 'y')",
+    ]
+    inner = f"SELECT word, word AS w FROM ({words})"
+    for step in steps:
+        inner = f"SELECT word, CASE WHEN regexp_matches(word, '^[a-z]{{3,}}$') THEN {step} ELSE word END AS w FROM ({inner})"
+    return inner
+
+
+@query(
+    "tsvector_stems",
+    f"""
+    WITH found AS (
+      SELECT doc_id, unnest({WORDS_SQL}) AS word, generate_subscripts({WORDS_SQL}, 1) AS pos FROM documents),
+    stems AS ({stems_sql("SELECT DISTINCT word FROM found")})
+    SELECT doc_id, w AS lexeme, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM found JOIN stems USING (word)
+    WHERE word NOT IN ('{"', '".join(STOP_WORDS)}') GROUP BY 1, 2
+    """,
+)
+def _(t):
+    found = arr.tsvector_stems(t("documents").select("doc_id", "text"), "doc_id", "text", STOP_WORDS)
+    return found.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
 @query(
     "tsvector_tokens_plain",
     r"""
