@@ -1,19 +1,21 @@
 """JSON trees as rows, and row-by-row comparison of two tables.
 
-A document is taken apart inside its row, level by level, and exploded once: no recursion over the
-table, no shuffle per level.
+A document is taken apart inside its row, level by level, and exploded once; only documents nested deeper
+than a few levels are put down in between, as often as their depth asks for.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.predicates import null_safe_compare
 from tablewright.functions.variants import json_delete, json_merge, json_set, json_type, path_steps
+from tablewright.session import cut_lineage
 
 # The paths that tell of a row on one side only.
 MISSING_ONE = "<one row missing>"
@@ -32,55 +34,100 @@ _NODE_CHILDREN = """
     filter(array(n), z -> false))
 """
 
-# Children of a pair {path, one, two} that both sides have and whose JSON differs: an equal subtree
-# is left at once.
+# Children of a pair {path, one, two, a, b} that both sides have and whose text differs: an equal subtree
+# is left at once. ``a`` and ``b`` are the texts, made once per node.
 _PAIR_CHILDREN = """
   coalesce(
     transform(
-      filter(
-        map_entries(map_zip_with(
-          try_cast(n.one AS map<string, variant>), try_cast(n.two AS map<string, variant>),
-          (k, a, b) -> named_struct('one', a, 'two', b))),
-        e -> e.value.one IS NOT NULL AND e.value.two IS NOT NULL AND to_json(e.value.one) <> to_json(e.value.two)),
-      e -> named_struct('path', concat(n.path, '.', e.key), 'one', e.value.one, 'two', e.value.two)),
-    filter(
-      transform(
-        zip_with(
-          try_cast(n.one AS array<variant>), try_cast(n.two AS array<variant>),
-          (a, b) -> named_struct('one', a, 'two', b)),
-        (z, i) -> named_struct('path', concat(n.path, '[', i, ']'), 'one', z.one, 'two', z.two)),
-      e -> e.one IS NOT NULL AND e.two IS NOT NULL AND to_json(e.one) <> to_json(e.two)),
+      map_entries(map_zip_with(
+        try_cast(n.one AS map<string, variant>), try_cast(n.two AS map<string, variant>),
+        (k, x, y) -> named_struct('one', x, 'two', y, 'a', cast(x AS string), 'b', cast(y AS string)))),
+      e -> named_struct(
+        'path', concat(n.path, '.', e.key), 'one', e.value.one, 'two', e.value.two, 'a', e.value.a, 'b', e.value.b)),
+    transform(
+      zip_with(
+        try_cast(n.one AS array<variant>), try_cast(n.two AS array<variant>),
+        (x, y) -> named_struct('one', x, 'two', y, 'a', cast(x AS string), 'b', cast(y AS string))),
+      (z, i) -> named_struct('path', concat(n.path, '[', i, ']'), 'one', z.one, 'two', z.two, 'a', z.a, 'b', z.b)),
     filter(array(n), z -> false))
 """
+_DIFFERING_CHILDREN = f"filter({_PAIR_CHILDREN}, e -> e.a <> e.b)"
+
+LEVELS = 8  # levels unfolded inside a row before it is put down
+_ROW, _DEPTH = "_row", "_depth"
+
+
+def nesting_depth(text: Column, most: int) -> Column:
+    """How deep objects and lists of a JSON text are nested, counted up to ``most``.
+
+    Strings go first, then everything but brackets; every step takes away the innermost pairs.
+    """
+    plain = F.regexp_replace(text, r"(?s)\\.", "")
+    brackets = F.regexp_replace(plain, r"\"[^\"]*\"|[^\[\]{}\"]+", "")
+    start = F.struct(brackets.alias("left"), F.lit(0).alias("depth"))
+
+    def peel(state: Column, _: Column) -> Column:
+        left = F.regexp_replace(state["left"], r"\{\}|\[\]", "")
+        return F.struct(left.alias("left"), (state["depth"] + F.when(state["left"] != "", 1).otherwise(0)).alias("depth"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, peel, lambda state: state["depth"])
 
 
-def _descend(df: DataFrame, root: Column, children: str, max_depth: int) -> DataFrame:
-    """Add ``_nodes``: every node below the root. A level is worked out once, from the one above."""
-    out = df.withColumn("_level0", F.array(root))
-    for depth in range(1, max_depth + 2):
-        out = out.selectExpr("*", f"flatten(transform(_level{depth - 1}, n -> {children})) AS _level{depth}")
-    levels = ", ".join(f"_level{d}" for d in range(1, max_depth + 1))
-    error = f"raise_error('document nested deeper than max_depth={max_depth}')"
-    nodes = f"CASE WHEN size(_level{max_depth + 1}) > 0 THEN {error} ELSE concat({levels}) END AS _nodes"
-    return out.selectExpr(*[f"`{c}`" for c in df.columns], nodes)
+def _unfolded(df: DataFrame, children: str, levels: int) -> DataFrame:
+    """Add ``_level1`` and so on below ``_level0``; a level is worked out once, from the one above."""
+    for depth in range(1, levels + 1):
+        df = df.selectExpr("*", f"flatten(transform(_level{depth - 1}, n -> {children})) AS _level{depth}")
+    return df
 
 
-def json_path_flatten(df: DataFrame, id_col: str, json_col: str, max_depth: int = 32) -> DataFrame:
+def _descend(df: DataFrame, root: Column, children: str, text: Column) -> list[DataFrame]:
+    """``df`` with ``_nodes``, every node below the root, in one part or several.
+
+    Documents nested up to ``LEVELS`` deep are unfolded inside their row, by as many levels as the deepest
+    has. Of deeper ones the nodes that are still open are put down after each ``LEVELS`` levels, until none
+    is; their rows come in parts of their own, with a row number that tells the documents apart.
+    """
+    names = [f"`{c}`" for c in df.columns]
+    rows = df.withColumn(_DEPTH, nesting_depth(text, LEVELS + 1)).withColumn("_level0", F.array(root))
+    deepest = rows.agg(F.max(_DEPTH)).first()[0] or 0
+
+    def nodes(of: DataFrame, levels: int) -> Column:
+        return F.flatten(F.array(*[F.col(f"_level{d}") for d in range(1, levels + 1)])).alias("_nodes")
+
+    few = max(1, min(deepest, LEVELS))
+    flat = _unfolded(rows.where(F.col(_DEPTH) <= LEVELS), children, few)
+    parts = [flat.select(*names, F.lit(None).cast("long").alias(_ROW), nodes(flat, few))]
+    if deepest <= LEVELS:
+        return parts
+    deep = rows.where(F.col(_DEPTH) > LEVELS).withColumn(_ROW, F.monotonically_increasing_id())
+    still_open = cut_lineage(deep.select(*names, _ROW, "_level0"))
+    while not still_open.isEmpty():
+        out = _unfolded(still_open, children, LEVELS)
+        parts.append(out.select(*names, _ROW, nodes(out, LEVELS)))
+        rest = F.expr(f"filter(_level{LEVELS}, n -> size({children}) > 0)")
+        still_open = cut_lineage(out.select(*names, _ROW, rest.alias("_level0")).where(F.size("_level0") > 0))
+    return parts
+
+
+def json_path_flatten(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """Every node of a JSON document as (path, value, type), like ``.A[0][0].C``; the root is left out.
 
-    Inner nodes are rows too, with their JSON text as value; a JSON null has a NULL value. A deeper
-    document than ``max_depth`` is an error, never cut.
+    Inner nodes are rows too, with their JSON text as value; a JSON null has a NULL value. Depth has no
+    limit. The input is read for its depth first: hand over a stored table, not a long computation.
     """
     root = F.struct(F.lit("").alias("path"), F.parse_json(json_col).alias("v"), F.lit(False).alias("odd"))
-    trees = _descend(df.select(id_col, json_col), root, _NODE_CHILDREN, max_depth)
     rows = F.transform(
         F.col("_nodes"),
         lambda n: F.struct(n["path"].alias("path"), n["v"].cast("string").alias("value"), json_type(n["v"]).alias("type")),
     )
     # Two nodes share a path only where a key itself holds a dot or a bracket.
     odd = F.exists(F.col("_nodes"), lambda n: n["odd"])
-    rows = F.when(odd, F.array_distinct(rows)).otherwise(rows)
-    return trees.select(id_col, F.inline(rows))
+    flat, *deep = _descend(df.select(id_col, json_col), root, _NODE_CHILDREN, F.col(json_col))
+    found = flat.select(id_col, F.inline(F.when(odd, F.array_distinct(rows)).otherwise(rows)))
+    if not deep:
+        return found
+    whole = reduce(DataFrame.unionByName, [part.select(id_col, _ROW, F.inline(rows)) for part in deep])
+    return found.unionByName(whole.distinct().drop(_ROW))
 
 
 def json_set_merge_delete(
@@ -154,20 +201,17 @@ def row_documents(df: DataFrame, key: str, json_cols: Sequence[str] = (), ignore
     return out
 
 
-def _changed_paths(pairs: DataFrame, key: str, max_depth: int) -> DataFrame:
+def _changed_paths(pairs: DataFrame, key: str) -> DataFrame:
     """Rows (key, one, two) to one row per changed path present on both sides."""
-    root = F.struct(F.lit("").alias("path"), F.col("one"), F.col("two"))
-    differing = pairs.where(F.to_json("one") != F.to_json("two"))
-    trees = _descend(differing, root, _PAIR_CHILDREN, max_depth)
+    texts = pairs.withColumn("_a", F.col("one").cast("string")).withColumn("_b", F.col("two").cast("string"))
+    root = F.struct(F.lit("").alias("path"), "one", "two", F.col("_a").alias("a"), F.col("_b").alias("b"))
     rows = F.transform(
         F.col("_nodes"),
-        lambda n: F.struct(
-            n["path"].alias("change_path"),
-            n["one"].cast("string").alias("one_value"),
-            n["two"].cast("string").alias("two_value"),
-        ),
+        lambda n: F.struct(n["path"].alias("change_path"), n["a"].alias("one_value"), n["b"].alias("two_value")),
     )
-    return trees.select(key, F.inline(rows)).where(F.col("one_value") != F.col("two_value"))
+    # Paths below the depth of one side are not on both.
+    parts = _descend(texts.where("_a <> _b"), root, _DIFFERING_CHILDREN, F.col("_a"))
+    return reduce(DataFrame.unionByName, [part.select(key, F.inline(rows)) for part in parts])
 
 
 def table_diff_deep(
@@ -176,17 +220,17 @@ def table_diff_deep(
     key: str,
     ignore_paths: Sequence[str] = (),
     json_cols: Sequence[str] = (),
-    max_depth: int = 32,
 ) -> DataFrame:
     """Changed JSON paths of rows in both tables: (id, change_path, one_value, two_value).
 
     A path on one side only is not reported, nor one with a JSON null on a side. Both documents of
-    an id are walked together after the one join on the id; equal subtrees are not entered.
+    an id are walked together after the one join on the id; equal subtrees are not entered. Depth has no
+    limit; the join is done once to find the depth and once for the answer, unless it is stored before.
     """
     left = row_documents(one, key, json_cols).select(F.col(key), F.col("document").alias("one"))
     right = row_documents(two, key, json_cols).select(F.col(key).alias("_key"), F.col("document").alias("two"))
     pairs = left.join(right, left[key] == right["_key"], "inner").drop("_key")
-    out = _changed_paths(pairs, key, max_depth)
+    out = _changed_paths(pairs, key)
     return out.where(~F.col("change_path").isin(*ignore_paths)) if ignore_paths else out
 
 
@@ -197,7 +241,6 @@ def table_diff_deep_limited(
     ignore_paths: Sequence[str] = (),
     limit: int = 100,
     json_cols: Sequence[str] = (),
-    max_depth: int = 32,
 ) -> DataFrame:
     """Deep diff of the first ``limit`` changed rows by id, and every row that one side lacks.
 
@@ -229,7 +272,7 @@ def table_diff_deep_limited(
         )
         .drop("_key")
     )
-    deep = _changed_paths(pairs, key, max_depth)
+    deep = _changed_paths(pairs, key)
     nothing = F.lit(None).cast("string")
 
     def lone(side: DataFrame, other: DataFrame, label: str, is_one: bool) -> DataFrame:

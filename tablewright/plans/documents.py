@@ -55,7 +55,7 @@ def tree_sql(rows: str, key: str, doc: str) -> str:
 
 @query("json_path_flatten", tree_sql(docs_sql(), "o_orderkey", "doc"))
 def _(t):
-    return jt.json_path_flatten(order_documents(t), "o_orderkey", "doc", max_depth=8)
+    return jt.json_path_flatten(cut_lineage(order_documents(t)), "o_orderkey", "doc")
 
 
 @query(
@@ -187,8 +187,8 @@ DEEP_SQL = f"""
 
 @query("table_diff_deep", f"SELECT * FROM ({DEEP_SQL}) WHERE change_path <> '.doc'")
 def _(t):
-    one, two = two_sides(t)
-    return jt.table_diff_deep(one, two, "o_orderkey", [".doc"], json_cols=["doc"], max_depth=8)
+    one, two = (cut_lineage(side) for side in two_sides(t))
+    return jt.table_diff_deep(one, two, "o_orderkey", [".doc"], json_cols=["doc"])
 
 
 @query(
@@ -207,7 +207,7 @@ def _(t):
 def _(t):
     # Built documents stand in for stored tables: the diff reads each side more than once.
     one, two = (cut_lineage(side) for side in two_sides(t))
-    return jt.table_diff_deep_limited(one, two, "o_orderkey", json_cols=["doc"], max_depth=8)
+    return jt.table_diff_deep_limited(one, two, "o_orderkey", json_cols=["doc"])
 
 
 @query(

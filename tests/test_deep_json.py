@@ -1,0 +1,71 @@
+"""JSON documents of any depth: what is put down between levels changes no row."""
+
+import json
+
+import pytest
+
+from tablewright.functions.predicates import as_col
+from tablewright.operators import json_tables as jt
+
+
+def nested(levels, leaf=1, wide=False):
+    """Objects and lists in turn around ``leaf``."""
+    value = leaf
+    for i in range(levels):
+        value = [value, "x{[\"\\"] if i % 2 else {"k": value, **({"w": [i]} if wide else {})}
+    return value
+
+
+def paths(value, path=""):
+    kids = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+    for k, v in kids:
+        here = f"{path}.{k}" if isinstance(value, dict) else f"{path}[{k}]"
+        yield here, v
+        yield from paths(v, here)
+
+
+def text(value):
+    if isinstance(value, str):
+        return value
+    return None if value is None else json.dumps(value, separators=(",", ":"), sort_keys=True)
+
+
+DEPTHS = [0, 1, 7, 8, 9, 16, 17, 200]
+
+
+def test_depth_is_counted_without_strings(spark):
+    rows = [(d, json.dumps(nested(d, leaf="}]\\\"{"))) for d in DEPTHS] + [(-1, None), (2, '{"a":[],"b":[],"c":{}}'), (0, '"[[["')]
+    df = spark.createDataFrame(rows, "d int, j string")
+    got = df.select("d", jt.nesting_depth(as_col("j"), 9).alias("n")).collect()
+    assert all(r.n == min(max(r.d, 0), 9) for r in got) and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("levels", [8, 3])
+def test_flatten_of_200_levels(spark, monkeypatch, levels):
+    monkeypatch.setattr(jt, "LEVELS", levels)
+    docs = {i: nested(d, wide=True) for i, d in enumerate(DEPTHS if levels == 8 else DEPTHS[:-1])} | {90: {"a.b": 1, "a": {"b": 1, "c": nested(20)}}}
+    rows = [(i, json.dumps(v)) for i, v in docs.items()] * 2 + [(None, None)]
+    got = sorted((r.id, r.path, r.value) for r in jt.json_path_flatten(spark.createDataFrame(rows, "id int, j string"), "id", "j").collect())
+    want = [(i, p, text(v)) for i, doc in docs.items() for p, v in dict(paths(doc)).items()]
+    key = lambda r: (r[0], r[1], str(r[2]))
+    assert sorted(got, key=key) == sorted(want * 2, key=key)
+
+
+def test_diff_of_200_levels(spark):
+    one = [(i, json.dumps(nested(d, leaf=1))) for i, d in enumerate(DEPTHS[1:])]
+    two = [(i, json.dumps(nested(d, leaf=2))) for i, d in enumerate(DEPTHS[1:])]
+    a, b = (spark.createDataFrame(x, "id int, j string") for x in (one, two))
+    got = {(r.id, r.change_path): (r.one_value, r.two_value) for r in jt.table_diff_deep(a, b, "id", json_cols=["j"]).collect()}
+    want = {}
+    for i, d in enumerate(DEPTHS[1:]):
+        new = dict(paths({"j": nested(d, leaf=2)}))
+        want |= {(i, p): (text(v), text(new[p])) for p, v in paths({"j": nested(d, leaf=1)}) if v != new[p]}
+    assert got == want and len(want) > 250
+    limited = jt.table_diff_deep_limited(a, b, "id", limit=3, json_cols=["j"])
+    assert {(r.id, r.change_path) for r in limited.collect()} == {k for k in want if k[0] < 3}
+
+
+def test_nothing(spark):
+    empty = spark.createDataFrame([], "id int, j string")
+    assert jt.json_path_flatten(empty, "id", "j").collect() == []
+    assert jt.table_diff_deep(empty, empty, "id", json_cols=["j"]).collect() == []
