@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import math
+import time
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.text import format_interval, template_render
 from tablewright.session import cut_lineage
 
+_STEP, _DOOMED = "_delete_step", "_doomed"
+
 
 def duplicate_status(df: DataFrame, id_col: str, golden_key: str, name: str = "duplicate_status") -> DataFrame:
     """2 where another row points to this one, else 3 where it points to a golden record, else 1."""
@@ -69,35 +75,117 @@ def key_remap_cascade(
     return out
 
 
-def batched_delete(
-    df: DataFrame, targets: DataFrame, key: str, batch: int = 10_000
-) -> tuple[DataFrame, DataFrame]:
-    """The rows left after deleting those with a target key, and one progress row per batch.
+class BatchedDelete:
+    """A delete in bounded batches that can stop anywhere and go on later.
 
-    The delete itself is one anti join and leaves no part batch behind. The progress tells how a
-    delete in batches of that size advances: step, steps, percent and rows so far.
-    """
-    doomed = targets.select(F.col(key).alias("_doomed")).distinct()
-    left = df.join(doomed, df[key] == doomed["_doomed"], "left_anti")
-    total = df.join(doomed, df[key] == doomed["_doomed"], "left_semi").agg(F.count(F.lit(1)).alias("total"))
-    steps = F.ceil(F.col("total") / F.lit(batch)).cast("bigint")
-    progress = (
-        total.withColumn("steps", steps)
-        .where("steps > 0")
-        .withColumn("step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("steps"))))
-        .withColumn("deleted", F.least(F.col("step") * batch, F.col("total")))
-        .withColumn("done_percent", F.round(F.col("step") / F.col("steps") * 100, 2))
-        .select("step", "steps", "deleted", "total", "done_percent")
-    )
-    return left, progress
+    The table is dealt out once by a hash of its key into one folder per batch, hot ones over several
+    files; each batch then rewrites its own folder without the target keys and is committed by a row of
+    the journal. What has no journal row counts as not done: a batch that failed halfway is written anew,
+    and until then its rows stay. Null keys are never deleted.
 
+    ``path`` holds everything; an object made on a path that has a plan goes on with that plan.
+    """
 
-def batch_progress_log(progress: DataFrame, durations: DataFrame) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @classmethod
+    def plan(cls, df: DataFrame, targets: DataFrame, key: str, path: str, batch: int = 10_000) -> BatchedDelete:
+        """Deal out ``df``; a batch deletes about ``batch`` rows. The plan row is written last."""
+        job = cls(df.sparkSession, path)
+        doomed = targets.select(F.col(key).alias(_DOOMED)).where(F.col(_DOOMED).isNotNull()).distinct()
+        total = df.join(doomed, df[key] == doomed[_DOOMED], "left_semi").count()
+        steps = max(1, math.ceil(total / batch))
+
+        def dealt(rows: DataFrame, column: str, name: str) -> None:
+            step = F.pmod(F.xxhash64(column), F.lit(steps)).cast("int") + 1
+            rows = rows.withColumn(_STEP, step).hint("rebalance", F.col(_STEP))
+            rows.write.mode("overwrite").partitionBy(_STEP).parquet(f"{job.path}/{name}")
+
+        dealt(doomed, _DOOMED, "targets")
+        dealt(df, key, "rows")
+        held = job._part("rows", T.StructType(df.schema.fields).add(_STEP, T.IntegerType())).groupBy(_STEP).count()
+        sizes = {r[_STEP]: r["count"] for r in held.collect()}
+        shape = [(steps, total, key, df.schema.json(), doomed.schema.json(), sizes)]
+        columns = "steps int, total long, key string, rows string, targets string, sizes map<int, long>"
+        plan = job.spark.createDataFrame(shape, columns)
+        plan.coalesce(1).write.mode("overwrite").parquet(f"{job.path}/plan")
+        return job
+
+    def _plan(self):
+        row = self.spark.read.parquet(f"{self.path}/plan").first()
+        schemas = [T.StructType.fromJson(json.loads(x)).add(_STEP, T.IntegerType()) for x in (row.rows, row.targets)]
+        return row.steps, row.total, row.key, *schemas, row.sizes
+
+    def _part(self, name: str, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def journal(self) -> DataFrame:
+        """step, deleted, kept, ms of the committed batches."""
+        schema = "step int, deleted long, kept long, ms long"
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/journal")
+        except AnalysisException:  # no batch has been committed
+            return self.spark.createDataFrame([], schema)
+
+    def run(self, most: int | None = None) -> DataFrame:
+        """Do the batches that the journal lacks, ``most`` of them at most; gives :meth:`rows`."""
+        steps, total, key, rows, targets, sizes = self._plan()
+        done = {r.step for r in self.journal().select("step").collect()}
+        for step in [s for s in range(1, steps + 1 if total else 1) if s not in done][:most]:
+            began = time.monotonic()
+            here = self._part("rows", rows).where(F.col(_STEP) == step).drop(_STEP)
+            doomed = self._part("targets", targets).where(F.col(_STEP) == step).drop(_STEP)
+            seen = Observation()
+            kept = here.join(doomed, here[key] == doomed[_DOOMED], "left_anti").observe(seen, F.count("*").alias("kept"))
+            kept.write.mode("overwrite").parquet(f"{self.path}/kept/{_STEP}={step}")
+            left = seen.get["kept"]
+            entry = [(step, sizes.get(step, 0) - left, left, int((time.monotonic() - began) * 1000))]
+            marker = self.spark.createDataFrame(entry, "step int, deleted long, kept long, ms long")
+            marker.coalesce(1).write.mode("append").parquet(f"{self.path}/journal")
+        return self.rows()
+
+    def rows(self) -> DataFrame:
+        """The table as it stands: committed batches as rewritten, the others untouched."""
+        steps, _, _, rows, *_ = self._plan()
+        done = [r.step for r in self.journal().select("step").collect()]
+        open_rows = self._part("rows", rows).where(~F.col(_STEP).isin(done)).drop(_STEP)
+        if not done:
+            return open_rows
+        kept = self._part("kept", rows).where(F.col(_STEP).isin(done)).drop(_STEP)
+        return kept if len(done) == steps else kept.unionByName(open_rows)
+
+    def progress(self) -> DataFrame:
+        """Per committed batch: step, steps, deleted so far, total, done_percent, ms.
+
+        Steps count in the order of the journal's step numbers; there are as many rows as batches.
+        """
+        steps, total, *_ = self._plan()
+        sofar = F.sum("deleted").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+        return self.journal().select(
+            F.col("step").cast("long").alias("step"),
+            F.lit(steps).cast("long").alias("steps"),
+            sofar.alias("deleted"),
+            F.lit(total).cast("long").alias("total"),
+            F.round(F.col("step") / F.lit(steps) * 100, 2).alias("done_percent"),
+            "ms",
+        )
+
+
+def batched_delete(df: DataFrame, targets: DataFrame, key: str, path: str, batch: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """The rows left after deleting those with a target key, batch by batch, and the progress rows."""
+    job = BatchedDelete.plan(df, targets, key, path, batch)
+    return job.run(), job.progress()
+
+
+def batch_progress_log(progress: DataFrame, durations: DataFrame | None = None) -> DataFrame:
     """Progress rows with their times: estimated rest by the last two batches, and a line of text.
 
-    ``durations`` has ``step`` and ``ms``. A step without a time stays, without an estimate; a step
-    without a predecessor counts itself.
+    ``durations`` has ``step`` and ``ms``; without it, ``progress`` has its own ``ms``. A step without a
+    time stays, without an estimate; a step without a predecessor counts itself.
     """
+    if durations is None:
+        progress, durations = progress.drop("ms"), progress.select("step", "ms")
     before = durations.select((F.col("step") + 1).alias("step"), F.col("ms").alias("_before"))
     timed = progress.join(durations, "step", "left").join(before, "step", "left")
     mean = F.floor((F.col("ms") + F.coalesce("_before", "ms")) / 2)

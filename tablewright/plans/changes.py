@@ -75,7 +75,9 @@ def _(t):
 
 def deleted_orders(t):
     targets = t("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return changes.batched_delete(t("orders"), targets, "o_custkey", batch=500)
+    total = targets.join(t("orders"), "o_custkey").count()
+    path = scratch_path(t.spark, "batched-delete")
+    return changes.batched_delete(t("orders"), targets, "o_custkey", path, batch=max(1, -(-total // 6)))
 
 
 @query(
@@ -86,6 +88,22 @@ def _(t):
     return deleted_orders(t)[0]
 
 
+@query(
+    "batched_delete_progress",
+    """
+    SELECT 6 AS batches, max(n) AS total, max(n) AS deleted, 100.0::DOUBLE AS done_percent, true AS timed, 0 AS eta_ms
+    FROM (SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))
+    """,
+)
+def _(t):
+    log = changes.batch_progress_log(deleted_orders(t)[1])
+    last = F.max_by(F.struct("deleted", "done_percent", "eta_ms"), "step")
+    return log.agg(
+        F.count("*").alias("batches"), F.max("total").alias("total"), last.alias("last"),
+        F.bool_and(F.col("ms") > 0).alias("timed"),
+    ).select("batches", "total", "last.deleted", "last.done_percent", "timed", F.col("last.eta_ms").alias("eta_ms"))
+
+
 @query(
     "update_from_join",
     """

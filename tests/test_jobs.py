@@ -98,16 +98,42 @@ def test_remap_follows_chains(spark):
             changes.resolve_chains(spark.createDataFrame(cycle, "old_key int, new_key int"))
 
 
-def test_delete_leaves_no_part_batch(spark):
-    df = spark.range(25_000).withColumn("k", F.col("id") % 5)
-    left, progress = changes.batched_delete(df, spark.createDataFrame([(k,) for k in range(5)], "k long"), "k", 10_000)
-    assert left.isEmpty()
-    assert rows(progress) == [(1, 3, 10000, 25000, 33.33), (2, 3, 20000, 25000, 66.67), (3, 3, 25000, 25000, 100.0)]
+def test_delete_in_batches(spark, tmp_path):
+    df = spark.range(25_000).withColumn("k", F.col("id") % 500)
+    targets = spark.createDataFrame([(k,) for k in [*range(100), 7, None, 9999]], "k long")
+    left, progress = changes.batched_delete(df, targets, "k", str(tmp_path / "a"), 1000)
+    assert rows(left) == rows(df.where("k >= 100"))
+    log = progress.orderBy("step").collect()
+    assert [r.step for r in log] == [1, 2, 3, 4, 5] and log[-1].done_percent == 100.0
+    assert [r.deleted for r in log] == sorted(r.deleted for r in log) and log[-1].deleted == log[-1].total == 5000
     times = spark.createDataFrame([(1, 100), (2, 300)], "step long, ms long")
-    log = {r["step"]: r for r in changes.batch_progress_log(progress, times).collect()}
-    assert [log[i]["eta_ms"] for i in (1, 2, 3)] == [200, 200, None]
-    none, no_progress = changes.batched_delete(df, df.where("id < 0").select("k"), "k")
-    assert none.count() == 25_000 and no_progress.isEmpty()
+    timed = {r["step"]: r for r in changes.batch_progress_log(progress.drop("ms"), times).collect()}
+    assert [timed[i]["eta_ms"] for i in (1, 2, 3)] == [400, 600, None]
+    own = changes.batch_progress_log(progress).orderBy("step").collect()
+    assert own[-1].eta_ms == 0 and all(r.eta_ms is not None and "of 5" in r.message for r in own)
+    none, no_progress = changes.batched_delete(df, df.where("id < 0").select("k"), "k", str(tmp_path / "b"))
+    assert rows(none) == rows(df) and no_progress.isEmpty()
+    empty, _ = changes.batched_delete(df.where("id < 0"), targets, "k", str(tmp_path / "c"))
+    assert empty.isEmpty()
+
+
+def test_delete_goes_on_after_it_stopped(spark, tmp_path):
+    """Three batches, then a batch that dies after it wrote its rows, then the rest by another object."""
+    path = str(tmp_path / "job")
+    df = spark.range(4000).select(F.col("id"), F.when(F.col("id") % 9 > 0, F.col("id") % 50).alias("k"), F.lit("x").alias("step"))
+    changes.BatchedDelete.plan(df, spark.range(25).toDF("k"), "k", path, 300).run(most=3)
+    job = changes.BatchedDelete(spark, path)
+    assert sorted(r.step for r in job.journal().collect()) == [1, 2, 3]
+    half = rows(job.rows())
+    want = rows(df.where("k IS NULL OR k >= 25"))
+    assert set(want) < set(half) < set(rows(df))
+    # Rows of batch 4 were written, but not committed.
+    job.rows().limit(5).write.parquet(f"{path}/kept/_delete_step=4")
+    assert rows(job.rows()) == half
+    assert rows(changes.BatchedDelete(spark, path).run()) == want
+    steps = job.progress().orderBy("step").collect()
+    assert len(steps) == steps[0].steps > 4 and steps[-1].deleted == df.where("k < 25").count()
+    assert rows(changes.BatchedDelete(spark, path).run()) == want and job.journal().count() == len(steps)
 
 
 def test_update_keeps_unmatched_and_takes_null(spark):
