@@ -104,7 +104,7 @@ class BatchedDelete:
 
         dealt(doomed, _DOOMED, "targets")
         dealt(df, key, "rows")
-        held = job._part("rows", T.StructType(df.schema.fields).add(_STEP, T.IntegerType())).groupBy(_STEP).count()
+        held = job._part("rows", T.StructType([*df.schema.fields, T.StructField(_STEP, T.IntegerType())])).groupBy(_STEP).count()
         sizes = {r[_STEP]: r["count"] for r in held.collect()}
         shape = [(steps, total, key, df.schema.json(), doomed.schema.json(), sizes)]
         columns = "steps int, total long, key string, rows string, targets string, sizes map<int, long>"
