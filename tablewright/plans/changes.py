@@ -277,3 +277,38 @@ def _(t):
     write_log_gap(arriving, "user_id", "ts", "event_id", target, scratch_path(t.spark, "log-gap-state"))
     out = t.spark.read.parquet(target)
     return out.select("event_id", "user_id", F.col("prev_time").cast("timestamp_ntz"), "gap_us", "late")
+
+
+ARRIVALS, MOST_LATE = 5, 6 * 3600  # files, and seconds that a message is late at most
+
+
+@query(
+    "stream_log_gap_late",
+    f"""
+    SELECT event_id, user_id, prev_time, date_diff('microsecond', prev_time, ts) AS gap_us FROM (
+      SELECT g.event_id, g.user_id, g.prev_time, e.ts FROM ({GAP_SQL}) g JOIN events e USING (event_id))
+    """,
+)
+def _(t):
+    """Messages come up to six hours late, in five arrivals; a last one, of no user, closes the log."""
+    events = t("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    late = F.make_dt_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(MOST_LATE)))
+    spans = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    share = (F.unix_micros(F.col("ts") + late) - F.unix_micros("first")) / (
+        F.unix_micros("last") + MOST_LATE * 1_000_000 - F.unix_micros("first") + 1
+    )
+    folder = scratch_path(t.spark, "late-log")
+    arrival = F.floor(share * ARRIVALS).cast("int")
+    dealt = events.join(F.broadcast(spans)).select("event_id", "user_id", "ts", arrival.alias("arrival"))
+    closing = spans.select(
+        F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("bigint").alias("user_id"),
+        (F.col("last") + F.expr("INTERVAL 30 DAYS")).alias("ts"),
+    )
+    for i in range(ARRIVALS):
+        dealt.where(F.col("arrival") == i).drop("arrival").coalesce(1).write.mode("append").parquet(folder)
+    closing.coalesce(1).write.mode("append").parquet(folder)
+    arriving = t.spark.readStream.schema(closing.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    target = scratch_path(t.spark, "log-gap")
+    write_log_gap(arriving, "user_id", "ts", "event_id", target, scratch_path(t.spark, "log-gap-state"), f"{MOST_LATE} seconds")
+    out = t.spark.read.parquet(target)
+    return out.select("event_id", "user_id", F.col("prev_time").cast("timestamp_ntz"), "gap_us")

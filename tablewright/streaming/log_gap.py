@@ -61,11 +61,63 @@ def stream_log_gap(stream_df: DataFrame, key: str, ts: str, tie: str) -> DataFra
     )
 
 
-def write_log_gap(stream_df: DataFrame, key: str, ts: str, tie: str, target: str, checkpoint: str):
-    """Run the job over what has arrived so far, into Parquet, and give the finished query."""
+def stream_log_gap_ordered(stream_df: DataFrame, key: str, ts: str, tie: str, delay: str) -> DataFrame:
+    """(key, tie, ts, prev_time, gap_us) per message in the order of their times, whatever order they come in.
+
+    Messages wait in the state of their key until the watermark, ``delay`` behind the latest time seen,
+    has passed them; then they come out sorted, each with the gap that the batch job gives it. The state
+    holds what arrives within one delay. A message later than that is dropped by the watermark and counted
+    in the progress of the query (``numRowsDroppedByWatermark``). Messages of the last delay come out when
+    later ones move the watermark on.
+    """
+    seen = stream_df.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", delay)
+    rows = seen.select(F.col(key).alias("key"), F.col(tie).alias("tie"), "_at", F.unix_micros("_at").alias("micros"))
+    key_type = rows.schema["key"].dataType.simpleString()
+    tie_type = rows.schema["tie"].dataType.simpleString()
+
+    def release(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, micros, ties = state.get if state.exists else (None, [], [])
+        waiting = [pd.DataFrame({"micros": list(micros), "tie": list(ties)})]
+        if not state.hasTimedOut:
+            waiting += [b[["micros", "tie"]] for b in batches]
+        pdf = pd.concat([w for w in waiting if len(w)] or waiting[:1], ignore_index=True)
+        pdf = pdf.astype({"micros": "int64"}).sort_values(["micros", "tie"], ignore_index=True)
+        passed = state.getCurrentWatermarkMs()
+        ready = int((pdf["micros"] <= passed * 1000).sum())
+        out, rest = pdf[:ready], pdf[ready:]
+        prev = out["micros"].astype("Int64").shift(1)
+        if ready:
+            prev.iloc[0] = pd.NA if last is None else last
+            last = int(out["micros"].iloc[-1])
+        state.update((last, rest["micros"].tolist(), rest["tie"].tolist()))
+        if len(rest):
+            state.setTimeoutTimestamp(max(passed + 1, -(-int(rest["micros"].iloc[0]) // 1000)))
+        yield pd.DataFrame({"key": [group[0]] * ready, "tie": out["tie"], "micros": out["micros"], "prev": prev})
+
+    out = rows.groupBy("key").applyInPandasWithState(
+        release,
+        outputStructType=f"key {key_type}, tie {tie_type}, micros bigint, prev bigint",
+        stateStructType=f"last bigint, micros array<bigint>, ties array<{tie_type}>",
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+    )
+    return out.select(
+        F.col("key").alias(key),
+        F.col("tie").alias(tie),
+        F.timestamp_micros("micros").alias(ts),
+        F.timestamp_micros("prev").alias("prev_time"),
+        (F.col("micros") - F.col("prev")).alias("gap_us"),
+    )
+
+
+def write_log_gap(stream_df: DataFrame, key: str, ts: str, tie: str, target: str, checkpoint: str, delay: str | None = None):
+    """Run the job over what has arrived so far, into Parquet, and give the finished query.
+
+    With ``delay`` messages are put in order first, see :func:`stream_log_gap_ordered`.
+    """
+    gaps = stream_log_gap(stream_df, key, ts, tie) if delay is None else stream_log_gap_ordered(stream_df, key, ts, tie, delay)
     query = (
-        stream_log_gap(stream_df, key, ts, tie)
-        .writeStream.format("parquet")
+        gaps.writeStream.format("parquet")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
