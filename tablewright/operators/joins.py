@@ -18,13 +18,21 @@ def star_join_paged(
     offset: int = 0,
     select: Sequence[Column | str] | None = None,
 ) -> DataFrame:
-    """Inner equi-joins of a fact with its dimensions, one page of the sorted result."""
+    """Inner equi-joins of a fact with its dimensions, one page of the sorted result.
+
+    Every task keeps ``offset + limit`` rows: for pages far from the start hand :func:`star_join` to
+    :func:`tablewright.operators.paging.deep_page`.
+    """
+    return star_join(fact, dims, select).orderBy(*order).offset(offset).limit(limit)
+
+
+def star_join(
+    fact: DataFrame, dims: Sequence[tuple[DataFrame, Column | str | list[str]]], select: Sequence[Column | str] | None = None
+) -> DataFrame:
     out = fact
     for dim, on in dims:
         out = out.join(dim, on, "inner")
-    if select:
-        out = out.select(*select)
-    return out.orderBy(*order).offset(offset).limit(limit)
+    return out.select(*select) if select else out
 
 
 def left_join_chain(base: DataFrame, steps: Sequence[tuple[DataFrame, Sequence[tuple[str, str]]]]) -> DataFrame:

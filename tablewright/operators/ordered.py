@@ -118,11 +118,16 @@ def with_slices(
         slices = 1 + total // ROWS_PER_SLICE
     by = [*keys, *order]
     bounds = slice_bounds(df, by, slices, total)
+    return sliced_by(df, by, bounds), bool(bounds)
+
+
+def sliced_by(df: DataFrame, order: Sequence[str], bounds: list[tuple]) -> DataFrame:
+    """Add the slice number of every row: how many of the ``bounds`` lie at or below it."""
     if not bounds:
-        return df.withColumn(SLICE, F.lit(0)), False
-    names = [f"_k{i}" for i in range(len(by))]
-    rows = df.select("*", *[_comparable(df, c).alias(n) for c, n in zip(by, names)])
-    return rows.withColumn(SLICE, _slice_number(rows, names, bounds).cast("int")).drop(*names), True
+        return df.withColumn(SLICE, F.lit(0))
+    names = [f"_k{i}" for i in range(len(order))]
+    rows = df.select("*", *[_comparable(df, c).alias(n) for c, n in zip(order, names)])
+    return rows.withColumn(SLICE, _slice_number(rows, names, bounds).cast("int")).drop(*names)
 
 
 def slice_window(keys: Sequence[str], order: Sequence[str]):

@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.operators import joins as j
+from tablewright.operators.paging import deep_page
 from tablewright.plans.registry import query
 
 PAGE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, c_name, n_name, r_name, p_name, s_name"
 
 
+def star_dims(t):
+    c = F.col
+    return [
+        (t("orders"), c("o_orderkey") == c("l_orderkey")),
+        (t("customer"), c("c_custkey") == c("o_custkey")),
+        (t("nation"), c("n_nationkey") == c("c_nationkey")),
+        (t("region"), c("r_regionkey") == c("n_regionkey")),
+        (t("part"), c("p_partkey") == c("l_partkey")),
+        (t("supplier"), c("s_suppkey") == c("l_suppkey")),
+    ]
+
+
 @query(
     "star_join_paged",
     f"""
@@ -21,17 +34,27 @@ PAGE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, c_name, n_na
     """,
 )
 def _(t):
-    c = F.col
-    dims = [
-        (t("orders"), c("o_orderkey") == c("l_orderkey")),
-        (t("customer"), c("c_custkey") == c("o_custkey")),
-        (t("nation"), c("n_nationkey") == c("c_nationkey")),
-        (t("region"), c("r_regionkey") == c("n_regionkey")),
-        (t("part"), c("p_partkey") == c("l_partkey")),
-        (t("supplier"), c("s_suppkey") == c("l_suppkey")),
-    ]
     cols = PAGE.split(", ")
-    return j.star_join_paged(t("lineitem"), dims, cols[:5], 20, 40, cols)
+    return j.star_join_paged(t("lineitem"), star_dims(t), cols[:5], 20, 40, cols)
+
+
+@query(
+    "star_join_deep_page",
+    f"""
+    WITH star AS (
+      SELECT {PAGE}, l_extendedprice FROM lineitem
+      JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+      JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+      JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)
+    SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS position
+    FROM star ORDER BY position LIMIT 30 OFFSET (SELECT count(*) * 2 // 3 FROM star)
+    """,
+)
+def _(t):
+    """The page at two thirds of the joined lines: dimensions are joined to its slice only."""
+    cols = [*PAGE.split(", "), "l_extendedprice"]
+    star = j.star_join(t("lineitem"), star_dims(t), cols)
+    return deep_page(star, [*cols[:5], "l_extendedprice"], 30, star.count() * 2 // 3)
 
 
 @query(

@@ -14,6 +14,7 @@ from tablewright.functions.predicates import (
 from tablewright.functions.variants import json_get
 from tablewright.operators import filters as flt
 from tablewright.operators.aggregates import query_to_json
+from tablewright.operators.paging import deep_page
 from tablewright.plans.registry import query
 from tablewright.session import scratch_path
 from tablewright.sources import tables as src
@@ -285,6 +286,33 @@ def _(t):
     return flt.offset_paging(t("part"), ["p_name", "p_partkey"], 25, 50)
 
 
+LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+@query(
+    "deep_page",
+    f"""
+    SELECT *, row_number() OVER (ORDER BY {", ".join(LINE_KEYS)}) - 1 AS position FROM lineitem
+    ORDER BY {", ".join(LINE_KEYS)} LIMIT 100 OFFSET (SELECT count(*) // 2 FROM lineitem)
+    """,
+)
+def _(t):
+    """The page in the middle of all lines."""
+    lines = t("lineitem")
+    return deep_page(lines, LINE_KEYS, 100, lines.count() // 2)
+
+
+@query(
+    "deep_page_last",
+    """
+    SELECT o_orderkey, o_orderdate, count(*) OVER () - row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS position
+    FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 1000
+    """,
+)
+def _(t):
+    return deep_page(t("orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 50, 1000, descending=True)
+
+
 NULLS_SQL = """
   SELECT o_orderkey, max_price FROM orders
   LEFT JOIN (SELECT l_orderkey, max(l_extendedprice) AS max_price FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
