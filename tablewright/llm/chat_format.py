@@ -7,12 +7,15 @@ or code mark, and whether the line before was blank; they are taken as independe
 Viterbi finds the best states. A turn is a first line with what goes on from it; its marker and blank
 lines at its ends are dropped, and it is rendered as ``<|im_start|>role\\ntext<|im_end|>``.
 
-**Parameters** are counts over labelled transcripts with one added to each, summed by Spark.
+**Parameters** are counts over labelled transcripts, summed by Spark. A state that is seen rarely leans
+on all states of its kind: their pooled shares count as ``POOLED`` observations more. A small part of
+every table is even.
 
 **Long transcripts** are cut into chunks of ``CHUNK`` parts. Each chunk gives the table of best scores
-from any state before it to any state at its end, the tables of a transcript are joined in order (a few
-numbers per chunk), and each chunk is then decoded between its known end states. The result is that of
-one Viterbi run over the whole.
+from any state before it to any state at its end, for every line that may stand before it; the tables of
+a transcript are joined in order (a few numbers per chunk), and each chunk is then decoded between its
+known end states. The result is that of one Viterbi run over the whole, and so are the counts of
+:func:`fit`: what lies on two sides of a border is counted from one row per chunk.
 
 Defined results: null and empty texts have no lines; a null part comes first; rows with the same part
 are ordered by text, and repeated rows are repeated lines; rows of a null conv_id are one transcript;
@@ -35,6 +38,11 @@ from tablewright.llm.graph import stored
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # 2 * role: begins a turn; 2 * role + 1: goes on
 CHUNK, ROWS_PER_TASK = 256, 20_000
+POOLED = 20.0
+# Shares of a table that are spread evenly, so that what a frequent state never showed costs no more than
+# with a rare one: of each feature, and of going on or beginning after a line.
+EVEN_FEATURES, EVEN_MOVES = 0.02, 0.1
+BEGINNING = 2  # what stands before the first line; otherwise 1 after a blank line, 0 after another
 
 # Words that name a role in front of a line.
 ALIASES = {
@@ -56,10 +64,9 @@ def marker(line: str) -> tuple[int, int]:
     return ALIASES.get(name.lower(), 3), found.end()
 
 
-def observe(lines: list[str]) -> np.ndarray:
-    """One row of feature values per line."""
+def observe(lines: list[str], blank: int = BEGINNING) -> np.ndarray:
+    """One row of feature values per line; ``blank`` tells what stands before the first one."""
     out = np.empty((len(lines), len(FEATURES)), np.int64)
-    blank = 2
     for i, line in enumerate(lines):
         bare = line.strip()
         length = 0 if not bare else 1 if len(bare) < 25 else 2 if len(bare) < 80 else 3 if len(bare) < 300 else 4
@@ -80,21 +87,43 @@ class Model:
         counts = counts or {}
 
         def table(name: str, rows: int, columns: int) -> np.ndarray:
-            made = np.array([[1.0 + counts.get((name, i, j), 0.0) for j in range(columns)] for i in range(rows)])
-            return np.log(made / made.sum(axis=1, keepdims=True))
-
-        self.start = table("start", 1, STATES)[0]
-        self.move = table("move", STATES, STATES)
-        # A line goes on with the role of the line before it.
-        for i in range(STATES):
-            for j in range(1, STATES, 2):
-                if i // 2 != j // 2:
-                    self.move[i, j] = -np.inf
-        self.start[1::2] = -np.inf
-        self.features = [table(name, STATES, n) for name, n in FEATURES.items()]
-
-    def emissions(self, lines: list[str]) -> np.ndarray:
-        seen = observe(lines)
+            return np.array([[counts.get((name, i, j), 0.0) for j in range(columns)] for i in range(rows)])
+
+        def shares(made: np.ndarray) -> np.ndarray:
+            return made / made.sum(axis=-1, keepdims=True)
+
+        with np.errstate(divide="ignore"):
+            opening = table("start", 1, STATES)[0] + 1.0
+            opening[1::2] = 0.0
+            self.start = np.log(shares(opening))
+            moves, self.move = table("move", STATES, STATES), np.full((STATES, STATES), -np.inf)
+            begins = shares(moves[:, 0::2].sum(axis=0) + 1.0)
+            for kind in (0, 1):
+                # A line goes on with the role of the line before it, or begins a turn of any role.
+                on = np.array([moves[i, 2 * (i // 2) + 1] for i in range(kind, STATES, 2)])
+                others = moves[kind::2, 0::2].sum(axis=1)
+                stays = (on.sum() + 1.0) / (on.sum() + others.sum() + 2.0)
+                for role in range(len(ROLES)):
+                    i = 2 * role + kind
+                    prior = np.zeros(STATES)
+                    prior[0::2], prior[2 * role + 1] = (1 - stays) * begins, stays
+                    even = np.zeros(STATES)
+                    even[0::2], even[2 * role + 1] = begins / 2, 0.5
+                    made = shares(np.where(prior > 0, moves[i], 0.0) + POOLED * prior)
+                    self.move[i] = np.log((1 - EVEN_MOVES) * made + EVEN_MOVES * even)
+            self.features = []
+            for name, n in FEATURES.items():
+                seen = table(name, STATES, n)
+                pooled = np.stack([shares(seen[i % 2 :: 2].sum(axis=0) + 1.0) for i in range(STATES)])
+                if name == "mark":
+                    # Of a line that begins a turn, the shares of all speakers' marks go to its own role.
+                    named = pooled[::2, : len(ROLES)].sum(axis=1)
+                    pooled[::2, : len(ROLES)] = np.diag(named)
+                made = shares(seen + POOLED * pooled)
+                self.features.append(np.log((1 - EVEN_FEATURES) * made + EVEN_FEATURES / n))
+
+    def emissions(self, lines: list[str], blank: int = BEGINNING) -> np.ndarray:
+        seen = observe(lines, blank)
         return sum((t[:, seen[:, i]].T for i, t in enumerate(self.features)), np.zeros((len(lines), STATES)))
 
     def transfer(self, emissions: np.ndarray, first: bool) -> np.ndarray:
@@ -144,7 +173,11 @@ def _each(table: pa.Table, keys: list[str], order: list[str], work: Callable[[tu
 
 def fit(labelled: DataFrame) -> Model:
     """A model counted over labelled transcripts (conv_id, part, text, role): one row is one turn."""
-    schema = pa.schema([("name", pa.string()), ("i", pa.int64()), ("j", pa.int64()), ("n", pa.float64())])
+    kind = dict(labelled.dtypes)["conv_id"]
+    id_type = pa.string() if kind == "string" else pa.int64()
+    counts = [("name", pa.string()), ("i", pa.int64()), ("j", pa.int64()), ("n", pa.float64())]
+    # Edges: first and last state of a chunk, and whether its last line is blank.
+    schema = pa.schema([*counts, ("conv_id", id_type), ("chunk", pa.int64()), ("blank", pa.int64())])
 
     def count(key: tuple, rows: list[dict]) -> list[dict]:
         states, lines = [], []
@@ -154,17 +187,34 @@ def fit(labelled: DataFrame) -> Model:
                 role = ROLES.index(row["role"])
                 lines += held
                 states += [2 * role] + [2 * role + 1] * (len(held) - 1)
+        if not lines:
+            return []
         seen = observe(lines)
-        pairs = [("start", 0, s) for s in states[:1]] + [("move", a, b) for a, b in zip(states, states[1:])]
-        pairs += [(name, s, int(v)) for k, name in enumerate(FEATURES) for s, v in zip(states, seen[:, k])]
-        return [{"name": a, "i": i, "j": j, "n": 1.0} for a, i, j in pairs]
+        pairs = [("move", a, b) for a, b in zip(states, states[1:])]
+        for k, name in enumerate(FEATURES):
+            skip = int(name == "after_blank")
+            pairs += [(name, s, int(v)) for s, v in zip(states[skip:], seen[skip:, k])]
+        edge = {"name": "edge", "i": states[0], "j": states[-1], "n": 1.0, "conv_id": key[0], "chunk": key[1], "blank": int(not lines[-1].strip())}
+        return [edge, *({"name": a, "i": i, "j": j, "n": 1.0} for a, i, j in pairs)]
 
     def run(table: pa.Table) -> pa.Table:
         made = _each(table, ["conv_id", "chunk"], ["conv_id", "chunk", "part", "text"], count, schema)
-        return made.group_by(["name", "i", "j"]).aggregate([("n", "sum")]).rename_columns(["name", "i", "j", "n"])
-
-    counted = _chunked(labelled, "role").groupBy("task").applyInArrow(run, "name string, i long, j long, n double")
-    rows = counted.groupBy("name", "i", "j").agg(F.sum("n").alias("n")).collect()
+        keys = [c for c in schema.names if c != "n"]
+        return made.group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"]).select(schema.names)
+
+    form = f"name string, i long, j long, n double, conv_id {kind}, chunk long, blank long"
+    counted = stored(_chunked(labelled, "role").groupBy("task").applyInArrow(run, form), "counts")
+    before = Window.partitionBy("conv_id").orderBy("chunk")
+    edges = counted.where("name = 'edge'").select(
+        "i", F.lag("j").over(before).alias("last"), F.coalesce(F.lag("blank").over(before), F.lit(BEGINNING)).alias("blank")
+    )
+    opening = F.struct(
+        F.when(F.col("last").isNull(), "start").otherwise("move").alias("name"), F.coalesce("last", F.lit(0)).cast("long").alias("i"), F.col("i").alias("j")
+    )
+    met = F.struct(F.lit("after_blank").alias("name"), F.col("i").alias("i"), F.col("blank").cast("long").alias("j"))
+    borders = edges.select(F.inline(F.array(opening, met))).withColumn("n", F.lit(1.0))
+    whole = counted.where("name <> 'edge'").select("name", "i", "j", "n").unionByName(borders)
+    rows = whole.groupBy("name", "i", "j").agg(F.sum("n").alias("n")).collect()
     return Model({(r["name"], r["i"], r["j"]): r["n"] for r in rows})
 
 
@@ -179,50 +229,46 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     def text_lines(rows: list[dict]) -> list[str]:
         return [line for row in rows for line in lines_of(row["text"])]
 
-    tables = pa.schema([("conv_id", id_type), ("chunk", pa.int64()), ("first", pa.bool_()), ("scores", pa.list_(pa.float64()))])
+    tables = pa.schema([("conv_id", id_type), ("chunk", pa.int64()), ("blank", pa.int32()), ("last", pa.int32()), ("scores", pa.list_(pa.float64()))])
 
     def transfers(table: pa.Table) -> pa.Table:
         def work(key: tuple, rows: list[dict]) -> list[dict]:
-            emissions = shared.value.emissions(text_lines(rows))
-            found = shared.value.transfer(emissions, False)
-            opening = shared.value.transfer(emissions, True)
-            return [{"conv_id": key[0], "chunk": key[1], "first": f, "scores": t.ravel().tolist()} for f, t in ((False, found), (True, opening))]
+            lines = text_lines(rows)
+            if not lines:
+                return [{"conv_id": key[0], "chunk": key[1]}]
+            last, emissions, made = int(not lines[-1].strip()), shared.value.emissions(lines), []
+            for blank in (0, 1, BEGINNING):
+                emissions[0] = shared.value.emissions(lines[:1], blank)[0]
+                scores = shared.value.transfer(emissions, blank == BEGINNING)
+                made.append({"conv_id": key[0], "chunk": key[1], "blank": blank, "last": last, "scores": scores.ravel().tolist()})
+            return made
 
         return _each(table, ["conv_id", "chunk"], order, work, tables)
 
-    ends = pa.schema([("conv_id", id_type), ("chunk", pa.int64()), ("before", pa.int32()), ("end", pa.int32())])
+    ends = pa.schema([("conv_id", id_type), ("chunk", pa.int64()), ("blank", pa.int32()), ("before", pa.int32()), ("end", pa.int32())])
 
     def join_chunks(table: pa.Table) -> pa.Table:
         def work(key: tuple, rows: list[dict]) -> list[dict]:
-            chunks = sorted({r["chunk"] for r in rows}, key=lambda c: c)
-            held = {(r["chunk"], r["first"]): np.array(r["scores"]).reshape(STATES, STATES) for r in rows}
-            score, back, began = None, [], False
-            for c in chunks:
-                # An empty chunk leaves the identity, so a later chunk may be the first with lines.
-                opening = held[(c, True)]
-                empty = bool((opening == np.where(np.eye(STATES, dtype=bool), 0.0, -np.inf)).all())
-                if empty:
-                    back.append(None)
-                elif not began:
-                    score, began = opening[0], True
-                    back.append(None)
-                else:
-                    ways = score[:, None] + held[(c, False)]
-                    back.append(ways.argmax(axis=0))
-                    score = ways.max(axis=0)
-            state = int(score.argmax()) if began else None
-            out = []
-            for c, ways in zip(reversed(chunks), reversed(back)):
-                before = None if ways is None else int(ways[state])
-                out.append({"conv_id": key[0], "chunk": c, "before": before, "end": state})
-                state = state if before is None else before
+            held = {(r["chunk"], r["blank"]): r for r in rows if r["scores"] is not None}
+            blank, score, steps = BEGINNING, np.zeros(STATES), []
+            for chunk in sorted({c for c, _ in held}):
+                row = held[(chunk, blank)]
+                scores = np.array(row["scores"]).reshape(STATES, STATES)
+                ways = scores[:1] if blank == BEGINNING else score[:, None] + scores
+                steps.append((chunk, blank, None if blank == BEGINNING else ways.argmax(axis=0)))
+                score, blank = ways.max(axis=0), row["last"]
+            state, out = int(score.argmax()), []
+            for chunk, blank, back in reversed(steps):
+                before = None if back is None else int(back[state])
+                out.append({"conv_id": key[0], "chunk": chunk, "blank": blank, "before": before, "end": state})
+                state = before
             return out
 
         return _each(table, ["conv_id"], ["conv_id", "chunk"], work, ends)
 
-    found = chunked.groupBy("task").applyInArrow(transfers, f"conv_id {kind}, chunk long, first boolean, scores array<double>")
+    found = chunked.groupBy("task").applyInArrow(transfers, f"conv_id {kind}, chunk long, blank int, last int, scores array<double>")
     joined = _tasks(stored(found, "transfers"), "conv_id").groupBy("task").applyInArrow(
-        join_chunks, f"conv_id {kind}, chunk long, before int, end int"
+        join_chunks, f"conv_id {kind}, chunk long, blank int, before int, end int"
     )
     known = joined.withColumnsRenamed({"conv_id": "_conv", "chunk": "_chunk"})
     met = chunked.join(known, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("chunk") == F.col("_chunk")))
@@ -231,7 +277,7 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     def turns(table: pa.Table) -> pa.Table:
         def work(key: tuple, rows: list[dict]) -> list[dict]:
             lines = text_lines(rows)
-            path = shared.value.decode(shared.value.emissions(lines), rows[0]["before"], rows[0]["end"])
+            path = shared.value.decode(shared.value.emissions(lines, rows[0]["blank"]), rows[0]["before"], rows[0]["end"])
             out: list[dict] = []
             begun = 0
             for line, state in zip(lines, path):

@@ -1,0 +1,89 @@
+"""Transcripts against enumeration of all state paths, cut anywhere, and with lines that begin no turn."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from tablewright.llm import chat_format, plans
+from tablewright.llm.chat_format import STATES, Model
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def known(spark):
+    return plans.raw_transcripts(plans.table(spark, FOLDER, "conversations")).cache()
+
+
+@pytest.fixture(scope="module")
+def model(known):
+    return chat_format.fit(known)
+
+
+def same(a: Model, b: Model) -> bool:
+    pairs = [(a.start, b.start), (a.move, b.move), *zip(a.features, b.features)]
+    return all(np.allclose(x, y) for x, y in pairs)
+
+
+def lines(rng, n):
+    kinds = ["User: hello", "Assistant:", "- a point", "", "1. one", "and so on it goes, for some time", "Why?", "### Human:", "[system] be kind", "x: y"]
+    return [rng.choice(kinds) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_path_of_all(model, seed):
+    held = lines(random.Random(seed), 5)
+    emissions = model.emissions(held)
+
+    def score(path):
+        total = model.start[path[0]] + emissions[0, path[0]]
+        return total + sum(model.move[a, b] + emissions[i, b] for i, (a, b) in enumerate(zip(path, path[1:]), 1))
+
+    best = max(itertools.product(range(STATES), repeat=5), key=score)
+    assert score(tuple(model.decode(emissions, None, None))) == pytest.approx(score(best))
+
+
+def test_rows_add_up_to_one(model):
+    for made in (model.start[None], model.move, *model.features):
+        assert np.exp(made).sum(axis=1) == pytest.approx(1.0)
+    blank = Model()
+    assert np.isfinite(blank.move).sum() == STATES * (STATES // 2 + 1)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 7])
+def test_counts_and_turns_are_the_same_for_all_chunk_sizes(spark, monkeypatch, known, model, chunk):
+    """Chunks end inside turns; parts are lines, of which most begin no turn, some are empty."""
+    rng = random.Random(chunk)
+    rows = [(c, i, t) for c in (1, 2, None) for i, t in enumerate(lines(rng, 60))]
+    rows += [(1, 30, ""), (2, 31, None), (3, 0, ""), (4, None, "User: a\nb"), (4, 2, "c")]
+    raw = spark.createDataFrame(rows, "conv_id long, part long, text string")
+    whole = chat_format.parse(raw, model).orderBy("conv_id", "turn").collect()
+    long = known.selectExpr("conv_id % 4 AS conv_id", "conv_id * 100 + part AS part", "text", "role")
+    counted = chat_format.fit(long)
+    monkeypatch.setattr(chat_format, "CHUNK", chunk)
+    monkeypatch.setattr(chat_format, "ROWS_PER_TASK", 50)
+    assert chat_format.parse(raw, model).orderBy("conv_id", "turn").collect() == whole
+    assert same(chat_format.fit(long), counted)
+
+
+def test_one_line_parts_of_one_turn_stay_together(spark, monkeypatch, model):
+    rows = [(1, 0, "User: tell me all")] + [(1, i, "and then some more text that goes on as before") for i in range(1, 1040)]
+    raw = spark.createDataFrame(rows, "conv_id long, part long, text string")
+    whole = chat_format.parse(raw, model).collect()
+    monkeypatch.setattr(chat_format, "CHUNK", 1 << 20)
+    assert chat_format.parse(raw, model).collect() == whole
+
+
+def test_marked_turns_with_list_lines(spark, model):
+    """Lists after a marker belong to its turn, also for a role that is rare in training."""
+    text, want = [], []
+    for i in range(20):
+        for role, name in (("user", "User"), ("assistant", "Assistant")):
+            text += [f"{name}: what of {i}", *[f"- point {j}" for j in range(4)], "1. first", "2. second"]
+            want.append(role)
+    raw = spark.createDataFrame([(1, 0, "\n".join(text)), (2, 0, "System: be brief\n- always\n- everywhere\nUser: yes")], "conv_id long, part long, text string")
+    found = chat_format.parse(raw, model).orderBy("conv_id", "turn").collect()
+    assert [r.role for r in found if r.conv_id == 1] == want and {r.n_lines for r in found if r.conv_id == 1} == {7}
+    assert [(r.role, r.n_lines) for r in found if r.conv_id == 2] == [("system", 3), ("user", 1)]
