@@ -10,13 +10,12 @@ most toxic window.
 Training sees texts and their labels only, never windows with labels: first random windows under the
 label of their text, then the strongest window of each text, as scoring takes it. It runs in one task
 over a bounded sample: at most ``SAMPLE_TOXIC`` rows with label 1 and ``SAMPLE_CLEAN`` rows with
-label 0, chosen by a hash of doc_id; a training text gives at most ``TRAIN_WINDOWS`` windows, spread
-evenly over it. Scoring reads all windows of all texts.
+label 0, chosen by a hash of doc_id. Training and scoring read all windows of their texts.
 
 Defined results: a text without words, null or empty, scores 0; if the sample lacks one of the two
 labels, nothing is learned and every text scores 0. Of several labels of one doc_id the largest holds;
 null labels are left out. A null doc_id is never learned from and is not held out. Repeated rows get
-equal scores. Other columns, label columns among them, are no input of a score.
+equal scores. Other columns, label columns among them, are no input of a score; they may have any names.
 """
 
 from __future__ import annotations
@@ -29,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.llm.graph import small_batches
 from tablewright.llm.text_arrays import NON_ALNUM, Words, byte_prefix, give_back, in_pieces, span_hash, texts_of
@@ -36,7 +36,7 @@ from tablewright.llm.text_arrays import NON_ALNUM, Words, byte_prefix, give_back
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN = 1 << 13, 1 << 14, 12, 8
 GRAMS = (3, 4)
-SAMPLE_TOXIC, SAMPLE_CLEAN, TRAIN_WINDOWS = 1500, 2500, 128
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 CHUNK = 4096
 
@@ -52,7 +52,7 @@ class Types:
     Type 0 is the blank that fills the end of a short window.
     """
 
-    def __init__(self, texts: list[bytes], most_windows: int | None = None):
+    def __init__(self, texts: list[bytes]):
         words = Words(texts, NON_ALNUM, lower=True)
         hashes = words.hashes()
         _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
@@ -79,18 +79,15 @@ class Types:
         self.n = len(sample) + 1
         self.grams = list(zip(rows, owner))
         self.gram_count = sum(np.bincount(of, minlength=self.n) for of in owner)
-        self.windows, self.text = self._windows(np.concatenate([which + 1, [0]]), words.first, most_windows)
+        self.windows, self.text = self._windows(np.concatenate([which + 1, [0]]), words.first)
 
     @staticmethod
-    def _windows(types: np.ndarray, first: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def _windows(types: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n_words = np.diff(first)
         n_windows = np.where(n_words > 0, 1 + np.maximum(0, -(-(n_words - WINDOW) // STRIDE)), 0)
-        taken = n_windows if most is None else np.minimum(n_windows, most)
-        ends = np.cumsum(taken)
-        text = np.repeat(np.arange(len(n_words)), taken)
-        k = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - taken, taken)
-        if most is not None:
-            k = k * n_windows[text] // np.maximum(taken[text], 1)
+        ends = np.cumsum(n_windows)
+        text = np.repeat(np.arange(len(n_words)), n_windows)
+        k = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n_windows, n_windows)
         begin = first[text] + k * STRIDE
         at = begin[:, None] + np.arange(WINDOW)
         inside = at < first[text + 1][:, None]
@@ -247,7 +244,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> dict[str, np
     rng.shuffle(order)
     for i in range(0, len(order), BATCH):
         chosen = order[i : i + BATCH]
-        batches.append((Types([texts[j] for j in chosen], TRAIN_WINDOWS), labels[chosen].astype(np.float32)))
+        batches.append((Types([texts[j] for j in chosen]), labels[chosen].astype(np.float32)))
     epochs = max(EPOCHS, -(-400 // len(batches)))
     for epoch in range(epochs):
         for b in rng.permutation(len(batches)):
@@ -326,22 +323,24 @@ def score(docs: DataFrame, weights: bytes, column: str = "score") -> DataFrame:
     """``docs`` with their score in ``column``; every text is read whole, in pieces of about 1.5 MB."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    names = [c for c in docs.columns if c != column]
+    names = [c for c in docs.columns if c.lower() != column.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(pickle.loads(shared.value))
         for piece in in_pieces(batches, limit=3 << 19):
             scores = scorer(texts_of(piece.column("text")))
-            yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), pa.array(scores, pa.float64())], [*names, column])
+            columns = [*(piece.column(n) for n in plain), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*plain, "score"])
 
-    kept = docs.select(*names)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, `{column}` double")
+    # Names that Spark would take for paths do not reach the task.
+    plain = [c if c == "text" else f"c{i}" for i, c in enumerate(names)]
+    kept = docs.select(*["`" + c.replace("`", "``") + "`" for c in names]).toDF(*plain)
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])).toDF(*names, column)
 
 
 def drop_toxic(docs: DataFrame, weights: bytes, threshold: float = 0.7) -> DataFrame:
     """The documents that score below ``threshold``, with all their columns."""
     name = "_toxicity"
-    while name in docs.columns:
+    while name in {c.lower() for c in docs.columns}:
         name += "_"
     return score(docs, weights, name).where(F.col(name) < threshold).drop(name)
