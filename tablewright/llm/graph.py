@@ -9,6 +9,7 @@ from tablewright.session import scratch_path
 
 
 ROWS_PER_BATCH, COMMON_ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+SALTS = 16
 BYTES_PER_BATCH, COMMON_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
@@ -37,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     A round hangs the neighbours of a node on the smallest of them, first the larger ones (large star),
     then the smaller ones (small star); rounds grow with the logarithm of the diameter. Each round is
     written to the shared folder; the driver sees whether all is done. Minima are combined
-    before the shuffle, and what a node of many links gets back is an equi-join that Spark can split.
+    before the shuffle, and go back to the edges over ``SALTS`` parts of each node, so that a hub's edges
+    never meet in one task.
     """
     edges = stored(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -45,9 +47,9 @@ def components(links: DataFrame) -> DataFrame:
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _met(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _met(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     # An edge leads to a root, and a root leads nowhere.
@@ -55,6 +57,13 @@ def components(links: DataFrame) -> DataFrame:
     return leaves.unionByName(roots)
 
 
+def _met(edges: DataFrame, minima: DataFrame) -> DataFrame:
+    """Edges (u, v) with the value of u; u is dealt out by a hash of v."""
+    part = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return edges.withColumn("part", part).join(minima.withColumn("part", parts), ["u", "part"]).drop("part")
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every node has one edge at most that leads on, and leads to a node without."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(

@@ -22,7 +22,7 @@ members of other components, in blocks of ``BLOCK`` by ``BLOCK`` members, so a k
 over tasks: first each proposes its ``NEAREST`` mates, and when their links have joined components,
 all pairs that are left are proposed. A pair is looked at in the first key that it shares only, and
 dropped there by a longer signature, :data:`DETAIL` values of 4 bits: a pair at 0.8 differs in 192 of
-1024 places, with a standard deviation of 12.5; :data:`DETAIL_DIFFERENT` lies 5 deviations above that.
+1024 places, with a standard deviation of 12.5; :data:`DETAIL_DIFFERENT` lies 7 deviations above that.
 
 Defined results: texts without words, null or empty, have empty sets and are linked with nothing; a
 row without doc_id is linked with nothing, has no component and is kept; rows with equal texts are
@@ -47,7 +47,8 @@ from tablewright.llm.text_arrays import Words, in_pieces, mix, prefix_hash, span
 CHUNKS, WIDTH = 12, 4
 VALUES = CHUNKS * WIDTH
 MOST_DIFFERENT = 2 * CHUNKS - 1
-DETAIL, DETAIL_DIFFERENT = 1024, 255
+# Seven deviations above the mean of a pair at 0.8: such a pair is dropped once in 10^12.
+DETAIL, DETAIL_DIFFERENT = 1024, 280
 STARS, CENTRES, TRIED, NEAREST, BLOCK = 3, 8, 3, 3, 4096
 
 _rng = np.random.default_rng(3)
