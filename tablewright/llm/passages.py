@@ -30,11 +30,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.graph import small_batches, stored
-from tablewright.llm.text_arrays import mix, prefix_hash, span_hash
+from tablewright.llm.text_arrays import give_back, mix, prefix_hash, span_hash, texts_of
 
 SHARD_BYTES = 16 << 20
 SALTS = 256
@@ -167,15 +168,20 @@ def sharded(docs: DataFrame) -> tuple[DataFrame, int, int]:
 
 def pieces(table: pa.Table | pa.RecordBatch, limit: int) -> Iterator[tuple[list[bytes], pa.Table]]:
     """Texts and rows of a table, a few megabytes at a time and in their order."""
-    texts = [x or b"" for x in table.column("text").cast(pa.binary()).to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(table.column("text")), 0).to_numpy(zero_copy_only=False) if table.num_rows else []
+
+    def part(begin: int, end: int) -> tuple[list[bytes], pa.Table]:
+        rows = table.slice(begin, end - begin)
+        return texts_of(rows.column("text")), rows
+
     begin, held = 0, 0
-    for i, text in enumerate(texts):
-        if i > begin and held + len(text) > limit:
-            yield texts[begin:i], table.slice(begin, i - begin)
+    for i, size in enumerate(map(int, sizes)):
+        if i > begin and held + size > limit:
+            yield part(begin, i)
             begin, held = i, 0
-        held += len(text)
-    if begin < len(texts):
-        yield texts[begin:], table.slice(begin)
+        held += size
+    if begin < len(sizes):
+        yield part(begin, len(sizes))
 
 
 def runs_of(*keys: np.ndarray) -> np.ndarray:
@@ -384,10 +390,14 @@ def find_repeats(
     texts = placed.select("_row", "doc_id", "text", "shard").groupBy("shard")
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
-        return locate(left.sort_by("_row"), np.unique(right.column("k").to_numpy()), shared.value, shape)
+        made = locate(left.sort_by("_row"), np.unique(right.column("k").to_numpy()), shared.value, shape)
+        give_back()
+        return made
 
     def open_windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _open_windows(left.sort_by("_row"), right, read, shape)
+        made = _open_windows(left.sort_by("_row"), right, read, shape)
+        give_back()
+        return made
 
     phrases = recurring(anchors(placed, read, shape, hot), shards, shape.bits)
     contexts = texts.cogroup(phrases.groupBy("shard")).applyInArrow(find, ROW)
@@ -427,21 +437,20 @@ def _open_windows(docs: pa.Table, known: pa.Table, read: Reader, shape: Shape) -
     kind = known.column("kind").to_numpy()
     out = [_merged(known.filter(pa.array(kind == REPEAT)))]
     opened = known.filter(pa.array(kind == WINDOW))
-    salted = {}
-    for r, p, s in zip(*(opened.column(c).to_pylist() for c in ("row", "pos", "salt"))):
-        salted[(r, p)] = s
-    spans = spans_by_row(opened)
-    if spans:
-        chosen = docs.filter(pa.array(np.isin(docs.column("_row").to_numpy(), np.fromiter(spans, np.int64))))
+    if opened.num_rows:
+        opened = opened.sort_by([("row", "ascending"), ("pos", "ascending")])
+        at, begin_at, many, salt = (opened.column(c).to_numpy() for c in ("row", "pos", "n", "salt"))
+        chosen = docs.filter(pa.array(np.isin(docs.column("_row").to_numpy(), at)))
         for texts, rows in pieces(chosen, shape.piece_bytes):
             piece = read(texts, shape)
             keys = rows.column("_row").to_numpy()
-            pairs = np.concatenate([spans[r] for r in keys.tolist()])
-            text = np.repeat(np.arange(len(keys)), [len(spans[r]) for r in keys.tolist()])
-            hot = np.array([salted[key] >= 0 for key in zip(keys[text].tolist(), pairs[:, 0].tolist())])
-            n = pairs[:, 1]
+            # Rows of a document stand together, and documents ascend on both sides.
+            low, high = np.searchsorted(at, keys), np.searchsorted(at, keys, side="right")
+            text = np.repeat(np.arange(len(keys)), high - low)
+            which = np.arange(len(text)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[text]
+            hot, n, first = salt[which] >= 0, many[which].astype(np.int64), begin_at[which].astype(np.int64)
             ends = np.cumsum(n)
-            pos = np.arange(int(ends[-1])) - np.repeat(ends - n, n) + np.repeat(pairs[:, 0], n)
+            pos = np.arange(int(ends[-1])) - np.repeat(ends - n, n) + np.repeat(first, n)
             text, hot = np.repeat(text, n), np.repeat(hot, n)
             row = keys[text]
             k, c = piece.window_hashes(pos + piece.first[text])

@@ -47,7 +47,7 @@ from tablewright.llm.passages import (
 from tablewright.llm.text_arrays import byte_codes
 
 PHRASE = 16
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def eight_bytes(data: np.ndarray) -> np.ndarray:
@@ -62,12 +62,13 @@ def eight_bytes(data: np.ndarray) -> np.ndarray:
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first ``depth`` bytes or more; ``words`` from :func:`eight_bytes`."""
     n = len(words)
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words, kind="stable").astype(np.int32)
     sorted_words = words[order]
     new = np.ones(n, bool)
     new[1:] = sorted_words[1:] != sorted_words[:-1]
-    slots = np.arange(n)
-    rank = np.empty(n + 1, np.int64)
+    del sorted_words
+    slots = np.arange(n, dtype=np.int32)
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(new, slots, 0))
     reach = 8
@@ -77,7 +78,7 @@ def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
         if not len(open_slots):
             break
         at = order[open_slots]
-        key = (rank[at] << 32) + rank[np.minimum(at + reach, n)] + 1
+        key = (rank[at].astype(np.int64) << 32) + rank[np.minimum(at + reach, n)] + 1
         refined = np.argsort(key, kind="stable")
         at, key = at[refined], key[refined]
         order[open_slots] = at
@@ -95,9 +96,9 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, most: int, lanes: int
     ``order`` must be sorted by ``most`` bytes at least.
     """
     n = len(words)
-    shared = np.zeros(n, np.int64)
-    slot = np.empty(n, np.int64)
-    slot[order] = np.arange(n)
+    shared = np.zeros(n, np.int32)
+    slot = np.empty(n, np.int32)
+    slot[order] = np.arange(n, dtype=np.int32)
     steps = -(-n // min(lanes, n)) if n else 0
     begin = np.arange(0, n, steps) if n else np.zeros(0, np.int64)
     length = np.zeros(len(begin), np.int64)
@@ -106,7 +107,7 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, most: int, lanes: int
         live = np.flatnonzero(here < n)
         i = here[live]
         s = slot[i]
-        j = order[np.maximum(s - 1, 0)]
+        j = order[np.maximum(s - 1, 0)].astype(np.int64)
         # Suffixes that agree in all sorted bytes stand in any order, so nothing follows from them.
         now = np.where(length[live] >= most, 0, np.maximum(length[live] - 1, 0))
         limit = np.minimum(most, n - np.maximum(i, j))
@@ -131,8 +132,8 @@ def equal_windows(data: np.ndarray, width: int) -> np.ndarray:
     words = eight_bytes(data)
     depth = max(8, 1 << (width - 1).bit_length())
     order = suffix_array(words, depth)
-    classes = np.empty(len(data), np.int64)
-    classes[order] = np.cumsum(common_prefixes(words, order, depth) < width)
+    classes = np.empty(len(data), np.int32)
+    classes[order] = np.cumsum(common_prefixes(words, order, depth) < width, dtype=np.int32)
     return classes
 
 
@@ -162,14 +163,14 @@ class Block:
         np.add.at(change, begin, 1)
         np.add.at(change, begin + n - 1 + self.width, -1)
         inside = np.cumsum(change[:-1]) > 0
-        rank = np.cumsum(inside) - 1
+        rank = np.cumsum(inside, dtype=np.int32) - 1
         ends = np.cumsum(n)
         window = np.arange(int(ends[-1])) - np.repeat(ends - n, n) + np.repeat(begin, n)
         text = np.repeat(piece.run_text[chosen], n)
         self.data.append(piece.data[inside])
-        self.place.append(rank[window] + self.size)
+        self.place.append((rank[window] + self.size).astype(np.int32))
         self.row.append(rows[text])
-        self.pos.append(window - piece.first[text])
+        self.pos.append((window - piece.first[text]).astype(np.int32))
         self.runs.append(n)
         self.contexts.append(contexts)
         self.size += int(inside.sum())
@@ -205,7 +206,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50) -> DataFrame:
     """
     if width < PHRASE:
         raise ValueError(f"a window needs {PHRASE} bytes or more")
-    shape = Shape(width, PHRASE, within=False, piece_bytes=3 << 19, bits=60)
+    shape = Shape(width, PHRASE, within=False, piece_bytes=1 << 19, bits=60)
 
     def locate(docs: pa.Table, phrases: np.ndarray, hot: np.ndarray, shape: Shape) -> pa.Table:
         out, block = [rows_of(k=np.zeros(0, np.int64))], Block(width)
