@@ -38,6 +38,21 @@ def version_sort_key(c: Column | str, parts: int = 5) -> Column:
     )
 
 
+def version_text_key(c: Column | str, parts: int = 5, letters: int = 8) -> Column:
+    """Text of fixed width that keeps version order: ``a <= b`` gives ``key(a) <= key(b)``.
+
+    Versions whose parts differ only after ``letters`` characters tie: a key to sort roughly, to deal out
+    ranges or to join them, beside :func:`version_sort_key`.
+    """
+    pieces = F.transform(
+        version_sort_key(c, parts),
+        lambda p: F.concat(
+            F.lpad((p["number"].cast("bigint") + F.lit(1 << 31)).cast("string"), 10, "0"), F.rpad(p["text"], letters, "\0")
+        ),
+    )
+    return F.array_join(pieces, "")
+
+
 def version_compare(a: Column | str, b: Column | str, parts: int = 5) -> Column:
     """-1, 0 or 1 by the first part that differs, over the first ``parts`` parts.
 

@@ -64,6 +64,32 @@ def membership_closure(
     return out.union(lone.select(F.col(name).alias("member"), F.lit(None).cast(kind).alias("role"), F.lit("").alias("path")))
 
 
+def reachable_pairs(edges: DataFrame, member: str, role: str, nodes: DataFrame | None = None) -> DataFrame:
+    """Distinct (member, role) of :func:`membership_closure`, without the paths between them.
+
+    Where many paths join two nodes, paths grow exponentially and pairs do not. Every round joins the pairs
+    that the last one found with all pairs, on both sides, so rounds grow with the logarithm of the longest
+    way; cycles end by themselves, as they bring no new pair. A node is no role of its own.
+    """
+    links = edges.select(F.col(member).alias("member"), F.col(role).alias("role"))
+    pairs = cut_lineage(links.where("member <> role").distinct())
+    new = pairs
+    while not new.isEmpty():
+        def onward(first: DataFrame, second: DataFrame) -> DataFrame:
+            steps = second.select(F.col("member").alias("_via"), F.col("role").alias("_to"))
+            return first.join(steps, F.col("role") == F.col("_via")).select("member", F.col("_to").alias("role"))
+
+        found = onward(new, pairs).union(onward(pairs, new)).where("member <> role").distinct()
+        new = cut_lineage(found.join(pairs, ["member", "role"], "left_anti"))
+        pairs = cut_lineage(pairs.union(new))
+    if nodes is None:
+        return pairs
+    name = nodes.columns[0]
+    members = links.where(F.col("member").isNotNull()).select("member").distinct()
+    lone = nodes.distinct().join(members, nodes[name] == members["member"], "left_anti")
+    return pairs.union(lone.select(F.col(name).alias("member"), F.lit(None).cast(pairs.schema["role"].dataType).alias("role")))
+
+
 def effective_grants(
     edges: DataFrame,
     nodes: DataFrame | None,
@@ -71,10 +97,16 @@ def effective_grants(
     member: str = "member",
     role: str = "role",
     grantee: str = "grantee",
+    paths: bool = True,
 ) -> DataFrame:
-    """Grants joined to every closure row in which the grantee is the member or the role."""
-    closure = membership_closure(edges, member, role, nodes)
-    return or_condition_join(grants, grantee, closure, ("member", "role"))
+    """Grants joined to every closure row in which the grantee is the member or the role.
+
+    Without ``paths`` distinct grants meet distinct pairs, which also ends on graphs of very many paths.
+    """
+    if paths:
+        closure = membership_closure(edges, member, role, nodes)
+        return or_condition_join(grants, grantee, closure, ("member", "role"))
+    return or_condition_join(grants.distinct(), grantee, reachable_pairs(edges, member, role, nodes), ("member", "role"))
 
 
 def subtree_rollup(

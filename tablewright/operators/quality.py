@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,20 @@ def row_counts_all_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def footer_row_counts(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """(table_name, row_count) of Parquet tables from the row counts in their file footers.
+
+    The count is pushed into the source, in a session of its own whose settings allow it; where Spark
+    cannot push it, the table is scanned and the count is the same.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    counts = row_counts_all_tables({n: session.read.parquet(p) for n, p in paths.items()})
+    # Sums of pushed counts are NULL for a table without row groups.
+    return counts.withColumn("row_count", F.coalesce("row_count", F.lit(0)))
+
+
 def predicate_counts_all_tables(
     tables: Mapping[str, DataFrame], required_cols: Sequence[str], predicate: Callable[[], Column]
 ) -> DataFrame:

@@ -41,6 +41,24 @@ def _(t):
     return tree.effective_grants(part_edges(t), t("part").select("p_partkey"), grants)
 
 
+@query("reachable_pairs", f"SELECT DISTINCT member, role FROM ({CLOSURE_SQL}) WHERE role IS NOT NULL")
+def _(t):
+    return tree.reachable_pairs(part_edges(t), "member", "role")
+
+
+@query(
+    "effective_grant_pairs",
+    f"""
+    SELECT DISTINCT g.*, c.member, c.role
+    FROM (SELECT p_partkey AS grantee, p_brand AS table_name, p_type AS privilege FROM part) g
+    JOIN ({CLOSURE_SQL}) c ON g.grantee = c.member OR g.grantee = c.role
+    """,
+)
+def _(t):
+    grants = t("part").selectExpr("p_partkey AS grantee", "p_brand AS table_name", "p_type AS privilege")
+    return tree.effective_grants(part_edges(t), t("part").select("p_partkey"), grants, paths=False)
+
+
 @query(
     "subtree_rollup",
     """
@@ -104,6 +122,14 @@ def _(t):
     return quality.row_counts_all_tables({n: t(n) for n in TABLES})
 
 
+@query(
+    "row_counts_from_footers",
+    " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in TABLES),
+)
+def _(t):
+    return quality.footer_row_counts(t.spark, {n: f"{t.folder}/{n}.parquet" for n in TABLES})
+
+
 @query(
     "predicate_counts_all_tables",
     """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import lsn, predicates, stemming, text, versions
 from tablewright.operators import arrays as arr
 from tablewright.plans.aggregates import interval_sql
+from tablewright.operators.ranges import range_join
 from tablewright.plans.registry import query
 
 
@@ -115,6 +116,43 @@ def _(t):
     return rows.withColumn("verdict", versions.version_verdict(F.col("cmp")))
 
 
+SUPPLIER_RANGES_SQL = """
+  SELECT s_suppkey, (s_suppkey % 3) || '.' || (s_suppkey % 12) AS low,
+    CASE WHEN s_suppkey % 7 > 0 THEN (s_suppkey % 3) || '.' || (s_suppkey % 12 + s_suppkey % 4) || '.' || (s_suppkey % 30) END AS high
+  FROM supplier
+"""
+
+
+def version_key_sql(ver: str) -> str:
+    split = split_sql(ver)
+    return f"[{{'n': coalesce(try_cast({split}[i] AS INTEGER), -1), 't': coalesce({split}[i], '')}} for i in range(1, 6)]"
+
+
+@query(
+    "version_range_join",
+    f"""
+    WITH points AS (SELECT ver1, {version_key_sql('ver1')} AS k, count(*) AS n, max(o_orderkey) AS top FROM ({VERSIONS_SQL}) GROUP BY 1, 2),
+    ranges AS (SELECT s_suppkey, low, high, {version_key_sql('low')} AS a, {version_key_sql('high')} AS b FROM ({SUPPLIER_RANGES_SQL}))
+    SELECT s_suppkey, low, high, CAST(sum(n) AS BIGINT) AS orders, max(top) AS last_order FROM ranges JOIN points
+      ON a <= k AND (high IS NULL OR k < b) GROUP BY 1, 2, 3
+    """,
+)
+def _(t):
+    """Orders by the version ranges of suppliers that hold their versions."""
+    key, sort = versions.version_text_key, versions.version_sort_key
+    points = order_versions(t).select("o_orderkey", key("ver1").alias("at"), sort("ver1").alias("version"))
+    ranges = t("supplier").selectExpr(
+        "s_suppkey",
+        "concat_ws('.', s_suppkey % 3, s_suppkey % 12) AS low",
+        "CASE WHEN s_suppkey % 7 > 0 THEN concat_ws('.', s_suppkey % 3, s_suppkey % 12 + s_suppkey % 4, s_suppkey % 30) END AS high",
+    )
+    bound = F.when(F.col("high").isNotNull(), key("high"))
+    ranges = ranges.select("*", key("low").alias("from"), bound.alias("to"), sort("low").alias("least"), sort("high").alias("end"))
+    exact = (F.col("least") <= F.col("version")) & (F.col("high").isNull() | (F.col("version") < F.col("end")))
+    met = range_join(points, "at", ranges, "from", "to", exact, bins=16)
+    return met.groupBy("s_suppkey", "low", "high").agg(F.count("*").alias("orders"), F.max("o_orderkey").alias("last_order"))
+
+
 @query("translate_chars", "SELECT doc_id, translate(text, 'éèêÉà', 'eeeEa') AS plain FROM documents")
 def _(t):
     return t("documents").select("doc_id", text.translate_chars("text", "éèêÉà", "eeeEa").alias("plain"))
