@@ -27,8 +27,9 @@ def footer_row_counts(spark: SparkSession, paths: Mapping[str, str]) -> DataFram
     session.conf.set("spark.sql.sources.useV1SourceList", "")
     session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
     counts = row_counts_all_tables({n: session.read.parquet(p) for n, p in paths.items()})
-    # Sums of pushed counts are NULL for a table without row groups.
-    return counts.withColumn("row_count", F.coalesce("row_count", F.lit(0)))
+    # The sum of pushed counts is NULL for a table without row groups, though the plan takes it for a number.
+    zeros = session.createDataFrame([(n, 0) for n in paths], counts.schema)
+    return counts.union(zeros).groupBy("table_name").agg(F.sum("row_count").alias("row_count"))
 
 
 def predicate_counts_all_tables(
