@@ -11,9 +11,10 @@ document with a smaller key, or earlier in the same one). The steps, each one sh
 2. **Locating.** Recurring phrases go to the shards of documents that hold them, and each shard looks
    for them in its texts (this is what differs between methods). The windows that name one anchor are
    a *context*: one row for several windows.
-3. **Contexts.** A context that occurred earlier is a repeat, whole. The windows of a first context are
-   compared one by one, but only if its phrase stands in other contexts as well and one of them agrees
-   with it in what stands next to the phrase.
+3. **Contexts.** A context that occurred earlier is a repeat, whole. Equal windows hold their phrase at
+   the same place, so the windows of a first context come in :data:`PARTS` parts by that place. A part
+   is compared window by window, but only if another context of the phrase agrees with it in all that the
+   windows of the part have in common.
 4. **Windows.** Those windows are grouped by hash, and all but the first are repeats (the first, and
    with ``within`` off all others in its document).
 
@@ -41,12 +42,12 @@ SHARD_BYTES = 16 << 20
 SALTS = 256
 SAMPLE_ROWS, HOT_SHARE = 4000, 100
 MOST_HELD = 500_000
-# A CONTEXT row packs its number of windows and two side hashes into one int.
-SIDES = 1 << 10
+# A CONTEXT row packs its number of windows, the place of its phrase and a hash of each part into one long.
+SIDES, PARTS = 1 << 10, 4
 
 # kind of a row: windows to be compared, windows known to be repeats, contexts to be compared.
 WINDOW, REPEAT, CONTEXT = 0, 1, 2
-ROW = "k long, salt int, row long, pos int, n int, kind int, c long"
+ROW = "k long, salt int, row long, pos int, n long, kind int, c long"
 ROW_NAMES = [x.split()[0] for x in ROW.split(", ")]
 
 
@@ -61,6 +62,12 @@ class Shape:
     piece_bytes: int = 2 << 20
     bits: int = 64
 
+    def parts(self) -> list[tuple[int, int]]:
+        """The places a phrase can have in a window, as ranges (first, last)."""
+        places = self.width - self.phrase + 1
+        cuts = [places * i // PARTS for i in range(PARTS + 1)]
+        return [(a, b - 1) for a, b in zip(cuts, cuts[1:])]
+
 
 class Piece:
     """Texts as symbols: ``code`` has a hash per symbol, ``first`` where each text's symbols begin."""
@@ -107,20 +114,21 @@ class Piece:
     def contexts(self) -> np.ndarray:
         return span_hash(self.prefix, self.run_first, self.run_last + self.shape.width).view(np.int64)
 
-    def sides(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ten bits of the hash of each run's phrase with what stands before it, and with what follows.
+    def part_hashes(self, runs: np.ndarray) -> list[np.ndarray]:
+        """For each part ten bits of the hash of what the run's windows of that part have in common, 0 if it
+        has no such window.
 
-        A window that holds the phrase holds half of its other symbols on one side of it at least, so
-        equal windows agree in one of the two. 0 where the text ends too soon.
+        Windows that hold the phrase at the places from ``low`` to ``high`` share ``low`` symbols before it
+        and what follows it in the last of them.
         """
-        half = -(-(self.shape.width - self.shape.phrase) // 2)
-        at, text = self.run_anchor[runs], self.run_text[runs]
-        left, right = at - half, at + self.shape.phrase + half
+        at, shape = self.run_anchor[runs], self.shape
+        near, far = at - self.run_last[runs], at - self.run_first[runs]
         out = []
-        for begin, end, fits in ((left, at + self.shape.phrase, left >= self.first[text]), (at, right, right <= self.first[text + 1])):
-            begin, end = np.where(fits, begin, at), np.where(fits, end, at)
-            out.append(np.where(fits, 1 + span_hash(self.prefix, begin, end) % np.uint64(SIDES - 1), 0).astype(np.int64))
-        return out[0], out[1]
+        for low, high in shape.parts():
+            held = (near <= high) & (far >= low) & (low <= high)
+            begin, end = np.where(held, at - low, at), np.where(held, at + shape.width - high, at)
+            out.append(np.where(held, 1 + span_hash(self.prefix, begin, end) % np.uint64(SIDES - 1), 0).astype(np.int64))
+        return out
 
     def window_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits for each window, as two independent hashes."""
@@ -135,7 +143,7 @@ Reader = Callable[[list[bytes], Shape], Piece]
 def rows_of(**columns) -> pa.Table:
     """A table of :data:`ROW` from some columns; the others are 0, ``salt`` is -1."""
     n = len(next(iter(columns.values())))
-    kinds = {"k": pa.int64(), "salt": pa.int32(), "row": pa.int64(), "pos": pa.int32(), "n": pa.int32(), "kind": pa.int32(), "c": pa.int64()}
+    kinds = {"k": pa.int64(), "salt": pa.int32(), "row": pa.int64(), "pos": pa.int32(), "n": pa.int64(), "kind": pa.int32(), "c": pa.int64()}
     rest = {"salt": -1}
     return pa.table({name: pa.array(columns.get(name, np.full(n, rest.get(name, 0))), kind) for name, kind in kinds.items()})
 
@@ -289,8 +297,8 @@ def _unpacked(low: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     return split
 
 
-def resolve_contexts(rows: DataFrame, shards: int, within: bool) -> DataFrame:
-    """shard, row, pos, n, kind: contexts that are repeats, and contexts whose windows must be compared.
+def resolve_contexts(rows: DataFrame, shards: int, shape: Shape) -> DataFrame:
+    """shard, row, pos, n, kind: contexts that are repeats, and windows of contexts that must be compared.
 
     Rows of kind REPEAT pass through.
     """
@@ -304,24 +312,35 @@ def resolve_contexts(rows: DataFrame, shards: int, within: bool) -> DataFrame:
             order = np.lexsort((np.arange(len(run_of)), now["c"], run_of))
             lead = runs_of(run_of[order], now["c"][order])
             first = order[lead]
-            leader = np.empty(len(run_of), np.int64)
-            leader[order] = np.repeat(first, np.diff(np.append(lead, len(order))))
+            # The class of each row, and the first row of its class.
+            which = np.empty(len(run_of), np.int64)
+            which[order] = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(order))))
+            leader = first[which]
             same = now["row"] == now["row"][leader]
-            if within:
+            if shape.within:
                 same &= now["pos"] == now["pos"][leader]
-            n = now["n"].astype(np.int64)
-            meets = (now["salt"][first] >= 0) | ((run_of[first] == 0) & before) | ((run_of[first] == run_of[-1]) & after)
-            for side in (n[first] // SIDES % SIDES, n[first] // SIDES**2):
-                meets |= _shared(run_of[first], side) & (side > 0)
-            open_lead = np.zeros(len(run_of), bool)
-            open_lead[first] = meets
-            kind = np.where(same, np.where(open_lead[leader], WINDOW, -1), REPEAT)
             passed = now["kind"] == REPEAT
-            kind = np.where(passed, REPEAT, kind)
-            n = np.where(passed, n, n % SIDES).astype(np.int32)
-            keep = kind >= 0
+            packed, pos = now["n"], now["pos"].astype(np.int64)
+            n, place = packed % SIDES, pos + packed // SIDES % SIDES
+            # Not all of these runs is in sight.
+            open_run = (now["salt"][first] >= 0) | ((run_of[first] == 0) & before) | ((run_of[first] == run_of[-1]) & after)
+            whole = np.flatnonzero(passed | ~same)
+            made = [(whole, pos[whole], np.where(passed, packed, n)[whole], REPEAT)]
+            for i, (low, high) in enumerate(shape.parts()):
+                value = packed[first] // SIDES ** (2 + i) % SIDES
+                meets = (open_run | _shared(run_of[first], value)) & (value > 0)
+                at = np.flatnonzero(same & ~passed & meets[which])
+                begin_at = np.maximum(pos[at], place[at] - high)
+                made.append((at, begin_at, np.minimum(pos[at] + n[at] - 1, place[at] - low) - begin_at + 1, WINDOW))
+            at = np.concatenate([m[0] for m in made])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(now["row"][keep]), pa.array(now["pos"][keep]), pa.array(n[keep]), pa.array(kind[keep], pa.int32()), pa.array(now["salt"][keep])],
+                [
+                    pa.array(now["row"][at]),
+                    pa.array(np.concatenate([m[1] for m in made]).astype(np.int32)),
+                    pa.array(np.concatenate([m[2] for m in made]).astype(np.int32)),
+                    pa.array(np.repeat([m[3] for m in made], [len(m[0]) for m in made]), pa.int32()),
+                    pa.array(now["salt"][at]),
+                ],
                 ["row", "pos", "n", "kind", "salt"],
             )
 
@@ -401,7 +420,7 @@ def find_repeats(
 
     phrases = recurring(anchors(placed, read, shape, hot), shards, shape.bits)
     contexts = texts.cogroup(phrases.groupBy("shard")).applyInArrow(find, ROW)
-    known = resolve_contexts(contexts, shards, shape.within)
+    known = resolve_contexts(contexts, shards, shape)
     rows = texts.cogroup(known.groupBy("shard")).applyInArrow(open_windows, ROW)
     repeats = resolve_windows(resolve_windows(rows, False, shape.within), True, shape.within)
     shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")
@@ -462,14 +481,17 @@ def context_rows(piece: Piece, rows: np.ndarray, chosen: np.ndarray, hot: np.nda
     """One CONTEXT row for each chosen run of a piece; ``rows`` are the keys of its texts."""
     k, row = piece.phrases()[chosen], rows[piece.run_text[chosen]] if len(chosen) else np.zeros(0, np.int64)
     first = piece.run_first[chosen]
-    left, right = piece.sides(chosen) if len(chosen) else (first, first)
+    packed = np.zeros(len(k), np.int64)
+    for part in reversed(piece.part_hashes(chosen) if len(chosen) else []):
+        packed = packed * SIDES + part
+    packed = packed * SIDES + piece.run_anchor[chosen] - first
     begin = piece.first[:-1][piece.run_text[chosen]] if len(chosen) else first
     return rows_of(
         k=k,
         salt=np.where(np.isin(k, hot), row % SALTS, -1),
         row=row,
         pos=first - begin,
-        n=piece.run_last[chosen] - first + 1 + SIDES * (left + SIDES * right),
+        n=packed * SIDES + piece.run_last[chosen] - first + 1,
         kind=np.full(len(k), CONTEXT),
         c=piece.contexts()[chosen],
     )
