@@ -12,6 +12,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def column_of(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def searched_case(branches: Iterable[tuple[Column, object]], default=None) -> Column:
     """``CASE WHEN``; the first true branch wins."""
     out = None

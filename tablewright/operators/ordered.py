@@ -42,7 +42,7 @@ def _comparable(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-def _order_point(df: DataFrame, order: Sequence[str]) -> Column:
+def order_point(df: DataFrame, order: Sequence[str]) -> Column:
     return F.struct(*[_comparable(df, c).alias(f"k{i}") for i, c in enumerate(order)])
 
 
@@ -56,7 +56,7 @@ def slice_bounds(df: DataFrame, order: Sequence[str], slices: int, total: int) -
         return []
     fraction = min(1.0, _SAMPLES_PER_SLICE * slices / total)
     chosen = df.sample(fraction=fraction, seed=11) if fraction < 1.0 else df
-    sample = chosen.select(_order_point(df, order).alias("p"))
+    sample = chosen.select(order_point(df, order).alias("p"))
     found = [tuple(r["p"]) for r in sample.orderBy("p").limit(2 * _SAMPLES_PER_SLICE * slices).collect()]
     bounds: list[tuple] = []
     for i in range(1, slices):

@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 
 from tablewright.operators.ordered import SLICE, slice_bounds, sliced_by
 
-_SAME = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.DecimalType)
+SAME_IN_DRIVER = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.DecimalType)
 
 
-def _between(column: str, low: object, high: object) -> Column:
+def between(column: str, low: object, high: object) -> Column:
     """What a scan can check of a slice: values of the leading order column, NULL before all others."""
     at_least = F.lit(True) if low is None else F.col(column) >= F.lit(low)
     at_most = F.lit(True) if high is None else F.col(column) <= F.lit(high)
@@ -48,10 +48,10 @@ def deep_page(
         seen += counts.get(i, 0)
     leading = df.schema[order[0]].dataType
     rows = df.where(F.lit(False)) if not bases else df
-    if bases and isinstance(leading, _SAME):
+    if bases and isinstance(leading, SAME_IN_DRIVER):
         low = bounds[min(bases) - 1][0] if min(bases) else None
         high = bounds[max(bases)][0] if max(bases) < len(bounds) else None
-        rows = df.where(_between(order[0], low, high))
+        rows = df.where(between(order[0], low, high))
     held = sliced_by(rows, order, bounds).where(F.col(SLICE).isin(*bases))
     most = max((stop - base for base in bases.values()), default=0)
     numbered = held.withColumn("_rn", F.row_number().over(Window.partitionBy(SLICE).orderBy(*order))).where(F.col("_rn") <= most)

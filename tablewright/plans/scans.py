@@ -18,6 +18,7 @@ from tablewright.operators.paging import deep_page
 from tablewright.plans.registry import query
 from tablewright.session import scratch_path
 from tablewright.sources import tables as src
+from tablewright.sources.refresh import refresh_copy, start_copy
 from tablewright.sources.text import copy_dump, dump_line_filter, text_lines_numbered
 
 LINES_SQL = """
@@ -57,6 +58,37 @@ def _(t):
     return flt.union_all_sources(*checks)
 
 
+@query(
+    "table_copy_refreshed",
+    """
+    WITH m AS (SELECT max(o_orderkey) AS top FROM orders)
+    SELECT o_orderstatus, count(*) AS orders, sum(o_orderkey) AS keys,
+      CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2)) + CASE WHEN edited THEN 1 ELSE 0 END) AS DOUBLE) AS price, true AS same, true AS few_moved
+    FROM (SELECT *, o_orderkey BETWEEN top * 40 // 100 AND top * 41 // 100 AS edited FROM orders, m)
+    WHERE NOT (edited AND o_custkey % 4 = 0)
+    GROUP BY o_orderstatus
+    """,
+)
+def _(t):
+    """A copy of orders after one stretch of 1% was edited, in part deleted: few ranges are written again."""
+    path = scratch_path(t.spark, "refreshed")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", price.alias("price"))
+    start_copy(orders, path, "o_orderkey", ranges=64, name="orders")
+    top = orders.agg(F.max("o_orderkey")).first()[0] or 0
+    edited = F.col("o_orderkey").between(top * 40 // 100, top * 41 // 100)
+    later = orders.where(~(edited & (F.col("o_custkey") % 4 == 0))).withColumn(
+        "price", (F.col("price") + F.when(edited, 1).otherwise(0)).cast("decimal(18,2)")
+    )
+    copy, checks = refresh_copy(later, path, "o_orderkey", "orders")
+    moved = F.sum(F.when(F.col("moved"), F.col("source_rows")).otherwise(0))
+    verdict = checks.agg(F.bool_and("same").alias("same"), (moved * 10 <= F.sum("source_rows")).alias("few_moved"))
+    sums = copy.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("o_orderkey").alias("keys"), F.sum("price").cast("double").alias("price")
+    )
+    return sums.crossJoin(F.broadcast(verdict))
+
+
 @query(
     "dump_line_filter",
     f"SELECT * FROM ({LINES_SQL}) WHERE NOT regexp_matches(line, '^[[:space:]]*$|[0-9]|^(CREATE|DROP) ')",
@@ -171,7 +203,7 @@ def _(t):
     """A text dump copied without some lines, packed, and read back."""
     path, target = scratch_path(t.spark, "dump"), scratch_path(t.spark, "dump-copy")
     t("documents").select("text").where("text IS NOT NULL").write.text(path)
-    copy_dump(t.spark, path, target, "[0-9]")
+    copy_dump(t.spark, path, target, "[0-9]", lines_per_part=1000)
     return t.spark.read.text(target).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("cnt"))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.functions.predicates import column_of
 from tablewright.operators.filters import union_all_sources
 
 
@@ -46,11 +47,11 @@ def read_numbered_files(spark: SparkSession, folder: str, prefix: str) -> DataFr
     return scan.where(F.col("_metadata.file_path").rlike(pattern))
 
 
-def _fingerprint(df: DataFrame) -> DataFrame:
-    """One row: count, and a sum of row hashes that does not depend on row order."""
-    cols = [F.col(c) for c in df.columns]
+def fingerprint(df: DataFrame) -> tuple[Column, Column]:
+    """Aggregates ``rows`` and ``hash``: count, and a sum of row hashes that does not depend on row order."""
+    cols = [column_of(c) for c in df.columns]
     row = F.xxhash64(*cols, *[c.isNull() for c in cols])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row.cast("decimal(38,0)")).alias("hash"))
+    return F.count(F.lit(1)).alias("rows"), F.sum(row.cast("decimal(38,0)")).alias("hash")
 
 
 def table_copy_verified(df: DataFrame, target_path: str, name: str = "table") -> tuple[DataFrame, DataFrame]:
@@ -59,21 +60,18 @@ def table_copy_verified(df: DataFrame, target_path: str, name: str = "table") ->
     Gives the copy and one check row (table, size estimate before the copy, rows on both sides, same).
     """
     spark = df.sparkSession
-    row_size = F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}))
-    estimate = df.agg(F.coalesce(F.sum(row_size.cast("bigint")), F.lit(0)).alias("estimated_bytes"))
+    row_size = F.length(F.to_json(F.struct(*[column_of(c) for c in df.columns]), {"ignoreNullFields": "false"}))
+    rows, total = fingerprint(df)
+    source = df.agg(F.coalesce(F.sum(row_size.cast("bigint")), F.lit(0)).alias("estimated_bytes"), rows, total)
     df.write.mode("errorifexists").parquet(target_path)
     copy = spark.read.parquet(target_path)
-    source, written = _fingerprint(df), _fingerprint(copy)
-    check = (
-        estimate.crossJoin(F.broadcast(source.select(F.col("rows").alias("source_rows"), F.col("hash").alias("_s"))))
-        .crossJoin(F.broadcast(written.select(F.col("rows").alias("copy_rows"), F.col("hash").alias("_t"))))
-        .select(
-            F.lit(name).alias("table_name"),
-            "estimated_bytes",
-            "source_rows",
-            "copy_rows",
-            ((F.col("source_rows") == F.col("copy_rows")) & F.col("_s").eqNullSafe(F.col("_t"))).alias("same"),
-        )
+    written = copy.agg(*fingerprint(copy)).select(F.col("rows").alias("copy_rows"), F.col("hash").alias("_t"))
+    check = source.crossJoin(F.broadcast(written)).select(
+        F.lit(name).alias("table_name"),
+        "estimated_bytes",
+        F.col("rows").alias("source_rows"),
+        "copy_rows",
+        ((F.col("rows") == F.col("copy_rows")) & F.col("hash").eqNullSafe(F.col("_t"))).alias("same"),
     )
     return copy, check
 

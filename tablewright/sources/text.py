@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablewright.sources.tables import file_listing
+
 
 def text_lines_numbered(
     source: DataFrame | str, text_col: str | None = None, spark: SparkSession | None = None
@@ -44,7 +46,26 @@ def dump_line_filter(lines: DataFrame, drop_regex: str, col: str = "line") -> Da
     return lines.where(~F.col(col).rlike(drop_regex))
 
 
-def copy_dump(spark: SparkSession, source: str, target: str, drop_regex: str) -> None:
-    """Copy a text dump, packed or not, without the matching lines; written as gzip parts."""
+def copy_dump(spark: SparkSession, source: str, target: str, drop_regex: str, lines_per_part: int = 0) -> None:
+    """Copy a text dump, packed or not, without the matching lines; written as gzip parts.
+
+    A packed file can be unpacked by one task only. With ``lines_per_part`` no part of the copy holds more
+    lines than that, so whatever reads the copy does so with a task per part. Parts follow one another in
+    the order of their names: put one behind the other they are one gzip file of as many members.
+    """
     kept = dump_line_filter(spark.read.text(source), drop_regex, "value")
-    kept.write.mode("errorifexists").option("compression", "gzip").text(target)
+    writer = kept.write.mode("errorifexists").option("compression", "gzip").option("maxRecordsPerFile", lines_per_part)
+    writer.text(target)
+
+
+def dump_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of a packed copy: (part, filename, size, first_byte), a row per part, sizes in packed bytes.
+
+    ``first_byte`` is where the part begins when all are put into one file. One row per part is ordered
+    together; the lines are not read.
+    """
+    parts = file_listing(folder, F.col("filename").startswith("part-"), None, spark)
+    order = Window.partitionBy(F.lit(0)).orderBy("filename")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    number = (F.row_number().over(order) - 1).cast("bigint")
+    return parts.select(number.alias("part"), "filename", "size", before.alias("first_byte"))

@@ -1,5 +1,6 @@
 """Joins, groups, change jobs and sources on small inputs with awkward values."""
 
+import gzip
 import os
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import aggregates, changes, filters, joins, quality
 from tablewright.session import scratch_path
 from tablewright.sources import tables
-from tablewright.sources.text import copy_dump, text_lines_numbered
+from tablewright.sources.text import copy_dump, dump_parts, text_lines_numbered
 
 
 def rows(df):
@@ -166,6 +167,30 @@ def test_dump_copy(spark, tmp_path):
     assert rows(spark.read.text(target)) == [("SELECT 1;",), ("SET x;",)]
 
 
+def test_dump_copy_in_bounded_parts(spark, tmp_path):
+    """One packed dump becomes parts of at most so many lines, in order, read by several tasks."""
+    source, target = tmp_path / "dump.sql.gz", str(tmp_path / "out")
+    lines = [f"row {i}" if i % 3 else f"DROP {i}" for i in range(1000)]
+    source.write_bytes(gzip.compress("\n".join(lines).encode()))
+    copy_dump(spark, str(source), target, "^DROP", lines_per_part=100)
+    parts = [f for f in sorted(os.listdir(target)) if f.endswith(".gz")]
+    texts = [gzip.decompress((tmp_path / "out" / f).read_bytes()).decode().splitlines() for f in parts]
+    assert [len(t) for t in texts] == [100] * 6 + [66]
+    assert sum(texts, []) == [line for line in lines if line[0] == "r"]
+    index = dump_parts(spark, target).orderBy("part").collect()
+    assert [(r["filename"], r["size"]) for r in index] == [(f, os.path.getsize(f"{target}/{f}")) for f in parts]
+    assert [(r["part"], r["first_byte"]) for r in index] == [(i, sum(x["size"] for x in index[:i])) for i in range(7)]
+    joined = b"".join((tmp_path / "out" / f).read_bytes() for f in parts)
+    assert gzip.decompress(joined).decode().splitlines() == sum(texts, [])
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 * 1024 * 1024))
+    try:
+        tasks = spark.read.text(target).select(F.spark_partition_id().alias("t")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert tasks == 7
+
+
 def test_files_and_numbered_tables(spark, tmp_path):
     for name, n in (("house1", 1), ("house12", 2), ("house", 9), ("houseint3", 9), ("old_house4", 9)):
         spark.range(n).write.parquet(str(tmp_path / name))
@@ -186,7 +211,9 @@ def test_copy_check_sees_a_difference(spark):
     copy, check = tables.table_copy_verified(df, scratch_path(spark, "copy"), "t")
     assert check.first()["same"] and rows(copy) == rows(df)
     swapped = spark.createDataFrame([(1, "a"), (None, None)], "x int, y string")
-    assert rows(tables._fingerprint(swapped)) != rows(tables._fingerprint(df))
+    assert rows(swapped.agg(*tables.fingerprint(swapped))) != rows(df.agg(*tables.fingerprint(df)))
+    odd = df.toDF("a.b", "`c`")
+    assert tables.table_copy_verified(odd, scratch_path(spark, "copy"))[1].first()["same"]
 
 
 def test_groups_come_in_ordered_parts(spark):
