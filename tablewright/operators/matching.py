@@ -12,7 +12,6 @@ from tablewright.session import cut_lineage
 
 HOT_BLOCK = 1_000
 _MAX_ROUNDS = 6
-_SHORT_SALTS = 16
 
 
 def _segment(rest_len: str, i: int, segments: int) -> tuple[str, str]:
@@ -66,19 +65,42 @@ def _verified(index: DataFrame, probes: DataFrame, on: Sequence[str], distance:
     return left.join(right, same_block & ordered & (near >= 0), "inner").select("a", "b")
 
 
-def _short_pairs(names: DataFrame, distance: int) -> DataFrame:
-    """Pairs whose shorter name is too short for segments, by length; the longer side is salted."""
+def _in_cells(index: DataFrame, probes: DataFrame, distance: int, most: int) -> DataFrame:
+    """Pairs of all blocks, with no more than about ``most`` names from either side in one group.
+
+    A block of more names is dealt out by hash, on both sides; each part of one meets each of the other.
+    """
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+        return sizes.select("block", F.ceil(F.col("_n") / most).cast("int").alias(name))
+
+    crowded = cut_lineage(parts(index, "_index_parts").join(parts(probes, "_probe_parts"), "block", "full"))
+    if crowded.isEmpty():
+        return _verified(index, probes, ["block"], distance)
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        count = {c: F.coalesce(F.col(f"_{c}_parts"), F.lit(1)) for c in (own, other)}
+        mine = F.pmod(F.xxhash64("name"), count[own]).cast("int").alias(own)
+        return rows.join(crowded, "block", "left").select("block", "name", mine, F.explode(F.sequence(F.lit(0), count[other] - 1)).alias(other))
+
+    return _verified(dealt(index, "index", "probe"), dealt(probes, "probe", "index"), ["block", "index", "probe"], distance)
+
+
+def _short_pairs(names: DataFrame, distance: int, most: int) -> DataFrame:
+    """Pairs whose shorter name is too short for segments, by length; the longer side is dealt out by hash."""
+    salts = max(1, -(-names.where(F.length("name") <= 2 * distance).count() // most))
     short = names.where(F.length("name") <= distance).select(
         "name",
         F.explode(F.sequence(F.length("name"), F.length("name") + distance)).alias("long_len"),
         F.length("name").alias("short_len"),
     )
-    short = short.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SHORT_SALTS - 1))))
+    short = short.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     longer = names.where(F.length("name") <= 2 * distance).select(
         "name",
         F.length("name").alias("long_len"),
         F.explode(F.sequence(F.lit(0), F.lit(distance))).alias("short_len"),
-        F.pmod(F.xxhash64("name"), F.lit(_SHORT_SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int").alias("salt"),
     )
     return _verified(short, longer, ["short_len", "long_len", "salt"], distance)
 
@@ -94,7 +116,8 @@ def fuzzy_pairs(
     Nothing is compared with everything. A name cut in ``max_distance + 1`` segments keeps one of
     them unchanged under ``max_distance`` edits, moved by as many places at most; equal segments
     are equi-join keys. Where more than ``hot_block`` names share a segment, what is left of the
-    names is cut again in the same way, so a common word narrows the search and no pair is lost.
+    names is cut again in the same way, so a common word narrows the search and no pair is lost. What
+    cannot be narrowed, or is not after ``_MAX_ROUNDS`` rounds, is compared in cells of that many names.
     """
     distance = max_distance
     counted = cut_lineage(
@@ -111,7 +134,7 @@ def fuzzy_pairs(
         F.explode(F.sequence(F.lit(0), F.lit(distance))).alias("shorter"),
         F.col("name").alias("rest"),
     ).select("name", "shorter", (F.length("name") - F.col("shorter")).cast("string").alias("block"), "rest")
-    found = [_short_pairs(names, distance)]
+    found = [_short_pairs(names, distance, hot_block)]
     for round_no in range(_MAX_ROUNDS):
         blocks, places = _index_blocks(index, distance + 1), _probe_blocks(probes, distance)
         hot = None
@@ -125,7 +148,7 @@ def fuzzy_pairs(
             )
             hot = None if hot.isEmpty() else hot
         cold = blocks if hot is None else blocks.join(hot, "block", "left_anti")
-        found.append(_verified(cold, places, ["block"], distance))
+        found.append(_in_cells(cold, places if hot is None else places.join(hot, "block", "left_anti"), distance, hot_block))
         if hot is None:
             break
         index = cut_lineage(blocks.join(hot, "block", "left_semi"))

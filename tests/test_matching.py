@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tablewright.operators import matching
 from tablewright.operators.matching import fuzzy_pairs, name_normalize_legal_form
 
 
@@ -43,6 +45,26 @@ def test_fuzzy_pairs_equal_brute_force(spark, hot_block, limit):
         assert (r["rows_1"], r["rows_2"]) == (data.count(r["name_1"]), data.count(r["name_2"]))
 
 
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_blocks_that_stay_large_are_dealt_out(spark, monkeypatch, rounds):
+    """Names that share a long stretch, after the last round: no group is larger than a cell, no pair is lost."""
+    rng = random.Random(rounds)
+    data = ["the common stretch of all these names " + "".join(rng.choice("uvwxyz") for _ in range(8)) for _ in range(400)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(data)], "id int, name string")
+    monkeypatch.setattr(matching, "_MAX_ROUNDS", rounds)
+    groups, plain = [], matching._verified
+
+    def watched(index, probes, on, distance):
+        groups.extend(side.groupBy(*on).count().agg(F.max("count")).first()[0] or 0 for side in (index, probes) if "block" in on)
+        return plain(index, probes, on, distance)
+
+    monkeypatch.setattr(matching, "_verified", watched)
+    got = fuzzy_pairs(df, "id", "name", hot_block=60).collect()
+    want = {(a, b) for a in set(data) for b in set(data) if a != b and distance(a[-8:], b[-8:]) <= 3}
+    assert {(r["name_1"], r["name_2"]) for r in got if r["distance"]} == want
+    assert 30 < max(groups) <= 120
+
+
 def test_fuzzy_pairs_compare_a_prefix(spark):
     df = spark.createDataFrame([(1, "abcdefgh-long tail"), (2, "abcdefgx-other ending"), (3, None)], "id int, name string")
     got = fuzzy_pairs(df, "id", "name", prefix=8).collect()
