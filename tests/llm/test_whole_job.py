@@ -2,8 +2,10 @@
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tablewright.llm import plans, ranked_search
@@ -35,7 +37,7 @@ def test_a_query_is_the_whole_document(spark, monkeypatch, tmp_path, shard_bytes
     monkeypatch.setattr(ranked_search, "SHARD_BYTES", shard_bytes)
     monkeypatch.setattr(ranked_search, "PACK", pack)
     monkeypatch.setattr(ranked_search, "CELLS", cells)
-    monkeypatch.setattr(ranked_search, "GROUP", 3)
+    monkeypatch.setattr(ranked_search, "GROUPS", 3)
     monkeypatch.setattr(ranked_search, "HELD", 2)
     monkeypatch.setattr(ranked_search, "BLOCK", 4)
     # The last has words of its own only.
@@ -53,6 +55,39 @@ def test_a_query_is_the_whole_document(spark, monkeypatch, tmp_path, shard_bytes
         assert [g[2:] for g in got] == [h[1:] for h in hits]
 
 
+@pytest.mark.parametrize("span,cells", [(16, 1 << 18), (4, 1 << 18), (16, 3000)])
+def test_spans_under_the_floor_stay_closed(monkeypatch, span, cells):
+    """Of the bounds of 40 queries most are under the floor, and the best are those of brute force."""
+    monkeypatch.setattr(ranked_search, "SPAN", span)
+    monkeypatch.setattr(ranked_search, "CELLS", cells)
+    rng = np.random.default_rng(5)
+    # Neighbours share a topic, so that a span bounds documents that are alike.
+    texts = [" ".join([*(f"c{x}" for x in rng.zipf(1.5, 20) % 30), *(f"t{i // 20}x{x}" for x in rng.integers(0, 12, 15))]).encode() for i in range(1200)]
+    term, doc, freq, length = ranked_search.term_counts(texts)
+    begin = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+    counts = np.diff(np.append(begin, len(term)))
+    idf = dict(zip(term[begin].tolist(), np.log1p((1200 - counts + 0.5) / (counts + 0.5)).tolist()))
+    empty = np.zeros(0, "<u4")
+    row = {"doc_ids": np.arange(1200, dtype="<i8"), "lengths": length.astype("<u4"), "terms": term[begin], "counts": counts.astype("<u4"),
+           "docs": doc.astype("<u4"), "freqs": freq.astype("<u4"), "block_docs": empty, "block_freqs": empty, "block_lengths": empty}
+    shard = ranked_search.WholeShard({k: v.tobytes() for k, v in row.items()}, float(length.mean()))
+    asked = list(range(0, 1200, 30))
+    words = [ranked_search.term_counts([texts[i]]) for i in asked]
+    weights = [np.array([f * idf[t] for t, f in zip(w[0].tolist(), w[2].tolist())]) for w in words]
+    sizes = np.array([len(w) for w in weights])
+    blobs = {"queries": np.array(asked), "sizes": sizes, "words": np.concatenate([w[0] for w in words]), "weights": np.concatenate(weights)}
+    codes = zlib.compress(np.arange(sizes.sum(), dtype="<u4").tobytes())
+    pack = ranked_search.Pack({**{k: v.tobytes() for k, v in blobs.items()}, "codes": codes})
+    shard.within(pack, 10)
+    assert shard.skipped > 2 * shard.opened > 0
+    shares = freq * 2.2 / (freq + shard.norm[doc])
+    for w, v, best in zip(words, weights, pack.best):
+        weight = dict(zip(w[0].tolist(), v.tolist()))
+        scores = np.bincount(doc, [weight.get(t, 0.0) * s for t, s in zip(term.tolist(), shares.tolist())], 1200)
+        want = sorted((-round(s, 9), d) for d, s in enumerate(scores.tolist()))[:10]
+        assert sorted((-round(s, 9), -d) for s, d in best) == want
+
+
 def test_search_of_whole_documents_in_nothing(spark):
     index = ranked_search.build_index(table(spark, []))
     queries = ranked_search.document_queries(table(spark, []), index)
