@@ -1,11 +1,23 @@
 """Steps whose work, memory or driver share grew faster than the tables (round 3), on rows of their own."""
 
+import contextlib
+import io
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import versions
+from tablewright.operators import joins, json_tables
 from tablewright.operators.ranges import range_join
+from tablewright.streaming.log_gap import write_log_gap
+
+
+def shown(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
 
 
 def test_points_folded_per_interval(spark):
@@ -50,3 +62,45 @@ def test_wide_intervals_make_no_pairs(spark):
     spans = spark.range(60_000).select((F.col("id") % 7).alias("lo"), (F.col("id") + 200_000).alias("hi"))
     got = range_join(points, "id", spans, "lo", "hi", bins=16, folds={"n": F.sum})
     assert got.where("n <> hi - lo").count() == 0 and got.count() == 60_000
+
+
+def test_lone_keys_by_one_grouping(spark):
+    """Copies and NULL keys come out as often as they stand there; no side is joined to the other."""
+    a = spark.createDataFrame([(k,) for k in [1, 1, 2, 3, 3, None, None, 5]] + [(9,)] * 10_001, "k int")
+    b = spark.createDataFrame([(k,) for k in [2, 2, 4, 4, 5, None]], "j long")
+    got = joins.one_sided_keys(a, b, ("k", "j"))
+    want = [(1, "left")] * 2 + [(3, "left")] * 2 + [(None, "left")] * 2 + [(9, "left")] * 10_001
+    want += [(4, "right")] * 2 + [(None, "right")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    plan = shown(joins.one_sided_keys(a, b, ("k", "j")))
+    assert "Join" not in plan and plan.count("Scan") == 2
+
+
+def test_documents_are_made_for_the_answer_only(spark):
+    """Rows that one side lacks are found before their documents are made, changed ids once."""
+    one = spark.createDataFrame([(i, '{"a": %d}' % i) for i in range(9)], "id int, j string")
+    two = spark.createDataFrame([(i, '{"a": %d}' % (i + i % 2)) for i in range(2, 11)], "id int, j string")
+    got = json_tables.table_diff_deep_limited(one, two, "id", limit=2, json_cols=["j"])
+    plan = shown(got)
+    assert [(r.id, r.change_path) for r in got.collect()] == [
+        (0, "<two row missing>"), (1, "<two row missing>"), (3, ".j"), (3, ".j.a"), (5, ".j"), (5, ".j.a"),
+        (9, "<one row missing>"), (10, "<one row missing>"),
+    ]
+    assert "sha2" not in plan and "LeftAnti" in plan
+    assert all("parse_json" not in line for line in plan.split("LeftAnti", 1)[1].splitlines() if "Scan" in line)
+
+
+@pytest.mark.parametrize("delay", [None, "20 seconds"])
+def test_stream_state_by_buckets(spark, tmp_path, delay):
+    """Many keys share few states; keys and ties beyond 2^53 and NULL ones come through unchanged."""
+    start, big, folder = 1_700_000_000, 2**60, str(tmp_path / "in")
+    rows = [(big + i, None if i % 3000 == 7 else big + i % 3000, start + i // 100) for i in range(6000)]
+    for part in (rows[:3000], rows[3000:] + [(None, None, start + 10_000)]):
+        some = spark.createDataFrame(part, "event_id long, user_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+        some.drop("s").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("event_id long, user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    query = write_log_gap(stream, "user_id", "ts", "event_id", str(tmp_path / "out"), str(tmp_path / "state"), delay)
+    out = spark.read.parquet(str(tmp_path / "out")).where("event_id IS NOT NULL").collect()
+    assert sorted((r.event_id, r.user_id, r.gap_us) for r in out) == [(e, u, 30_000_000 if e - big >= 3000 else None) for e, u, _ in rows]
+    states = [s.numRowsTotal for p in query.recentProgress for s in p.stateOperators]
+    assert 0 < max(states) <= 512
