@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tablewright.operators.ordered import as_list
 
+REPEATS = 10_000  # rows that one array brings back at most
+
 
 def star_join_paged(
     fact: DataFrame,
@@ -98,14 +100,26 @@ def full_outer_by_key(a: DataFrame, b: DataFrame, key: tuple[str, str]) -> DataF
 
 
 def one_sided_keys(a: DataFrame, b: DataFrame, key: tuple[str, str], tags: tuple[str, str] = ("left", "right")) -> DataFrame:
-    """Keys of rows that the other side lacks, tagged with their side. NULL keys never match."""
-
-    def missing(x: DataFrame, x_key: str, y: DataFrame, y_key: str, tag: str) -> DataFrame:
-        known = y.select(F.col(y_key).alias("_key")).distinct()
-        lone = x.select(F.col(x_key).alias("key"))
-        return lone.join(known, lone["key"] == known["_key"], "left_anti").select("key", F.lit(tag).alias("side"))
+    """Keys of rows that the other side lacks, tagged with their side. NULL keys never match.
 
-    return missing(a, key[0], b, key[1], tags[0]).union(missing(b, key[1], a, key[0], tags[1]))
+    Both sides are counted per key in one grouping: each is read once, and a task holds distinct keys
+    instead of sorted rows. A key that one side lacks comes out as often as the other has it.
+    """
+    ones = a.select(F.col(key[0]).alias("key"), F.lit(1).alias("_a"), F.lit(0).alias("_b"))
+    twos = b.select(F.col(key[1]).alias("key"), F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    counts = ones.union(twos).groupBy("key").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+
+    def lone(own: str, other: str, tag: str) -> Column:
+        alone = (F.col(own) > 0) & (F.col("key").isNull() | (F.col(other) == 0))
+        return F.when(alone, F.struct(F.lit(tag).alias("side"), F.col(own).alias("_n")))
+
+    sides = F.filter(F.array(lone("_a", "_b", tags[0]), lone("_b", "_a", tags[1])), lambda s: s.isNotNull())
+    found = counts.select("key", F.inline(sides))
+    # In pieces, so that no row holds an array of unknown size.
+    pieces = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / REPEATS))
+    found = found.withColumn("_piece", F.explode(pieces))
+    times = F.least(F.lit(REPEATS), F.col("_n") - F.col("_piece") * REPEATS).cast("int")
+    return found.withColumn("_again", F.explode(F.array_repeat(F.lit(0), times))).select("key", "side")
 
 
 def anti_join_candidates(
