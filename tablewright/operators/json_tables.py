@@ -244,15 +244,17 @@ def table_diff_deep_limited(
 ) -> DataFrame:
     """Deep diff of the first ``limit`` changed rows by id, and every row that one side lacks.
 
-    Digests are joined to find changed ids; whole documents move only for the rows in the answer.
-    Ignored paths are removed before comparing.
+    Digests are joined to find changed ids, once; whole documents move only for the rows in the answer, and
+    only those are made again. Ignored paths are removed before comparing.
     """
-    left = row_documents(one, key, json_cols, ignore_paths)
-    right = row_documents(two, key, json_cols, ignore_paths)
+
+    def documents(df: DataFrame) -> DataFrame:
+        return row_documents(df, key, json_cols, ignore_paths)
+
     digest = F.sha2(F.to_json("document"), 256)
-    a = left.select(F.col(key).alias("_id"), digest.alias("_one"))
-    b = right.select(F.col(key).alias("_id2"), digest.alias("_two"))
-    changed = (
+    a = documents(one).select(F.col(key).alias("_id"), digest.alias("_one"))
+    b = documents(two).select(F.col(key).alias("_id2"), digest.alias("_two"))
+    changed = cut_lineage(
         a.join(b, F.col("_id") == F.col("_id2"), "inner")
         .where(F.col("_one") != F.col("_two"))
         .select("_id")
@@ -260,24 +262,19 @@ def table_diff_deep_limited(
         .limit(limit)
     )
     wanted = F.broadcast(changed)
-    pairs = (
-        left.join(wanted, left[key] == wanted["_id"], "inner")
-        .select(F.col(key), F.col("document").alias("one"))
-        .join(
-            right.join(wanted, right[key] == wanted["_id"], "inner").select(
-                F.col(key).alias("_key"), F.col("document").alias("two")
-            ),
-            F.col(key) == F.col("_key"),
-            "inner",
-        )
-        .drop("_key")
-    )
+
+    def chosen(df: DataFrame) -> DataFrame:
+        return documents(df.join(wanted, df[key] == wanted["_id"], "inner").select(*[df[c] for c in df.columns]))
+
+    left = chosen(one).select(F.col(key), F.col("document").alias("one"))
+    right = chosen(two).select(F.col(key).alias("_key"), F.col("document").alias("two"))
+    pairs = cut_lineage(left.join(right, F.col(key) == F.col("_key"), "inner").drop("_key"))
     deep = _changed_paths(pairs, key)
     nothing = F.lit(None).cast("string")
 
     def lone(side: DataFrame, other: DataFrame, label: str, is_one: bool) -> DataFrame:
         known = other.select(F.col(key).alias("_known"))
-        rest = side.join(known, side[key] == known["_known"], "left_anti")
+        rest = documents(side.join(known, side[key] == known["_known"], "left_anti"))
         text = F.to_json("document")
         return rest.select(
             key,
@@ -287,8 +284,8 @@ def table_diff_deep_limited(
         )
 
     return (
-        deep.union(lone(left, two, MISSING_TWO, True))
-        .union(lone(right, one, MISSING_ONE, False))
+        deep.union(lone(one, two, MISSING_TWO, True))
+        .union(lone(two, one, MISSING_ONE, False))
         .orderBy(key, "change_path")
     )
 
