@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.operators.ordered import SLICE, slice_bounds, sliced_by
+from tablewright.session import written
 
 SAME_IN_DRIVER = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.DecimalType)
 
@@ -22,7 +23,13 @@ def between(column: str, low: object, high: object) -> Column:
 
 
 def deep_page(
-    df: DataFrame, order: Sequence[str], limit: int, offset: int, slices: int | None = None, descending: bool = False
+    df: DataFrame,
+    order: Sequence[str],
+    limit: int,
+    offset: int | Callable[[int], int],
+    slices: int | None = None,
+    descending: bool = False,
+    joined: bool = False,
 ) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of the order, with their ``position`` from 0.
 
@@ -31,10 +38,15 @@ def deep_page(
     sizes vary, the page does not. The ranges hold about ``limit`` or a 200th of the rows, whichever is
     more, unless ``slices`` says how many there are. ``order`` must be a total order for repeatable pages;
     NULL comes first, or last if ``descending``. A page beyond the end is short or empty. The input is read
-    three times, with few columns but for the last: hand over a table, or joins of tables.
+    three times, with few columns but for the last: hand over a table. Of ``joined`` tables the order columns
+    are worked out once and written, so that the joins are done once for them and once for the page's ranges.
+    An ``offset`` that depends on the number of rows is a function of it.
     """
     keys = df.select(*order)
+    if joined:
+        keys = written(keys, "page-keys")
     total = keys.count()
+    offset = offset(total) if callable(offset) else offset
     first = max(0, total - offset - limit) if descending else min(offset, total)
     stop = max(0, total - offset) if descending else min(total, offset + limit)
     if slices is None:

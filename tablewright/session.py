@@ -52,3 +52,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: an iterative job restarts from here when executors are lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table under the shared folder: smaller than a checkpoint, and read by columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

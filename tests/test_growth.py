@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import versions
-from tablewright.operators import joins, json_tables
+from tablewright.operators import joins, json_tables, paging
 from tablewright.operators.ranges import range_join
 from tablewright.streaming.log_gap import write_log_gap
 
@@ -90,6 +90,18 @@ def test_documents_are_made_for_the_answer_only(spark):
     assert all("parse_json" not in line for line in plan.split("LeftAnti", 1)[1].splitlines() if "Scan" in line)
 
 
+def test_joins_of_a_deep_page_run_twice(spark, monkeypatch):
+    """The order columns of joined tables are written once; borders and counts come from them."""
+    seen, bounds = [], paging.slice_bounds
+    monkeypatch.setattr(paging, "slice_bounds", lambda df, *rest: seen.append(shown(df)) or bounds(df, *rest))
+    a = spark.createDataFrame([(i % 50, i) for i in range(400)], "k int, v int")
+    star = joins.star_join(a, [(spark.range(50).withColumnRenamed("id", "d"), F.col("k") == F.col("d"))])
+    got = paging.deep_page(star, ["k", "v"], 5, lambda rows: rows * 2 // 3, joined=True).collect()
+    want = sorted((i % 50, i) for i in range(400))[266:271]
+    assert [(r.k, r.v) for r in got] == want and [r.position for r in got] == list(range(266, 271))
+    assert seen and not any("Join" in plan for plan in seen)
+
+
 @pytest.mark.parametrize("delay", [None, "20 seconds"])
 def test_stream_state_by_buckets(spark, tmp_path, delay):
     """Many keys share few states; keys and ties beyond 2^53 and NULL ones come through unchanged."""
