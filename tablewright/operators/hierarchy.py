@@ -27,7 +27,8 @@ def membership_closure(
     """All (member, role, path) reachable over an edge list.
 
     ``nodes`` (one column) adds those that are never a member, with a NULL role and an empty path.
-    A role already on the path is not entered again, which ends the search on cycles too.
+    A role already on the path is not entered again, which ends the search on cycles too. The links are
+    joined by merging in every round: a broadcast would bring them, or the round, to the driver each time.
     """
     links = cut_lineage(edges.select(F.col(member).alias("_m"), F.col(role).alias("_r")).distinct())
     found = [
@@ -42,7 +43,7 @@ def membership_closure(
     ]
     while True:
         last = found[-1]
-        step = last.join(links, last["role"] == links["_m"], "inner").where(~F.array_contains("_seen", F.col("_r")))
+        step = last.join(links.hint("merge"), last["role"] == links["_m"], "inner").where(~F.array_contains("_seen", F.col("_r")))
         step = cut_lineage(
             step.select(
                 "member",
@@ -59,7 +60,7 @@ def membership_closure(
         return out
     name = nodes.columns[0]
     members = links.select("_m").distinct()
-    lone = nodes.distinct().join(members, nodes[name] == members["_m"], "left_anti")
+    lone = nodes.distinct().join(members.hint("merge"), nodes[name] == members["_m"], "left_anti")
     kind = out.schema["role"].dataType
     return out.union(lone.select(F.col(name).alias("member"), F.lit(None).cast(kind).alias("role"), F.lit("").alias("path")))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import versions
-from tablewright.operators import joins, json_tables, paging
+from tablewright.operators import hierarchy, joins, json_tables, paging
 from tablewright.operators.ranges import range_join
 from tablewright.streaming.log_gap import write_log_gap
 
@@ -76,6 +76,22 @@ def test_lone_keys_by_one_grouping(spark):
     assert "Join" not in plan and plan.count("Scan") == 2
 
 
+def test_rounds_bring_nothing_to_the_driver(spark, monkeypatch):
+    """Small links are not broadcast in each round of the closure."""
+    plans, cut = [], hierarchy.cut_lineage
+
+    def spy(df):
+        out = cut(df)
+        plans.append(shown(df))
+        return out
+
+    monkeypatch.setattr(hierarchy, "cut_lineage", spy)
+    edges = spark.range(1, 60).selectExpr("id AS m", "id div 2 AS r")
+    assert hierarchy.membership_closure(edges, "m", "r").count() == sum(n.bit_length() for n in range(1, 60))
+    rounds = [p for p in plans if "Join" in p]
+    assert rounds and not any("Broadcast" in p for p in rounds)
+
+
 def test_documents_are_made_for_the_answer_only(spark):
     """Rows that one side lacks are found before their documents are made, changed ids once."""
     one = spark.createDataFrame([(i, '{"a": %d}' % i) for i in range(9)], "id int, j string")
