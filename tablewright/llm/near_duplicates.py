@@ -19,10 +19,13 @@ each class is compared with the nearest few of the ``CENTRES`` most common ones
 confirmed links become components; keys whose members are all in one component are done. Then, in
 keys that still hold several components, the members outside the key's largest component meet the
 members of other components, in blocks of ``BLOCK`` by ``BLOCK`` members, so a key of any size is split
-over tasks: first each proposes its ``NEAREST`` mates, and when their links have joined components,
-all pairs that are left are proposed. A pair is looked at in the first key that it shares only, and
-dropped there by a longer signature, :data:`DETAIL` values of 4 bits: a pair at 0.8 differs in 192 of
-1024 places, with a standard deviation of 12.5; :data:`DETAIL_DIFFERENT` lies 7 deviations above that.
+over tasks: first each proposes its ``NEAREST`` mates, and when their links have joined components, all
+pairs that are left are looked at. A pair is looked at in the first key that it shares only. Cells are
+narrowed twice, and no pair leaves a cell but a link: members without a mate under the signature distance
+go, and those left are compared by a longer signature, :data:`DETAIL` values of 4 bits: a pair at 0.8
+differs in 192 of 1024 places, with a standard deviation of 12.5; :data:`DETAIL_DIFFERENT` lies 7
+deviations above that. Texts come to the members left after that, once for each cell, and their full sets
+are compared there.
 
 Defined results: texts without words, null or empty, have empty sets and are linked with nothing; a
 row without doc_id is linked with nothing, has no component and is kept; rows with equal texts are
@@ -50,6 +53,10 @@ MOST_DIFFERENT = 2 * CHUNKS - 1
 # Seven deviations above the mean of a pair at 0.8: such a pair is dropped once in 10^12.
 DETAIL, DETAIL_DIFFERENT = 1024, 280
 STARS, CENTRES, TRIED, NEAREST, BLOCK = 3, 8, 3, 3, 4096
+# Members by members in a cell of longer signatures, and in a cell of texts.
+PART, TEXTS = 512, 128
+# A power of two over the number of keys of a signature.
+PLACES = 64
 
 _rng = np.random.default_rng(3)
 _FACTORS = _rng.integers(1, 2**32, VALUES + DETAIL, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -111,12 +118,15 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def chunk_key(values: np.ndarray, chunk: int, error: int) -> np.ndarray:
-    """Hash of the values of a chunk but the one at ``error``; ``values``: (rows, CHUNKS, WIDTH)."""
+    """Hash of the values of a chunk but the one at ``error``; ``values``: (rows, CHUNKS, WIDTH).
+
+    The last bits are the number of the key, so that a key says which chunk and place it stands for.
+    """
     key = np.full(len(values), chunk * WIDTH + error + 1, np.uint64)
     for place in range(WIDTH):
         if place != error:
             key = mix(key * np.uint64(0x10001) + values[:, chunk, place].astype(np.uint64))
-    return key.view(np.int64)
+    return (key // np.uint64(PLACES) * np.uint64(PLACES) + np.uint64(chunk * WIDTH + error)).view(np.int64)
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
@@ -243,11 +253,15 @@ def _confirm(part: pa.RecordBatch, shingle: int, percent: int) -> pa.RecordBatch
         sides.append([hashes[first[i] : first[i + 1]] for i in (distinct[t] for t in texts)])
     keep = np.zeros(part.num_rows, bool)
     for i, (x, y) in enumerate(zip(*sides)):
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        keep[i] = 100 * both >= percent * (len(x) + len(y) - both) and both > 0
+        keep[i] = _alike(x, y, percent)
     return pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _star_pairs(shared: DataFrame) -> DataFrame:
     """Classes with centres of their keys: of those the CENTRES that are drawn first everywhere."""
     draw = F.xxhash64("rep")
@@ -270,9 +284,8 @@ def _best(near: DataFrame) -> DataFrame:
     return ends.withColumn("place", place).where(F.col("place") <= TRIED).select("a", "b").distinct()
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, members: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """Pairs under the distances that meet in a key and are in different components: all of them, or
-    for each class and key the ``nearest`` few."""
+def _open_cells(shared: DataFrame, labels: DataFrame, members: DataFrame) -> DataFrame:
+    """Members of keys that hold several components, in cells (key, cell) where each meets the other components."""
     named = labels.select(F.col("node").alias("rep"), "component")
     labelled = shared.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -287,33 +300,95 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, members: DataFrame, percen
             F.ceil((F.col("rows") - F.col("main.n")) / BLOCK).cast("int").alias("turns"),
         )
     )
-    rows = labelled.join(open_keys, "key").join(members.select("rep", "n_shingles", "signature", "detail"), "rep")
+    rows = labelled.join(open_keys, "key").join(members.select("rep", "n_shingles", "signature"), "rep")
     home = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     turn = F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("turns")).cast("int")
 
     def cell(probe: bool, block: Column, turn: Column) -> Column:
-        return F.struct(F.lit(probe).alias("probe"), block.alias("block"), turn.alias("turn"))
+        return F.struct(F.lit(probe).alias("probe"), (F.shiftleft(turn.cast("long"), 32) + block).alias("cell"))
 
     # A member is looked at in its own block by all turns; outside the main component it also takes a
     # turn of its own through all blocks.
     seen = F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda t: cell(False, home, t))
     looks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: cell(True, b, turn))
     cells = F.when(F.col("component") != F.col("main"), F.concat(seen, looks)).otherwise(seen)
-    placed = rows.withColumn("cell", F.explode(cells)).withColumn("main", F.col("component") == F.col("main"))
-    placed = placed.select("key", "cell.block", "cell.turn", "cell.probe", "rep", "component", "main", "n_shingles", "signature", "detail")
+    placed = rows.withColumn("at", F.explode(cells)).withColumn("main", F.col("component") == F.col("main"))
+    return placed.select("key", "at.cell", "at.probe", "rep", "component", "main", "n_shingles", "signature")
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    return cells.repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+
+def _each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict[str, np.ndarray]]]:
+    for now in _whole_groups(batches, ["key", "cell"]):
+        begin = runs_of(now["key"], now["cell"])
+        yield [{n: x[a:b] for n, x in now.items()} for a, b in zip(begin, np.append(begin[1:], len(now["key"])))]
+
+
+def _narrowed(cells: DataFrame, members: DataFrame, columns: list[str], percent: int, part: int) -> DataFrame:
+    """Cells of ``part`` probes by ``part`` others, of the members alone that have a mate in their cell under the
+    distances known there; with these ``columns`` of the members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _each_cell(batches):
+            met = [(cell, pairs) for cell in group if len(pairs := _compare(cell, percent))]
+            if met:
+                left = [_in_parts(cell, pairs, part) for cell, pairs in met]
+                yield pa.RecordBatch.from_pydict({n: np.concatenate([x[n] for x in left]) for n in left[0]})
+
+    rows = _dealt(cells).mapInArrow(run, "key long, cell long, probe boolean, rep long, component long, main boolean")
+    return rows.join(members.select("rep", *columns), "rep")
+
+
+def _in_parts(cell: dict[str, np.ndarray], pairs: np.ndarray, part: int) -> dict[str, np.ndarray]:
+    """The rows of a cell that stand in ``pairs``, once for each part of the other side that they meet."""
+    sides = [np.unique(cell["rep"][at], return_index=True, return_inverse=True) for at in pairs.T]
+    parts = [rank // part for _, _, rank in sides]
+    out = []
+    for side, (_, first, rank) in enumerate(sides):
+        across = int(parts[1 - side].max()) + 1
+        rank, other = np.divmod(np.unique(rank * across + parts[1 - side]), across)
+        at, own = pairs[first[rank], side], rank // part
+        number = ((own << 32) + other if side == 0 else (other << 32) + own).astype(np.uint64)
+        rows = {n: cell[n][at] for n in ("key", "probe", "rep", "component", "main")}
+        out.append(rows | {"cell": mix(mix(cell["cell"][at].astype(np.uint64)) + number).view(np.int64)})
+    names = ("key", "cell", "probe", "rep", "component", "main")
+    return {n: np.concatenate([rows[n] for rows in out]) for n in names}
+
+
+def _nearest_pairs(cells: DataFrame, percent: int, nearest: int) -> DataFrame:
+    """Pairs (a, b) in different components that are under the distances: for each class and cell the nearest few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _each_cell(batches):
+            yield _ends([cell["rep"][_compare(cell, percent, nearest)] for cell in group])
+
+    return _dealt(cells).mapInArrow(run, "a long, b long").distinct()
+
+
+def _cell_links(cells: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of the cells that are under the distances and whose full sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for now in _whole_groups(batches, ["key", "block", "turn"]):
-            begin = runs_of(now["key"], now["block"], now["turn"])
-            pairs = [np.zeros((0, 2), np.int64)]
-            for a, b in zip(begin.tolist(), np.append(begin[1:], len(now["key"])).tolist()):
-                pairs += _compare({n: x[a:b] for n, x in now.items()}, percent, nearest)
-            found = np.concatenate(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        for group in _each_cell(batches):
+            yield _ends([cell["rep"][_linked(cell, _compare(cell, percent), shingle, percent)] for cell in group])
 
-    cut = ["key", "block", "turn"]
-    found = placed.repartition(*cut).sortWithinPartitions(*cut).mapInArrow(run, "a long, b long")
-    return found if nearest is None else found.distinct()
+    return _dealt(cells).mapInArrow(run, "a long, b long")
+
+
+def _ends(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    found = np.concatenate(pairs)
+    return pa.RecordBatch.from_arrays([pa.array(found.max(axis=1)), pa.array(found.min(axis=1))], ["a", "b"])
+
+
+def _linked(cell: dict[str, np.ndarray], pairs: np.ndarray, shingle: int, percent: int) -> np.ndarray:
+    """Those of the pairs (places in the cell) whose full sets reach the similarity; every text is cut up once."""
+    used, at = np.unique(pairs, return_inverse=True)
+    hashes, first = shingle_sets([cell["text"][i] for i in used], shingle)
+    sets = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
+    keep = [_alike(sets[a], sets[b], percent) for a, b in at.reshape(-1, 2).tolist()]
+    return pairs[np.array(keep, bool)]
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -338,20 +413,22 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
 
 
-def _compare(group: dict[str, np.ndarray], percent: int, nearest: int | None) -> list[np.ndarray]:
-    """Pairs (larger, smaller) of a group's probes with the members of its block."""
-    probe = group["probe"].astype(bool)
-    probes, at = np.flatnonzero(probe), np.flatnonzero(~probe)
+def _compare(cell: dict[str, np.ndarray], percent: int, nearest: int | None = None) -> np.ndarray:
+    """Places (probe, other) in a cell of the pairs in different components that are under the distances and
+    share no key before this one: all of them, or the ``nearest`` few of each probe."""
+    key, probe = cell["key"][0], cell["probe"].astype(bool)
+    here = int(key) % PLACES
+    values = np.frombuffer(b"".join(cell["signature"].tolist()), np.uint16).reshape(-1, VALUES)
+    # Rows may share a doc_id; only those that have this key belong here.
+    own = chunk_key(values.reshape(-1, CHUNKS, WIDTH), here // WIDTH, here % WIDTH) == key
+    probes, at = np.flatnonzero(probe & own), np.flatnonzero(~probe & own)
+    out = [np.zeros((0, 2), np.int64)]
     if not len(probes) or not len(at):
-        return []
-    rep, component, main, n = (group[c] for c in ("rep", "component", "main", "n_shingles"))
-    values = np.frombuffer(b"".join(group["signature"].tolist()), np.uint16).reshape(-1, VALUES)
-    packed = np.frombuffer(b"".join(group["detail"].tolist()), np.uint8).reshape(-1, DETAIL // 2)
-    key = group["key"][0]
-    own = values[:1].reshape(1, CHUNKS, WIDTH)
-    here = next(i for i in range(VALUES) if chunk_key(own, i // WIDTH, i % WIDTH)[0] == key)
+        return out[0]
+    rep, component, main, n = (cell[c] for c in ("rep", "component", "main", "n_shingles"))
+    if "detail" in cell:
+        packed = np.frombuffer(b"".join(cell["detail"].tolist()), np.uint8).reshape(-1, DETAIL // 2)
     block, sizes, others, after = values[at], n[at], component[at], main[at].astype(bool)
-    out = []
     for i in probes:
         fits = (others != component[i]) & (sizes * 100 >= n[i] * percent) & (n[i] * 100 >= sizes * percent)
         fits &= after | (rep[at] > rep[i])
@@ -361,14 +438,16 @@ def _compare(group: dict[str, np.ndarray], percent: int, nearest: int | None) ->
         differ = block[near] != values[i]
         distance = differ.sum(axis=1)
         near_enough = np.flatnonzero(distance <= MOST_DIFFERENT)
-        near_enough = near_enough[_first_key(differ[near_enough]) == here] if nearest is None else near_enough
+        near_enough = near_enough[_first_key(differ[near_enough]) == here]
         chosen, distance = at[near[near_enough]], distance[near_enough]
+        if "detail" in cell:
+            odd = packed[chosen] ^ packed[i]
+            alike = ((odd & 15) != 0).sum(axis=1) + ((odd >> 4) != 0).sum(axis=1) <= DETAIL_DIFFERENT
+            chosen, distance = chosen[alike], distance[alike]
         if nearest is not None:
             chosen = chosen[np.argsort(distance, kind="stable")[:nearest]]
-        odd = packed[chosen] ^ packed[i]
-        chosen = chosen[((odd & 15) != 0).sum(axis=1) + ((odd >> 4) != 0).sum(axis=1) <= DETAIL_DIFFERENT]
-        out.append(np.stack([np.maximum(rep[chosen], rep[i]), np.minimum(rep[chosen], rep[i])], axis=1))
-    return out
+        out.append(np.stack([np.full(len(chosen), i), chosen], axis=1))
+    return np.concatenate(out)
 
 
 def _first_key(differ: np.ndarray) -> np.ndarray:
@@ -398,9 +477,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     texts = members.select("rep", "text")
     links = stored(confirm(_best(_near(_star_pairs(shared), members, percent)), texts, shingle, percent), "links")
     labels = components(links)
-    for nearest in (NEAREST, None):
-        proposed = _open_pairs(shared, labels, members, percent, nearest)
-        links = links.unionByName(stored(confirm(proposed, texts, shingle, percent), "links"))
+    detailed = ["n_shingles", "signature", "detail"]
+    for last in (False, True):
+        cells = _narrowed(_open_cells(shared, labels, members), members, detailed, percent, PART)
+        if last:
+            whole = members.withColumn("text", F.col("text").cast("binary"))
+            found = _cell_links(_narrowed(cells, whole, [*detailed, "text"], percent, TEXTS), shingle, percent)
+        else:
+            found = confirm(_nearest_pairs(cells, percent, NEAREST), texts, shingle, percent)
+        links = links.unionByName(stored(found, "links"))
         labels = components(links)
     return _rows(sketched, classes, labels)
 
