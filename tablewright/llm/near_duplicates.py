@@ -54,7 +54,7 @@ MOST_DIFFERENT = 2 * CHUNKS - 1
 DETAIL, DETAIL_DIFFERENT = 1024, 280
 STARS, CENTRES, TRIED, NEAREST, BLOCK = 3, 8, 3, 3, 4096
 # Members by members in a cell of longer signatures, and in a cell of texts.
-PART, TEXTS = 512, 128
+PART, TEXTS = 256, 128
 # A power of two over the number of keys of a signature.
 PLACES = 64
 
