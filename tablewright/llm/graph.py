@@ -32,29 +32,47 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, component for every node of ``links`` (a, b): the smallest node that it reaches.
 
+    ``known`` is the result for earlier links, to go on from: its nodes are in the result, and only their
+    components are joined, so that few new links take few rounds.
+
     A round hangs the neighbours of a node on the smallest of them, first the larger ones (large star),
     then the smaller ones (small star); rounds grow with the logarithm of the diameter. Each round is
     written to the shared folder; the driver sees whether all is done. Minima are combined
     before the shuffle, and go back to the edges over ``SALTS`` parts of each node, so that a hub's edges
     never meet in one task.
     """
-    edges = stored(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
+    if known is not None:
+        for side in "ab":
+            links = links.join(known.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+        links = links.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    ends = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = stored(_few_parts(ends.distinct()), "edges")
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = _met(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _met(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        # The node itself and its neighbours hang on the smallest neighbour.
+        hung = _met(large, low).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        edges = stored(_few_parts(hung.where("u <> v").distinct()), "edges")
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     # An edge leads to a root, and a root leads nowhere.
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return leaves.unionByName(roots)
+    found = leaves.unionByName(roots)
+    if known is not None:
+        moved = found.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        rows = known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        # The smallest node of a known component stands on both sides.
+        found = rows.unionByName(found).distinct()
+    return stored(_few_parts(found), "components")
+
+
+def _few_parts(rows: DataFrame) -> DataFrame:
+    """Rows of a round in a few partitions for each core, however many the shuffles have: rounds are small."""
+    return rows.coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def _met(edges: DataFrame, minima: DataFrame) -> DataFrame:

@@ -53,8 +53,9 @@ MOST_DIFFERENT = 2 * CHUNKS - 1
 # Seven deviations above the mean of a pair at 0.8: such a pair is dropped once in 10^12.
 DETAIL, DETAIL_DIFFERENT = 1024, 280
 STARS, CENTRES, TRIED, NEAREST, BLOCK = 3, 8, 3, 3, 4096
-# Members by members in a cell of longer signatures, and in a cell of texts.
-PART, TEXTS = 256, 128
+# A cell of longer signatures and one of texts take about the square of this many pairs, and SPREAD times as
+# many members of either side.
+PART, TEXTS, SPREAD = 256, 128, 8
 # A power of two over the number of keys of a signature.
 PLACES = 64
 
@@ -327,7 +328,7 @@ def _each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict[str, np.
 
 
 def _narrowed(cells: DataFrame, members: DataFrame, columns: list[str], percent: int, part: int) -> DataFrame:
-    """Cells of ``part`` probes by ``part`` others, of the members alone that have a mate in their cell under the
+    """Cells of about ``part`` * ``part`` pairs, of the members alone that have a mate in their cell under the
     distances known there; with these ``columns`` of the members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,14 +343,20 @@ def _narrowed(cells: DataFrame, members: DataFrame, columns: list[str], percent:
 
 
 def _in_parts(cell: dict[str, np.ndarray], pairs: np.ndarray, part: int) -> dict[str, np.ndarray]:
-    """The rows of a cell that stand in ``pairs``, once for each part of the other side that they meet."""
+    """The rows of a cell that stand in ``pairs``, once for each part of the other side that they meet.
+
+    There are as many parts as the pairs ask for: where a member has few mates, a large group gives no more rows
+    for each member than a small one.
+    """
     sides = [np.unique(cell["rep"][at], return_index=True, return_inverse=True) for at in pairs.T]
-    parts = [rank // part for _, _, rank in sides]
+    dense = -(-len(pairs) // part**2)
+    most = [max(1, min(SPREAD * part, int(len(first) / dense**0.5))) for _, first, _ in sides]
+    parts = [rank // m for (_, _, rank), m in zip(sides, most)]
     out = []
     for side, (_, first, rank) in enumerate(sides):
         across = int(parts[1 - side].max()) + 1
         rank, other = np.divmod(np.unique(rank * across + parts[1 - side]), across)
-        at, own = pairs[first[rank], side], rank // part
+        at, own = pairs[first[rank], side], rank // most[side]
         number = ((own << 32) + other if side == 0 else (other << 32) + own).astype(np.uint64)
         rows = {n: cell[n][at] for n in ("key", "probe", "rep", "component", "main")}
         out.append(rows | {"cell": mix(mix(cell["cell"][at].astype(np.uint64)) + number).view(np.int64)})
@@ -485,8 +492,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             found = _cell_links(_narrowed(cells, whole, [*detailed, "text"], percent, TEXTS), shingle, percent)
         else:
             found = confirm(_nearest_pairs(cells, percent, NEAREST), texts, shingle, percent)
-        links = links.unionByName(stored(found, "links"))
-        labels = components(links)
+        labels = components(stored(found, "links"), labels)
     return _rows(sketched, classes, labels)
 
 
