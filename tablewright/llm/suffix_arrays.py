@@ -9,9 +9,8 @@ Only text that may repeat enters a suffix array: windows whose phrase recurs in
 * **Suffix array** by Larsson-Sadakane refinement in numpy: suffixes are ranked by their first eight
   bytes, then ranks at distance 8, 16, 32, ... refine the groups that still hold several suffixes,
   until ``width`` bytes are compared. Sorted suffixes are not touched again.
-* **Common prefixes** by Kasai's walk in text order, where the prefix shared with the predecessor
-  shrinks by at most one a step. Many stretches of text take their steps together, and eight bytes are
-  compared at a time.
+* **Common prefixes** of neighbours in that order, eight bytes at a time and many neighbours together; as
+  no more than the sorted bytes are compared, this takes a bounded number of steps.
 
 Windows that share ``width`` bytes are neighbours in the suffix array, so all but the first of them
 are known repeats within the block. No suffix array crosses a block: what is first in its
@@ -48,6 +47,8 @@ from tablewright.llm.text_arrays import byte_codes
 
 PHRASE = 16
 BLOCK_BYTES = 1 << 20
+# From these numbers on, one byte more is not zero.
+BYTE_STEPS = np.array([1 << 8 * i for i in range(1, 8)], np.uint64)
 
 
 def eight_bytes(data: np.ndarray) -> np.ndarray:
@@ -62,7 +63,7 @@ def eight_bytes(data: np.ndarray) -> np.ndarray:
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first ``depth`` bytes or more; ``words`` from :func:`eight_bytes`."""
     n = len(words)
-    order = np.argsort(words, kind="stable").astype(np.int32)
+    order = np.argsort(words).astype(np.int32)
     sorted_words = words[order]
     new = np.ones(n, bool)
     new[1:] = sorted_words[1:] != sorted_words[:-1]
@@ -71,6 +72,7 @@ def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     rank = np.empty(n + 1, np.int32)
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(new, slots, 0))
+    bits = n.bit_length() + 1
     reach = 8
     while reach < depth:
         alone = new & np.append(new[1:], True)
@@ -78,9 +80,15 @@ def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
         if not len(open_slots):
             break
         at = order[open_slots]
-        key = (rank[at].astype(np.int64) << 32) + rank[np.minimum(at + reach, n)] + 1
-        refined = np.argsort(key, kind="stable")
-        at, key = at[refined], key[refined]
+        further = rank[np.minimum(at + reach, n)] + 1
+        if 3 * bits <= 63:
+            # Both ranks and the place in one number are sorted faster than by their order.
+            key = np.sort(((rank[at].astype(np.int64) << bits) + further << bits) + at)
+            at, key = (key & ((1 << bits) - 1)).astype(np.int32), key >> bits
+        else:
+            key = (rank[at].astype(np.int64) << 32) + further
+            refined = np.argsort(key)
+            at, key = at[refined], key[refined]
         order[open_slots] = at
         starts = np.ones(len(at), bool)
         starts[1:] = key[1:] != key[:-1]
@@ -90,40 +98,25 @@ def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def common_prefixes(words: np.ndarray, order: np.ndarray, most: int, lanes: int = 8192) -> np.ndarray:
-    """Bytes that each suffix shares with the one before it in ``order``, up to ``most``.
-
-    ``order`` must be sorted by ``most`` bytes at least.
-    """
+def common_prefixes(words: np.ndarray, order: np.ndarray, most: int, lanes: int = 1 << 16) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it in ``order``, up to ``most``; ``lanes`` suffixes at
+    a time."""
     n = len(words)
     shared = np.zeros(n, np.int32)
-    slot = np.empty(n, np.int32)
-    slot[order] = np.arange(n, dtype=np.int32)
-    steps = -(-n // min(lanes, n)) if n else 0
-    begin = np.arange(0, n, steps) if n else np.zeros(0, np.int64)
-    length = np.zeros(len(begin), np.int64)
-    for step in range(steps):
-        here = begin + step
-        live = np.flatnonzero(here < n)
-        i = here[live]
-        s = slot[i]
-        j = order[np.maximum(s - 1, 0)].astype(np.int64)
-        # Suffixes that agree in all sorted bytes stand in any order, so nothing follows from them.
-        now = np.where(length[live] >= most, 0, np.maximum(length[live] - 1, 0))
-        limit = np.minimum(most, n - np.maximum(i, j))
-        limit[s == 0] = 0
-        now = np.minimum(now, limit)
-        going = np.flatnonzero(now < limit)
-        while len(going):
-            a, b = i[going] + now[going], j[going] + now[going]
-            differ = words[a] ^ words[b]
-            equal = np.full(len(going), 8)
-            for k in range(8):
-                equal[(equal == 8) & ((differ >> np.uint64(56 - 8 * k)) & np.uint64(0xFF) != 0)] = k
-            now[going] = np.minimum(now[going] + equal, limit[going])
-            going = going[(equal == 8) & (now[going] < limit[going])]
-        length[live] = now
-        shared[s] = now
+    for begin in range(1, n, lanes):
+        i, j = order[begin : begin + lanes], order[begin - 1 : min(begin + lanes, n) - 1]
+        limit = np.minimum(most, n - np.maximum(i, j)).astype(np.int32)
+        out, live, reach = limit.copy(), np.arange(len(i)), 0
+        while len(live):
+            differ = words[i + reach] ^ words[j + reach]
+            alike = differ == 0
+            ended = np.flatnonzero(~alike)
+            equal = reach + 7 - np.searchsorted(BYTE_STEPS, differ[ended], side="right")
+            out[live[ended]] = np.minimum(equal, limit[ended])
+            reach += 8
+            going = np.flatnonzero(alike & (limit > reach))
+            live, i, j, limit = live[going], i[going], j[going], limit[going]
+        shared[begin : begin + lanes] = out
     return shared
 
 
@@ -133,7 +126,7 @@ def equal_windows(data: np.ndarray, width: int) -> np.ndarray:
     depth = max(8, 1 << (width - 1).bit_length())
     order = suffix_array(words, depth)
     classes = np.empty(len(data), np.int32)
-    classes[order] = np.cumsum(common_prefixes(words, order, depth) < width, dtype=np.int32)
+    classes[order] = np.cumsum(common_prefixes(words, order, width) < width, dtype=np.int32)
     return classes
 
 
@@ -182,8 +175,9 @@ class Block:
         classes = equal_windows(np.concatenate(self.data), self.width)[np.concatenate(self.place)]
         row, pos, n = np.concatenate(self.row), np.concatenate(self.pos), np.concatenate(self.runs)
         # Rows ascend, so the first window of a class stands in its smallest row.
-        _, first, which = np.unique(classes, return_index=True, return_inverse=True)
-        repeat = row > row[first][which]
+        first = np.empty(int(classes.max()) + 1, np.int64)
+        first[classes[::-1]] = np.arange(len(classes))[::-1]
+        repeat = row > row[first[classes]]
         at = np.flatnonzero(repeat)
         begin = np.ones(len(at), bool)
         begin[1:] = (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]]) | (pos[at[1:]] != pos[at[:-1]] + 1)
@@ -206,7 +200,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50) -> DataFrame:
     """
     if width < PHRASE:
         raise ValueError(f"a window needs {PHRASE} bytes or more")
-    shape = Shape(width, PHRASE, within=False, piece_bytes=1 << 19, bits=60)
+    shape = Shape(width, PHRASE, within=False, piece_bytes=1 << 17, bits=60, bytes=True)
 
     def locate(docs: pa.Table, phrases: np.ndarray, hot: np.ndarray, shape: Shape) -> pa.Table:
         out, block = [rows_of(k=np.zeros(0, np.int64))], Block(width)

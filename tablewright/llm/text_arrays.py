@@ -21,6 +21,9 @@ NON_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
+# Parameters of glibc's mallopt.
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
+
 _rng = np.random.default_rng(20_240_229)
 _BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -63,6 +66,15 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def gram_hash(prefix: np.ndarray, size: int) -> np.ndarray:
+    """:func:`span_hash` of every span of ``size`` symbols."""
+    _, down = powers(len(prefix))
+    spans = prefix[size:] - prefix[: len(prefix) - size]
+    spans *= down[: len(spans)]
+    spans += np.uint64(size)
+    return mix(spans)
+
+
 class Words:
     """The words of a list of texts.
 
@@ -116,6 +128,15 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def keep_freed() -> None:
+    """Let arrays of up to 32 MB reuse freed memory instead of asking the system for new pages each time; up to
+    64 MB are kept, until :func:`give_back`."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(M_MMAP_THRESHOLD, 32 << 20)
+        libc.mallopt(M_TRIM_THRESHOLD, 64 << 20)
+
+
 def in_pieces(batches, limit: int = 2 << 20, rows: int = 20_000):
     """Arrow record batches cut so that the texts of a piece hold about ``limit`` bytes.
 

@@ -152,6 +152,70 @@ def test_suffix_array(letters, n):
     assert len({classes[i] for i in starts}) == len({raw[i : i + 50] for i in starts})
 
 
+def _near_copies(n=60):
+    """Documents with pieces of one text of 30 to 130 bytes, a byte of which is changed now and then."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    base, rows = rng.integers(97, 123, 400), []
+    for i in range(n):
+        parts = []
+        for _ in range(6):
+            begin, size = int(rng.integers(0, 270)), int(rng.integers(30, 130))
+            part = base[begin : begin + size].copy()
+            part[rng.integers(0, size, rng.integers(0, 3))] = 65
+            parts += [part, rng.integers(97, 123, int(rng.integers(0, 9)))]
+        rows.append((i, bytes(np.concatenate(parts).astype(np.uint8)).decode(), "en", "a", 1))
+    return rows
+
+
+def test_bytes_of_near_copies(spark):
+    rows = _near_copies()
+    found = bytes_found(table(spark, rows))
+    assert found == by_bytes(rows, 50)
+    assert any(f[1] for f in found.values()) and any(f[1] < f[0] for f in found.values())
+
+
+def test_a_part_of_a_context_is_one_row():
+    """Not a row for each window; the rows give the same repeats as the windows do."""
+    import numpy as np
+    import pyarrow as pa
+
+    shape = passages.Shape(50, suffix_arrays.PHRASE, within=False, bytes=True)
+    rows = _near_copies()
+    docs = pa.table({"_row": [r[0] for r in rows], "text": [r[1].encode() for r in rows]})
+    piece = suffix_arrays.read_bytes(docs.column("text").to_pylist(), shape)
+    known = []
+    for anchor, first, last, text in zip(*(x.tolist() for x in (piece.run_anchor, piece.run_first, piece.run_last, piece.run_text))):
+        for low, high in shape.parts():
+            a, b = max(first, anchor - high), min(last, anchor - low)
+            if a <= b:
+                known.append((text, a - int(piece.first[text]), b - a + 1, passages.PART, -1))
+    known = pa.table(dict(zip(["row", "pos", "n", "kind", "salt"], map(list, zip(*known)))))
+    made = passages._open_windows(docs, known, suffix_arrays.read_bytes, shape)
+    assert made.num_rows == known.num_rows < len(piece.window) / 3
+    made = made.sort_by([(c, "ascending") for c in ("k", "c", "row", "pos")])
+    found = passages._compared({c: made.column(c).to_numpy() for c in made.column_names}).to_pydict()
+    starts = {(row, pos + j) for row, pos, n in zip(found["row"], found["pos"], found["n"]) for j in range(n)}
+    first, expected = {}, set()
+    for row, text, *_ in rows:
+        for pos in range(len(text) - 49):
+            if first.setdefault(text[pos : pos + 50], row) != row:
+                expected.add((row, pos))
+    assert starts == expected and len(expected) > 100
+    assert len(found["row"]) < len(starts)
+
+
+def test_sorted_keys_come_back():
+    import numpy as np
+
+    for keys in (np.zeros(0, np.int64), np.array([5]), np.array([0, 0, 7, 1 << 61])):
+        assert (passages.unsqueezed_keys(passages.squeezed_keys(keys)) == keys).all()
+    rng = np.random.default_rng(1)
+    keys = np.sort(rng.integers(0, 1 << 40, 20_000))
+    assert len(passages.squeezed_keys(keys)) < 5 * len(keys)
+
+
 def test_automaton_finds_every_place():
     import numpy as np
 
