@@ -6,7 +6,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.llm import plans, ranked_search
 from tablewright.llm.mixing import Mix
@@ -113,6 +115,83 @@ def test_shards_are_not_dealt_out(spark, monkeypatch):
     assert "block_docs" not in kept
 
 
+def test_a_task_is_given_each_shard_and_each_pack_once(spark, monkeypatch):
+    monkeypatch.setattr(ranked_search, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(ranked_search, "PACK", 20)
+    monkeypatch.setattr(ranked_search, "GROUPS", 2)
+    df = table(spark, [r for r in documents(8, 120) if r[1]])
+    index = ranked_search.build_index(df)
+    packs = ranked_search.packed(ranked_search.document_queries(df.where("doc_id % 20 = 0"), index))
+    shards, n_packs = index.count(), packs.count()
+    tasks = defaultdict(list)
+    for r in ranked_search.paired(index, packs.repartition(3)).withColumn("task", F.spark_partition_id()).collect():
+        tasks[r.task].append(r)
+    assert shards > 8 and n_packs > 4 and sum(map(len, tasks.values())) == shards * n_packs
+    for rows in tasks.values():
+        for key, blobs in (("shard", ranked_search.POSTINGS), ("pack", [c for c in packs.columns if c != "pack"])):
+            first = [r[key] not in {x[key] for x in rows[:i]} for i, r in enumerate(rows)]
+            assert all([r[blob] is not None for r in rows] == first for blob in blobs)
+
+
+def test_a_row_group_of_the_index_has_few_shards(spark, monkeypatch):
+    """However many shards a task makes, readers and writers of the index hold a few."""
+    monkeypatch.setattr(ranked_search, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(ranked_search, "FEW_SHARDS", ranked_search.FEW_SHARDS | {"parquet.block.size": 8000})
+    index = ranked_search.build_index(table(spark, [r for r in documents(8, 120) if r[1]]).coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) == index.count() > 8 and max(groups) <= 4
+
+
+def test_texts_hashed_in_turns_give_the_same_terms(monkeypatch):
+    texts = [(t or "").encode() for _, t, *_ in documents(8, 60)]
+    for some in (texts, texts[:1], []):
+        want = ranked_search.term_counts(some)
+        for size in (1, 300, 5000):
+            monkeypatch.setattr(ranked_search, "HASHED", size)
+            assert all(np.array_equal(a, b) for a, b in zip(want, ranked_search.term_counts(some), strict=True))
+            monkeypatch.undo()
+
+
+@pytest.mark.parametrize("room", [1, 50, 1 << 20])
+def test_frequencies(spark, monkeypatch, room):
+    monkeypatch.setattr(ranked_search, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(ranked_search, "ROOM", room)
+    rows = documents(8, 60) + odd_rows()
+    index = ranked_search.build_index(table(spark, rows))
+    want = defaultdict(int)
+    for _, t, *_ in rows:
+        for term in ranked_search.term_counts([(t or "").encode()])[0].view(np.int64).tolist():
+            want[term] += 1
+    assert sorted(map(tuple, ranked_search.frequencies(index).collect())) == sorted(want.items())
+
+
+@pytest.mark.parametrize("room", [1, 2000])
+def test_room_of_a_part_changes_nothing(monkeypatch, room):
+    """Queries that meet many cells, or many common terms, are searched a few at a time."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join([*(f"c{x}" for x in rng.zipf(1.5, 20) % 30), *(f"t{x}" for x in rng.integers(0, 3000, 40))]).encode() for _ in range(400)]
+    term, doc, freq, length = ranked_search.term_counts(texts)
+    begin = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+    row = {"doc_ids": np.arange(400, dtype="<i8"), "lengths": length.astype("<u4"), "terms": term[begin], "docs": doc.astype("<u4"),
+           "counts": np.diff(np.append(begin, len(term))).astype("<u4"), "freqs": freq.astype("<u4")}
+    shard = ranked_search.WholeShard({k: v.tobytes() for k, v in row.items()}, float(length.mean()))
+    words = [ranked_search.term_counts([texts[i]]) for i in range(0, 400, 10)]
+    sizes = np.array([len(w[0]) for w in words])
+    blobs = {"queries": np.arange(0, 400, 10), "sizes": sizes, "words": np.concatenate([w[0] for w in words]), "weights": np.concatenate([w[2] * 1.5 for w in words])}
+    given = {**{k: v.tobytes() for k, v in blobs.items()}, "codes": zlib.compress(np.arange(sizes.sum(), dtype="<u4").tobytes())}
+    parts, part = [], shard._part
+    monkeypatch.setattr(shard, "_part", lambda *a: (parts.append((len(a[3]), int(shard.cells[a[0]].sum()))), part(*a)))
+    want, got = ranked_search.Pack(given), ranked_search.Pack(given)
+    shard.within(want, 10)
+    n = len(parts)
+    monkeypatch.setattr(ranked_search, "ROOM", room)
+    shard.within(got, 10)
+    assert n == 1 < len(parts) - n and sum(q for q, _ in parts[n:]) == 40
+    assert all(q == 1 or cells <= room for q, cells in parts[n:])
+    assert [sorted(b) for b in got.best] == [sorted(b) for b in want.best] and all(len(b) == 10 for b in want.best)
+
+
 @pytest.mark.parametrize("terms", [3, 12])
 def test_likeness_terms_are_the_highest_by_tf_idf(spark, terms):
     rows = [r for r in documents(8, 120) if r[1]] + [(9980, "alonezza alonezzb alonezzb", "en", "a", 26)]
